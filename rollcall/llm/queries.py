@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import decontamination, language_id, quality_model, quality_rules, sharding
+from rollcall.llm import decontamination, html_extraction, language_id, packing, quality_model, quality_rules, sharding
 from rollcall.llm._frames import table
 
 
@@ -15,6 +15,17 @@ def remainder(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the packing query, where the public_tokenizers package has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,6 +47,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_path(), 2048)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
     profiles = language_id.prototypes(docs.filter(~F.col("held_out")))
@@ -44,10 +59,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extraction": op1_html_extraction,
         "op2_decontamination": op2_decontamination,
         "op6_sharding": op6_sharding,
         "op7_quality_model": op7_quality_model,
         "op8_quality_rules": op8_quality_rules,
+        "op9_packing": op9_packing,
         "op10_language_id": op10_language_id,
     }
 
