@@ -42,21 +42,21 @@ def _one_of(c: Column, known: tuple[str, ...], other: str) -> Column:
 
 def parsed(df: DataFrame, body: str) -> DataFrame:
     """df with doc, the body as VARIANT, and is_object."""
-    doc = df.withColumn("doc", F.try_parse_json(without_fences(body)))
-    return doc.withColumn("is_object", F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False)))
+    doc = df.withColumn("_v", F.try_parse_json(without_fences(body)))
+    return doc.withColumn("is_object", F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)))
 
 
 def quarantine(df: DataFrame, body: str) -> DataFrame:
     """Rows whose body is no JSON object, with the reason."""
     bad = parsed(df, body).filter(~F.col("is_object"))
-    return bad.withColumn("reason", F.when(F.col("doc").isNull(), "not JSON").otherwise("not an object")).drop("doc", "is_object")
+    return bad.withColumn("reason", F.when(F.col("_v").isNull(), "not JSON").otherwise("not an object")).drop("_v", "is_object")
 
 
 def elements(df: DataFrame, path: str) -> DataFrame:
     """One row for each element of the array at path of doc: pos and value."""
-    view = df.filter("is_object").withColumn("_list", F.try_variant_get("doc", path, "variant"))
+    view = df.filter("is_object").withColumn("_list", F.try_variant_get("_v", path, "variant"))
     view = view.filter(F.schema_of_variant("_list").startswith("ARRAY"))
-    return view.lateralJoin(_exploded()).drop("_list", "doc", "is_object")
+    return view.lateralJoin(_exploded()).drop("_list", "_v", "is_object")
 
 
 def _exploded() -> DataFrame:
@@ -106,9 +106,9 @@ def gaps(df: DataFrame, body: str) -> DataFrame:
 
 def metadata(df: DataFrame, doc: str, body: str, order: str) -> DataFrame:
     """One row a document: a later part's values win, blank ones too; the specialization is the first that isn't blank."""
-    v = parsed(df, body).filter("is_object").withColumn("_meta", F.schema_of_variant(F.try_variant_get("doc", "$.metadata", "variant")).startswith("OBJECT"))
-    last = lambda c: F.coalesce(F.max_by(_text("doc", f"$.metadata.{c}"), F.when(F.col("_meta"), F.col(order))), F.lit("")).alias(c)
-    special = _text("doc", "$.sections.specialization")
+    v = parsed(df, body).filter("is_object").withColumn("_meta", F.schema_of_variant(F.try_variant_get("_v", "$.metadata", "variant")).startswith("OBJECT"))
+    last = lambda c: F.coalesce(F.max_by(_text("_v", f"$.metadata.{c}"), F.when(F.col("_meta"), F.col(order))), F.lit("")).alias(c)
+    special = _text("_v", "$.sections.specialization")
     return v.groupBy(doc).agg(last("name"), last("department"), last("title"), F.coalesce(F.min_by(special, F.when(special != "", F.col(order))), F.lit("")).alias("specialization"))
 
 
@@ -117,12 +117,12 @@ def validate_strict(df: DataFrame, body: str, fields: dict[str, str], enums: dic
     v = parsed(df, body)
     ok = F.col("is_object")
     for name, kind in fields.items():
-        found = F.schema_of_variant(F.try_variant_get("doc", f"$.{name}", "variant"))
+        found = F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant"))
         number = found.isin("BIGINT", "DOUBLE") | found.startswith("DECIMAL")
         ok &= F.coalesce(number if kind == "DOUBLE" else found == kind, F.lit(False))
     for name, known in (enums or {}).items():
-        ok &= F.coalesce(F.try_variant_get("doc", f"$.{name}", "string").isin(*known), F.lit(False))
-    return v.withColumn("valid", ok).drop("doc", "is_object")
+        ok &= F.coalesce(F.try_variant_get("_v", f"$.{name}", "string").isin(*known), F.lit(False))
+    return v.withColumn("valid", ok).drop("_v", "is_object")
 
 
 def later_wins(df: DataFrame, doc: str, order: list[str], columns: list[str]) -> DataFrame:
