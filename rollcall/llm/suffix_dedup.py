@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import only_touched, partitions, saved
-from rollcall.llm._text import Prefix, U, pieces, spread, text_buffer, union_length
+from rollcall.llm._text import Prefix, U, mix, pieces, spread, text_buffer, union_length
 
 #: Suffixes that one bucket holds on average: what a task sorts at once.
-BUCKET = 1_500_000
+BUCKET = 3_000_000
 
 
 @lru_cache(None)
@@ -86,41 +86,49 @@ def dealt(keys: np.ndarray, ids: np.ndarray, place: np.ndarray, buckets: int, wi
         groups.append((int(ids[tied[0]] % buckets), True, tied))
     out = []
     for b, known, at in groups:
-        new = np.append(True, ids[at][1:] != ids[at][:-1])
-        first = np.flatnonzero(new)
-        step = np.diff(place[at], prepend=0)
-        step[first] = place[at][first]
         key = b"" if known else (keys[at] if width == 8 else (keys[at] & U(0xFFFFFFFF)).astype(np.uint32)).tobytes()
-        out.append((b, known, width, key, _packed(ids[at][first]), _packed(np.diff(np.append(first, len(at))).astype(np.uint32)), _packed(step.astype(np.uint32))))
+        out.append((b, known, width, key, *_listed(ids[at], place[at])))
     if out:
         kinds = [pa.int32(), pa.bool_(), pa.int32(), *[pa.binary()] * 4]
         names = [x.split()[0] for x in SUFFIXES.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
 
-def _suffixes(row: tuple) -> tuple[np.ndarray, np.ndarray]:
-    counts = _unpacked(row[5], np.uint32).astype(np.int64)
-    step = _unpacked(row[6], np.uint32).astype(np.int64)
+def _listed(ids: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Suffixes, ordered by text, packed: texts, suffixes of each, and steps between their places."""
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    step = np.diff(place, prepend=0)
+    step[first] = place[first]
+    return _packed(ids[first]), _packed(np.diff(np.append(first, len(ids))).astype(np.uint32)), _packed(step.astype(np.uint32))
+
+
+def _suffixes(ids: bytes, counts: bytes, places: bytes) -> tuple[np.ndarray, np.ndarray]:
+    many = _unpacked(counts, np.uint32).astype(np.int64)
+    step = _unpacked(places, np.uint32).astype(np.int64)
     total = np.cumsum(step)
-    first = np.cumsum(counts) - counts
-    return np.repeat(_unpacked(row[4], np.int64), counts), total - np.repeat(total[first] - step[first], counts)
+    first = np.cumsum(many) - many
+    return np.repeat(_unpacked(ids, np.int64), many), total - np.repeat(total[first] - step[first], many)
+
+
+def _parcels(found: list[tuple[np.ndarray, np.ndarray]], n: int) -> Iterator[pa.RecordBatch]:
+    """Tied suffixes as one row for each of n parts of the texts."""
+    if not found:
+        return
+    ids, place = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    part = (mix(ids.astype(U)) % U(n)).astype(np.int32)
+    o = np.lexsort((place, ids, part))
+    ids, place, part = ids[o], place[o], part[o]
+    cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    rows = [(int(part[a]), *_listed(ids[a:b], place[a:b])) for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True)]
+    kinds = [pa.int32(), *[pa.binary()] * 3]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "ids", "counts", "places"])
 
 
 def ties(suffixes: DataFrame) -> DataFrame:
     """id and places (packed) of the suffixes whose key another suffix shares; one bucket at a time is sorted."""
+    n = partitions(suffixes.sparkSession)
 
-    def found(ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(ids):
-            o = np.lexsort((place, ids))
-            ids, place = ids[o], place[o].astype(np.uint32)
-            cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[cut]), pa.array([_packed(place[a:b]) for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True)], pa.binary())],
-                names=["id", "places"])
-
-    def sort(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
+    def sort(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
         width = np.uint64 if rows[0][2] == 8 else np.uint32
         key = np.concatenate([np.frombuffer(r[3], width) for r in rows])
         o = np.argsort(key)
@@ -128,8 +136,8 @@ def ties(suffixes: DataFrame) -> DataFrame:
         same = k[1:] == k[:-1]
         o = o[np.append(same, False) | np.append(False, same)]
         if not len(o):
-            return
-        parts = [_suffixes(r) for r in rows]
+            return None
+        parts = [_suffixes(*r[4:]) for r in rows]
         ids, place = (np.concatenate([p[i] for p in parts])[o] for i in (0, 1))
         key = key[o]
         new = np.append(True, key[1:] != key[:-1])
@@ -137,29 +145,59 @@ def ties(suffixes: DataFrame) -> DataFrame:
         run = np.cumsum(new) - 1
         differ = (ids != ids[start][run]) | (place != place[start][run])
         tied = np.logical_or.reduceat(differ, start)[run]
-        yield from found(ids[tied], place[tied])
+        return ids[tied], place[tied]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 r = tuple(c[i].as_py() for c in batch.columns)
                 if r[1]:
-                    yield from found(*_suffixes(r))
-                    continue
+                    found.append(_suffixes(*r[4:]))
+                    held += len(found[-1][0])
+                else:
+                    if rows and rows[0][0] != r[0]:
+                        if got := sort(rows):
+                            found.append(got)
+                            held += len(got[0])
+                        rows = []
+                    rows.append(r)
+                if held > BUCKET:
+                    yield from _parcels(found, n)
+                    found, held = [], 0
+        if rows and (got := sort(rows)):
+            found.append(got)
+        yield from _parcels(found, n)
+
+    def open_(rows: list[tuple]) -> pa.RecordBatch:
+        parts = [_suffixes(*r[1:]) for r in rows]
+        ids, place = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        o = np.lexsort((place, ids))
+        ids, place = ids[o], place[o].astype(np.uint32)
+        cut = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[cut]), pa.array([_packed(place[a:b]) for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True)], pa.binary())], names=["id", "places"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = tuple(c[i].as_py() for c in batch.columns)
                 if rows and rows[0][0] != r[0]:
-                    yield from sort(rows)
+                    yield open_(rows)
                     rows = []
                 rows.append(r)
-        yield from sort(rows)
+        if rows:
+            yield open_(rows)
 
-    n = partitions(suffixes.sparkSession)
-    out = suffixes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "id long, places binary")
-    return out.groupBy("id").agg(F.collect_list("places").alias("places"))
+    parts = suffixes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "part int, ids binary, counts binary, places binary")
+    return parts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(gather, "id long, places binary")
 
 
-def _merged(lists: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.concatenate([_unpacked(x, np.uint32) for x in lists]).astype(np.int64)) if lists else np.zeros(0, np.int64)
+def _merged(places: bytes | None) -> np.ndarray:
+    return np.unique(_unpacked(places, np.uint32).astype(np.int64)) if places else np.zeros(0, np.int64)
 
 
 def _starts(places: np.ndarray, v: int, n: int, length: int) -> np.ndarray:
@@ -272,9 +310,9 @@ def _second(length: int, v: int, w: int, dense: np.ndarray, window: int, buckets
         inside[dense] = True
         for batch, lo, hi, data, at in _texts(batches):
             rows, places = [], []
-            for r, lists in enumerate(batch.column(2).slice(lo, hi - lo).to_pylist()):
+            for r, packed in enumerate(batch.column(2).slice(lo, hi - lo).to_pylist()):
                 n = int(at[r + 1] - at[r])
-                start = _starts(_merged(lists), v, n, length)
+                start = _starts(_merged(packed), v, n, length)
                 near = np.flatnonzero(union_length(n, start, np.minimum(start + w, n)))
                 near = near[inside[near % w] & (near + window <= n)]
                 rows.append(np.full(len(near), r))
@@ -310,9 +348,9 @@ def _cutter(length: int) -> Callable:
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
             removed, spans, shas, kept = [], [], [], []
-            for r, lists in enumerate(batch.column(2).to_pylist()):
+            for r, packed in enumerate(batch.column(2).to_pylist()):
                 own = buf[off[r] : off[r + 1]]
-                start = _merged(lists)
+                start = _merged(packed)
                 gone = union_length(len(own), start, start + length)
                 rest = own[~gone].tobytes()
                 removed.append(int(gone.sum()))
