@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm import decontamination, html_extraction, language_id, near_duplicates, packing, quality_model, quality_rules, sharding, suffix_dedup
+from rollcall.llm import decontamination, html_extraction, language_id, near_duplicates, packing, quality_model, quality_rules, sharding, suffix_dedup, warc
 from rollcall.llm._frames import table
 
 
@@ -30,6 +30,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return out.withColumn("record_sha256", F.sha2("record", 256)).drop("record", "problem")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extraction": op1_html_extraction,
         "op2_decontamination": op2_decontamination,
+        "op3_warc_derivatives": op3_warc_derivatives,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_near_duplicates": op5_near_duplicates,
         "op6_sharding": op6_sharding,
