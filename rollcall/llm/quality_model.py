@@ -20,9 +20,16 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 
 
 def features(buf: np.ndarray, off: np.ndarray, bits: int, ngram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hashed number of every n-gram of words; runs of letters, digits and marks are words."""
+    """Row and hashed number of every n-gram of words; runs of letters, digits and marks are words.
+
+    A word that repeats the one before it, or the one before that, stands as such, whatever it is.
+    """
     starts, ends, first = find_words(buf, off, TOKEN)
     words = mix(Prefix(buf, fold=True).of(starts, ends) ^ (ends - starts).astype(U))
+    row = rows_of(first)
+    plain = words.copy()
+    for back in (2, 1):
+        words[back:][(plain[back:] == plain[:-back]) & (row[back:] == row[:-back])] = U(back)
     rows, numbers = [], []
     for n in range(1, ngram + 1):
         long = np.diff(first) >= n
