@@ -46,6 +46,14 @@ def letters_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return x[keep], np.concatenate([[0], np.cumsum(keep)])[first]
 
 
+def framed(x: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with n - 1 separators on either side, so that the shortest text has an n-gram too."""
+    pad, rows = n - 1, np.arange(len(first))
+    y = np.zeros(len(x) + 2 * pad * (len(first) - 1), x.dtype)
+    y[np.arange(len(x)) + 2 * pad * rows_of(first) + pad] = x
+    return y, first + 2 * pad * rows
+
+
 def grams(x: np.ndarray, first: np.ndarray, n: int, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The row and the number of each n-gram, and the vectors by number: the bound, permuted vectors of its letters."""
     row = rows_of(first)
@@ -102,7 +110,8 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", dimensio
             code, names = langs.indices.to_numpy(), langs.dictionary.to_pylist()
             buf, off = text_buffer(batch.column(1))
             for lo, hi in pieces(off):
-                row, number, vectors = grams(*letters_of(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), letters, dimensions)
+                x, first = framed(*letters_of(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), letters)
+                row, number, vectors = grams(x, first, letters, dimensions)
                 of = code[lo:hi][row]
                 for k in np.unique(of):
                     n = np.bincount(number[of == k], minlength=len(vectors)).astype(np.float64)
@@ -142,12 +151,7 @@ def identify(
             for lo, hi in pieces(off):
                 x, first = letters_of(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 has = np.add.reduceat(np.append(x != 0, False), first[:-1]) * (np.diff(first) > 0) > 0
-                if letters > 1:  # a text shorter than an n-gram gets a frame of separators
-                    pad = letters - 1
-                    y = np.zeros(len(x) + 2 * pad * (hi - lo), x.dtype)
-                    y[np.arange(len(x)) + 2 * pad * rows_of(first) + pad] = x
-                    x, first = y, first + 2 * pad * np.arange(hi - lo + 1)
-                sums = bundles(*grams(x, first, letters, dimensions), hi - lo)
+                sums = bundles(*grams(*framed(x, first, letters), letters, dimensions), hi - lo)
                 near = (sums @ matrix.T) / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-30)
                 best = near.argmax(1) if langs else np.zeros(hi - lo, int)
                 score = np.clip(near.max(1), 0, 1) if langs else np.zeros(hi - lo)
