@@ -20,7 +20,9 @@ HASHES, BAND = 128, 4
 MARGIN = 4.0
 #: Members of a bucket's block; a larger bucket is compared block by block.
 BLOCK = 512
-_EMPTY, _FRACTION = np.uint32(0xFFFFFFFF), 25
+#: Cells of a set's histogram of fingerprints, which bounds how much two sets can share.
+CELLS = 1024
+_EMPTY = np.uint32(0xFFFFFFFF)
 
 
 def superminhash(el: np.ndarray, begin: np.ndarray, m: int) -> np.ndarray:
@@ -34,6 +36,7 @@ def superminhash(el: np.ndarray, begin: np.ndarray, m: int) -> np.ndarray:
     row = rows_of(begin)
     out = np.full(rows * m, _EMPTY, np.uint32)
     filled = np.zeros(rows * m, bool)
+    fraction = 32 - (m - 1).bit_length()
     places = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(el), 1))
     at = np.arange(len(el))
     for j in range(m):
@@ -44,7 +47,7 @@ def superminhash(el: np.ndarray, begin: np.ndarray, m: int) -> np.ndarray:
         place = row[at] * m + drawn
         open_ = ~filled[place]
         place = place[open_]
-        np.minimum.at(out, place, (x[open_] & U((1 << _FRACTION) - 1)).astype(np.uint32) | np.uint32(j << _FRACTION))
+        np.minimum.at(out, place, (x[open_] & U((1 << fraction) - 1)).astype(np.uint32) | np.uint32(j << fraction))
         filled[place] = True
         full = filled.reshape(rows, m).all(1)
         at = at[~full[row[at]]]
@@ -73,7 +76,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, hashes: int, ba
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
-            for lo, hi in pieces(off, 1 << 20):
+            for lo, hi in pieces(off, 1 << 19):
                 sh, begin = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 n = np.diff(begin)
                 digests = _digests(sh, begin)
@@ -118,6 +121,11 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _histogram(sh: np.ndarray) -> bytes:
+    """How many fingerprints fall into each cell, as bytes; 255 stands for that or more."""
+    return np.minimum(np.bincount((sh >> U(54)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def _alike(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return (s == t).sum(-1) / s.shape[-1]
 
@@ -146,16 +154,17 @@ def _matrix(column: pa.Array, hashes: int) -> np.ndarray:
 
 
 def across(members: DataFrame, threshold: float, hashes: int, band: int) -> DataFrame:
-    """Pairs (a, b) of a bucket's members, of different components, whose sizes and signatures allow the threshold.
+    """Pairs (a, b) of a bucket's members, of different components, whose sizes, signatures and histograms allow the threshold.
 
-    members: bucket, size (of the bucket), set, n, component, signature.  A bucket of over BLOCK members is cut into
-    blocks, and each pair of blocks is a group of its own; a pair is named in the first band that its sets share.
+    members: bucket, size (of the bucket), set, n, component, signature, cells.  A bucket of over BLOCK members is cut
+    into blocks, and each pair of blocks is a group of its own; a pair is named in the first band that its sets share.
+    What two sets share is at most the sum of their histograms' lower counts, so few pairs under the threshold get through.
     """
     least = _least(threshold, hashes)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = members.withColumn("_blocks", blocks).withColumn("own", F.pmod(F.xxhash64("set"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "n", "component", "signature")
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "n", "component", "signature", "cells")
 
     def compare(group: list[tuple]) -> Iterator[tuple[int, int]]:
         if len({r[6] for r in group}) < 2:
@@ -163,6 +172,8 @@ def across(members: DataFrame, threshold: float, hashes: int, band: int) -> Data
         bucket, i, j = group[0][:3]
         own, ids, n, comp = (np.array([r[k] for r in group]) for k in (3, 4, 5, 6))
         sig = np.frombuffer(b"".join(r[7] for r in group), np.uint32).reshape(-1, hashes)
+        cells = np.frombuffer(b"".join(r[8] for r in group), np.uint8).reshape(-1, CELLS)
+        bounded = cells.max(1) < 255
         bands = _bands(sig, band)
         for k in range(len(group) - 1):
             rest = np.arange(k + 1, len(group))
@@ -171,6 +182,8 @@ def across(members: DataFrame, threshold: float, hashes: int, band: int) -> Data
                 fit &= own[rest] != own[k]
             rest = rest[fit]
             rest = rest[_alike(sig[rest], sig[k]) >= least]
+            shared = np.minimum(cells[rest], cells[k]).sum(1, dtype=np.int64)
+            rest = rest[((1 + threshold) * shared >= threshold * (n[rest] + n[k]) - 1e-6) | ~bounded[rest] | ~bounded[k]]
             if len(rest):
                 same = bands[rest] == bands[k]
                 first = bands[k][same.argmax(1)]
@@ -240,7 +253,7 @@ def near_duplicates(
 
     of = sized.join(joined, sized["set"] == joined["node"], "left").select(sized["bucket"], "size", sized["set"], F.coalesce("component", "set").alias("component"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = of.join(mixed, "bucket").join(sets.select("set", "n", "signature"), "set")
+    open_ = of.join(mixed, "bucket").join(sets.select("set", "n", "signature", "cells"), "set")
     more = saved(verified(across(open_, threshold, hashes, band), sets, threshold), "links")
     if not more.isEmpty():
         joined = saved(components(links.unionAll(more)), "components")
@@ -259,7 +272,7 @@ def _name(key: Column) -> Column:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int, hashes: int) -> DataFrame:
-    """set, n, shingles (sorted fingerprints) and signature of one document of each wanted class."""
+    """set, n, shingles (sorted fingerprints), signature and cells of one document of each wanted class."""
     rows = docs.select(_name(docs[key]).alias("name"), docs[text].cast("string").alias("_text"))
     joined = only_touched(rows, F.col("name"), wanted, F.col("name")).join(wanted, "name").select("set", "_text")
 
@@ -267,13 +280,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: i
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
             asked = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in pieces(off, 1 << 20):
+            for lo, hi in pieces(off, 1 << 19):
                 sh, begin = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
                 right = np.flatnonzero(_digests(sh, begin) == asked[lo:hi])  # a key may stand for several texts
                 signature = superminhash(sh, begin, hashes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(right)), pa.array(np.diff(begin)[right]),
-                     pa.array([sh[begin[r] : begin[r + 1]].tobytes() for r in right], pa.binary()), pa.array([signature[r].tobytes() for r in right], pa.binary())],
-                    names=["set", "n", "shingles", "signature"])
+                     pa.array([sh[begin[r] : begin[r + 1]].tobytes() for r in right], pa.binary()), pa.array([signature[r].tobytes() for r in right], pa.binary()),
+                     pa.array([_histogram(sh[begin[r] : begin[r + 1]]) for r in right], pa.binary())],
+                    names=["set", "n", "shingles", "signature", "cells"])
 
-    return joined.mapInArrow(run, "set long, n long, shingles binary, signature binary")
+    return joined.mapInArrow(run, "set long, n long, shingles binary, signature binary, cells binary")
