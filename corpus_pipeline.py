@@ -36,8 +36,10 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules on length and repetition; a null or empty text fails."""
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text")
-    return repetition_rules(rows, keep=["_row"]).filter("kept").select("_row.*")
+    named = {f"_column{i}": c for i, c in enumerate(docs.columns)}  # none is named like a measure
+    rows = docs.select(*[F.col(c).alias(n) for n, c in named.items()])
+    kept = repetition_rules(rows, f"_column{docs.columns.index('text')}", keep=list(named)).filter("kept")
+    return kept.select(*[F.col(n).alias(c) for n, c in named.items()])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ TOKEN[PLAIN == 1] = 1
 TOKEN[48:58] = 2
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ from rollcall.llm._frames import ranked, saved
 from rollcall.llm._text import Prefix, U, find_words, mix, pieces, spread, text_buffer
 
 #: Words whose ids a worker remembers at most; cells into which the pieces of one length are cut for ranking.
-REMEMBERED, CELLS = 1_000_000, 256
+REMEMBERED, CELLS = 500_000, 256
 _known: dict[str, "WordIds"] = {}
 
 

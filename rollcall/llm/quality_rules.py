@@ -179,15 +179,18 @@ def repetition_rules(
     kept = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text]) if c not in measures.names]
     limits = (repeat_words, max_covered, max_repeat, max_repeat_share)
     rows = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(kept)], docs[text].cast("string").alias("_text"))
+    at = len(kept)
+    if text in kept and dict(docs.dtypes)[text] == "string":  # sent once
+        at, rows = kept.index(text), rows.drop("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = text_buffer(batch.column(len(kept)))
-            for lo, hi in pieces(off, 1 << 20):
+            buf, off = text_buffer(batch.column(at))
+            for lo, hi in pieces(off, 1 << 19):
                 found = measure(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], limits)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(lo, hi - lo) for i in range(len(kept))), *(pa.array(found[c]) for c in measures.names)],
                     names=[*(f"_{i}" for i in range(len(kept))), *measures.names])
 
-    out = rows.mapInArrow(run, StructType([*[f for f in rows.schema.fields[:-1]], *measures.fields]))
+    out = rows.mapInArrow(run, StructType([*rows.schema.fields[: len(kept)], *measures.fields]))
     return out.select(*[out[f"_{i}"].alias(c) for i, c in enumerate(kept)], *measures.names)
