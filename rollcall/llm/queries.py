@@ -86,5 +86,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles(source: str, key: str, word: str, k: int) -> str:
+    """Distinct shingles of each row: key, sh."""
+    cut = f"list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))"
+    return f"""select distinct {key}, sh from (select {key}, unnest(case when len(w) >= {k} then {cut} when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as sh
+ from (select {key}, regexp_extract_all({_LOW}, '{word}') as w from {source}))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for queries whose whole result it can express; here words are compared as they are, without fingerprints."""
+    letters, blanks = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+", r"[^\x20\x09-\x0D]+"
+    return {
+        "op2_decontamination": f"""with d as ({_shingles('documents', 'doc_id', letters, 5)}), b as ({_shingles('benchmark', 'item_id', letters, 5)})
+ select doc_id, item_id, n_item, n_shared, n_shared / n_item as containment from (select doc_id, item_id, count(*) as n_shared from d join b using (sh) group by all)
+ join (select item_id, count(*) as n_item from b group by 1) using (item_id) where 10 * n_shared >= 8 * n_item""",
+        "op5_near_duplicates": f"""with recursive s as materialized ({_shingles('documents', 'doc_id', blanks, 4)}), n as (select doc_id, count(*) as n from s group by 1),
+ pairs as (select a.doc_id as x, b.doc_id as y, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+ links as materialized (select x, y from pairs join n p on x = p.doc_id join n q on y = q.doc_id where 100 * i >= 80 * (p.n + q.n - i)),
+ edges as materialized (select x, y from links union all select y, x from links),
+ reach(x, y) as (select x, y from edges union select r.x, e.y from reach r join edges e on r.y = e.x)
+ select doc_id, coalesce(n.n, 0) as n_shingles, least(doc_id, coalesce(c, doc_id)) as component_id, least(doc_id, coalesce(c, doc_id)) = doc_id as kept
+ from documents left join n using (doc_id) left join (select x as doc_id, min(y) as c from reach group by 1) using (doc_id)""",
+    }
