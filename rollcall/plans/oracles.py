@@ -324,6 +324,8 @@ def oracle_sql() -> dict[str, str]:
  case when doc_id % 4 = 0 then 2001 when doc_id % 3 <> 0 and doc_id % 5 <> 0 then 1990 end::bigint as since_year from documents""",
         "purged_sources": f"select doc_id, doc_id % 200 as job_id from documents where doc_id % 200 not in (select job_id from ({FINAL}) where state = 'complete')",
         "rendered_lines": _rendered(),
+        "result_json": f"""select doc_id, md5(cast(to_json({{'sections': map_from_entries(list((bucket, items) order by bucket))}}) as varchar)) as result_md5 from (
+ select doc_id, bucket, list(text order by ord) as items from ({v.REC_ORDERS}) group by 1, 2) group by 1""",
         "explode_buckets": f"""select doc_id, bucket, row_number() over (partition by doc_id, bucket order by s, ord) as ord, status as text from (
  select doc_id, ord % 3 as s, ord, status, case when ord % 2 = 0 then 'evens' else 'odds' end as bucket from ({v.REC_ORDERS}))""",
         "anchor_counts": _anchors(),
