@@ -8,7 +8,8 @@ polynomial fingerprints with fixed random coefficients.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, a function over Arrow batches, that gives free memory back to the machine at the end of its partition.
+
+    Python workers live on for later stages, and what they hold counts against the executor.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # only the GNU library has it
+            pass
+
+    return wrapped
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and len + 1 offsets; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

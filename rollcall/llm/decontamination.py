@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import saved
-from rollcall.llm._text import PLAIN, Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer
+from rollcall.llm._text import PLAIN, Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer, trimmed
 
 #: Shingles of all items of one block, whose sketches and sets are broadcast: 8 bytes each.
 BLOCK_SHINGLES = 1_000_000
@@ -92,6 +92,7 @@ def contained_items(
     item_type = items.schema[item_key].dataType.simpleString()
     schema = f"n long, width int, prints binary, item_key {item_type}"
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
@@ -129,6 +130,7 @@ def _search(rows: DataFrame, key_type: str, block: pa.Table, item_type: str, thr
     prints = [np.frombuffer(x, U) for x in block["prints"].to_pylist()]
     shared = spark.sparkContext.broadcast((prints, block["width"].to_pylist(), block["item_key"].combine_chunks()))
 
+    @trimmed
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, widths, keys = shared.value
         sketches = Sketches(sets, widths, threshold) if sets else None

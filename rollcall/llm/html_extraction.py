@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm._text import trimmed
+
 from rollcall.llm._frames import saved
 
 #: Pages that must agree before a slot counts as template; the largest table of wrappers that is broadcast, in bytes.
@@ -230,6 +232,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     matching; a slot is template if all pages of the host have the same text in the aligned slots.
     """
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], list] = {}
         for batch in batches:
@@ -308,6 +311,7 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     found = saved(wrappers(rows), "wrappers")
     size = found.agg(F.sum(F.length("host") + 4 * F.size("keep") + 40)).first()[0] or 0
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm._text import pieces, rows_of, text_buffer
+from rollcall.llm._text import pieces, rows_of, text_buffer, trimmed
 
 #: Dimensions of the vectors; letters in an n-gram; cells of a count matrix at once.
 DIMENSIONS, LETTERS, CELLS = 1024, 3, 1 << 21
@@ -103,6 +103,7 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", dimensio
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -144,6 +145,7 @@ def identify(
     model = docs.sparkSession.sparkContext.broadcast(
         (list(profiles), np.array([v / max(np.linalg.norm(v), 1e-300) for v in profiles.values()], np.float32).reshape(len(profiles), dimensions)))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix = model.value
         for batch in batches:

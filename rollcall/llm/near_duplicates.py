@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import only_touched, partitions, saved
-from rollcall.llm._text import Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer
+from rollcall.llm._text import Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer, trimmed
 from rollcall.llm.components import components
 
 #: Signature length and rows of a band: a pair at similarity 0.8 shares no band once in 2e7 pairs.
@@ -73,6 +73,7 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, hashes: int, ba
     """_key, n, set (64 bits of a digest of the full set; null if empty) and bands, the hashes of the signature's bands."""
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
@@ -107,6 +108,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of sets whose similarity on the full sets is the threshold or more."""
     percent = round(threshold * 100)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -134,6 +136,7 @@ def likely(pairs: DataFrame, sets: DataFrame, threshold: float, hashes: int) ->
     """The pairs (a, b) whose sizes and signatures allow the threshold."""
     least = _least(threshold, hashes)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s, t = (_matrix(batch.column(k), hashes) for k in (2, 3))
@@ -190,6 +193,7 @@ def across(members: DataFrame, threshold: float, hashes: int, band: int) -> Data
                 for r in rest[(first == bucket) & same.any(1)].tolist():
                     yield min(ids[k], ids[r]), max(ids[k], ids[r])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
         out: list[tuple[int, int]] = []
@@ -276,6 +280,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: i
     rows = docs.select(_name(docs[key]).alias("name"), docs[text].cast("string").alias("_text"))
     joined = only_touched(rows, F.col("name"), wanted, F.col("name")).join(wanted, "name").select("set", "_text")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_buffer(batch.column(1))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rollcall.llm._frames import ranked, saved
-from rollcall.llm._text import Prefix, U, find_words, mix, pieces, spread, text_buffer
+from rollcall.llm._text import Prefix, U, find_words, mix, pieces, spread, text_buffer, trimmed
 
 #: Words whose ids a worker remembers at most; cells into which the pieces of one length are cut for ranking.
 REMEMBERED, CELLS = 500_000, 256
@@ -80,6 +80,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int, key: str = "doc_id
     """
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known.get(tokenizer) or _known.setdefault(tokenizer, WordIds(tokenizer))
         for batch in batches:

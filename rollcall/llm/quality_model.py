@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm._text import TOKEN, Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer
+from rollcall.llm._text import TOKEN, Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer, trimmed
 
 #: Labelled rows learnt from, at most: the bound of the training sample, taken by a hash of key and label.
 TRAIN_ROWS = 8192
@@ -93,6 +93,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: Co
         F.col(label).cast("double").alias("label"), F.col(text).cast("string").alias("text"),
         (order if order is not None else F.xxhash64(text, label)).alias("at"))
 
+    @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
@@ -108,6 +109,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: Co
                      pa.array([v.astype(np.float32).tobytes() for _, v in own], pa.binary())],
                     names=["label", "at", "number", "value"])
 
+    @trimmed
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
         for batch in batches:
@@ -135,6 +137,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keys: list[str | Col
     rows = docs.select(*[F.col(k).alias(f"_{i}") if isinstance(k, str) else k.alias(f"_{i}") for i, k in enumerate(keys)], F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
         for batch in batches:

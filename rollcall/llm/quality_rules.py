@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rollcall.llm._text import (
-    SYMBOLS, Prefix, U, find_words, mix, pieces, rows_of, text_buffer, union_length,
+    SYMBOLS, Prefix, U, find_words, mix, pieces, rows_of, text_buffer, trimmed, union_length,
 )
 
 #: A repeat counts from this many words; the share of word characters that repeats may cover;
@@ -183,6 +183,7 @@ def repetition_rules(
     if text in kept and dict(docs.dtypes)[text] == "string":  # sent once
         at, rows = kept.index(text), rows.drop("_text")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_buffer(batch.column(at))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import only_touched, partitions, saved
-from rollcall.llm._text import Prefix, U, mix, pieces, spread, text_buffer, union_length
+from rollcall.llm._text import Prefix, U, mix, pieces, spread, text_buffer, trimmed, union_length
 
 #: Suffixes that one bucket holds on average: what a task sorts at once.
 BUCKET = 3_000_000
@@ -147,6 +147,7 @@ def ties(suffixes: DataFrame) -> DataFrame:
         tied = np.logical_or.reduceat(differ, start)[run]
         return ids[tied], place[tied]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -180,6 +181,7 @@ def ties(suffixes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(ids[cut]), pa.array([_packed(place[a:b]) for a, b in zip(cut, np.append(cut[1:], len(ids)), strict=True)], pa.binary())], names=["id", "places"])
 
+    @trimmed
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
@@ -275,6 +277,7 @@ def _buckets(suffixes: float) -> int:
 
 
 def _sampler(length: int, v: int, cover: np.ndarray, window: int, buckets: int) -> Callable:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_buffer(batch.column(0))
@@ -305,6 +308,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _second(length: int, v: int, w: int, dense: np.ndarray, window: int, buckets: int) -> Callable:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = np.zeros(w, bool)
         inside[dense] = True
@@ -326,6 +330,7 @@ def _second(length: int, v: int, w: int, dense: np.ndarray, window: int, buckets
 
 
 def _third(length: int, v: int, w: int, buckets: int) -> Callable:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, data, at in _texts(batches):
             rows, places = [], []
@@ -344,6 +349,7 @@ def _third(length: int, v: int, w: int, buckets: int) -> Callable:
 
 
 def _cutter(length: int) -> Callable:
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_buffer(batch.column(1))

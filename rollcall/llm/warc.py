@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.llm._text import trimmed
+
 #: Fixed values of the format.
 VERSION, CRLF = b"WARC/1.1", b"\r\n"
 SPACE_NAMES = uuid.NAMESPACE_URL
@@ -178,6 +180,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """key and record, a WARC response for each page.  The identifier is made from key and address, so equal rows have equal records."""
     rows = pages.select(pages[key].alias("_key"), F.concat_ws(" ", F.coalesce(pages[url].cast("string"), F.lit("")), pages[key].cast("string")).alias("name"), pages[url].cast("string"), pages[html].cast("string"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
@@ -201,6 +204,7 @@ def derivatives(records: DataFrame, key: str = "page_id", record: str = "record"
     names = [x.split()[0] for x in COLUMNS.split(", ")]
     kinds = [pa.int64() if n == "content_length" else pa.binary() if n == "record" else pa.string() for n in names]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
