@@ -109,7 +109,7 @@ class Page:
                 found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
                 if "hidden" in found and "aria-hidden" not in found or found.get("aria-hidden") == "true":
                     label += "!hidden"
-                label += "".join(f".{re.sub(r'[\s\d;/]+', ' ', found[k]).strip()}" for k in ("class", "id", "role") if found.get(k))
+                label += "".join(f".{'role-' * (k == 'role')}{re.sub(r'[\s\d;/]+', ' ', found[k]).strip()}" for k in ("class", "id", "role") if found.get(k))
             parent = stack[-1][1]
             node = last.get(parent)
             if node is None or self.labels[node] != label:
@@ -184,17 +184,27 @@ def content_nodes(skeleton: str, constant: dict[int, bool], chars: dict[int, int
     """
     labels, children, parents = read_skeleton(skeleton)
     n = len(labels)
-    aside, bounded = [False] * n, [False] * n
-    for i in range(n):
-        tag = re.split(r"[.!]", labels[i], maxsplit=1)[0]
-        up = parents[i]
-        in_article = bounded[up] if up >= 0 else False
-        own = tag in ASIDE and not (tag == "header" and in_article)
-        names = labels[i][len(tag) :]
-        own |= names.startswith("!hidden") or tag not in ("html", "body", "article", "main", "#") and bool(NAMES.search(names.replace(".", " ")))
-        aside[i] = own or (up >= 0 and aside[up])
-        bounded[i] = in_article or tag in ("article", "main") or "role main" in names
-    slots = [i for i in range(n) if i in chars and not aside[i]]
+    tags = [re.split(r"[.!]", x, maxsplit=1)[0] for x in labels]
+    holds = [tags[i] in ("article", "main") or ".role-main" in labels[i] for i in range(n)]
+    bounded = holds.copy()
+    for i in range(1, n):
+        bounded[i] |= bounded[parents[i]]
+    for i in range(n - 1, 0, -1):  # from here on: or holds such an element
+        holds[parents[i]] |= holds[i]
+
+    def usable(by_name: bool, by_tag: bool) -> list[int]:
+        aside = [False] * n
+        for i in range(1, n):
+            inner = bounded[parents[i]]
+            names = labels[i][len(tags[i]) :]
+            own = by_tag and (names.startswith("!hidden") or tags[i] in ASIDE and not (tags[i] == "header" and inner))
+            named = NAMES.search(names.replace(".", " ")) if by_name and tags[i] not in ("html", "body", "article", "main") else None
+            # A wrapper may be named after its parts, and an article's head is the article's.
+            own = own or bool(named) and not holds[i] and not (inner and "head" in named[0].lower())
+            aside[i] = own or aside[parents[i]]
+        return [i for i in range(n) if i in chars and not aside[i]]
+
+    slots = usable(True, True) or usable(False, True) or usable(False, False)
     region = [i for i in slots if bounded[i]]
     if not sum(chars[i] for i in region):
         weight = [0] * n

@@ -34,6 +34,15 @@ def test_extraction_keeps_the_article(spark):
     assert len(he.main_text(df).collect()) == len(rows) and he.main_text(df.limit(0)).count() == 0
 
 
+def test_names_of_wrappers_do_not_hide_the_text(spark):
+    rows = [
+        (1, "http://a/1", '<body><div class="with-sidebar"><article><div class="entry-header"><h1>T</h1></div><p>Words</p><div class="comments"><p>me too</p></div></article></div></body>'),
+        (2, "http://b/1", '<body><div id="menu-page"><p>Only words</p></div></body>'), (3, "http://c/1", "<nav><p>All there is"),
+        (4, "http://d/1", "<div><nav><a href=x>Home</a></nav><div role=main><p>Main words</p></div><p>Other</p></div>")]
+    got = {x.page_id: x.text for x in he.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "T\n\nWords", 2: "Only words", 3: "All there is", 4: "Main words"}
+
+
 def test_tree_matching_keeps_order_and_ancestors():
     a = "-1/#;0/body;1/div;2/p;1/ul;4/li;1/div"
     b = "-1/#;0/body;1/nav;1/div;3/p;3/h1;1/ul;6/li"
