@@ -20,6 +20,8 @@ from rollcall.llm.suffix_dedup import repeated_passages
 
 #: No SQL expresses packing or exact near-duplicate groups over these texts at this size; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
+#: Passages of over 50 words that start elsewhere too are removed.
+PASSAGE_WORDS = 51
 #: The name of the column that tells rows apart within a stage.
 ROW = "_row_of_stage"
 
@@ -49,10 +51,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that start anywhere else too, n_chars counted again; a document that was nothing else goes."""
+    """Texts without the passages, of over 50 words or of 400 bytes, that start anywhere else too, n_chars counted again.
+
+    A document of which only white space remains goes.
+    """
     rows = _numbered(docs)
-    changed = repeated_passages(rows, key=ROW).filter("n_removed > 0").select(F.col(f"{ROW}.at").alias("_at"), F.col("kept").alias("_kept"))
-    joined = rows.join(changed, rows[ROW]["at"] == changed["_at"], "left").filter("_kept is null or _kept <> ''")
+    changed = repeated_passages(rows, key=ROW, words=PASSAGE_WORDS).filter("n_removed > 0").select(F.col(f"{ROW}.at").alias("_at"), F.col("kept").alias("_kept"))
+    joined = rows.join(changed, rows[ROW]["at"] == changed["_at"], "left").filter(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
     text = F.coalesce("_kept", "text")
     fresh = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return joined.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])

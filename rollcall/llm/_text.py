@@ -105,13 +105,13 @@ def pieces(off: np.ndarray, limit: int = PIECE) -> Iterator[tuple[int, int]]:
 
 
 class Prefix:
-    """Fingerprints of any byte ranges of one buffer, from one prefix sum."""
+    """Fingerprints of any byte ranges of one buffer, or of any ranges of 64-bit names, from one prefix sum."""
 
     def __init__(self, buf: np.ndarray, fold: bool = False):
         up, self._down = _powers(len(buf) + 1)
         self._sum = np.empty(len(buf) + 1, U)
         self._sum[0] = 0
-        np.cumsum((_FOLDED if fold else _SYMBOL)[buf] * up[:-1], out=self._sum[1:])
+        np.cumsum((buf if buf.dtype == U else (_FOLDED if fold else _SYMBOL)[buf]) * up[:-1], out=self._sum[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self._sum[end] - self._sum[start]) * self._down[start])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import only_touched, partitions, saved
-from rollcall.llm._text import Prefix, U, mix, pieces, spread, text_buffer, trimmed, union_length
+from rollcall.llm._text import Prefix, U, find_words, mix, pieces, rows_of, spread, text_buffer, trimmed, union_length
 
 #: Suffixes that one bucket holds on average: what a task sorts at once.
 BUCKET = 3_000_000
@@ -212,9 +212,12 @@ def _id(sha: Column) -> Column:
     return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, words: int | None = None) -> DataFrame:
     """The bytes of each text that lie in a string of length bytes that also starts anywhere else.
 
+    With words, also those that lie in a run of so many words that starts anywhere else, however few its bytes and
+    whatever the white space between its words.
+
     Texts are UTF-8 bytes; strings never cross texts and are judged on the input; occurrences may overlap.
 
     1. Equal texts are one class: each copy of length bytes or more goes as a whole, and one text stands for all.
@@ -225,18 +228,22 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     3. Only suffixes whose cover sample is tied remain.  A second, denser cover with a longer window thins them once more.
     4. The remaining suffixes are dealt into buckets by the name of their first length bytes and sorted bucket by bucket; those
        that tie start a repeat, and the union of their spans is removed.
+    5. Runs of words go through 1, 2 and 4 with places counted in words; they are so few that no second cover is needed.
 
     Only the order of ties matters for the result, so buckets are sorted by 64-bit names of prefixes and not by the bytes
     themselves (32-bit ones in steps 2 and 3, where a false tie only keeps a suffix for step 4).
 
     Returns key, sha256 (of the text), n_bytes, n_removed, n_spans, kept_sha256, and kept, the remaining text: null
     where it is the text itself.  A null text counts as empty; repeated rows are copies of each other; texts shorter
-    than length stay; an empty table gives no rows; other columns are not read.
+    than length (and words) stay; an empty table gives no rows; other columns are not read.
     """
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
     name = F.coalesce(F.concat(F.lit("+"), docs[key].cast("string")), F.lit("-"))
-    narrow = saved(docs.select(docs[key].alias("_key"), name.alias("name"), F.sha2(body.cast("binary"), 256).alias("sha256"), F.octet_length(body).cast("long").alias("n_bytes")), "texts")
-    classes = narrow.filter(F.col("n_bytes") >= length).groupBy("sha256").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("copies"))
+    long = F.octet_length(body) >= length
+    if words:  # so many words have 2 * words - 1 bytes at least; only texts between the two bounds are counted
+        long = long | ((F.octet_length(body) >= 2 * words - 1) & (F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")) >= words))
+    narrow = saved(docs.select(docs[key].alias("_key"), name.alias("name"), F.sha2(body.cast("binary"), 256).alias("sha256"), F.octet_length(body).cast("long").alias("n_bytes"), long.alias("long")), "texts")
+    classes = narrow.filter("long").groupBy("sha256").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("copies"))
     size = narrow.agg(F.sum("n_bytes")).first()[0] or 0
     rows = docs.select(name.alias("name"), body.alias("text"))
 
@@ -244,21 +251,33 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     v, cover = cover_for(length, window)
     window = length - v + 1
     w, dense = cover_for(length, length * 6 // 7)
-    long = length - w + 1
+    after = length - w + 1
     samples = rows.filter(F.octet_length("text") >= length).select("text").mapInArrow(_sampler(length, v, cover, window, _buckets(size * len(cover) / v)), SUFFIXES)
     tied = ties(samples)
+    columns = ["sha256", "text", "places"]
+    if words:
+        some = rows.filter(F.octet_length("text") >= 2 * words - 1).select("text").mapInArrow(_word_sampler(words, _buckets(size / 20)), SUFFIXES)
+        tied = tied.join(ties(some).withColumnRenamed("places", "word_places"), "id", "full")
+        columns.append("word_places")
 
-    wanted = tied.withColumnRenamed("id", "_id").join(classes.withColumn("_id", _id(F.col("sha256"))), "_id").select("name", "sha256", "places")
+    wanted = tied.withColumnRenamed("id", "_id").join(classes.withColumn("_id", _id(F.col("sha256"))), "_id").select("name", *[c for c in columns if c != "text"])
     wanted = saved(wanted, "tied")
     joined = only_touched(rows, F.col("name"), wanted, F.col("name")).join(wanted, "name").filter(F.sha2(F.col("text").cast("binary"), 256) == F.col("sha256"))
-    found = saved(joined.select(F.monotonically_increasing_id().alias("id"), "sha256", "text", "places"), "candidates")
+    found = saved(joined.select(F.monotonically_increasing_id().alias("id"), *columns), "candidates")
+    every = found
+    found = found.filter("places is not null")
 
     many = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    second = ties(found.select("id", "text", "places").mapInArrow(_second(length, v, w, dense, long, _buckets(many * len(dense) / w)), SUFFIXES))
+    second = ties(found.select("id", "text", "places").mapInArrow(_second(length, v, w, dense, after, _buckets(many * len(dense) / w)), SUFFIXES))
     both = found.select("id", "text", F.col("places").alias("sparse")).join(second, "id")
     starts = ties(both.select("id", "text", "sparse", "places").mapInArrow(_third(length, v, w, _buckets(many * 0.6)), SUFFIXES))
-    cut = found.select("id", "sha256", "text").join(starts, "id").select("sha256", "text", "places").mapInArrow(
-        _cutter(length), "sha256 string, n_removed long, n_spans long, kept_sha256 string, kept string")
+    if words:
+        runs = every.filter("word_places is not null").select("id", "text", "word_places")
+        held = runs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        runs = ties(runs.mapInArrow(_word_starts(words, _buckets(held / 5)), SUFFIXES))
+        starts = starts.join(runs.withColumnRenamed("places", "word_places"), "id", "full")
+    cut = every.select("id", "sha256", "text").join(starts, "id").select(*columns).mapInArrow(
+        _cutter(length, words), "sha256 string, n_removed long, n_spans long, kept_sha256 string, kept string")
     cut = cut.dropDuplicates(["sha256"])
 
     repeated = classes.filter("copies > 1").select("sha256", "copies")
@@ -299,6 +318,41 @@ def _sampler(length: int, v: int, cover: np.ndarray, window: int, buckets: int)
     return run
 
 
+def _word_names(data: np.ndarray, at: np.ndarray) -> tuple[Prefix, np.ndarray]:
+    """Fingerprints of ranges of words, and each text's first word's number (len + 1)."""
+    start, end, first = find_words(data, at)
+    return Prefix(Prefix(data).of(start, end)), first
+
+
+def _word_cover(words: int) -> tuple[int, np.ndarray, int]:
+    v, cover = cover_for(words, max(1, words // 5))
+    return v, cover, words - v + 1
+
+
+def _word_sampler(words: int, buckets: int) -> Callable:
+    v, cover, window = _word_cover(words)
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = np.zeros(v, bool)
+        inside[cover] = True
+        for batch in batches:
+            buf, off = text_buffer(batch.column(0))
+            for lo, hi in pieces(off):
+                data, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+                raw = memoryview(data.tobytes())
+                ids = np.array([int(hashlib.sha256(raw[a:b]).hexdigest()[:15], 16) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
+                names, first = _word_names(data, at)
+                n = np.diff(first)
+                row, place = rows_of(first), spread(n)
+                ok = inside[place % v] & (place + window <= n[row]) & (n >= words)[row]
+                place, row = place[ok], row[ok]
+                begin = first[row] + place
+                yield from dealt(names.of(begin, begin + window), ids[row], place, buckets, 4)
+
+    return run
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Buffers of a few texts at a time, with the batch and the range of rows."""
     for batch in batches:
@@ -348,7 +402,23 @@ def _third(length: int, v: int, w: int, buckets: int) -> Callable:
     return run
 
 
-def _cutter(length: int) -> Callable:
+def _word_starts(words: int, buckets: int) -> Callable:
+    v, _, _ = _word_cover(words)
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, lo, hi, data, at in _texts(batches):
+            names, first = _word_names(data, at)
+            near = [_starts(_merged(packed), v, int(n), words) for n, packed in zip(np.diff(first), batch.column(2).slice(lo, hi - lo).to_pylist(), strict=True)]
+            row, place = np.repeat(np.arange(hi - lo), [len(x) for x in near]), np.concatenate(near)
+            ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+            begin = first[row] + place
+            yield from dealt(names.of(begin, begin + words), ids[row], place, buckets, 8)
+
+    return run
+
+
+def _cutter(length: int, words: int | None = None) -> Callable:
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,6 +428,9 @@ def _cutter(length: int) -> Callable:
                 own = buf[off[r] : off[r + 1]]
                 start = _merged(packed)
                 gone = union_length(len(own), start, start + length)
+                if words and len(run_at := _merged(batch.column(3)[r].as_py())):
+                    begin, end, _ = find_words(own, np.array([0, len(own)]))
+                    gone |= union_length(len(own), begin[run_at], end[run_at + words - 1])
                 rest = own[~gone].tobytes()
                 removed.append(int(gone.sum()))
                 spans.append(int((gone & ~np.append(False, gone[:-1])).sum()))

@@ -190,6 +190,28 @@ def test_pipeline(spark, tmp_path):
     assert {x.doc_id for x in packed} == set(after["decontamination"]) and re.match("doc_id", packed[0].__fields__[0])
 
 
+def test_pipeline_removes_repeats_of_51_words(spark):
+    from corpus_pipeline import repeats
+
+    r = random.Random(7)
+    texts, planted = [], {}
+    for n in range(51, 61):  # all under 400 bytes
+        passage = prose(r, n).split()
+        for sep in (" ", "\n"):
+            before, after = prose(r, r.randrange(60, 100)) + f" a{len(texts)}", f"z{len(texts)} " + prose(r, 70)
+            planted[len(texts)] = before.split() + after.split()
+            texts.append(f"{before} {sep.join(passage)} {after}")
+        assert len(" ".join(passage)) < 400
+    few, twice = prose(r, 50), prose(r, 52)
+    texts += [prose(r, 60) + " a " + few + " b " + prose(r, 60), prose(r, 60) + " c " + few + " d " + prose(r, 60)]
+    texts += [twice + " mid " + twice, " " + prose(r, 55) + "\n", None, ""]
+    texts += [texts[23].strip()]
+    got = {x.doc_id: x for x in repeats(spark, table(spark, texts), "").collect()}
+    assert all(got[i].text.split() == words and got[i].n_chars == len(got[i].text) for i, words in planted.items())
+    assert [got[i].text for i in (20, 21)] == texts[20:22] and got[22].text.split() == ["mid"]
+    assert got[24].text is None and got[25].text == "" and 23 not in got and 26 not in got
+
+
 @pytest.mark.parametrize("name", ["op1_html_extraction", "op2_decontamination", "op3_warc_derivatives", "op4_suffix_dedup", "op5_near_duplicates", "op6_sharding", "op7_quality_model", "op8_quality_rules", "op9_packing", "op10_language_id"])
 def test_registered_queries_cover_their_tables(spark, small, name):
     from rollcall.llm.queries import queries
