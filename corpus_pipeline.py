@@ -7,7 +7,7 @@ order whenever it is scanned; rows are told apart by that order, as doc_id may b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import saved, table
@@ -27,13 +27,28 @@ ROW = "_row_of_stage"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("at")))
+    """docs with a number for each row, written: numbers of one scan needn't be those of the next."""
+    return saved(docs.withColumn(ROW, F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("at"))), "numbered")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with what a row is known by whenever it is read; rows of equal doc_id and text share it."""
+    return docs.withColumn(ROW, F.struct(F.col("doc_id"), F.xxhash64("text").alias("at")))
+
+
+def _known(df: DataFrame, *more: Column) -> DataFrame:
+    """One row for each of df's rows' names, with more."""
+    return df.select(F.col(f"{ROW}.doc_id").alias("_id"), F.col(f"{ROW}.at").alias("_at"), *more).dropDuplicates(["_id", "_at"])
+
+
+def _same(docs: DataFrame, known: DataFrame) -> Column:
+    return (docs[ROW]["at"] == known["_at"]) & docs[ROW]["doc_id"].eqNullSafe(known["_id"])
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs, numbered, without the rows whose numbers are in gone."""
-    at = gone.select(F.col(f"{ROW}.at").alias("_gone")).distinct()
-    return docs.join(at, docs[ROW]["at"] == at["_gone"], "left_anti").drop(ROW)
+    """docs, numbered or named, without the rows in gone."""
+    known = _known(gone)
+    return docs.join(known, _same(docs, known), "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +70,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which only white space remains goes.
     """
-    rows = _numbered(docs)
-    changed = repeated_passages(rows, key=ROW, words=PASSAGE_WORDS).filter("n_removed > 0").select(F.col(f"{ROW}.at").alias("_at"), F.col("kept").alias("_kept"))
-    joined = rows.join(changed, rows[ROW]["at"] == changed["_at"], "left").filter(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    rows = _named(docs)
+    changed = _known(repeated_passages(rows, key=ROW, words=PASSAGE_WORDS).filter("n_removed > 0"), F.col("kept").alias("_kept"))
+    joined = rows.join(changed, _same(rows, changed), "left").filter(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
     text = F.coalesce("_kept", "text")
     fresh = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return joined.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
@@ -65,7 +80,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    rows = _numbered(docs)
+    rows = _named(docs)
     return _without(rows, contained_items(rows, table(spark, sf_dir, "benchmark"), key=ROW))
 
 

@@ -212,6 +212,33 @@ def test_pipeline_removes_repeats_of_51_words(spark):
     assert got[24].text is None and got[25].text == "" and 23 not in got and 26 not in got
 
 
+def test_stages_do_not_depend_on_how_files_are_cut(spark, tmp_path):
+    from corpus_pipeline import STAGES
+
+    r = random.Random(8)
+    item, passage = prose(r, 30), prose(r, 55)
+    texts = [prose(r, 80) for _ in range(60)]
+    texts += [texts[5], texts[6], f"{prose(r, 60)} {passage} x {prose(r, 60)}", f"{prose(r, 60)} {passage} y {prose(r, 60)}", f"{prose(r, 60)} {item} {prose(r, 60)}"]
+    rows = [(i if i % 7 else None, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(5, texts[5], "en", "s", len(texts[5]))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in STAGES[1:4]:
+        same, other = (stage(spark, docs, str(tmp_path)) for _ in range(2))
+        wanted = sorted(same.collect(), key=str)
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        try:
+            assert sorted(other.collect(), key=str) == wanted != sorted(docs.collect(), key=str), name
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        texts_left = [x.text for x in wanted]
+        if name == "near_duplicates":
+            assert len(wanted) == 63 and len(set(texts_left)) == 63
+        if name == "decontamination":
+            assert len(wanted) == len(rows) - 1 and not any(item in t for t in texts_left)
+
+
 @pytest.mark.parametrize("name", ["op1_html_extraction", "op2_decontamination", "op3_warc_derivatives", "op4_suffix_dedup", "op5_near_duplicates", "op6_sharding", "op7_quality_model", "op8_quality_rules", "op9_packing", "op10_language_id"])
 def test_registered_queries_cover_their_tables(spark, small, name):
     from rollcall.llm.queries import queries
