@@ -155,7 +155,7 @@ def sentence_case(c: Column | str) -> Column:
     c = _col(c)
     letters = drop(c, "[^A-Za-z]")
     shout = (F.length(letters) >= 4) & (letters == F.upper(letters))
-    return F.when(shout, F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))).otherwise(c)
+    return F.when(shout, F.concat(F.upper(F.substring(c, 1, 1)), F.lower(c.substr(F.lit(2), F.length(c))))).otherwise(c)
 
 
 def contribution_note(note: Column | str, citation: Column | str) -> Column:

@@ -343,7 +343,7 @@ def abstract_anti(spark: SparkSession, d: str) -> DataFrame:
 @query
 def guarded_append(spark: SparkSession, d: str) -> DataFrame:
     x = v.table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]).alias("texts"))
-    out = fuzzy.guarded_append(F.slice("texts", 1, 1), F.slice("texts", 2, 1000))
+    out = fuzzy.guarded_append(F.slice("texts", 1, 1), F.slice("texts", F.lit(2), F.size("texts")))
     return x.select("conv_id", F.posexplode(out).alias("pos", "text")).select("conv_id", F.col("pos").cast("bigint").alias("pos"), "text")
 
 

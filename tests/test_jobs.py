@@ -111,3 +111,15 @@ def test_empty_tables(spark):
     from rollcall.plans.consolidate import consolidate
 
     assert consolidate(empty).count() == 0
+
+
+def test_no_turn_and_no_letter_is_cut(spark, tmp_path):
+    from rollcall.functions import text
+    from rollcall.plans.queries import QUERIES
+
+    rows = [(1, t, f"t{t}") for t in range(1500)] + [(2, 0, "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["guarded_append"](spark, str(tmp_path)).collect()
+    assert sorted((x.conv_id, x.pos, x.text) for x in got) == rows
+    long = spark.range(1).select(F.expr("repeat('ABCD', 300000)").alias("c")).select(F.length(text.sentence_case("c")).alias("n"))
+    assert long.first().n == 1_200_000
