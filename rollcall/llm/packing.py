@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -13,17 +14,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rollcall.llm._frames import ranked, saved
-from rollcall.llm._text import Prefix, U, find_words, mix, pieces, spread, text_buffer, trimmed
+from rollcall.llm._text import SPACE, Prefix, U, find_words, mix, pieces, spread, text_buffer, trimmed
 
-#: Words whose ids a worker remembers at most; cells into which the pieces of one length are cut for ranking.
-REMEMBERED, CELLS = 500_000, 256
+#: Units whose ids a worker remembers at most in each of two generations; units encoded as one text; cells into which the pieces of one length are cut for ranking.
+REMEMBERED, TOGETHER, CELLS = 600_000, 128, 256
+#: Fixed value: the pattern of the tokenizers whose words can be parted further, see units().
+PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Kinds of bytes: white space; letters; digits; ASCII marks but the apostrophe; all else.
+BLANK, LETTER, DIGIT, MARK, OTHER = range(5)
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[33:127] = MARK
+_KIND[39] = OTHER
+_KIND[48:58] = DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+_KIND[SPACE] = BLANK
 _known: dict[str, "WordIds"] = {}
 
 
+class Lexicon:
+    """Ids of units by fingerprint: sorted runs that are merged as they grow, and one array of ids that doubles."""
+
+    def __init__(self):
+        self.runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.flat, self.used, self.size = np.zeros(1 << 16, np.uint32), 1, 0  # the first is the id 0 at a document's end
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each key start (-1: unknown), and how many they are."""
+        begin, length = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for own, start, n in self.runs:
+            at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+            hit = own[at] == keys
+            begin[hit], length[hit] = start[at[hit]], n[at[hit]]
+        return begin, length
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Adds sorted, unknown keys with their ids, one after another; returns where each key's ids start."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+        start = self.used + np.cumsum(length) - length
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used, self.size = self.used + len(ids), self.size + len(keys)
+        run = keys, start, length
+        while self.runs and len(self.runs[-1][0]) < 2 * len(run[0]):
+            both = [np.concatenate(x) for x in zip(self.runs.pop(), run, strict=True)]
+            order = np.argsort(both[0])
+            run = tuple(x[order] for x in both)
+        self.runs.append(run)
+        return start
+
+
 class WordIds:
-    """Ids of words between white space, each encoded once and then looked up by fingerprint.
+    """Ids of units, each encoded once and then looked up by fingerprint.
 
-    Right for tokenizers that drop white space and never join what it parts.
+    Units are the words between white space, right for tokenizers that drop white space and never join what it parts; for
+    tokenizers that part text by PARTED, words are parted further (see units), and many units are encoded as one text.
     """
 
     def __init__(self, path: str):
@@ -32,42 +76,103 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.start, self.length = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(1, np.uint32)  # the first is the id 0 at a document's end
-
-    def look(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in flat the ids of each key, sorted and different, start, and how many they are."""
-        if len(self.keys) > REMEMBERED:
-            self.clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.parted = bool(suffix) and (first.get("pattern") or {}).get("Regex") == PARTED
+        self.special = [x["content"].encode() for x in spec.get("added_tokens", [])]
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.parted:
+            self.closes[[i for x, i in self.tokenizer.get_vocab(False).items() if x.endswith(suffix)]] = True
+        self.young, self.old = Lexicon(), Lexicon()
+
+    def units(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the units, whether each is one pre-token for sure, and each row's first unit (len + 1).
+
+        The tokenizer's pattern never joins a letter with a mark other than the apostrophe, and takes digits one by one;
+        so words are parted there.  Beside bytes of other kinds (apostrophes, characters that may be composed with
+        their neighbours, added tokens) nothing is parted but digits.
+        """
+        if not self.parted:
+            starts, ends, first = find_words(buf, off)
+            return starts, ends, np.zeros(len(starts), bool), first
+        kind = _KIND[buf]
+        accented = np.flatnonzero(buf[:-1] == 0xC3)  # U+00C0 to U+00FF are letters but for two signs
+        accented = accented[(buf[accented + 1] != 0x97) & (buf[accented + 1] != 0xB7)]
+        kind[accented] = kind[accented + 1] = LETTER
+        raw = buf.tobytes()
+        for token in self.special:
+            at = raw.find(token)
+            while at >= 0:
+                kind[at : at + len(token)] = OTHER
+                at = raw.find(token, at + len(token))
+        edge = np.ones(len(buf) + 1, bool)
+        a, b = kind[:-1], kind[1:]
+        edge[1:-1] = (a == DIGIT) | (b == DIGIT) | (a == BLANK) | (b == BLANK) | (a != b) & (a != OTHER) & (b != OTHER)
+        edge[off] = True
+        inside = kind != BLANK
+        starts, ends = np.flatnonzero(inside & edge[:-1]), np.flatnonzero(inside & edge[1:]) + 1
+        others = np.concatenate([[0], np.cumsum(kind == OTHER)])
+        return starts, ends, others[starts] == others[ends], np.searchsorted(starts, off)
+
+    def encoded(self, texts: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, one after another, and how many each has; plain ones are one pre-token each."""
+        length = np.zeros(len(texts), np.int64)
+        parts: list[np.ndarray] = []
+        where: list[np.ndarray] = []
+        at = np.flatnonzero(plain)
+        groups = [at[i : i + TOGETHER] for i in range(0, len(at), TOGETHER)]
+        for group, x in zip(groups, self.encode([" ".join([texts[i] for i in group]) for group in groups], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, np.uint32)
+            end = np.flatnonzero(self.closes[ids]) + 1
+            if len(end) != len(group) or end[-1] != len(ids):
+                plain = plain.copy()
+                plain[group] = False  # not as expected: encode them one by one
+                continue
+            length[group] = np.diff(end, prepend=0)
+            parts.append(ids)
+            where.append(group)
+        alone = np.flatnonzero(~plain)
+        for i, x in zip(alone, self.encode([texts[i] for i in alone], add_special_tokens=False), strict=True):
+            length[i] = len(x.ids)
+            parts.append(np.array(x.ids, np.uint32))
+        where.append(alone)
+        order = np.concatenate(where)
+        begin = np.empty(len(texts), np.int64)
+        begin[order] = np.cumsum(length[order]) - length[order]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return flat[np.repeat(begin, length) + spread(length)], length
+
+    def look(self, keys: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in young.flat the ids of each key, sorted and different, start, and how many they are."""
+        if self.young.size > REMEMBERED:
+            self.young, self.old = Lexicon(), self.young
+        begin, length = self.young.find(keys)
+        new = np.flatnonzero(begin < 0)
         if len(new):
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            ids = [x.ids for x in self.encode(words, add_special_tokens=False)]
-            n = np.array([len(x) for x in ids], np.int64)
-            first = len(self.flat) + np.cumsum(n) - n
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(n.sum()))])
-            self.keys = np.insert(self.keys, at[new], keys[new])
-            self.start = np.insert(self.start, at[new], first)
-            self.length = np.insert(self.length, at[new], n)
-            at = np.searchsorted(self.keys, keys)
-        return self.start[at], self.length[at]
+            there, n = self.old.find(keys[new])
+            kept, gone = there >= 0, np.flatnonzero(there < 0)
+            if kept.any():
+                at, many = there[kept], n[kept]
+                begin[new[kept]] = self.young.add(keys[new[kept]], self.old.flat[np.repeat(at, many) + spread(many)], many)
+                length[new[kept]] = many
+            if len(gone):
+                gone = new[gone]
+                texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[gone].tolist(), ends[gone].tolist(), strict=True)]
+                ids, length[gone] = self.encoded(texts, plain[gone])
+                begin[gone] = self.young.add(keys[gone], ids, length[gone])
+        return begin, length
 
     def documents(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, each closed by id 0, and each row's first (len + 1)."""
-        starts, ends, first = find_words(buf, off)
+        starts, ends, plain, first = self.units(buf, off)
         prints = mix(Prefix(buf).of(starts, ends) ^ (ends - starts).astype(U))
-        keys, one, word = np.unique(prints, return_index=True, return_inverse=True)
-        begin, length = self.look(keys, buf.tobytes(), starts[one], ends[one])
-        word = np.insert(word, first[1:], len(keys))
-        begin, length = np.append(begin, 0)[word], np.append(length, 1)[word]
-        ids = self.flat[np.repeat(begin, length) + spread(length)]
+        keys, one, unit = np.unique(prints, return_index=True, return_inverse=True)
+        begin, length = self.look(keys, buf.tobytes(), starts[one], ends[one], plain[one])
+        unit = np.insert(unit, first[1:], len(keys))
+        begin, length = np.append(begin, 0)[unit], np.append(length, 1)[unit]
+        ids = self.young.flat[np.repeat(begin, length) + spread(length)]
         total = np.concatenate([[0], np.cumsum(length)])
         return ids, total[first + np.arange(len(first))]
 

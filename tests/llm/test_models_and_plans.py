@@ -131,6 +131,24 @@ def test_plan_is_exact_and_tight():
         assert len(used) <= 1.05 * sum(lengths) / limit + 1
 
 
+def test_units_have_the_ids_of_whole_texts():
+    r = random.Random(3)
+    letters = [*"aBsßtmdlrev'''  ,.;:-5²٣é×÷İΣσςΆ=—“” 　\n\t\x00\x0b\x1c\x85#$ﬁשׁ가각ᄀ", "̸", "́", "<|endoftext|>", "<|startoftext|>", "'s", "'re", "'LL"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(4000)]
+    off = np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])])
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    words = packing.WordIds(tokenizer_path())
+    assert words.parted
+    old, packing.REMEMBERED = packing.REMEMBERED, 500  # generations change, and old units are taken over
+    try:
+        for lo in range(0, len(texts), 250):
+            ids, first = words.documents(buf[off[lo] : off[lo + 250]], off[lo : lo + 251] - off[lo])
+            for i in range(250):
+                assert ids[first[i] : first[i + 1]].tolist() == words.tokenizer.encode(texts[lo + i], add_special_tokens=False).ids + [0], texts[lo + i]
+    finally:
+        packing.REMEMBERED = old
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
