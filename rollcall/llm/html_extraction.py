@@ -13,12 +13,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm._text import trimmed
-
 from rollcall.llm._frames import saved
+from rollcall.llm._text import trimmed
 
-#: Pages that must agree before a slot counts as template; the largest table of wrappers that is broadcast, in bytes.
-LEAST_PAGES, BROADCAST_BYTES = 3, 8 << 20
+#: Different articles beside which a slot must hold the same text to count as template; cells in which articles are told apart; the largest table of wrappers that is broadcast, in bytes.
+LEAST_PAGES, ARTICLE_BITS, BROADCAST_BYTES = 3, 62, 8 << 20
 #: Element names by their part in a page.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "select", "head", "math", "canvas", "audio", "video"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -175,54 +174,63 @@ def match(a: str, b: str) -> dict[int, int]:
     return out
 
 
-def content_nodes(skeleton: str, constant: dict[int, bool], chars: dict[int, int], links: dict[int, int]) -> list[int]:
+def content_nodes(skeleton: str, constant: dict[int, bool], chars: dict[int, float], links: dict[int, float], elements: bool = True) -> list[int]:
     """The nodes whose blocks are the page's main text.
 
-    Slots inside menus, headers, footers, forms and the like, by element or by name, are out.  An article or main
-    element bounds the text; without one, the smallest element with most of the varying text outside links does.
-    Constant slots are template, unless nothing would be left.
+    1. Template slots are out; only varying slots go on (all of them, if none varies).
+    2. Of these, slots inside menus, headers, footers, forms and the like, by element or by name, vary but are no article.
+    3. The region is the smallest element that holds most of the remaining text outside links, by what its slots hold
+       over the host's pages, or the outermost article or main element around it.
+    4. Slots outside an article or main element, where the page has one with text, are out; where it has none, so are lists
+       of links, and a varying h1 before the region is its title.
+
+    chars and links: mean characters of a slot's text, and of those inside links.  Without elements, article and main
+    elements mean nothing.
     """
     labels, children, parents = read_skeleton(skeleton)
     n = len(labels)
     tags = [re.split(r"[.!]", x, maxsplit=1)[0] for x in labels]
-    holds = [tags[i] in ("article", "main") or ".role-main" in labels[i] for i in range(n)]
-    bounded = holds.copy()
-    for i in range(1, n):
-        bounded[i] |= bounded[parents[i]]
+    holds = [elements and (tags[i] in ("article", "main") or ".role-main" in labels[i]) for i in range(n)]
+    bounds = [-1] * n  # the outermost such element around a node, itself included
+    for i in range(n):
+        bounds[i] = bounds[parents[i]] if i and bounds[parents[i]] >= 0 else i if holds[i] else -1
     for i in range(n - 1, 0, -1):  # from here on: or holds such an element
         holds[parents[i]] |= holds[i]
+    varying = [i for i in chars if not constant.get(i)] or list(chars)
 
     def usable(by_name: bool, by_tag: bool) -> list[int]:
         aside = [False] * n
         for i in range(1, n):
-            inner = bounded[parents[i]]
+            inner = bounds[parents[i]] >= 0
             names = labels[i][len(tags[i]) :]
             own = by_tag and (names.startswith("!hidden") or tags[i] in ASIDE and not (tags[i] == "header" and inner))
             named = NAMES.search(names.replace(".", " ")) if by_name and tags[i] not in ("html", "body", "article", "main") else None
             # A wrapper may be named after its parts, and an article's head is the article's.
             own = own or bool(named) and not holds[i] and not (inner and "head" in named[0].lower())
             aside[i] = own or aside[parents[i]]
-        return [i for i in range(n) if i in chars and not aside[i]]
+        return sorted(i for i in varying if not aside[i])
 
     slots = usable(True, True) or usable(False, True) or usable(False, False)
-    region = [i for i in slots if bounded[i]]
-    if not sum(chars[i] for i in region):
-        weight = [0] * n
-        for i in slots:
-            weight[i] = 0 if constant.get(i) else max(0, chars[i] - links.get(i, 0))
-        for i in range(n - 1, 0, -1):
-            weight[parents[i]] += weight[i]
-        top = 0
-        while (best := max(children[top], key=weight.__getitem__, default=None)) is not None and weight[best] >= 0.7 * weight[top] > 0:
-            if not children[best] or not any(weight[c] for c in children[best]):
-                break
-            top = best
-        inside = [False] * n
-        for i in range(n):
-            inside[i] = i == top or (parents[i] >= 0 and inside[parents[i]])
-        region = [i for i in slots if inside[i] and links.get(i, 0) < 0.7 * max(1, chars[i])] or slots
-    varying = [i for i in region if not constant.get(i)]
-    return varying or region
+    weight = [0.0] * n
+    for i in slots:
+        weight[i] = max(0.0, chars[i] - links.get(i, 0))
+    for i in range(n - 1, 0, -1):
+        weight[parents[i]] += weight[i]
+    top = 0
+    while (best := max(children[top], key=weight.__getitem__, default=None)) is not None and weight[best] >= 0.7 * weight[top] > 0:
+        if not children[best] or not any(weight[c] for c in children[best]):
+            break
+        top = best
+    top = bounds[top] if bounds[top] >= 0 else top
+    inside = [False] * n
+    for i in range(n):
+        inside[i] = i == top or (parents[i] >= 0 and inside[parents[i]])
+    region = [i for i in slots if inside[i]]
+    if any(bounds[i] >= 0 and chars[i] for i in slots):
+        return [i for i in region if bounds[i] >= 0] or [i for i in slots if bounds[i] >= 0]
+    text = [i for i in region if links.get(i, 0) < 0.7 * max(1, chars[i])]
+    title = [i for i in slots if tags[i] == "h1" and i < top and not inside[i] and links.get(i, 0) < 0.7 * max(1, chars[i])]
+    return title + text if text else region or slots
 
 
 def _hash(x: str) -> int:
@@ -237,9 +245,11 @@ def _hosts(rows: DataFrame) -> DataFrame:
 def wrappers(pages: DataFrame) -> DataFrame:
     """host, form and the numbers of the content nodes, for each form (hash of a page's tree) of each host.
 
-    Every page is parsed and counted: for each form and node, whether all texts are equal, and how long they are.
-    A host's most frequent form is the reference with which its other forms, not pages, are aligned by simple tree
-    matching; a slot is template if all pages of the host have the same text in the aligned slots.
+    Every page is parsed and counted: for each form and node, whether all texts are equal, how long they are, and which
+    articles they stand beside.  A host's most frequent form is the reference with which its other forms, not pages, are
+    aligned by simple tree matching; a slot is template if it holds the same text on all pages of the host, beside
+    LEAST_PAGES different articles at least (a page's longest block stands for its article), so copies of one page under
+    several addresses make no template.  What a slot holds is measured over all pages of the host as well.
     """
 
     @trimmed
@@ -252,6 +262,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 entry = seen.setdefault((host, _hash(skeleton)), [skeleton, 0, {}])
                 entry[1] += 1
                 texts: dict[int, list] = {}
+                longest = max((text for _, text, _ in page.blocks), key=len, default="")
+                article = 1 << (_hash(longest) % ARTICLE_BITS)
                 for node, text, link in page.blocks:
                     t = texts.setdefault(node, [[], 0, 0])
                     t[0].append(text)
@@ -259,8 +271,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     t[2] += link
                 for node, (text, chars, link) in texts.items():
                     h = _hash("\n\n".join(text))
-                    s = entry[2].setdefault(node, [h, h, 0, 0, 0])
-                    s[:] = min(s[0], h), max(s[1], h), s[2] + 1, s[3] + chars, s[4] + link
+                    s = entry[2].setdefault(node, [h, h, 0, 0, 0, 0])
+                    s[:] = min(s[0], h), max(s[1], h), s[2] + 1, s[3] + chars, s[4] + link, s[5] | article
             if len(seen) > 20_000:
                 yield _counted(seen)
                 seen = {}
@@ -268,11 +280,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
             yield _counted(seen)
 
     counted = _hosts(pages).select("host", "html").mapInArrow(
-        count, "host string, form long, skeleton string, node int, low long, high long, pages long, chars long, links long")
-    slots = counted.groupBy("host", "form", "skeleton", "node").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+        count, "host string, form long, skeleton string, node int, low long, high long, pages long, chars long, links long, articles long")
+    sums = [F.min("low").alias("low"), F.max("high").alias("high"), *[F.sum(c).alias(c) for c in ("pages", "chars", "links")], F.bit_or("articles").alias("articles")]
+    slots = saved(counted.groupBy("host", "form", "skeleton", "node").agg(*sums), "slots")
     forms = slots.filter("node = -1").select("host", "form", "skeleton", "pages")
-    reference = forms.groupBy("host").agg(F.max_by("skeleton", F.struct("pages", "form")).alias("reference"), F.sum("pages").alias("host_pages"))
+    reference = forms.groupBy("host").agg(F.max_by("skeleton", F.struct("pages", "form")).alias("reference"))
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -281,13 +293,16 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"host": r.host, "form": r.form, "node": np.array(list(m), np.int32), "slot": np.array(list(m.values()), np.int32)})
 
     aligned = forms.join(reference, "host").select("host", "form", "skeleton", "reference").mapInPandas(align, "host string, form long, node int, slot int")
-    placed = slots.filter("node >= 0").join(aligned, ["host", "form", "node"], "left")
+    placed = slots.filter("node >= 0").drop("skeleton").join(aligned, ["host", "form", "node"], "left")
     # A slot that the reference lacks is a slot of its form alone.
     own = F.when(F.col("slot").isNull(), F.concat_ws("/", "form", "node")).otherwise(F.col("slot").cast("string"))
-    placed = placed.withColumn("slot", own).drop("skeleton")
-    fixed = placed.groupBy("host", "slot").agg((F.min("low") == F.max("high")).alias("same"), F.sum("pages").alias("n"))
-    fixed = fixed.select("host", "slot", (F.col("same") & (F.col("n") >= LEAST_PAGES)).alias("constant"))
-    kinds = placed.join(fixed, ["host", "slot"]).groupBy("host", "form").agg(F.collect_list(F.struct("node", "constant", "chars", "links")).alias("slots"))
+    placed = placed.withColumn("slot", own)
+    held = placed.groupBy("host", "slot").agg(*sums)
+    held = held.select(
+        "host", "slot", ((F.col("low") == F.col("high")) & (F.bit_count("articles") >= LEAST_PAGES)).alias("constant"),
+        (F.col("chars") / F.col("pages")).alias("chars"), (F.col("links") / F.col("pages")).alias("links"))
+    kinds = placed.select("host", "form", "node", "slot").join(held, ["host", "slot"]).groupBy("host", "form").agg(
+        F.collect_list(F.struct("node", "constant", "chars", "links")).alias("slots"))
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -302,10 +317,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def _counted(seen: dict) -> pa.RecordBatch:
     rows = []
     for (host, form), (skeleton, pages, nodes) in seen.items():
-        rows.append((host, form, skeleton, -1, 0, 0, pages, 0, 0))
+        rows.append((host, form, skeleton, -1, 0, 0, pages, 0, 0, 0))
         rows += [(host, form, skeleton, node, *s) for node, s in nodes.items()]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 5]
-    names = ["host", "form", "skeleton", "node", "low", "high", "pages", "chars", "links"]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 6]
+    names = ["host", "form", "skeleton", "node", "low", "high", "pages", "chars", "links", "articles"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -34,6 +35,68 @@ def test_extraction_keeps_the_article(spark):
     assert len(he.main_text(df).collect()) == len(rows) and he.main_text(df.limit(0)).count() == 0
 
 
+class Blocks(HTMLParser):
+    """The text of article elements, block by block: a plain reading with the standard parser."""
+
+    BREAKS = {"p", "h1", "h2", "h3", "li", "ul", "ol", "div", "section", "article", "blockquote", "table", "tr", "td", "figure", "figcaption"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.out, self.now = 0, [], []
+
+    def close_block(self):
+        text = " ".join("".join(self.now).split())
+        self.out += [text] if text and self.depth else []
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BREAKS:
+            self.close_block()
+        self.now += [" "] if tag == "br" else []
+        self.depth += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.close_block()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        self.now += [data] if self.depth else []
+
+
+def test_extraction_against_a_plain_reading(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {x.page_id: x.text for x in he.main_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    for x in rows:
+        plain = Blocks()
+        plain.feed(x.html or "")
+        plain.close()
+        assert got[x.page_id] == "\n\n".join(plain.out), x.page_id
+
+
+def test_alignment_decides_where_elements_and_names_tell_nothing(spark):
+    r = random.Random(5)
+    side = "<div><div>Our town paper since 1901, read by everyone in the valley and beyond it, every single day</div><div>{}</div></div>"
+    body = "<div><h1>{}</h1><div><p>{}</p>{}<blockquote>Reprint only with leave of the paper, which is given on request by the desk.</blockquote><p>{}</p></div></div>"
+    rows, want = [], {}
+    for i in range(40):
+        title, one, two = f"Title {i}", prose(r, 40), prose(r, 30)
+        extra = f"<ul><li>{prose(r, 5)}</li></ul>" if i % 4 == 0 else ""  # a second form, aligned with the first
+        rows.append((i, f"http://paper.example/{i}", f"<html><body>{side.format(prose(r, 2))}{body.format(title, one, extra, two)}<div>Valley paper, all days</div></body></html>"))
+        want[i] = [title, one, two]
+    # Copies of one article under other addresses, apart from a counter: no template.
+    rows += [(100 + i, f"http://copies.example/{i}", f"<body><div>Seen {i} times</div><div><p>{want[0][1]}</p><p>{want[0][2]}</p></div></body>") for i in range(9)]
+    # A hot host whose pages are long.
+    rows += [(200 + i, "http://long.example/", f"<body><div>Fixed words</div><div><p>{prose(r, 30_000)}</p></div></body>") for i in range(4)]
+    got = {x.page_id: x.text for x in he.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        blocks = got[i].split("\n\n")
+        assert set(want[i]) <= set(blocks) and blocks[0] == want[i][0]
+        assert not any("Reprint" in b or "Valley paper" in b or "Our town" in b for b in blocks)
+    assert all(got[100 + i].split("\n\n")[-2:] == want[0][1:] for i in range(9))
+    assert all(len(got[200 + i].split()) == 30_000 for i in range(4))
+
+
 def test_names_of_wrappers_do_not_hide_the_text(spark):
     rows = [
         (1, "http://a/1", '<body><div class="with-sidebar"><article><div class="entry-header"><h1>T</h1></div><p>Words</p><div class="comments"><p>me too</p></div></article></div></body>'),
