@@ -36,8 +36,9 @@ def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Bytes in 400-byte repeats; n_run_words counts the words in runs of 51 words or more that repeat, however few their bytes."""
+    out = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), words=51, cut_words=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_run_words")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,46 +5,23 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import only_touched, partitions, saved
 from rollcall.llm._text import Prefix, U, find_words, mix, pieces, rows_of, spread, text_buffer, trimmed, union_length
+from rollcall.llm.suffix_order import cover_for, tied_in_segments
 
-#: Suffixes that one bucket holds on average: what a task sorts at once.
+#: Names, or bytes, that one bucket holds on average: what a task sorts at once.
 BUCKET = 3_000_000
-
-
-@lru_cache(None)
-def difference_cover(q: int) -> tuple[int, np.ndarray]:
-    """v = q * q + q + 1 and q + 1 residues; any two residues mod v move into them by one common shift (q prime).
-
-    The powers of x modulo a cubic over the field of q elements that have no square term (a perfect difference set).
-    """
-    v = q * q + q + 1
-    for a, b, c in product(range(q), range(q), range(1, q)):
-        u, found = (0, 0, 1), []
-        for i in range(v):
-            if u[0] == 0:
-                found.append(i)
-            u = (u[1] + u[0] * a) % q, (u[2] + u[0] * b) % q, u[0] * c % q
-        if len(found) == q + 1 and len({(x - y) % v for x in found for y in found}) == v:
-            return v, np.array(found)
-    raise ValueError(q)
-
-
-def cover_for(length: int, window: int) -> tuple[int, np.ndarray]:
-    """The largest cover of which a match of so many bytes has a common sample followed by window matching bytes."""
-    best = 1, np.zeros(1, np.int64)
-    for q in (2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31):
-        if q * q + q + window <= length:
-            best = difference_cover(q)
-    return best
+#: Bytes whose smallest hash in a match deals it to a bucket; segments that a task remembers, and bytes that it gathers before it sends them.
+GRAM, SEEN, GATHERED = 32, 400_000, 8 << 20
+#: Cells into which the rows of a group of copies are dealt where they learn its size.
+CELLS = 64
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -208,50 +185,240 @@ def _starts(places: np.ndarray, v: int, n: int, length: int) -> np.ndarray:
     return np.flatnonzero(ok[: max(0, n - length + 1)])
 
 
+SEGMENTS = "bucket int, ids binary, places binary, counts binary, bytes binary"
+RANGES = "part int, ids binary, places binary, counts binary"
+
+
+def _rows(columns: list[tuple], spec: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in spec.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*columns, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _ranges(found: list[tuple[int, int, int]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Runs of tied suffixes (text, first place, how many) as one row for each of some parts of the texts."""
+    if not found:
+        return
+    ids, places, counts = np.array(found, np.int64).T
+    part = (mix(ids.astype(U)) % U(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    for group in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        yield _rows([(int(part[group[0]]), *(_packed(np.ascontiguousarray(x[group])) for x in (ids, places, counts)))], RANGES)
+
+
+def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each width neighbours of x, by running minima from both sides of blocks."""
+    n = len(x) - width + 1
+    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
+    padded[: len(x)] = x
+    rows = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).reshape(-1)
+    back = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
+
+
+def _segmenter(length: int, v: int, buckets: int, parts: int) -> Callable:
+    """Texts with tied samples into the segments that hold suffixes which may tie, by bucket.
+
+    Each suffix goes to the bucket of the least hash among the GRAM-byte strings in its first length bytes: equal ones meet,
+    and neighbours mostly go together, so that a bucket gets their bytes once, as one segment.  Segments that a task has
+    met before are tied: they go on as known, and the first stands for all, so a passage of very many texts
+    fills no bucket.
+    """
+    gram = min(GRAM, max(1, length // 4))
+
+    def cut(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First places and numbers of suffixes of each segment, and the hashes that deal them."""
+        hashes = Prefix(data).of(np.arange(len(data) - gram + 1), np.arange(gram, len(data) + 1))
+        least = least_in_windows(hashes >> U(32) << U(32) | np.arange(len(hashes), dtype=U), length - gram + 1)[start]
+        head = np.ones(len(start), bool)
+        head[1:] = (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1)
+        first = np.flatnonzero(head)
+        return start[first], np.diff(np.append(first, len(start))), mix(least[first] >> U(32))
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, int, int] | None] = {}
+        sent: dict[int, list[tuple]] = {}
+        known: list[tuple[int, int, int]] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for b, rows in sent.items():
+                ids, places, counts, raw = zip(*rows, strict=True)
+                yield _rows([(b, *(_packed(np.array(x, np.int64)) for x in (ids, places, counts)), zlib.compress(b"".join(raw), 1))], SEGMENTS)
+            sent.clear()
+            for r in _ranges(known, parts):
+                yield _rows([(-1 - r.column(0)[0].as_py(), *(r.column(i)[0].as_py() for i in (1, 2, 3)), b"")], SEGMENTS)
+            known.clear()
+
+        for batch, lo, hi, data, at in _texts(batches):
+            starts = [at[r] + _starts(_merged(packed), v, int(at[r + 1] - at[r]), length) for r, packed in enumerate(batch.column(2).slice(lo, hi - lo).to_pylist())]
+            ids = batch.column(0).slice(lo, hi - lo).to_pylist()
+            start = np.concatenate(starts)
+            if not len(start):
+                continue
+            first, count, least = cut(data, start)
+            row = np.searchsorted(at, first, "right") - 1
+            raw = data.tobytes()
+            bucket = ((least >> U(32)) * U(buckets) >> U(32)).tolist()
+            for a, n, r, b in zip(first.tolist(), count.tolist(), row.tolist(), bucket, strict=True):
+                segment = raw[a : a + n + length - 1]
+                name = xxhash.xxh3_128_digest(segment)
+                mine = ids[r], a - int(at[r]), n
+                if name not in seen:
+                    seen[name] = mine
+                    sent.setdefault(b, []).append((*mine, segment))
+                    held += len(segment)
+                else:
+                    known.append(mine)
+                    if seen[name]:
+                        known.append(seen[name])
+                        seen[name] = None
+            if len(seen) > SEEN:
+                seen.clear()
+            if held > GATHERED or len(known) > SEEN:
+                yield from flush()
+                held = 0
+        yield from flush()
+
+    return run
+
+
+def bucket_runs(rows: list[tuple], length: int) -> list[tuple[int, int, int]]:
+    """The runs of tied suffixes (text, first place, how many) of one bucket's rows of SEGMENTS."""
+    where: dict[bytes, list[tuple[int, int, int]]] = {}
+    for r in rows:
+        raw, at = zlib.decompress(r[4]), 0
+        for mine in zip(*(_unpacked(r[k], np.int64).tolist() for k in (1, 2, 3)), strict=True):
+            size = mine[2] + length - 1
+            where.setdefault(raw[at : at + size], []).append(mine)
+            at += size
+    segment = list(where)
+    count = np.array([len(x) - length + 1 for x in segment])
+    size = count + length - 1
+    start = np.cumsum(size) - size
+    flag = tied_in_segments(np.frombuffer(b"".join(segment), np.uint8), start, count, length)
+    found = [x for own in where.values() if len(own) > 1 for x in own]
+    alone = np.array([len(own) == 1 for own in where.values()])
+    flag &= np.repeat(alone, count)
+    begin = np.cumsum(count) - count
+    edge = np.diff(np.concatenate([[False], flag, [False]]).astype(np.int8))
+    cuts = np.zeros(len(flag) + 1, bool)
+    cuts[begin] = True
+    head = np.flatnonzero(flag & ((edge[:-1] == 1) | cuts[:-1]))
+    tail = np.flatnonzero(flag & ((edge[1:] == -1) | np.append(cuts[1:-1], True)))
+    owner = np.searchsorted(begin, head, "right") - 1
+    own = list(where.values())
+    for k, a, b in zip(owner.tolist(), head.tolist(), tail.tolist(), strict=True):
+        i, place, _ = own[k][0]
+        found.append((i, place + a - int(begin[k]), b - a + 1))
+    return found
+
+
+def tied_runs(segments: DataFrame, length: int) -> DataFrame:
+    """id and runs (packed places and numbers) of the suffixes whose first length bytes another one shares.
+
+    One bucket at a time is put in the order of its suffixes, by bytes: equal segments are one, and the rest is sorted by
+    the cover period, longer ties by the ranks of cover samples.
+    """
+    n = partitions(segments.sparkSession)
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        found: list[tuple[int, int, int]] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = tuple(c[i].as_py() for c in batch.columns)
+                if r[0] < 0:
+                    yield _rows([(-1 - r[0], *r[1:4])], RANGES)
+                    continue
+                if rows and rows[0][0] != r[0]:
+                    found += bucket_runs(rows, length)
+                    rows = []
+                rows.append(r)
+                if len(found) > SEEN:
+                    yield from _ranges(found, n)
+                    found = []
+        yield from _ranges(found + (bucket_runs(rows, length) if rows else []), n)
+
+    @trimmed
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if held:
+                i, p, c = (np.concatenate(held[k]) for k in range(3))
+                o = np.lexsort((p, i))
+                i, p, c = i[o], p[o], c[o]
+                cut = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+                runs = [_packed(np.stack([p[a:b], c[a:b]])) for a, b in zip(cut, np.append(cut[1:], len(i)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(i[cut]), pa.array(runs, pa.binary())], names=["id", "runs"])
+                held.clear()
+
+        last = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.column(0)[i].as_py()
+                if part != last:
+                    yield from out()
+                    last = part
+                for k in range(3):
+                    held.setdefault(k, []).append(_unpacked(batch.column(k + 1)[i].as_py(), np.int64))
+        yield from out()
+
+    # Known runs have a negative bucket: they only pass through.
+    found = segments.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, RANGES)
+    return found.repartition(n, "part").sortWithinPartitions("part").mapInArrow(gather, "id long, runs binary")
+
+
 def _id(sha: Column) -> Column:
     return F.conv(F.substring(sha, 1, 15), 16, 10).cast("long")
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, words: int | None = None) -> DataFrame:
+def repeated_passages(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 400, words: int | None = None, cut_words: bool = True,
+) -> DataFrame:
     """The bytes of each text that lie in a string of length bytes that also starts anywhere else.
 
-    With words, also those that lie in a run of so many words that starts anywhere else, however few its bytes and
-    whatever the white space between its words.
+    With words, runs of so many words that start anywhere else are found too, however few their bytes and whatever the white
+    space between their words; with cut_words, their bytes count as repeated as well.
 
     Texts are UTF-8 bytes; strings never cross texts and are judged on the input; occurrences may overlap.
 
     1. Equal texts are one class: each copy of length bytes or more goes as a whole, and one text stands for all.
     2. Cover samples: the suffixes at the places of a difference cover (5.9 % for 400 bytes).  Two equal strings of length
-       bytes have a sample at the same distance, followed by a window that is equal too.  Windows are named by
-       fingerprints, dealt into buckets by name, and a bucket is sorted at a time: the names that tie are the samples' ranks
-       that later steps use.
-    3. Only suffixes whose cover sample is tied remain.  A second, denser cover with a longer window thins them once more.
-    4. The remaining suffixes are dealt into buckets by the name of their first length bytes and sorted bucket by bucket; those
-       that tie start a repeat, and the union of their spans is removed.
-    5. Runs of words go through 1, 2 and 4 with places counted in words; they are so few that no second cover is needed.
-
-    Only the order of ties matters for the result, so buckets are sorted by 64-bit names of prefixes and not by the bytes
-    themselves (32-bit ones in steps 2 and 3, where a false tie only keeps a suffix for step 4).
-
-    Returns key, sha256 (of the text), n_bytes, n_removed, n_spans, kept_sha256, and kept, the remaining text: null
-    where it is the text itself.  A null text counts as empty; repeated rows are copies of each other; texts shorter
-    than length (and words) stay; an empty table gives no rows; other columns are not read.
+       bytes have a sample at the same distance, followed by a window that is equal too.  Samples are ranked by fingerprints
+       of their windows, dealt into buckets by rank, a bucket at a time is sorted, and suffixes without a tied
+       sample go no further.
+    3. The other suffixes are dealt into buckets by their content, neighbours together with their bytes, and one bucket at a
+       time is sorted (suffix_order): by bytes up to a cover's period, longer ties by ranks of cover samples that are
+       computed first, and by the last bytes.  All of this compares bytes, so a tie is equality of length bytes, whatever the
+       fingerprints of step 2; those only thin.
+    4. The union of the spans of tied suffixes is removed.
+    5. Runs of words go through 1 and 2 with places counted in words, and tie by 64-bit names.
+
+    Returns key, sha256 (of the text), n_bytes, n_removed, n_spans, kept_sha256, kept, the remaining text: null where it is
+    the text itself, and n_run_words, the words of runs of words (null without words).  A null text counts as empty; repeated
+    rows are copies of each other; texts shorter than length (and words) stay; an empty table gives no rows; a null key is
+    a key like any other; other columns are not read.
     """
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
     name = F.coalesce(F.concat(F.lit("+"), docs[key].cast("string")), F.lit("-"))
-    long = F.octet_length(body) >= length
-    if words:  # so many words have 2 * words - 1 bytes at least; only texts between the two bounds are counted
-        long = long | ((F.octet_length(body) >= 2 * words - 1) & (F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")) >= words))
-    narrow = saved(docs.select(docs[key].alias("_key"), name.alias("name"), F.sha2(body.cast("binary"), 256).alias("sha256"), F.octet_length(body).cast("long").alias("n_bytes"), long.alias("long")), "texts")
-    classes = narrow.filter("long").groupBy("sha256").agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("copies"))
+    long, run = F.octet_length(body) >= length, F.lit(0)
+    if words:  # so many words have 2 * words - 1 bytes at least; only texts of that size are counted
+        run = F.when(F.octet_length(body) >= 2 * words - 1, F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+"))).otherwise(0)
+    narrow = saved(docs.select(docs[key].alias("_key"), name.alias("name"), F.sha2(body.cast("binary"), 256).alias("sha256"), F.octet_length(body).cast("long").alias("n_bytes"),
+                               run.cast("long").alias("n_words"), long.alias("long"), F.pmod(F.monotonically_increasing_id(), F.lit(CELLS)).cast("int").alias("cell")), "texts")
+    classes = narrow.filter(F.col("long") | (F.col("n_words") >= words) if words else F.col("long")).groupBy("sha256").agg(
+        F.min("name").alias("name"), F.count(F.lit(1)).alias("copies"))
     size = narrow.agg(F.sum("n_bytes")).first()[0] or 0
-    rows = docs.select(name.alias("name"), body.alias("text"))
+    rows = docs.select(F.concat(name, F.sha2(body.cast("binary"), 256)).alias("who"), body.alias("text"))
 
     window = max(16, length // 5)
     v, cover = cover_for(length, window)
     window = length - v + 1
-    w, dense = cover_for(length, length * 6 // 7)
-    after = length - w + 1
     samples = rows.filter(F.octet_length("text") >= length).select("text").mapInArrow(_sampler(length, v, cover, window, _buckets(size * len(cover) / v)), SUFFIXES)
     tied = ties(samples)
     columns = ["sha256", "text", "places"]
@@ -260,35 +427,39 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         tied = tied.join(ties(some).withColumnRenamed("places", "word_places"), "id", "full")
         columns.append("word_places")
 
-    wanted = tied.withColumnRenamed("id", "_id").join(classes.withColumn("_id", _id(F.col("sha256"))), "_id").select("name", *[c for c in columns if c != "text"])
+    wanted = tied.withColumnRenamed("id", "_id").join(classes.withColumn("_id", _id(F.col("sha256"))), "_id").select(F.concat("name", "sha256").alias("who"), *[c for c in columns if c != "text"])
     wanted = saved(wanted, "tied")
-    joined = only_touched(rows, F.col("name"), wanted, F.col("name")).join(wanted, "name").filter(F.sha2(F.col("text").cast("binary"), 256) == F.col("sha256"))
-    found = saved(joined.select(F.monotonically_increasing_id().alias("id"), *columns), "candidates")
-    every = found
-    found = found.filter("places is not null")
+    joined = only_touched(rows, F.col("who"), wanted, F.col("who")).join(wanted, "who")
+    every = saved(joined.select(F.monotonically_increasing_id().alias("id"), *columns), "candidates")
+    found = every.filter("places is not null")
 
     many = found.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    second = ties(found.select("id", "text", "places").mapInArrow(_second(length, v, w, dense, after, _buckets(many * len(dense) / w)), SUFFIXES))
-    both = found.select("id", "text", F.col("places").alias("sparse")).join(second, "id")
-    starts = ties(both.select("id", "text", "sparse", "places").mapInArrow(_third(length, v, w, _buckets(many * 0.6)), SUFFIXES))
+    parts = partitions(docs.sparkSession)
+    starts = tied_runs(found.select("id", "text", "places").mapInArrow(_segmenter(length, v, _buckets(2 * many), parts), SEGMENTS), length)
+    columns = ["sha256", "text", "runs"]
     if words:
         runs = every.filter("word_places is not null").select("id", "text", "word_places")
         held = runs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         runs = ties(runs.mapInArrow(_word_starts(words, _buckets(held / 5)), SUFFIXES))
         starts = starts.join(runs.withColumnRenamed("places", "word_places"), "id", "full")
+        columns.append("word_places")
     cut = every.select("id", "sha256", "text").join(starts, "id").select(*columns).mapInArrow(
-        _cutter(length, words), "sha256 string, n_removed long, n_spans long, kept_sha256 string, kept string")
+        _cutter(length, words, cut_words), "sha256 string, n_removed long, n_spans long, kept_sha256 string, kept string, n_run_words long")
     cut = cut.dropDuplicates(["sha256"])
 
-    repeated = classes.filter("copies > 1").select("sha256", "copies")
-    out = narrow.join(repeated, "sha256", "left").join(cut, "sha256", "left")
-    whole = F.col("copies").isNotNull()
+    # Copies need no more than to know that they are; they are dealt into cells, so that a large group is no task's.
+    repeated = classes.filter("copies > 1").select("sha256", "copies", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))).alias("cell"))
+    out = narrow.join(repeated, ["sha256", "cell"], "left")
+    out = out.withColumn("_cut", F.when(F.col("copies").isNull(), F.col("sha256")).otherwise(F.concat_ws("#", "sha256", "cell"))).join(
+        cut.withColumnRenamed("sha256", "_cut"), "_cut", "left")
+    whole = F.col("copies").isNotNull() & (F.col("long") | F.lit(bool(words and cut_words)))
+    in_runs = F.when(F.col("copies").isNotNull() & (F.col("n_words") >= words), F.col("n_words")).otherwise(F.coalesce("n_run_words", F.lit(0))) if words else F.lit(None)
     return out.select(
         F.col("_key").alias(key), "sha256", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"))
+        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"), in_runs.cast("long").alias("n_run_words"))
 
 
 def _buckets(suffixes: float) -> int:
@@ -361,47 +532,6 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield batch, lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
 
 
-def _second(length: int, v: int, w: int, dense: np.ndarray, window: int, buckets: int) -> Callable:
-    @trimmed
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inside = np.zeros(w, bool)
-        inside[dense] = True
-        for batch, lo, hi, data, at in _texts(batches):
-            rows, places = [], []
-            for r, packed in enumerate(batch.column(2).slice(lo, hi - lo).to_pylist()):
-                n = int(at[r + 1] - at[r])
-                start = _starts(_merged(packed), v, n, length)
-                near = np.flatnonzero(union_length(n, start, np.minimum(start + w, n)))
-                near = near[inside[near % w] & (near + window <= n)]
-                rows.append(np.full(len(near), r))
-                places.append(near)
-            row, place = np.concatenate(rows), np.concatenate(places)
-            ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            begin = at[row] + place
-            yield from dealt(Prefix(data).of(begin, begin + window), ids[row], place, buckets, 4)
-
-    return run
-
-
-def _third(length: int, v: int, w: int, buckets: int) -> Callable:
-    @trimmed
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, lo, hi, data, at in _texts(batches):
-            rows, places = [], []
-            sparse, near = (batch.column(k).slice(lo, hi - lo).to_pylist() for k in (2, 3))
-            for r in range(hi - lo):
-                n = int(at[r + 1] - at[r])
-                start = np.intersect1d(_starts(_merged(sparse[r]), v, n, length), _starts(_merged(near[r]), w, n, length), assume_unique=True)
-                rows.append(np.full(len(start), r))
-                places.append(start)
-            row, place = np.concatenate(rows), np.concatenate(places)
-            ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-            begin = at[row] + place
-            yield from dealt(Prefix(data).of(begin, begin + length), ids[row], place, buckets, 8)
-
-    return run
-
-
 def _word_starts(words: int, buckets: int) -> Callable:
     v, _, _ = _word_cover(words)
 
@@ -418,26 +548,29 @@ def _word_starts(words: int, buckets: int) -> Callable:
     return run
 
 
-def _cutter(length: int, words: int | None = None) -> Callable:
+def _cutter(length: int, words: int | None = None, cut_words: bool = True) -> Callable:
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = text_buffer(batch.column(1))
-            removed, spans, shas, kept = [], [], [], []
+            removed, spans, shas, kept, in_runs = [], [], [], [], []
             for r, packed in enumerate(batch.column(2).to_pylist()):
                 own = buf[off[r] : off[r + 1]]
-                start = _merged(packed)
-                gone = union_length(len(own), start, start + length)
+                place, count = _unpacked(packed, np.int64).reshape(2, -1) if packed else np.zeros((2, 0), np.int64)
+                gone = union_length(len(own), place, place + count + length - 1)
+                in_runs.append(0)
                 if words and len(run_at := _merged(batch.column(3)[r].as_py())):
                     begin, end, _ = find_words(own, np.array([0, len(own)]))
-                    gone |= union_length(len(own), begin[run_at], end[run_at + words - 1])
+                    in_runs[-1] = int(union_length(len(begin), run_at, run_at + words).sum())
+                    if cut_words:
+                        gone |= union_length(len(own), begin[run_at], end[run_at + words - 1])
                 rest = own[~gone].tobytes()
                 removed.append(int(gone.sum()))
                 spans.append(int((gone & ~np.append(False, gone[:-1])).sum()))
                 shas.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest.decode("utf-8", "ignore"))
+                kept.append(rest.decode("utf-8", "ignore") if removed[-1] else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string())],
-                names=["sha256", "n_removed", "n_spans", "kept_sha256", "kept"])
+                [batch.column(0), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.string()), pa.array(in_runs, pa.int64())],
+                names=["sha256", "n_removed", "n_spans", "kept_sha256", "kept", "n_run_words"])
 
     return run

@@ -13,7 +13,8 @@ from rollcall.llm.decontamination import contained_items, decontaminated
 from rollcall.llm.near_duplicates import near_duplicates, superminhash
 from rollcall.llm.components import components
 from rollcall.llm.quality_rules import repeat_lengths, repetition_rules
-from rollcall.llm.suffix_dedup import difference_cover, repeated_passages
+from rollcall.llm.suffix_dedup import repeated_passages
+from rollcall.llm.suffix_order import difference_cover
 from tests.llm.util import WORD, clashing, covered, groups, prose, shingle_set, table
 
 
