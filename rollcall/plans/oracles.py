@@ -202,7 +202,7 @@ GROUP_ENTRIES = f"""select conv_id, turn, h as heading, {trim(rx(f"regexp_replac
 GROUPED = f"""select conv_id, heading, heading_order, number, text as entry from ({numbered(first("select *, min(turn) over (partition by conv_id, heading) as heading_order from (" + GROUP_ENTRIES + ")", "conv_id, heading", by_case("text"), "turn"), "conv_id, heading", "turn")})"""
 STATES = f"""select d.job_id, d.slice_key, case when s.done then 'done' when s.done is not null then 'failed' else 'pending' end as state from
  (select * from (select distinct user_id as job_id from events), (select distinct event_type as slice_key from events)) d left join
- (select job_id, slice_key, bool_or(state = 'done') as done from ({v.OUTCOMES}) where event_id % 4 <> 0 group by all) s on d.job_id = s.job_id and d.slice_key = s.slice_key"""
+ (select job_id, slice_key, bool_or(state = 'done') as done from ({v.OUTCOMES}) group by all) s on d.job_id = s.job_id and d.slice_key = s.slice_key"""
 FINAL = f"""select job_id, case when failed = 0 then 'complete' when done > 0 then 'failed_partial' else 'failed' end as state, done, failed, case when failed > 0 then concat('Slices failed: ', names) end as error
  from (select job_id, count(*) filter (where state = 'done') as done, count(*) filter (where state <> 'done') as failed,
   string_agg(concat(slice_key, ': ', state), '; ' order by concat(slice_key, ': ', state)) filter (where state <> 'done') as names from ({STATES}) group by job_id)"""
@@ -340,10 +340,13 @@ def oracle_sql() -> dict[str, str]:
         "date_precision": f"""select c.anchor, c.date, coalesce(f.ok, false) as ok from (values ('topic 3', '1997)'), ('topic 5', 'topic 5'), ('no such', '1999')) c(anchor, date) left join
  (select anchor, ends_with(arg_min(trim(text), ord), any_value(date)) as ok from ({CLEAN}), (values ('topic 3', '1997)'), ('topic 5', 'topic 5'), ('no such', '1999')) x(anchor, date)
   where contains(text, anchor) group by anchor) f on c.anchor = f.anchor""",
-        "stream_dedup": "select user_id as job_id, event_type as slice_key, 1::bigint as kept from events group by 1, 2",
+        "stream_dedup": f"""select job_id, slice_key, arg_min(event_id, {{'a': ts, 'b': event_id}}) as event_id, arg_min(state, {{'a': ts, 'b': event_id}}) as state from ({v.OUTCOMES}) group by 1, 2""",
         "stream_progress": f"""select strftime(time_bucket(interval '30 days', ts, timestamp '1970-01-01'), '%Y-%m-%d') as start, state, count(*) as n from ({v.OUTCOMES}) group by 1, 2""",
-        "stream_barrier": "select user_id as job_id, 1::bigint as times from events group by 1",
-        "stream_finalize": "select user_id as job_id, event_type as slice_key, count(*) as n from events group by 1, 2",
+        "stream_barrier": f"""select job_id, count(*) filter (where state = 'done') as done, {q.BARRIER_SLICES} - count(*) filter (where state = 'done') as failed, count(*) >= {q.BARRIER_SLICES} as complete from (
+ select job_id, slice_key, arg_min(state, {{'a': ms, 'b': event_id}}) as state from (select *, epoch_ms(ts) as ms, min(epoch_ms(ts)) over (partition by job_id) as begun from ({v.OUTCOMES}))
+ where ms <= begun + {q.BARRIER_SECONDS * 1000} group by 1, 2) group by 1""",
+        "stream_finalize": f"""select o.job_id, slice_key, n, state from (select user_id as job_id, event_type as slice_key, count(*) as n from events group by 1, 2) o
+ join ({FINAL}) f on o.job_id = f.job_id""",
         "consolidated": _consolidated(),
     } | posts()
     out["service_clean"] = f"select ord, service_key, core, description_ as description, dates_ as dates from ({out['service_clean']})"

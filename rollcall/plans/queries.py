@@ -408,7 +408,7 @@ def due(spark: SparkSession, d: str) -> DataFrame:
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
-    x = v.view(spark, d, v.OUTCOMES).filter("event_id % 4 <> 0")
+    x = v.view(spark, d, v.OUTCOMES)
     return jobs.slice_states(due(spark, d), x, "job_id", "slice_key", "state")
 
 
@@ -525,43 +525,65 @@ def _shared(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def outcome_files(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    path = _shared(spark, "outcomes")
+def outcome_parts(spark: SparkSession, d: str, by_delivery: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """Outcomes, and the same as parts that arrive one after another: by time, or each slice's first outcome before its repeats."""
     out = v.view(spark, d, v.OUTCOMES).select("job_id", "slice_key", "state", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    out.repartitionByRange(4, "ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(path)
-    return out, path
-
-
-def run_stream(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what there is, into Parquet (append) or the last value of each key (update)."""
-    spark = stream.sparkSession
-    at, check = _shared(spark, "stream"), _shared(spark, "stream-checkpoint")
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", check).outputMode("append")
-    else:
-        q = stream.writeStream.foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{at}/b={i}")).option("checkpointLocation", check).outputMode("update")
-    q.trigger(availableNow=True).start().awaitTermination()
+    if by_delivery:
+        w = rec.Window.partitionBy("job_id", "slice_key").orderBy("ts", "event_id")
+        ranked = out.withColumn("_k", F.row_number().over(w))
+        return out, [ranked.filter(when).drop("_k") for when in ("_k = 1", "_k > 1")]
+    at = F.unix_micros("ts")
+    cuts = [None, *map(int, out.select(at.alias("t")).approxQuantile("t", [0.25, 0.5, 0.75], 0.01)), None]
+    between = lambda lo, hi: (F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi)
+    return out, [out.filter(between(lo, hi)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def run_stream(spark: SparkSession, parts: list[DataFrame], make: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Runs a stream over parts as they arrive, into Parquet (append) or the last value of each key (update)."""
+    at = _shared(spark, "stream")
+
+    def start(stream: DataFrame, check: str):
+        if mode == "append":
+            return stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", check).outputMode("append")
+        return stream.writeStream.foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{at}/b={i}")).option("checkpointLocation", check).outputMode("update")
+
+    feed(spark, parts, lambda stream, check: start(make(stream), check))
     return spark.read.parquet(at)
 
 
+def feed(spark: SparkSession, parts: list[DataFrame], writer: Callable) -> None:
+    """Writes each part into a folder that a stream reads, and lets the stream take it before the next one comes."""
+    from rollcall.streaming import outcomes as so
+
+    source, check = _shared(spark, "outcomes"), _shared(spark, "stream-checkpoint")
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        writer(so.read_outcomes(spark, source, part.schema), check).trigger(availableNow=True).start().awaitTermination()
+
+
 @query
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Which outcome of each slice is kept."""
     from rollcall.streaming import outcomes as so
 
-    x, path = outcome_files(spark, d)
-    out = run_stream(so.first_outcomes(so.read_outcomes(spark, path, x.schema), "3650 days"), "append")
-    return out.groupBy("job_id", "slice_key").agg(F.count(F.lit(1)).alias("kept"))
+    _, parts = outcome_parts(spark, d, by_delivery=True)
+    out = run_stream(spark, parts, lambda x: so.first_outcomes(x, "3650 days"), "append")
+    return out.select("job_id", "slice_key", "event_id", "state")
 
 
 @query
 def stream_progress(spark: SparkSession, d: str) -> DataFrame:
     from rollcall.streaming import outcomes as so
 
-    x, path = outcome_files(spark, d)
-    out = run_stream(so.progress(so.read_outcomes(spark, path, x.schema), "30 days", "3650 days"), "update")
+    _, parts = outcome_parts(spark, d)
+    out = run_stream(spark, parts, lambda x: so.progress(x, "30 days", "3650 days"), "update")
     return out.groupBy("start", "state").agg(F.max_by("n", "batch").alias("n")).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "state", "n")
 
 
+#: Outcomes of a job in these tables lie days apart, so its time is counted in days here.
+BARRIER_SLICES, BARRIER_SECONDS = 5, 3 * 86400
+
+
 @query
 def stream_barrier(spark: SparkSession, d: str) -> DataFrame:
     """Jobs released once each, by completion or by time; the closing pass takes what the finite log leaves open."""
@@ -571,25 +593,28 @@ def stream_barrier(spark: SparkSession, d: str) -> DataFrame:
     held = spark.conf.get(name, None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        x, path = outcome_files(spark, d)
-        released = run_stream(so.completion_barrier(so.read_outcomes(spark, path, x.schema), 5), "append")
+        x, parts = outcome_parts(spark, d)
+        released = run_stream(spark, parts, lambda y: so.completion_barrier(y, BARRIER_SLICES, seconds=BARRIER_SECONDS), "append")
     finally:
         spark.conf.set(name, held) if held else spark.conf.unset(name)
-    every = released.unionByName(so.close_open_jobs(x, released, 5))
-    return every.groupBy("job_id").agg(F.count(F.lit(1)).alias("times"))
+    return released.unionByName(so.close_open_jobs(x, released, BARRIER_SLICES, BARRIER_SECONDS)).select("job_id", "done", "failed", "complete")
 
 
 @query
 def stream_finalize(spark: SparkSession, d: str) -> DataFrame:
+    """Each job's merged slices with the status that was written last."""
     from rollcall.streaming import outcomes as so
 
-    x, path = outcome_files(spark, d)
-    first = so.first_outcomes(so.read_outcomes(spark, path, x.schema), "3650 days")
-    at, check = _shared(spark, "final"), _shared(spark, "final-checkpoint")
+    x, parts = outcome_parts(spark, d)
+    at = _shared(spark, "final")
     # A job that a batch names is merged again from the whole log.
-    whole = lambda b: x.join(b.select("job_id").distinct(), "job_id").groupBy("job_id", "slice_key").agg(F.count(F.lit(1)).alias("n"))
-    so.finalize(first, whole, at, check).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(at).select(F.col("job_id").cast("bigint").alias("job_id"), "slice_key", "n")
+    of = lambda b: x.join(b.select("job_id").distinct(), "job_id")
+    whole = lambda b: of(b).groupBy("job_id", "slice_key").agg(F.count(F.lit(1)).alias("n"))
+    kinds = v.view(spark, d, v.OUTCOMES).select("slice_key").distinct()
+    ended = lambda b: jobs.final_state(jobs.slice_states(of(b).select("job_id").distinct().crossJoin(F.broadcast(kinds)), of(b), "job_id", "slice_key", "state"), "job_id", "slice_key")
+    feed(spark, parts, lambda stream, check: so.finalize(so.first_outcomes(stream, "3650 days"), whole, ended, at, check))
+    results, status = so.read_final(spark, at)
+    return results.join(status, "job_id").select("job_id", "slice_key", "n", "state")
 
 
 @query

@@ -15,9 +15,10 @@ KEYS = ["job_id", "slice_key"]
 RELEASED = "job_id long, done long, failed long, complete boolean"
 
 
-def read_outcomes(spark: SparkSession, path: str, schema: StructType | str, files: int = 1) -> DataFrame:
-    """A stream over Parquet files of outcomes."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def read_outcomes(spark: SparkSession, path: str, schema: StructType | str, files: int | None = None) -> DataFrame:
+    """A stream over Parquet files of outcomes; files: how many a batch takes at most."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def first_outcomes(stream: DataFrame, late: str = "30 days", at: str = "ts") -> DataFrame:
@@ -32,41 +33,45 @@ def progress(stream: DataFrame, width: str = "30 days", late: str = "30 days", a
 
 
 class Barrier(StatefulProcessor):
-    """Holds a job until each of its slices has an outcome, or its time is up; then releases it once."""
+    """Holds a job until each of its slices has an outcome, or its time is up; then releases it once.
+
+    The first outcome of a slice counts.  A job's time starts with its first outcome, and outcomes later than its end don't
+    count, in whatever batch they come.
+    """
 
     expected: int = 5
+    millis: int = SECONDS * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.slices = handle.getMapState("slices", "slice_key string", "state string")
         self.released = handle.getValueState("released", "released boolean")
-        self.timed = handle.getValueState("timed", "at long")
+        self.started = handle.getValueState("started", "at long")
 
     def _release(self, key) -> Iterator[pd.DataFrame]:
         states = [v[0] for v in self.slices.values()]
         done = sum(s == "done" for s in states)
         self.released.update((True,))
         self.slices.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "done": [done], "failed": [len(states) - done], "complete": [len(states) >= self.expected]})
+        yield pd.DataFrame({"job_id": [key[0]], "done": [done], "failed": [self.expected - done], "complete": [len(states) >= self.expected]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frames = list(rows)
         if self.released.exists():
-            for _ in rows:
-                pass
             return
-        first = None
-        for f in rows:
-            f = f.sort_values("ts", kind="stable")
-            for r in f.itertuples():
-                at = int(r.ts.timestamp() * 1000)
-                first = at if first is None else min(first, at)
-                if not self.slices.containsKey((r.slice_key,)):
-                    self.slices.updateValue((r.slice_key,), (r.state,))
+        start = self.started.get()[0] if self.started.exists() else None
+        for r in pd.concat(frames).sort_values(["at", "event_id"], kind="stable").itertuples():
+            if start is None:
+                start = int(r.at)
+                self.started.update((start,))
+                self.handle.registerTimer(start + self.millis)
+            if r.at > start + self.millis:
+                yield from self._release(key)
+                return
+            if not self.slices.containsKey((r.slice_key,)):
+                self.slices.updateValue((r.slice_key,), (r.state,))
         if len(list(self.slices.keys())) >= self.expected:
             yield from self._release(key)
-        elif first is not None and not self.timed.exists():
-            self.timed.update((first,))
-            self.handle.registerTimer(first + SECONDS * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if not self.released.exists():
@@ -76,28 +81,43 @@ class Barrier(StatefulProcessor):
         pass
 
 
-def completion_barrier(stream: DataFrame, expected: int, late: str = "0 seconds") -> DataFrame:
+def completion_barrier(stream: DataFrame, expected: int, late: str = "0 seconds", seconds: int = SECONDS) -> DataFrame:
     """One row for each job that is ready: job_id, done, failed, complete.  Needs the RocksDB state store.
 
-    stream: job_id, slice_key, state, ts.  A timer is set by the first outcome's own time and fires as the watermark passes it, so the
-    last jobs of a finite stream are released by close_open_jobs.
+    stream: job_id, slice_key, state, ts, event_id.  Slices without an outcome in time count as failed.  A timer is set by the first
+    outcome's own time and fires as the watermark passes it, so the last jobs of a finite stream are released by close_open_jobs.
     """
-    kind = type("BarrierOf", (Barrier,), {"expected": expected})
-    return stream.withWatermark("ts", late).groupBy("job_id").transformWithStateInPandas(
+    kind = type("BarrierOf", (Barrier,), {"expected": expected, "millis": seconds * 1000})
+    return stream.withWatermark("ts", late).withColumn("at", F.unix_millis("ts")).groupBy("job_id").transformWithStateInPandas(
         statefulProcessor=kind(), outputStructType=RELEASED, outputMode="Append", timeMode="EventTime")
 
 
-def close_open_jobs(outcomes: DataFrame, released: DataFrame, expected: int) -> DataFrame:
-    """The closing pass over a finite log: jobs that the barrier has not released, with what they have."""
-    first = outcomes.groupBy(*KEYS).agg(F.min_by("state", "ts").alias("state"))
-    jobs = first.groupBy("job_id").agg(F.count_if(F.col("state") == "done").alias("done"), F.count_if(F.col("state") != "done").alias("failed"))
-    return jobs.join(released.select("job_id"), "job_id", "left_anti").withColumn("complete", F.col("done") + F.col("failed") >= expected)
+def close_open_jobs(outcomes: DataFrame, released: DataFrame, expected: int, seconds: int = SECONDS) -> DataFrame:
+    """The closing pass over a finite log: jobs that the barrier has not released, with what they had in time."""
+    open_ = outcomes.join(released.select("job_id"), "job_id", "left_anti").withColumn("at", F.unix_millis("ts"))
+    starts = open_.groupBy("job_id").agg(F.min("at").alias("_start"))
+    timely = open_.join(starts, "job_id").filter(F.col("at") <= F.col("_start") + seconds * 1000)
+    first = timely.groupBy(*KEYS).agg(F.min_by("state", F.struct("at", "event_id")).alias("state"))
+    jobs = first.groupBy("job_id").agg(F.count_if(F.col("state") == "done").alias("done"), F.count(F.lit(1)).alias("_slices"))
+    return jobs.select("job_id", "done", (F.lit(expected) - F.col("done")).cast("long").alias("failed"), (F.col("_slices") >= expected).alias("complete"))
+
 
+def finalize(stream: DataFrame, merge: Callable[[DataFrame], DataFrame], status: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Merges each batch of released jobs into a partition of its own, and writes the jobs' status last.
 
-def finalize(stream: DataFrame, merge: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Merges each batch of released jobs and overwrites their partitions, so that a repeated batch changes nothing."""
+    A repeated batch overwrites its own partitions, so it changes nothing; a batch that failed between the two writes has no
+    status and is not read.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        merge(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+        merge(batch).write.mode("overwrite").parquet(f"{path}/results/batch={number}")
+        status(batch).write.mode("overwrite").parquet(f"{path}/status/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def read_final(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Results and status of each job, as its last batch with a status left them."""
+    status = spark.read.parquet(f"{path}/status")
+    last = status.groupBy("job_id").agg(F.max("batch").alias("batch"))
+    return tuple(df.join(last, ["job_id", "batch"]).drop("batch") for df in (spark.read.parquet(f"{path}/results"), status))
