@@ -85,12 +85,15 @@ NOTE = rf"(?is)^(.*?)\s+(\*{{1,2}}\s*(?:{'|'.join(p.AUTHORSHIP_NOTES)})[^.]*\.?)
 
 
 def split_contribution(c: Column | str) -> Column:
-    """struct(citation, note): a trailing authorship note apart from its citation; note is null without one."""
+    """struct(citation, note): a trailing authorship note apart from its citation; note is null without one.
+
+    The pattern is searched once, and only in texts with an asterisk.
+    """
     c = _col(c)
-    found = c.rlike(NOTE)
-    return F.struct(
-        F.when(found, trim(F.regexp_extract(c, NOTE, 1))).otherwise(trim(c)).alias("citation"),
-        F.when(found, trim(F.regexp_extract(c, NOTE, 2))).alias("note"))
+    # A note reaches to the end, so what stands before it is known by its length.
+    note = F.when(c.contains("*"), F.nullif(F.regexp_extract(c, NOTE, 2), F.lit("")))
+    return bind(note, lambda n: F.struct(
+        trim(F.when(n.isNull(), c).otherwise(c.substr(F.lit(1), F.length(c) - F.length(n)))).alias("citation"), trim(n).alias("note")))
 
 
 def citation_key(c: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,31 +68,42 @@ def section_summary(records: DataFrame, gaps: DataFrame, notes: DataFrame, doc:
     return out.na.fill(0, ["required", "recommended", "optional", "notes"])
 
 
-def summary_order(gaps: DataFrame, doc: str) -> DataFrame:
-    """Gaps numbered within severity, required ones first."""
+def summary_order(gaps: DataFrame, doc: str, order: list[str]) -> DataFrame:
+    """Gaps numbered within severity in their own order, required ones first."""
     rank = F.array_position(F.array(F.lit("required"), F.lit("recommended"), F.lit("optional")), F.col("severity"))
-    w = Window.partitionBy(doc, "severity").orderBy("section", "field", "instruction")
+    w = Window.partitionBy(doc, "severity").orderBy(*order)
     return gaps.withColumn("severity_rank", rank).withColumn("number", F.row_number().over(w))
 
 
-def anchor_counts(records: DataFrame, anchors: DataFrame, content: str, anchor: str = "anchor") -> DataFrame:
+#: Checks that are broadcast at once; more are taken block by block.
+CHECKS = 20_000
+
+
+def in_blocks(checks: DataFrame, run: Callable[[DataFrame], DataFrame], size: int = CHECKS) -> DataFrame:
+    """run(block) for blocks of checks, the reader's own list, each small enough to be broadcast; results together."""
+    n = max(1, -(-checks.count() // size))
+    parts = [run(F.broadcast(checks if n == 1 else checks.filter(F.pmod(F.xxhash64(*checks.columns), F.lit(n)) == i))) for i in range(n)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def anchor_counts(records: DataFrame, anchors: DataFrame, content: str, anchor: str = "anchor", key: str = "doc_id") -> DataFrame:
     """How many records hold all parts (parted by |) of each anchor; anchors that none holds count 0.
 
     anchors is the reader's own list of checks.  Parts are compared as normal forms, and a record's words decide which
-    anchors it meets at all: the longest word of an anchor's first part must begin, end or be inside one of them.
+    anchors it meets at all: words travel with the record's key alone, and only records that meet an anchor bring their text.
     """
     parts = F.transform(F.split(anchor, r"\|"), t.norm_compare)
-    checks = anchors.select(anchor, parts.alias("parts")).withColumn("first", F.element_at("parts", 1))
+    checks = anchors.select(anchor).distinct().select(anchor, parts.alias("parts")).withColumn("first", F.element_at("parts", 1))
     words = F.split("first", " ")
-    # A part that holds two spaces has a middle word that a match must hold whole; other parts are few and compared with all records.
+    # A part that holds two spaces has a middle word that a match must hold whole; other parts are compared with all records.
     inner = F.when(F.size(words) >= 3, F.element_at(F.array_sort(F.slice(words, 2, F.size(words) - 2), lambda a, b: F.length(b) - F.length(a)), 1))
-    checks = checks.withColumn("word", inner)
-    rows = records.select(t.norm_compare(content).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
-    by_word = rows.select("_row", "_text", F.explode(F.array_distinct(F.split("_text", " "))).alias("word"))
+    checks = checks.withColumn("word", inner).drop("first")
+    rows = records.select(F.col(key).alias("_key"), t.norm_compare(content).alias("_text"))
+    by_word = rows.select("_key", F.explode(F.array_distinct(F.split("_text", " "))).alias("word"))
+    meets = in_blocks(checks.filter("word is not null"), lambda c: by_word.join(c, "word").select("_key", anchor, "parts")).distinct()
     holds = F.forall("parts", lambda x: F.contains(F.col("_text"), x))
-    hits = by_word.join(checks.filter("word is not null"), "word").filter(holds).select(anchor)
-    short = F.broadcast(checks.filter("word is null"))
-    hits = hits.unionAll(rows.join(short, holds).select(anchor))
+    hits = rows.join(meets, "_key").filter(holds).select(anchor)
+    hits = hits.unionAll(in_blocks(checks.filter("word is null"), lambda c: rows.join(c, holds).select(anchor)))
     counts = hits.groupBy(anchor).agg(F.count(F.lit(1)).alias("matches"))
     return anchors.select(anchor).distinct().join(counts, anchor, "left").na.fill(0, ["matches"])
 
@@ -106,6 +118,11 @@ def duplicate_inventory(df: DataFrame, group: list[str], key: Column) -> DataFra
     return df.withColumn("key", key).filter("key <> ''").groupBy(*group, "key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def new_duplicates(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the later inventory whose keys the earlier one lacks."""
+    return after.join(before.select(*keys), keys, "left_anti")
+
+
 def diff_runs(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Rows that differ between two runs: removed, added or changed, by key."""
     x = a.select(*keys, F.struct(*values).alias("_a"))
@@ -125,7 +142,7 @@ def count_tolerance(a: DataFrame, b: DataFrame, key: str, count: str, share: Col
 def date_precision(records: DataFrame, checks: DataFrame, content: str) -> DataFrame:
     """checks (anchor, date) with ok: some record holds the anchor, and the first such record, trimmed, ends with the date."""
     text = F.col(content)
-    rows = records.join(F.broadcast(checks), text.contains(F.col("anchor")))
+    rows = in_blocks(checks, lambda c: records.join(c, text.contains(F.col("anchor"))))
     first = rows.groupBy("anchor", "date").agg(F.min_by(content, "ord").alias("_first"))
     found = first.select("anchor", "date", t.trim("_first").endswith(F.col("date")).alias("ok"))
     return checks.join(found, ["anchor", "date"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))

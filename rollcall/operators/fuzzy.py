@@ -34,16 +34,21 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, content: str, share
     common = F.size(F.array_intersect("wa", "wb"))
     smaller = F.least(F.size("wa"), F.size("wb"))
     found = hits.join(x, "one").join(y, "other").withColumn("common", common).withColumn("smaller", smaller).filter(F.col("common") >= share * F.col("smaller"))
-    members = lambda df, name: df.select(F.col(key).alias(name), F.xxhash64(F.array_sort(tokens(content))).alias("_set"))
+    members = lambda df, name: df.select(F.col(key).alias(name), _name(F.array_sort(tokens(content))).alias("_set"))
     return (
         found.select("one", "other", (F.col("common") / F.col("smaller")).alias("share"))
         .join(members(left, "key_a").withColumnRenamed("_set", "one"), "one").join(members(right, "key_b").withColumnRenamed("_set", "other"), "other")
         .select("key_a", "key_b", "share"))
 
 
+def _name(words: Column) -> Column:
+    """128 bits that stand for a sorted set of words."""
+    return F.md5(F.array_join(words, " "))
+
+
 def _sets(df: DataFrame, key: str, content: str, least: int) -> DataFrame:
     rows = df.select(F.array_sort(tokens(content)).alias("words")).filter(F.size("words") >= least)
-    return rows.select(F.xxhash64("words").alias("id"), "words").dropDuplicates(["id"])
+    return rows.select(_name(F.col("words")).alias("id"), "words").dropDuplicates(["id"])
 
 
 def _candidates(a: DataFrame, b: DataFrame, frequency: DataFrame, share: float) -> DataFrame:
@@ -81,13 +86,31 @@ def best_match(records: DataFrame, paragraphs: DataFrame, doc: str, record: str,
 
     Scores: 1 for equal normal forms, 0.9 if one holds the other, else the common share of the larger set of words of
     three letters or more; under least there is no match.
+
+    Equal normal forms of a document are one.  Candidates share one of the record's rarest words (enough of them that a
+    pair at least has one), or the contained side's longest inner word, which the other must hold whole; only texts
+    of one or two words have no inner word and meet all of their document.
     """
     long = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: F.length(w) > 2)
     r = records.select(doc, record, norm_layout(content).alias("_r")).filter("_r <> ''")
-    s = paragraphs.select(F.col(doc).alias("_doc"), paragraph, norm_layout(content).alias("_s")).filter("_s <> ''")
+    s = paragraphs.select(doc, F.col(paragraph), norm_layout(content).alias("_s")).filter("_s <> ''").groupBy(doc, "_s").agg(F.min(paragraph).alias(paragraph))
+    one, two = r.select(doc, "_r").distinct(), s.select(doc, "_s")
+    words = two.select(doc, "_s", F.explode(long(F.col("_s"))).alias("_w"))
+    often = words.groupBy(doc, "_w").agg(F.count(F.lit(1)).alias("_df"))
+    own = one.select(doc, "_r", F.explode(long(F.col("_r"))).alias("_w"), F.size(long(F.col("_r"))).alias("_m")).join(often, [doc, "_w"], "left")
+    rank = F.row_number().over(Window.partitionBy(doc, "_r").orderBy(F.coalesce("_df", F.lit(0)), "_w"))
+    rare = own.withColumn("_k", rank).filter(F.col("_k") <= F.col("_m") - F.ceil(F.lit(least) * F.col("_m")) + 1).select(doc, "_r", "_w")
+    inner = lambda c: F.slice(F.split(c, " "), 2, F.greatest(F.size(F.split(c, " ")) - 2, F.lit(0)))
+    key = lambda c: F.element_at(F.array_sort(inner(c), lambda a, b: F.length(b) - F.length(a)), 1)
+    split = lambda df, c: (df.filter(F.size(inner(F.col(c))) > 0).select(doc, c, key(F.col(c)).alias("_w")), df.filter(F.size(inner(F.col(c))) == 0))
+    all_r, all_s = (df.select(doc, c, F.explode(F.array_distinct(F.split(c, " "))).alias("_w")) for df, c in ((one, "_r"), (two, "_s")))
+    (in_r, short_r), (in_s, short_s) = split(one, "_r"), split(two, "_s")
+    pairs = one.join(two, (one[doc] == two[doc]) & (F.col("_r") == F.col("_s"))).select(one[doc], "_r", "_s")
+    for a, b, on in ((rare, words, [doc, "_w"]), (in_r, all_s, [doc, "_w"]), (all_r, in_s, [doc, "_w"]), (short_r, two, [doc]), (one, short_s, [doc])):
+        pairs = pairs.unionByName(a.join(b, on).select(doc, "_r", "_s"))
     a, b = long(F.col("_r")), long(F.col("_s"))
     share = F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.greatest(F.size(a), F.size(b))), F.lit(0.0))
     score = F.when(F.col("_r") == F.col("_s"), 1.0).when(F.col("_s").contains(F.col("_r")) | F.col("_r").contains(F.col("_s")), 0.9).otherwise(share)
-    scored = r.join(s, r[doc] == s["_doc"]).select(doc, record, paragraph, score.alias("score")).filter(F.col("score") >= least)
-    return scored.groupBy(doc, record).agg(F.max_by(F.struct(paragraph, "score"), F.struct("score", -F.col(paragraph))).alias("_best")).select(
-        doc, record, F.col(f"_best.{paragraph}").alias(paragraph), F.round("_best.score", 6).alias("score"))
+    scored = pairs.distinct().select(doc, "_r", "_s", score.alias("score")).filter(F.col("score") >= least).join(s, [doc, "_s"])
+    best = scored.groupBy(doc, "_r").agg(F.max_by(F.struct(paragraph, "score"), F.struct("score", -F.col(paragraph))).alias("_best"))
+    return r.join(best, [doc, "_r"]).select(doc, record, F.col(f"_best.{paragraph}").alias(paragraph), F.round("_best.score", 6).alias("score"))

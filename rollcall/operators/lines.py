@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,10 @@ from rollcall.functions import patterns as p
 from rollcall.functions.text import plain_spaces, trim
 
 
-def read_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", breaks: str = r"\r?\n") -> DataFrame:
-    """doc, n (0, 1, ...) and line of the lines that aren't blank."""
+def read_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text", breaks: str = r"\r?\n", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc, the columns in keep, n (0, 1, ...) and line of the lines that aren't blank."""
     parts = F.filter(F.transform(F.split(plain_spaces(text), breaks), trim), lambda x: x != "")
-    return docs.select(doc, F.posexplode(parts).alias("n", "line"))
+    return docs.select(doc, *keep, F.posexplode(parts).alias("n", "line"))
 
 
 def segments(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -128,29 +130,42 @@ def slice_dim(spark: SparkSession) -> DataFrame:
         "bucket string, high_fidelity boolean, review_period boolean, with_in_progress boolean")
 
 
+def _between(first: int, last: int, y: Column) -> Column:
+    return y.between(first, last)
+
+
 def slice_excerpts(lines: DataFrame, slices: DataFrame, doc: str = "doc_id") -> DataFrame:
     """The lines of each document that each slice needs: doc, slice_key, n, line.
 
-    The slices are a broadcast table of fixed size; all bounds and the context are windows over (document, slice), so a
-    document's lines are shuffled once.  A slice without a year window keeps its bounded lines; one with it keeps the
-    context of lines with such a year, or, if there is none, the whole text.
+    A slice without a year window keeps its bounded lines; one with it keeps the context of lines with such a year, or, if
+    there is none, the whole text.  slices is the dimension of slice_dim, whose few rows become columns: each pattern is
+    searched once a line, all bounds and contexts are windows over the document, so its lines are shuffled and
+    sorted once, and only lines that a slice keeps are copied.
     """
-    s = F.broadcast(slices.select("slice_key", "first_year", "last_year", "start_pattern", "end_pattern", "heading_pattern", "with_in_progress"))
-    w = Window.partitionBy(doc, "slice_key")
-    rows = lines.crossJoin(s)
-    like = lambda c: F.coalesce(F.regexp_like("line", F.col(c)), F.lit(False))
-    rows = rows.withColumn("_a", F.min(F.when(like("start_pattern"), F.col("n"))).over(w))
-    rows = rows.withColumn("_z", F.min(F.when((F.col("n") > F.col("_a")) & like("end_pattern"), F.col("n"))).over(w))
-    inside = F.col("_a").isNull() | ((F.col("n") >= F.col("_a")) & (F.col("_z").isNull() | (F.col("n") < F.col("_z"))))
-    rows = rows.withColumn("_in", inside)
-    years = F.regexp_extract_all(F.col("line"), F.lit(rf"{p.LEFT}((?:19|20)\d{{2}}){p.RIGHT}"), 1)
-    dated = F.exists(years, lambda y: (y.cast("int") >= F.coalesce("first_year", F.lit(0))) & (y.cast("int") <= F.coalesce("last_year", F.lit(9999))))
-    hit = F.col("_in") & (dated | (F.col("with_in_progress") & F.col("line").rlike(p.words(*p.SOURCE_IN_PROGRESS))))
-    heading = F.col("_in") & (F.length("line") <= 140) & (F.col("line").rlike(r"(?i)^section\s") | like("heading_pattern"))
-    windowed = F.col("first_year").isNotNull() | F.col("last_year").isNotNull()
-    order = Window.partitionBy(doc, "slice_key").orderBy("n")
-    rows = rows.withColumns({"_hit": hit, "_window": windowed})
-    rows = rows.withColumn("_keep", F.col("_in") & (F.max("_hit").over(order.rowsBetween(-1, 2)) | heading))
-    rows = rows.withColumn("_some", F.max("_keep").over(w))
-    kept = F.when(F.col("_window"), F.col("_keep") | ~F.col("_some")).otherwise(F.col("_in"))
-    return rows.filter(kept).select(doc, "slice_key", "n", "line")
+    dim = slices.collect()
+    edges = {p: F.regexp_like("line", F.lit(p)) for r in dim for p in (r.start_pattern, r.end_pattern, r.heading_pattern) if p}
+    name = {p: f"_like{i}" for i, p in enumerate(edges)}
+    like = lambda p: F.col(name[p]) if p else F.lit(False)
+    years = F.regexp_extract_all("line", F.lit(rf"{p.LEFT}((?:19|20)\d{{2}}){p.RIGHT}"), 1)
+    short = F.length("line") <= 140
+    rows = lines.select(doc, "n", "line").withColumns({
+        **{name[p]: c for p, c in edges.items()}, "_years": F.transform(years, lambda y: y.cast("int")),
+        "_unfinished": F.col("line").rlike(p.words(*p.SOURCE_IN_PROGRESS)), "_short": short, "_section": short & F.col("line").rlike(r"(?i)^section\s")})
+    whole, ordered = Window.partitionBy(doc), Window.partitionBy(doc).orderBy("n")
+    bounds = {(r.start_pattern, r.end_pattern): i for i, r in enumerate(dim) if r.start_pattern}
+    rows = rows.withColumns({f"_a{i}": F.min(F.when(like(a), F.col("n"))).over(whole) for (a, _), i in bounds.items()})
+    rows = rows.withColumns({f"_z{i}": F.min(F.when((F.col("n") > F.col(f"_a{i}")) & like(z), F.col("n"))).over(whole) for (_, z), i in bounds.items()})
+    inside = {None: F.lit(True)} | {k: F.col(f"_a{i}").isNull() | ((F.col("n") >= F.col(f"_a{i}")) & (F.col(f"_z{i}").isNull() | (F.col("n") < F.col(f"_z{i}")))) for k, i in bounds.items()}
+    of = lambda r: inside[(r.start_pattern, r.end_pattern) if r.start_pattern else None]
+    dated = [(i, r) for i, r in enumerate(dim) if r.first_year is not None or r.last_year is not None]
+    hits = {}
+    for i, r in dated:
+        year = F.exists("_years", partial(_between, r.first_year or 0, r.last_year or 9999))
+        hits[f"_hit{i}"] = of(r) & (year | F.col("_unfinished") if r.with_in_progress else year)
+    rows = rows.withColumns(hits)
+    near = {f"_keep{i}": of(r) & (F.max(f"_hit{i}").over(ordered.rowsBetween(-1, 2)) | F.col("_section") | (F.col("_short") & like(r.heading_pattern))) for i, r in dated}
+    rows = rows.withColumns(near)
+    rows = rows.withColumns({f"_some{i}": F.max(f"_keep{i}").over(whole) for i, _ in dated})
+    kept = {i: F.col(f"_keep{i}") | ~F.col(f"_some{i}") for i, _ in dated}
+    keys = F.array_compact(F.array(*[F.when(kept.get(i, of(r)), F.lit(r.slice_key)) for i, r in enumerate(dim)]))
+    return rows.select(doc, F.explode(keys).alias("slice_key"), "n", "line")

@@ -29,6 +29,13 @@ def renumber(df: DataFrame, group: list[str], order: list[str], name: str = "num
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
+def concat_buckets(df: DataFrame, doc: str, buckets: tuple[str, ...], order: list[str], name: str = "number") -> DataFrame:
+    """The buckets of a document, in the order given, as one list numbered 1..n; rows of other buckets go."""
+    place = F.array_position(F.array(*[F.lit(b) for b in buckets]), F.col("bucket"))
+    listed = df.withColumn("_place", place).filter(F.col("_place") > 0)
+    return renumber(listed, [doc], ["_place", *order], name).drop("_place")
+
+
 def review_divider(df: DataFrame, group: list[str], content: Column, number: str, cutoff: str, explicit: Column | None = None) -> DataFrame:
     """Adds is_new and divider: whether the line 'new since last review' stands before the row.
 
@@ -155,11 +162,11 @@ def merge_duplicates(df: DataFrame, group: list[str], content: str = "text", opt
     """Copies of a citation as one row: the shortest citation (the earliest if equal), the first of each optional value
     that is there, flags true if any copy's is; the type is the first copy's, or the most specific in the bucket
     named by specific.  One aggregate, whose parts are summed before the shuffle."""
-    split = t.split_contribution(content)
-    note = {"note": F.coalesce("note", split["note"])} if "note" in optional else {}
-    plain = F.col("note").isNull() & split["note"].isNotNull() if "note" in optional else F.lit(False)
-    rows = df.withColumn("_key", t.citation_key(content)).filter("_key <> ''").withColumns(
-        note | {"_citation": F.when(plain, split["citation"]).otherwise(F.col(content))})
+    split = df.withColumn("_split", t.split_contribution(content))
+    note = {"note": F.coalesce("note", "_split.note")} if "note" in optional else {}
+    plain = F.col("note").isNull() & F.col("_split.note").isNotNull() if "note" in optional else F.lit(False)
+    rows = split.withColumn("_key", t.norm_citation(F.col("_split.citation"))).filter("_key <> ''").withColumns(
+        note | {"_citation": F.when(plain, F.col("_split.citation")).otherwise(F.col(content))})
     rank = F.array_position(F.array(*[F.lit(x) for x in p.PUBLICATION_TYPES]), F.col("pub_type"))
     best = F.min_by("pub_type", F.when(F.col("bucket") == specific, F.struct(rank, order)).otherwise(F.struct(F.lit(0).cast("bigint"), order)))
     return rows.groupBy(*group, "bucket", "_key").agg(

@@ -126,6 +126,7 @@ CUT = int(q.CUTOFF.replace("-", ""))
 CHRONO = f"""select doc_id, bucket, ord, number, text, is_new, coalesce(bool_or(old) over w and f > 1 and number = f, false) as divider from (
  select *, min(case when is_new then number end) over (partition by doc_id, bucket) as f from (
   select *, coalesce(sort_key >= {CUT}, false) as is_new, coalesce(sort_key < {CUT}, false) as old from ({NUMBERED}))) window w as (partition by doc_id, bucket)"""
+SECOND = numbered(first(moved(f"select * replace ({rx('text', q.RENAMED, 'Seminar (poster)')} as text) from ({v.REC_ORDERS})"), "doc_id, bucket", by_case("text"), "ord"), "doc_id, bucket", "ord")
 LINES = v.LINES_DUCK
 ORDER_LINES = f"""select doc_id, row_number() over (partition by doc_id order by ord) - 1 as n, case when ord % 17 = 0 then 'Invited Lectures at Institutions' when ord % 19 = 0
  then 'Abstracts and Contributed Talks' when ord % 23 = 0 then 'University Service' else trim(text) end as line from ({v.REC_ORDERS})"""
@@ -269,12 +270,12 @@ def oracle_sql() -> dict[str, str]:
  (select doc_id, slice_key, string_agg(line, chr(10) order by n) as body from ({excerpts(ORDER_LINES)}) group by all) e on d.doc_id = e.doc_id and d.slice_key = e.slice_key
  where not (d.doc_id % 2 = 0 and d.slice_key = 'II_grants')""",
         "extracted_slices": f"""select doc_id, slice_key, row_number() over (partition by doc_id, slice_key order by n) - 1 as pos, line as text, null::varchar as error from ({excerpts(ORDER_LINES)})
- where slice_key like 'III_abstracts%'""",
+ where line <> ''""",
         "markup_text": f"select page_id, md5(t) as text_md5, length(t) as n_chars from (select page_id, {_markup()} as t from pages)",
         "leak_scan": f"select {', '.join(f'count(*) filter (where {has("t", x)}) as {k}' for k, x in q.LEAKS.items())} from (select {_markup()} as t from pages)",
-        "rich_paragraphs": """select conv_id * 1000 + turn as doc, 0::bigint as paragraph, trim(regexp_replace(concat(a, ' a &', role, case when turn % 2 = 0 then ' tail' else '' end), '\\s+', ' ', 'g')) as text,
+        "rich_paragraphs": """select concat(conv_id, '/', turn) as doc, 0::bigint as paragraph, trim(regexp_replace(concat(a, ' a &', role, case when turn % 2 = 0 then ' tail' else '' end), '\\s+', ' ', 'g')) as text,
  concat('[{"text":', to_json(concat(a, ' a &')), '},{"text":"', role, '","vertical_align":"superscript"}', case when turn % 2 = 0 then ',{"text":" tail"}' else '' end, ']') as runs
- from (select *, substr(regexp_replace(text, '[<&]', '', 'g'), 1, 30) as a from conversations) where length(trim(regexp_replace(concat(a, ' a &', role, case when turn % 2 = 0 then ' tail' else '' end), '\\s+', ' ', 'g'))) >= 12""",
+ from (select *, regexp_replace(text, '[<&]', '', 'g') as a from conversations) where length(trim(regexp_replace(concat(a, ' a &', role, case when turn % 2 = 0 then ' tail' else '' end), '\\s+', ' ', 'g'))) >= 12""",
         "ingest_partials": """select o_orderkey as id, 0::bigint as pos, 4.0::double as number, concat('Book ', o_orderkey) as citation, 'book' as pub_type, true as is_new from orders where o_orderkey % 6 = 0
  union all select o_orderkey, 3, 4.0, '12', 'other', null from orders where o_orderkey % 6 = 0 union all select o_orderkey, 0, 1.0, concat('Fenced ', o_orderkey), 'other', null from orders where o_orderkey % 6 = 1""",
         "ingest_strings": "select o_orderkey as id, unnest([0, 2])::bigint as pos, unnest(['A', '3']) as text from orders where o_orderkey % 6 = 0",
@@ -297,12 +298,12 @@ def oracle_sql() -> dict[str, str]:
         "core_conflicts": f"""select a.doc_id, a.ord, concat(s.d, ' (', s.t, ') / ', {bare('a.description')}) as conflict from (select *, {core('description')} as k from ({ACT}) where bucket <> 'universityService') a join
  (select doc_id, {core('description')} as k, arg_max(description, ord) as d, arg_max(dates, ord) as t from ({ACT}) where bucket = 'universityService' group by all) s on a.doc_id = s.doc_id and a.k = s.k""",
         "proceedings_anti": f"select bucket, count(*) as n, sum(ord)::bigint as total from ({without_proceedings(reclassified(v.PUBS))}) group by 1",
-        "ordered_union": f"select doc_id, ord, row_number() over (partition by doc_id order by bucket, ord) as number from ({v.REC_ORDERS}) where bucket in ('1-URGENT', '3-MEDIUM', '5-LOW')",
+        "ordered_union": f"select doc_id, bucket, ord, row_number() over (partition by doc_id order by list_position([{', '.join(map(lit, q.BUCKET_ORDER))}], bucket), ord) as number from ({v.REC_ORDERS})",
         "merged_duplicates": merged(v.PUBS),
         "fuzzy_same": f"select key_a, key_b, round(common / smaller, 6) as share from ({PASSAGES})",
         "fuzzy_check": f"select key_a, count(*) as documents from ({PASSAGES}) group by 1",
-        "abstract_anti": f"""select conv_id * 1000 + turn as key from conversations where turn > 0 and conv_id * 1000 + turn not in (select key_a from ({fuzzy(
-            'select conv_id * 1000 + turn as key, text as body from conversations where turn > 0', 'select conv_id * 1000 + turn as key, text as body from conversations where turn = 0')}))""",
+        "abstract_anti": f"""select concat(conv_id, '/', turn) as key from conversations where turn > 0 and concat(conv_id, '/', turn) not in (select key_a from ({fuzzy(
+            "select concat(conv_id, '/', turn) as key, text as body from conversations where turn > 0", "select concat(conv_id, '/', turn) as key, text as body from conversations where turn = 0")}))""",
         "best_rich_match": _best(),
         "cross_bucket_notes": f"""select lang, concat(f, '; ', source) as section, doc_id, n, item from (select *, first_value(source) over (partition by lang, k order by source, doc_id, n) as f from (
  select *, {bare('line')} as item, {_REVIEW} as k from ({LINES})) where length(k) >= 24) where f <> source""",
@@ -314,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
  count(*) filter (where severity = 'recommended') as recommended, count(*) filter (where severity = 'optional') as optional from ({v.GAPS_SRC}) group by 1) g on c.doc_id = g.doc_id
  left join (select conv_id % 100 as doc_id, count(*) as notes from conversations group by 1) m on c.doc_id = m.doc_id""",
         "gap_report": f"""select doc_id % 50 as group_id, severity, section, field, cast(doc_id as varchar) as instruction, case severity when 'required' then 1 when 'recommended' then 2 else 3 end::bigint as severity_rank,
- row_number() over (partition by doc_id % 50, severity order by section, field, cast(doc_id as varchar)) as number from ({v.GAPS_SRC})""",
+ row_number() over (partition by doc_id % 50, severity order by doc_id) as number from ({v.GAPS_SRC})""",
         "final_state": FINAL,
         "job_status": _status(),
         "resolved_attempts": f"""select job_id, slice_key, arg_min(event_id, {{'a': attempt, 'b': event_id}}) filter (where state = 'done') as result, bool_or(state = 'done') as succeeded,
@@ -331,9 +332,14 @@ def oracle_sql() -> dict[str, str]:
         "anchor_counts": _anchors(),
         "duplicate_inventory": f"select source, key, count(*) as copies from (select source, {by_record('line')} as key from ({LINES})) where key <> '' group by all having count(*) > 1",
         "run_diff": f"""select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.bucket, b.bucket) as bucket, coalesce(a.number, b.number) as number,
- case when b.doc_id is null then 'removed' when a.doc_id is null then 'added' else 'changed' end as change from (select * from ({CHRONO}) where ord % 50 <> 0) a full outer join
- ({numbered(first(f"select * from ({CLEAN}) where ord % 50 <> 1", "doc_id, bucket", by_case("text"), "ord"), "doc_id, bucket", "ord")}) b
+ case when b.doc_id is null then 'removed' when a.doc_id is null then 'added' else 'changed' end as change from ({CHRONO}) a full outer join
+ ({SECOND}) b
  on a.doc_id = b.doc_id and a.bucket = b.bucket and a.number = b.number where a.text is distinct from b.text""",
+        "new_duplicates": f"""select b.* from {_repeats(SECOND)} b anti join {_repeats(CHRONO)} a on a.doc_id = b.doc_id and a.key = b.key""",
+        "guarded_append": f"""select conv_id, unnest(range(len(kept))) as pos, unnest(kept) as text from (select conv_id, list_reduce(list_prepend(
+  list_filter(texts[1:1], lambda x: {by_case('x')} <> ''), list_transform(texts[2:], lambda x: [x])), lambda acc, c: case when len(list_filter(acc, lambda y:
+   least(len({tokens('y')}), len({tokens('c[1]')})) >= 8 and len(list_intersect({tokens('y')}, {tokens('c[1]')})) >= 0.9 * least(len({tokens('y')}), len({tokens('c[1]')})))) > 0 then acc else list_concat(acc, c) end) as kept
+ from (select conv_id, list(text order by turn) as texts from conversations group by 1))""",
         "count_tolerance": f"""select bucket, expected, actual, case when expected = 0 then actual = 0 else abs(actual - expected) <= (case when bucket = 'peerReviewedJournals' then 0.02::double else 0.1::double end) * expected end as within
  from (select coalesce(a.bucket, b.bucket) as bucket, coalesce(a.n, 0) as expected, coalesce(b.n, 0) as actual from (select bucket, count(*) as n from ({v.PUBS}) group by 1) a full outer join
  (select bucket, count(*) as n from ({reclassified(f"select * exclude (home) replace (home as bucket) from ({MOVED})")}) group by 1) b on a.bucket = b.bucket)""",
@@ -353,6 +359,10 @@ def oracle_sql() -> dict[str, str]:
     return out
 
 
+def _repeats(rows: str) -> str:
+    return f"(select doc_id, key, count(*) as copies from (select doc_id, {core('text')} as key from ({rows})) where key <> '' group by 1, 2 having count(*) > 1)"
+
+
 def _markup() -> str:
     x = rx("replace(html, '</p>', chr(10))", "<[^>]+>")
     for a, b in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
@@ -407,7 +417,7 @@ def _rendered() -> str:
 
 def _anchors() -> str:
     parts = "string_split(text, ' ')"
-    a = f"""select distinct anchor from (select array_to_string(list_slice({parts}, 1, 8), ' ') as anchor from benchmark union all
+    a = f"""select distinct anchor from (select text as anchor from benchmark union all select array_to_string(list_slice({parts}, 1, 8), ' ') as anchor from benchmark union all
  select concat(array_to_string(list_slice({parts}, 1, 2), ' '), '|', array_to_string(list_slice({parts}, -5, -1), ' ')) from benchmark)"""
     return f"""select anchor, count(doc_id) as matches from (select anchor, list_transform(string_split(anchor, '|'), lambda x: {by_words('x')}) as ps from ({a})) left join
  (select doc_id, {by_words('text')} as t from documents) on len(list_filter(ps, lambda x: not contains(t, x))) = 0 group by 1"""

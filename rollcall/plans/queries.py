@@ -37,8 +37,7 @@ def pubs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = v.table(spark, d, "documents")
-    return ln.read_lines(docs).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    return ln.read_lines(v.table(spark, d, "documents"), keep=("lang", "source"))
 
 
 @query
@@ -175,10 +174,10 @@ def request_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def extracted_slices(spark: SparkSession, d: str) -> DataFrame:
-    """The rule-based extractor on the abstracts' excerpts."""
-    li, s = order_lines(spark, d), ln.slice_dim(spark).filter("bucket = 'abstracts'")
-    cut = ln.slice_excerpts(li, s).groupBy("doc_id", "slice_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return big(jobs.extract_slices(cut.withColumn("bucket", F.lit("abstracts")), "doc_id"))
+    """The rule-based extractor on every slice's excerpt."""
+    s = ln.slice_dim(spark)
+    cut = ln.slice_excerpts(order_lines(spark, d), s).groupBy("doc_id", "slice_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    return big(jobs.extract_slices(cut.join(F.broadcast(s.select("slice_key", "bucket")), "slice_key"), "doc_id"))
 
 
 @query
@@ -199,8 +198,8 @@ def rich_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     up = '<w:r><w:rPr><w:vertAlign w:val="superscript"/></w:rPr><w:t>{}</w:t></w:r>'.split("{}")
     run = lambda c: F.concat(F.lit("<w:r><w:t xml:space=\"preserve\">"), c, F.lit("</w:t></w:r>"))
     x = v.table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc"),
-        F.concat(F.lit("<w:p >"), run(F.substring(F.regexp_replace("text", "[<&]", ""), 1, 30)), run(F.lit(" a &amp;")), F.lit(up[0]), "role", F.lit(up[1]),
+        F.concat_ws("/", "conv_id", "turn").alias("doc"),
+        F.concat(F.lit("<w:p >"), run(F.regexp_replace("text", "[<&]", "")), run(F.lit(" a &amp;")), F.lit(up[0]), "role", F.lit(up[1]),
                  F.when(F.col("turn") % 2 == 0, run(F.lit(" tail"))).otherwise(""), F.lit("</w:p><w:p >"), run(F.lit("plain")), F.lit("</w:p>")).alias("xml"))
     p = files.rich_paragraphs(x, "doc", "xml")
     return big(p.select("doc", "paragraph", "text", F.to_json("runs").alias("runs")))
@@ -307,11 +306,13 @@ def proceedings_anti(spark: SparkSession, d: str) -> DataFrame:
     return rec.proceedings_anti(rec.reclassify(pubs(spark, d)), ["doc_id"]).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("ord").alias("total"))
 
 
+BUCKET_ORDER = ("5-LOW", "1-URGENT", "4-NOT SPECIFIED", "2-HIGH", "3-MEDIUM")
+
+
 @query
 def ordered_union(spark: SparkSession, d: str) -> DataFrame:
-    """Three buckets of a customer as one list: in the order of the buckets, then of the records."""
-    x = orders(spark, d).filter("bucket in ('1-URGENT', '3-MEDIUM', '5-LOW')")
-    return big(rec.renumber(x, ["doc_id"], ["bucket", "ord"]).select("doc_id", "ord", "number"))
+    """All buckets of a customer as one list: in the order given for the buckets, then of the records."""
+    return big(rec.concat_buckets(orders(spark, d), "doc_id", BUCKET_ORDER, ["ord"]).select("doc_id", "bucket", "ord", "number"))
 
 
 @query
@@ -335,7 +336,7 @@ def fuzzy_check(spark: SparkSession, d: str) -> DataFrame:
 @query
 def abstract_anti(spark: SparkSession, d: str) -> DataFrame:
     """Turns that no other conversation's opening turn nearly repeats."""
-    x = v.table(spark, d, "conversations").withColumn("key", F.col("conv_id") * 1000 + F.col("turn"))
+    x = v.table(spark, d, "conversations").withColumn("key", F.concat_ws("/", "conv_id", "turn"))
     opening = x.filter("turn = 0").select("key", "text")
     return fuzzy.without_fuzzy_copies(x.filter("turn > 0"), opening, "key", "text").select("key")
 
@@ -397,14 +398,14 @@ def section_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gap_report(spark: SparkSession, d: str) -> DataFrame:
-    x = v.view(spark, d, v.GAPS_SRC).select((F.col("doc_id") % 50).alias("group_id"), "severity", "section", "field", F.col("doc_id").cast("string").alias("instruction"))
-    return big(audit.summary_order(x, "group_id"))
+    x = v.view(spark, d, v.GAPS_SRC).select((F.col("doc_id") % 50).alias("group_id"), "severity", "section", "field", F.col("doc_id").cast("string").alias("instruction"), "doc_id")
+    return big(audit.summary_order(x, "group_id", ["doc_id"]).drop("doc_id"))
 
 
 def due(spark: SparkSession, d: str) -> DataFrame:
     x = v.view(spark, d, v.OUTCOMES)
     kinds = x.select("slice_key").distinct()
-    return x.select("job_id").distinct().crossJoin(F.broadcast(kinds))
+    return x.select("job_id").distinct().crossJoin(kinds)
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
@@ -477,9 +478,9 @@ def explode_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def anchor_counts(spark: SparkSession, d: str) -> DataFrame:
-    """In how many documents each passage, and each short phrase from it, stands."""
+    """In how many documents each whole passage, and each short phrase from it, stands."""
     b = v.table(spark, d, "benchmark").select("text")
-    anchors = b.select(F.substring_index("text", " ", 8).alias("anchor")).unionAll(b.select(F.concat(F.substring_index("text", " ", 2), F.lit("|"), F.substring_index("text", " ", -5)).alias("anchor"))).distinct()
+    anchors = b.select(F.col("text").alias("anchor")).unionAll(b.select(F.substring_index("text", " ", 8))).unionAll(b.select(F.concat(F.substring_index("text", " ", 2), F.lit("|"), F.substring_index("text", " ", -5)).alias("anchor"))).distinct()
     return audit.anchor_counts(v.table(spark, d, "documents"), anchors, "text")
 
 
@@ -488,12 +489,25 @@ def duplicate_inventory(spark: SparkSession, d: str) -> DataFrame:
     return audit.duplicate_inventory(corpus_lines(spark, d), ["source"], t.norm_record("line"))
 
 
+RENAMED = "Talk at the World Congress|Prize for teaching|Visiting Scholar"
+
+
 @query
 def run_diff(spark: SparkSession, d: str) -> DataFrame:
-    a = chrono_numbered_records(spark, d).filter("ord % 50 <> 0")
-    clean = orders(spark, d).withColumn("text", dates.clean_record("text")).filter("ord % 50 <> 1")
-    b = big(rec.number_by_date(rec.dedupe_first(clean, ["doc_id", "bucket"], t.norm_dedupe("text"), ["ord"]), ["doc_id", "bucket"], F.col("text"), ["ord"]))
-    return audit.diff_runs(a, b, ["doc_id", "bucket", "number"], ["text"])
+    return audit.diff_runs(chrono_numbered_records(spark, d), second_run(spark, d), ["doc_id", "bucket", "number"], ["text"])
+
+
+def second_run(spark: SparkSession, d: str) -> DataFrame:
+    """Another run over the same records, in which talks at a congress lost their words: records change and become repeats."""
+    clean = orders(spark, d).withColumn("text", dates.clean_record(F.regexp_replace("text", RENAMED, "Seminar (poster)")))
+    return big(rec.number_by_date(rec.dedupe_first(clean, ["doc_id", "bucket"], t.norm_dedupe("text"), ["ord"]), ["doc_id", "bucket"], F.col("text"), ["ord"]))
+
+
+@query
+def new_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats, dates left aside, that the second run has and the first one had not."""
+    of = lambda x: audit.duplicate_inventory(x, ["doc_id"], t.activity_core("text"))
+    return audit.new_duplicates(of(chrono_numbered_records(spark, d)), of(second_run(spark, d)), ["doc_id", "key"])
 
 
 @query

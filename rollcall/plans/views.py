@@ -68,7 +68,7 @@ LINES_DUCK = r"""select doc_id, lang, source, row_number() over (partition by do
 
 #: Turns of conversations as student-group entries: conv_id, turn, heading, entry.
 TURNS = """select conv_id, turn, case turn % 5 when 0 then 'Current Ph.D. Students:' when 1 then 'Undergraduate researchers' when 2 then 'Masters students' when 3 then concat('Group ', role)
- else '' end as heading, case turn % 4 when 0 then concat('1. ', text) when 1 then concat('Current Ph.D. Students: ', substr(text, 1, 40)) when 2 then substr(text, 1, 12)
+ else '' end as heading, case turn % 4 when 0 then concat('1. ', text) when 1 then concat('Current Ph.D. Students: ', text) when 2 then text
  else concat(role, ' ', cast(2000 + turn as string)) end as entry, role, text from conversations"""
 
 #: What documents lack: doc_id, kind, severity, section.
