@@ -81,3 +81,22 @@ STRING_BUCKETS = (
 APPENDIX_HEADING = "Conversion Review Summary"
 APPENDIX_INTRO = "This page lists items the automated conversion could not complete or was unsure how to place."
 NOT_LISTED = "Not listed"
+#: Where a record may also stand: its section's name in a note, and the bucket, in the order in which repeats are looked for.
+ACTIVITY_SECTIONS = (
+    ("Section II: Professional Activities", "professionalActivities"), ("Section II: External Professional Activities", "externalProfessionalActivities"),
+    ("Section II: Reviewer Activities", "reviewerActivities"), ("Section II: Presentations at National and International Meetings", "presentations"),
+    ("Section II: Other Invited Presentations", "invitedPresentations"), ("Section II: Student Instructional Activities", "studentInstructionalGroups"),
+    ("Section II: Student Instructional Activities", "studentInstructionalActivities"),
+)
+PUBLICATION_SECTIONS = (
+    ("Section III.A.I Refereed Journal Articles", "peerReviewedJournals"), ("Section III.A.II Review and Invited Articles", "reviewAndInvited"),
+    ("Section III.A.III Books", "books"), ("Section III.A.III Book Chapters", "chapters"), ("Section III.A.IV Refereed Conference Proceedings", "refereedProceedings"),
+    ("Section III.A.V Other Articles", "otherArticles"), ("Section III.B.I Other Conference Proceedings", "otherProceedings"), ("Section III.B.II Abstracts", "abstracts"),
+    ("Section III.B.III Popular Works", "popularWorks"),
+)
+#: Section, topic and the words before the record, of the three kinds of notes.
+CONFLICT_NOTE = (
+    "Section II: University Service; Section II: External Professional Activities", "Potential duplicate placement",
+    "Review the differing date or wording before choosing one placement: ")
+ACTIVITY_NOTE = ("Potential duplicate placement", "Review whether this item should appear in both sections or only one: ")
+PUBLICATION_NOTE = ("Potential duplicate bibliography placement", "Review whether this citation should appear in both sections or only one: ")

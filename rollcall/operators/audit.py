@@ -53,6 +53,14 @@ def structural_gaps(records: DataFrame, gaps: DataFrame, doc: str) -> DataFrame:
     return found.join(gaps, (found[doc] == gaps[doc]) & (low(found) == low(gaps)), "left_anti")
 
 
+def record_gaps(employment: DataFrame, education: DataFrame, grants: DataFrame, doc: str) -> DataFrame:
+    """What records lack, as structural_gaps reads it: doc, kind, missing."""
+    no = lambda c: ~t.has_text(c)
+    return employment.select(doc, F.lit("employment").alias("kind"), F.array_compact(F.array(F.when(no("location"), F.lit("location")))).alias("missing")).unionAll(
+        education.select(doc, F.lit("education"), F.array_compact(F.array(F.when(no("datesFrom") & no("datesTo"), F.lit("dates")), F.when(no("location"), F.lit("location")))))).unionAll(
+        grants.select(doc, F.lit("grants"), F.array_compact(F.array(F.when(no("role") | no("coPIsShare"), F.lit("role"))))))
+
+
 def section_counts(records: DataFrame, doc: str, bucket: str, groups: dict[str, list[str]]) -> DataFrame:
     """Records of each document in each group of buckets."""
     return records.groupBy(doc).agg(*[F.count_if(F.col(bucket).isin(*names)).alias(g) for g, names in groups.items()])
@@ -118,6 +126,16 @@ def duplicate_inventory(df: DataFrame, group: list[str], key: Column) -> DataFra
     return df.withColumn("key", key).filter("key <> ''").groupBy(*group, "key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
 
 
+def placement_inventory(services: DataFrame, activities: DataFrame, publications: DataFrame, doc: str) -> DataFrame:
+    """doc and entry: activities that are services too, citations twice in a bucket, and activities that occur twice."""
+    own = services.select(doc, t.norm_service("description", F.col("dates")).alias("_key")).distinct()
+    as_service = activities.select(doc, t.norm_service("text").alias("_key")).filter("_key <> ''").distinct().join(own, [doc, "_key"])
+    cited = duplicate_inventory(publications, [doc, "bucket"], t.norm_record(t.split_contribution("text")["citation"]))
+    twice = duplicate_inventory(activities, [doc], t.norm_record("text"))
+    return as_service.select(doc, F.concat(F.lit("service/external:"), "_key").alias("entry")).unionAll(
+        cited.select(doc, F.concat("bucket", F.lit(":"), "key"))).unionAll(twice.select(doc, F.concat(F.lit("external-professional-activities:"), "key")))
+
+
 def new_duplicates(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the later inventory whose keys the earlier one lacks."""
     return after.join(before.select(*keys), keys, "left_anti")

@@ -17,16 +17,18 @@ def same(a: Column, b: Column) -> Column:
     return (smaller >= LEAST) & (F.size(F.array_intersect(a, b)) >= SHARE * smaller)
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, content: str, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, content: str, share: float = SHARE, least: int = LEAST, within: str | None = None) -> DataFrame:
     """Pairs (key_a, key_b) of a row of left and a row of right whose words are nearly the same, with the common share.
 
+    within: a column that both rows must share, as their document.
+
     If the smaller set has m words, at most m - ceil(share * m) of them are missing from the other; so among any
     m - ceil(share * m) + 1 of them one is common.  Each side in turn gives its rarest words as blocking keys, which meet
     the other side's full sets; candidates are then compared exactly.  No pair is lost and no block is capped.
 
     Equal sets of a side are one candidate, and pairs are spread over their members at the end.
     """
-    a, b = (_sets(df, key, content, least) for df in (left, right))
+    a, b = (_sets(df, content, least, within) for df in (left, right))
     frequency = a.unionAll(b).select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     hits = _candidates(a, b, frequency, share).unionAll(_candidates(b, a, frequency, share).select(F.col("other").alias("one"), F.col("one").alias("other"))).distinct()
     x = a.select(F.col("id").alias("one"), F.col("words").alias("wa"))
@@ -34,7 +36,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, content: str, share
     common = F.size(F.array_intersect("wa", "wb"))
     smaller = F.least(F.size("wa"), F.size("wb"))
     found = hits.join(x, "one").join(y, "other").withColumn("common", common).withColumn("smaller", smaller).filter(F.col("common") >= share * F.col("smaller"))
-    members = lambda df, name: df.select(F.col(key).alias(name), _name(F.array_sort(tokens(content))).alias("_set"))
+    members = lambda df, name: df.select(F.col(key).alias(name), _name(_words(content, within)).alias("_set"))
     return (
         found.select("one", "other", (F.col("common") / F.col("smaller")).alias("share"))
         .join(members(left, "key_a").withColumnRenamed("_set", "one"), "one").join(members(right, "key_b").withColumnRenamed("_set", "other"), "other")
@@ -46,8 +48,14 @@ def _name(words: Column) -> Column:
     return F.md5(F.array_join(words, " "))
 
 
-def _sets(df: DataFrame, key: str, content: str, least: int) -> DataFrame:
-    rows = df.select(F.array_sort(tokens(content)).alias("words")).filter(F.size("words") >= least)
+def _words(content: str, within: str | None) -> Column:
+    """The sorted words of a text; with within, words of different groups differ."""
+    words = F.array_sort(tokens(content))
+    return F.transform(words, lambda w: F.concat(F.col(within).cast("string"), F.lit(":"), w)) if within else words
+
+
+def _sets(df: DataFrame, content: str, least: int, within: str | None) -> DataFrame:
+    rows = df.select(_words(content, within).alias("words")).filter(F.size("words") >= least)
     return rows.select(_name(F.col("words")).alias("id"), "words").dropDuplicates(["id"])
 
 
@@ -61,10 +69,10 @@ def _candidates(a: DataFrame, b: DataFrame, frequency: DataFrame, share: float)
     return keys.join(full, "word").filter("m <= n").select("one", "other").distinct()
 
 
-def without_fuzzy_copies(df: DataFrame, of: DataFrame, key: str, content: str, when: Column | None = None) -> DataFrame:
+def without_fuzzy_copies(df: DataFrame, of: DataFrame, key: str, content: str, when: Column | None = None, within: str | None = None) -> DataFrame:
     """df without rows (for which when holds) that nearly equal a row of the other table."""
     rows = df if when is None else df.filter(when)
-    pairs = fuzzy_pairs(rows, of, key, content).select(F.col("key_a").alias("_gone")).distinct()
+    pairs = fuzzy_pairs(rows, of, key, content, within=within).select(F.col("key_a").alias("_gone")).distinct()
     return df.join(pairs, df[key] == pairs["_gone"], "left_anti")
 
 

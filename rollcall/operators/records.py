@@ -186,6 +186,33 @@ def merge_groups(df: DataFrame, doc: str, heading: str, content: str, order: str
     return number_by_date(kept, [doc, "heading"], F.col("entry"), [order]).select(doc, "heading", "heading_order", "number", "entry")
 
 
+def fold_groups(groups: DataFrame, flat: DataFrame, doc: str, content: str, order: str = "ord") -> DataFrame:
+    """merge_groups over groups and over ``heading: entry`` texts of flat, which come after them.
+
+    groups: doc, heading, entry and order; flat: doc, content and order.
+    """
+    late = lambda n: F.struct(F.lit(n).alias("_late"), F.col(order).alias("_at")).alias("_order")
+    own = groups.select(doc, "heading", "entry", late(0))
+    folded = flat_groups(flat, content).select(doc, "heading", "entry", late(1))
+    return merge_groups(own.unionByName(folded), doc, "heading", "entry", "_order")
+
+
+def nested_groups(groups: DataFrame, doc: str) -> DataFrame:
+    """merge_groups' rows as one list a document: headings as first seen, each with its entries in order."""
+    one = groups.groupBy(doc, "heading", "heading_order").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "entry"))), lambda x: x["entry"]).alias("entries"))
+    listed = F.array_sort(F.collect_list(F.struct("heading_order", "heading", "entries")))
+    return one.groupBy(doc).agg(F.transform(listed, lambda x: F.struct(x["heading"].alias("heading"), x["entries"].alias("entries"))).alias("groups"))
+
+
+def service_view(category: Column | str) -> Column:
+    """In which list a service is shown."""
+    return F.when((F.col(category) if isinstance(category, str) else category) == "departmental", F.lit("departmentalService")).otherwise(F.lit("otherService"))
+
+
+def grant_view(status: Column | str) -> Column:
+    return F.when((F.col(status) if isinstance(status, str) else status) == "current", F.lit("currentGrants")).otherwise(F.lit("pastGrants"))
+
+
 def flat_groups(df: DataFrame, content: str) -> DataFrame:
     """``heading: entry`` texts with a heading of 4 to 90 characters, taken apart."""
     form = r"(?s)^\s*([^:]{4,90}):\s*(.+)$"

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions import dates, patterns as p, text as t
 from rollcall.functions.text import squeeze, strip_source_number
-from rollcall.operators import records as rec
+from rollcall.operators import audit, fuzzy, records as rec
+from rollcall.sources import ingest
+
+DOC = "doc_id"
 
 
 def consolidate(pubs: DataFrame) -> DataFrame:
@@ -17,8 +24,161 @@ def consolidate(pubs: DataFrame) -> DataFrame:
     another but the merge on (document, bucket, citation).
     """
     moved = rec.reclassify(rec.move_in_progress(pubs))
-    kept = rec.proceedings_anti(moved, ["doc_id"])
+    kept = rec.proceedings_anti(moved, [DOC])
     clean = kept.withColumn("text", squeeze(strip_source_number("text")))
-    ordered = rec.number_by_date(clean, ["doc_id", "bucket"], F.col("text"), ["moved", "ord", "text"], "place").drop("ord").withColumnRenamed("place", "ord")
-    merged = rec.merge_duplicates(ordered, ["doc_id"])
-    return rec.renumber(merged, ["doc_id", "bucket"], ["ord"])
+    ordered = rec.number_by_date(clean, [DOC, "bucket"], F.col("text"), ["moved", "ord", "text"], "place").drop("ord").withColumnRenamed("place", "ord")
+    flags = tuple(c for c in ("is_new", "is_own_thesis") if c in pubs.columns)
+    optional = tuple(c for c in ("note", "article_kind", "bioBibSection", "originalNumber", "previouslyListedAs", "reviewMaterialUrl") if c in pubs.columns)
+    merged = rec.merge_duplicates(ordered, [DOC], optional=optional, flags=flags)
+    return rec.renumber(merged, [DOC, "bucket"], ["ord"])
+
+
+@dataclass
+class Merged:
+    """The tables of all documents' results; each has doc_id, and number where its records are in order."""
+
+    publications: DataFrame
+    texts: DataFrame
+    services: DataFrame
+    grants: DataFrame
+    groups: DataFrame
+    employment: DataFrame
+    education: DataFrame
+    notes: DataFrame
+    gaps: DataFrame
+    metadata: DataFrame
+
+    def long(self) -> DataFrame:
+        """All records as doc_id, bucket, number, text and detail."""
+        rows = lambda df, bucket, text, *detail: df.select(DOC, bucket.alias("bucket"), F.col("number").cast("long").alias("number"), F.col(text).alias("text"), F.concat_ws("|", *detail).alias("detail"))
+        lit = F.lit
+        parts = [rows(self.publications, F.col("bucket"), "text", "pub_type", "note", "article_kind", F.col("is_new").cast("string")), rows(self.texts, F.col("bucket"), "text", lit("")),
+                 rows(self.services, lit("universityService"), "description", "category", "dates"), rows(self.grants, lit("grants"), "title", "funder", "period", "status", "role", "coPIsShare"),
+                 rows(self.groups, lit("studentInstructionalGroups"), "entry", "heading"), rows(self.employment, lit("employment"), "rank", "institution", "location", "start", "finish"),
+                 rows(self.education, lit("education"), "school", "degree", "location"), rows(self.notes, lit("reviewNotes"), "instruction", "section", "topic"),
+                 rows(self.gaps, lit("gaps"), "instruction", "section", "field", "severity")]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionAll(x)
+        return out
+
+
+def merge_results(parts: DataFrame, body: str = "body", saved: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Merged:
+    """Parts of documents' results (doc_id, part, body: JSON text) as one result for each document.
+
+    Later parts come after earlier ones.  Bad elements are left out one by one, parts that are no objects as a whole.
+    saved: writes a table that several steps read and reads it again; without it, they compute it each.
+    """
+    given = parts.select(DOC, "part", body)
+    e = saved(ingest.section_elements(given, body), "elements").withColumn("ord", F.struct("part", "pos"))
+    named = lambda *buckets: e.filter(F.col("bucket").isin(*buckets))
+
+    pubs = ingest.publication_rows(named(*p.PUBLICATION_BUCKETS)).withColumnsRenamed({"citation": "text", "contributionNote": "note"}).drop("number")
+    publications = saved(consolidate(pubs), "publications")
+    employed = ingest.employment_rows(named("employment"))
+    services = _services(ingest.service_rows(named("universityService")))
+    texts = ingest.string_rows(named(*p.STRING_BUCKETS)).select(DOC, "bucket", "ord", "text")
+    texts = _with_awards(texts, employed).withColumn("text", dates.clean_record("text"))
+    activities = _activities(texts)
+    conflicts = _conflicts(activities, services)
+    kept_activities = rec.without_keys_of(
+        activities.withColumn("dates", F.lit("")).unionByName(services.select(DOC, F.lit("universityService").alias("bucket"), "ord", F.col("description").alias("text"), "dates", F.lit(0).alias("external"))),
+        [DOC], "professionalActivities", "universityService", t.norm_service("text", F.col("dates"))).filter("bucket <> 'universityService'").select(DOC, "bucket", "ord", "text", "external")
+    others = texts.filter(~F.col("bucket").isin("professionalActivities", "externalProfessionalActivities", "presentations", "invitedPresentations"))
+    others = rec.dedupe_first(others, [DOC, "bucket"], t.norm_dedupe("text"), ["ord"]).withColumn("external", F.lit(0))
+    talks = _talks(texts.filter(F.col("bucket").isin("presentations", "invitedPresentations")), publications.filter("bucket = 'abstracts'"))
+    listed = kept_activities.unionByName(others).unionByName(talks.withColumn("external", F.col("moved")).drop("moved"))
+    listed = saved(rec.number_by_date(listed, [DOC, "bucket"], F.col("text"), ["external", "ord"]).drop("external", "ord"), "texts")
+
+    service_key = F.concat_ws("|", "category", t.norm_dedupe("description"), t.norm_dedupe("dates"))
+    unique_services = rec.dedupe_first(services, [DOC], service_key, ["ord"])
+    unique_services = rec.number_by_date(unique_services, [DOC], F.concat_ws(" ", "dates", "description"), ["ord"])
+    grants = rec.dedupe_first(ingest.grant_rows(named("grants")), [DOC], F.concat_ws("|", t.norm_dedupe("title"), t.norm_dedupe("funder"), t.norm_dedupe("period")), ["ord"])
+    grants = rec.number_by_date(grants, [DOC], F.concat_ws(" ", "period", "title"), ["ord"])
+    groups = ingest.group_rows(named("studentInstructionalGroups")).withColumn("entry", dates.clean_record("entry")).withColumn("ord", F.struct("ord", "entry_pos"))
+    groups = rec.merge_groups(groups, DOC, "heading", "entry")
+    employment = rec.renumber(rec.applicable_employment(employed), [DOC], ["ord"])
+    education = rec.renumber(ingest.education_rows(named("education")), [DOC], ["ord"])
+
+    notes = _notes(ingest.review_notes(given, body), conflicts, listed, groups, publications)
+    gaps = _gaps(ingest.gaps(given, body), employment, education, grants)
+    return Merged(publications, listed, unique_services, grants, groups, employment, education, notes, gaps, ingest.metadata(given, DOC, body, "part"))
+
+
+def _services(rows: DataFrame) -> DataFrame:
+    both = dates.clean_service("description", "dates")
+    return rows.withColumn("_both", both).withColumns({"description": F.col("_both.description"), "dates": F.col("_both.dates")}).drop("_both")
+
+
+def _with_awards(texts: DataFrame, employed: DataFrame) -> DataFrame:
+    """texts with honorific appointments as awards, unless one like it is there."""
+    listed = lambda df, text: df.groupBy(DOC).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", text))), lambda x: x[text]).alias(text))
+    held = listed(texts.filter("bucket = 'awards'"), "text")
+    both = held.join(listed(rec.honorific_awards(employed), "award"), DOC, "full")
+    out = both.select(DOC, F.posexplode(fuzzy.guarded_append(F.coalesce("text", F.array()), F.coalesce("award", F.array()))).alias("pos", "text"))
+    part = texts.schema["ord"].dataType["part"].dataType.simpleString()
+    awards = out.select(DOC, F.lit("awards").alias("bucket"), F.struct(F.lit(0).cast(part).alias("part"), "pos").alias("ord"), "text")
+    return texts.filter("bucket <> 'awards'").unionByName(awards)
+
+
+def _activities(texts: DataFrame) -> DataFrame:
+    """Both buckets of activities as one, without repeats."""
+    two = ("professionalActivities", "externalProfessionalActivities")
+    both = texts.filter(F.col("bucket").isin(*two)).withColumn("external", (F.col("bucket") == two[1]).cast("int")).withColumn("bucket", F.lit(two[0]))
+    return rec.dedupe_first(both, [DOC], t.norm_record("text"), ["external", "ord"])
+
+
+def _conflicts(activities: DataFrame, services: DataFrame) -> DataFrame:
+    """Activities that a service equals but for dates or words; those that a service equals as a whole have gone."""
+    own = services.select(DOC, F.lit("universityService").alias("bucket"), F.struct(F.lit(0).alias("external"), "ord").alias("ord"), "description", "dates")
+    rows = activities.select(DOC, "bucket", F.struct("external", "ord").alias("ord"), F.col("text").alias("description"), F.lit("").alias("dates")).unionByName(own)
+    rows = rec.without_keys_of(rows, [DOC], "professionalActivities", "universityService", t.norm_service("description", F.col("dates")))
+    return rec.core_conflicts(rows, [DOC])
+
+
+def _talks(texts: DataFrame, abstracts: DataFrame) -> DataFrame:
+    """Talks in the bucket where they belong, without repeats and without dated ones that an abstract nearly equals."""
+    once = rec.dedupe_first(texts, [DOC, "bucket"], t.norm_dedupe("text"), ["ord"])
+    routed = rec.dedupe_first(rec.route_presentations(once), [DOC, "bucket"], t.norm_dedupe("text"), ["moved", "ord"])
+    keyed = routed.withColumn("_talk", F.md5(F.concat_ws("\n", F.col(DOC).cast("string"), "bucket", t.norm_dedupe("text"))))
+    of = abstracts.select(DOC, F.concat_ws("/", DOC, "number").alias("_talk"), "text")
+    dated = F.col("text").rlike(rf"{p.LEFT}(?:19|20)\d{{2}}{p.RIGHT}")
+    return fuzzy.without_fuzzy_copies(keyed, of, "_talk", "text", dated, within=DOC).select(DOC, "bucket", "ord", "text", "moved")
+
+
+def _placed(df: DataFrame, sections: tuple[tuple[str, str], ...], order: list[str]) -> DataFrame:
+    """Rows of the buckets named in sections, with the section and their order over all of them."""
+    name = F.create_map(*[F.lit(x) for s, b in sections for x in (b, s)])
+    place = F.create_map(*[F.lit(x) for i, (_, b) in enumerate(sections) for x in (b, i)])
+    rows = df.filter(F.col("bucket").isin(*[b for _, b in sections]))
+    return rows.select(DOC, name[F.col("bucket")].alias("section"), F.struct(place[F.col("bucket")].alias("a"), *order).alias("place"), "text")
+
+
+def _notes(given: DataFrame, conflicts: DataFrame, texts: DataFrame, groups: DataFrame, publications: DataFrame) -> DataFrame:
+    at = lambda stage, *more: F.struct(F.lit(stage).alias("stage"), *[m.cast("long").alias(f"o{i}") for i, m in enumerate(more)])
+    none = F.lit(0)
+    incoming = given.select(DOC, "section", "topic", "instruction", at(0, F.col("part"), F.col("pos"), none, none).alias("place"))
+    section, topic, lead = p.CONFLICT_NOTE
+    o = F.col("ord")
+    wording = conflicts.select(DOC, F.lit(section).alias("section"), F.lit(topic).alias("topic"), F.concat(F.lit(lead), "conflict").alias("instruction"),
+                               at(1, o["external"], o["ord"]["part"], o["ord"]["pos"], none).alias("place"))
+    entries = groups.select(DOC, F.lit("studentInstructionalGroups").alias("bucket"), F.col("entry").alias("text"),
+                            F.row_number().over(rec.Window.partitionBy(DOC).orderBy("heading_order", "number")).alias("number"))
+    listed = texts.select(DOC, "bucket", "text", "number").unionByName(entries)
+    repeats = []
+    for stage, rows, sections, (topic, lead), key in (
+            (2, listed, p.ACTIVITY_SECTIONS, p.ACTIVITY_NOTE, audit.review_key("text")), (3, publications, p.PUBLICATION_SECTIONS, p.PUBLICATION_NOTE, t.norm_citation("text"))):
+        found = audit.cross_bucket_notes(_placed(rows, sections, ["number"]), DOC, "section", "text", key, ["place"])
+        repeats.append(found.select(DOC, "section", F.lit(topic).alias("topic"), F.concat(F.lit(lead), "item").alias("instruction"),
+                                    at(stage, F.col("place.a"), F.col("place.number"), none, none).alias("place")))
+    every = incoming.unionByName(wording).unionByName(repeats[0]).unionByName(repeats[1])
+    return rec.renumber(audit.dedupe_notes(every, DOC, ("section", "topic", "instruction"), ["place"]), [DOC], ["place"])
+
+
+def _gaps(given: DataFrame, employment: DataFrame, education: DataFrame, grants: DataFrame) -> DataFrame:
+    own = audit.structural_gaps(audit.record_gaps(employment, education, grants, DOC), given, DOC)
+    rule = F.create_map(*[F.lit(x) for i, r in enumerate(audit.GAP_RULES) for x in (r[3], i)])
+    place = lambda late, a, b: F.struct(F.lit(late).alias("late"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+    columns = [DOC, "section", "field", "instruction", "severity"]
+    every = given.select(*columns, place(0, F.col("part"), F.col("pos")).alias("place")).unionByName(own.select(*columns, place(1, rule[F.col("field")], F.lit(0)).alias("place")))
+    return rec.renumber(every, [DOC], ["place"])

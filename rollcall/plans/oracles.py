@@ -8,7 +8,7 @@ from __future__ import annotations
 
 
 from rollcall.functions import patterns as p
-from rollcall.operators import audit, lines as ln
+from rollcall.operators import lines as ln
 from rollcall.plans import queries as q, views as v
 
 
@@ -308,7 +308,6 @@ def oracle_sql() -> dict[str, str]:
         "cross_bucket_notes": f"""select lang, concat(f, '; ', source) as section, doc_id, n, item from (select *, first_value(source) over (partition by lang, k order by source, doc_id, n) as f from (
  select *, {bare('line')} as item, {_REVIEW} as k from ({LINES})) where length(k) >= 24) where f <> source""",
         "notes_deduped": f"""select lang, source, doc_id, n, line from ({LINES}) qualify row_number() over (partition by lang, {by_case('source')}, {by_case('line')} order by doc_id, n) = 1""",
-        "structural_gaps": _gaps(),
         "section_counts": _counts(),
         "section_summary": f"""select c.*, cast(journals > 0 as bigint) + cast(other > 0 as bigint) + cast(rest > 0 as bigint) as filled, coalesce(g.required, 0) as required, coalesce(g.recommended, 0) as recommended,
  coalesce(g.optional, 0) as optional, coalesce(m.notes, 0) as notes from ({_counts()}) c left join (select doc_id % 100 as doc_id, count(*) filter (where severity = 'required') as required,
@@ -353,8 +352,11 @@ def oracle_sql() -> dict[str, str]:
  where ms <= begun + {q.BARRIER_SECONDS * 1000} group by 1, 2) group by 1""",
         "stream_finalize": f"""select o.job_id, slice_key, n, state from (select user_id as job_id, event_type as slice_key, count(*) as n from events group by 1, 2) o
  join ({FINAL}) f on o.job_id = f.job_id""",
-        "consolidated": _consolidated(),
+        "consolidated_citations": _consolidated(),
     } | posts()
+    from rollcall.plans import merge_oracles  # it is built from the forms above
+
+    out |= merge_oracles.oracle_sql()
     out["service_clean"] = f"select ord, service_key, core, description_ as description, dates_ as dates from ({out['service_clean']})"
     return out
 
@@ -380,13 +382,6 @@ def _best() -> str:
    join (select doc_id, ord as paragraph, {norm('text')} as s from ({v.REC_ORDERS})) y on x.doc_id = y.doc_id where r <> '' and s <> '')) where score >= 0.72 group by 1, 2"""
 
 
-def _gaps() -> str:
-    rules = "(values " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in audit.GAP_RULES) + ") r(kind, lack, section, field, instruction)"
-    return f"""select distinct m.doc_id, r.section, r.field, r.instruction, 'recommended' as severity from (select doc_id % 400 as doc_id, kind,
- unnest(list_filter([case when quality is null then 'location' end, case when toxic = 1 then 'dates' end, case when quality = 0 then 'role' end], lambda x: x is not null)) as lack from ({v.GAPS_SRC})) m
- join {rules} on m.kind = r.kind and m.lack = r.lack where not (r.section = {lit(audit.GAP_RULES[0][2])} and m.doc_id % 10 = 0 and m.doc_id in (select doc_id from documents))"""
-
-
 def _counts() -> str:
     cols = ", ".join(f"count(*) filter (where bucket in ({', '.join(map(lit, b))})) as {g}" for g, b in q.GROUPS.items())
     return f"select doc_id, {cols} from ({v.PUBS}) group by 1"

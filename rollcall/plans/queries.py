@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -221,6 +222,96 @@ def quarantine(spark: SparkSession, d: str) -> DataFrame:
     return ingest.quarantine(v.view(spark, d, v.BODIES), "body").select("id", "reason")
 
 
+def bodies(spark: SparkSession, d: str) -> DataFrame:
+    return v.view(spark, d, v.FULL_BODIES)
+
+
+@query
+def ingest_services(spark: SparkSession, d: str) -> DataFrame:
+    return big(ingest.services(bodies(spark, d), "body").select("id", "pos", "description", "dates", "category"))
+
+
+@query
+def ingest_grants(spark: SparkSession, d: str) -> DataFrame:
+    return big(ingest.grants(bodies(spark, d), "body").select("id", "pos", "title", "funder", "period", "status", "amount", "role", "coPIsShare"))
+
+
+@query
+def ingest_employment(spark: SparkSession, d: str) -> DataFrame:
+    return big(ingest.employment(bodies(spark, d), "body").select("id", "pos", "rank", "institution", "location", "start", "finish"))
+
+
+@query
+def ingest_education(spark: SparkSession, d: str) -> DataFrame:
+    return big(ingest.education(bodies(spark, d), "body").select("id", "pos", "school", "degree", "datesFrom", "datesTo", "location", "major", "dateReceived"))
+
+
+@query
+def ingest_groups(spark: SparkSession, d: str) -> DataFrame:
+    return big(ingest.groups(bodies(spark, d), "body").select("id", "pos", "heading", "entry_pos", "entry"))
+
+
+@query
+def ingest_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return big(ingest.gaps(bodies(spark, d), "body").select("id", "pos", "section", "field", "instruction", "severity"))
+
+
+@query
+def ingest_notes(spark: SparkSession, d: str) -> DataFrame:
+    return big(ingest.review_notes(bodies(spark, d), "body").select("id", "pos", "section", "topic", "instruction"))
+
+
+@query
+def ingest_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and citations of all buckets from one reading of each body."""
+    e = ingest.section_elements(bodies(spark, d), "body")
+    texts = ingest.string_rows(e.filter(F.col("bucket").isin(*STRINGS))).select("id", "bucket", "pos", "text", F.lit(None).cast("string").alias("pub_type"), F.lit(None).cast("boolean").alias("is_new"))
+    cited = ingest.publication_rows(e.filter(F.col("bucket").isin(*CITED))).select("id", "bucket", "pos", "citation", "pub_type", "is_new")
+    return big(texts.unionAll(cited))
+
+
+@query
+def merged_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.metadata(bodies(spark, d), "doc_id", "body", "part")
+
+
+@query
+def validate_result(spark: SparkSession, d: str) -> DataFrame:
+    """Whole results taken or refused as they are, with the checks of their hash and first year."""
+    out = ingest.validate_result(v.view(spark, d, v.WHOLE_BODIES), "body")
+    return out.select("id", "valid", ingest.validate_snapshot(out, "hash", "since_year").alias("header_ok"))
+
+
+@query
+def placement_inventory(spark: SparkSession, d: str) -> DataFrame:
+    """What the results list twice, or as a service and as an activity."""
+    x = bodies(spark, d)
+    e = ingest.section_elements(x, "body")
+    activities = ingest.string_rows(e.filter(F.col("bucket").isin("professionalActivities", "externalProfessionalActivities")))
+    cited = ingest.publication_rows(e.filter(F.col("bucket").isin(*CITED))).withColumnRenamed("citation", "text")
+    return audit.placement_inventory(ingest.services(x, "body"), activities, cited, "doc_id")
+
+
+@query
+def folded_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups with the flat texts that name one folded in, as one list a document."""
+    x = bodies(spark, d)
+    groups = ingest.groups(x, "body").withColumn("ord", F.struct("part", "pos", "entry_pos"))
+    flat = ingest.string_list(x, "body", "studentInstructionalActivities").withColumn("ord", F.struct("part", "pos", F.lit(0).alias("entry_pos")))
+    return rec.nested_groups(rec.fold_groups(groups, flat, "doc_id", "text"), "doc_id").select("doc_id", F.to_json("groups").alias("groups"))
+
+
+@query
+def record_views(spark: SparkSession, d: str) -> DataFrame:
+    """How many services and grants each document shows in which list."""
+    x = bodies(spark, d)
+    of = ingest.services(x, "body").select("doc_id", rec.service_view("category").alias("view")).unionAll(ingest.grants(x, "body").select("doc_id", rec.grant_view("status")))
+    return of.groupBy("doc_id", "view").agg(F.count(F.lit(1)).alias("n"))
+
+
+STRINGS, CITED = t.p.STRING_BUCKETS, t.p.PUBLICATION_BUCKETS
+
+
 @query
 def validate_strict(spark: SparkSession, d: str) -> DataFrame:
     x = v.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit('{"status": "'), "o_orderstatus", F.lit('", "key": '), F.when(F.col("o_orderkey") % 3 == 0, F.lit('"x"')).otherwise(
@@ -368,17 +459,12 @@ def notes_deduped(spark: SparkSession, d: str) -> DataFrame:
     return big(audit.dedupe_notes(x, "lang", ("source", "line"), ["doc_id", "n"]).select("lang", "source", "doc_id", "n", "line"))
 
 
-def missing(spark: SparkSession, d: str) -> DataFrame:
-    x = v.view(spark, d, v.GAPS_SRC)
-    lack = F.array_compact(F.array(F.when(F.col("quality").isNull(), F.lit("location")), F.when(F.col("toxic") == 1, F.lit("dates")), F.when(F.col("quality") == 0, F.lit("role"))))
-    return x.select((F.col("doc_id") % 400).alias("doc_id"), "kind", lack.alias("missing"))
-
-
 @query
 def structural_gaps(spark: SparkSession, d: str) -> DataFrame:
-    known = v.table(spark, d, "documents").filter("doc_id % 10 = 0").select(
-        "doc_id", F.upper(F.lit(audit.GAP_RULES[0][2])).alias("section"), F.lit(audit.GAP_RULES[0][3]).alias("field"), F.lit(audit.GAP_RULES[0][4]).alias("instruction"))
-    return audit.structural_gaps(missing(spark, d), known, "doc_id")
+    """Gaps that the records of the results open, as far as the results don't list them."""
+    x = bodies(spark, d)
+    opened = audit.record_gaps(ingest.employment(x, "body"), ingest.education(x, "body"), ingest.grants(x, "body"), "doc_id")
+    return audit.structural_gaps(opened, ingest.gaps(x, "body"), "doc_id")
 
 
 GROUPS = {"journals": ["peerReviewedJournals"], "other": ["otherArticles", "otherProceedings", "refereedProceedings"], "rest": ["abstracts", "workInProgress", "books"]}
@@ -533,10 +619,18 @@ def admitted_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession, what: str) -> str:
-    import uuid
+    """A new folder below the one that driver and executors share; only a local session may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = _shared(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def outcome_parts(spark: SparkSession, d: str, by_delivery: bool = False) -> tuple[DataFrame, list[DataFrame]]:
@@ -632,8 +726,16 @@ def stream_finalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def consolidated(spark: SparkSession, d: str) -> DataFrame:
-    """The whole merge over citations: in progress, reclassified, cleaned, copies merged, numbered by date."""
+def consolidated_citations(spark: SparkSession, d: str) -> DataFrame:
+    """The merge over citations: in progress, reclassified, cleaned, copies merged, numbered by date."""
     from rollcall.plans.consolidate import consolidate
 
     return big(consolidate(pubs(spark, d)).select("doc_id", "bucket", "number", "text", "pub_type"))
+
+
+@query
+def consolidated(spark: SparkSession, d: str) -> DataFrame:
+    """The whole merge of all kinds of records: moved, cleaned, reconciled, without repeats, in order, with notes and gaps."""
+    from rollcall.plans.consolidate import merge_results
+
+    return merge_results(bodies(spark, d), saved=saved).long()

@@ -84,6 +84,66 @@ BODIES = """select o_orderkey as id, o_custkey as doc_id, case o_orderkey % 6
  when 2 then '[1, 2]' when 3 then 'no JSON' when 4 then '{"sections": {"books": {"citation": "not a list"}}}' else '{"sections": {"books": []}}' end as body from orders"""
 
 
+_FULL = """{"metadata": {"name": "N@D", "department": "Dept @B", "title": "", "processedAt": "now"}, "sections": {"specialization": "@S",
+"employment": [{"from": "19@N", "to": "@Y", "institution": "College @B", "location": "", "rank": "Professor"}, {"from": "@Y", "to": "@Y", "institution": "Academy of Number @A Sciences and Letters of the Far North",
+"location": "Town", "rank": "Visiting Scholar"}, {"rank": "", "institution": " "}, "x"],
+"education": [{"school": "School @B", "degree": "PhD (1980)", "datesFrom": "", "datesTo": " ", "location": " ", "major": "", "dateReceived": "1980"}, {"major": "m"}],
+"universityService": [{"description": "@P. Chair, board on topic @A", "dates": "(@Y)", "category": "departmental"}, {"description": "@M @Y Member of campus panel @B", "dates": "", "category": "nonsense"}, {"dates": "x"}],
+"professionalActivities": ["@P. board on topic @A @Y", "Panel of the society for number @C things"], "externalProfessionalActivities": ["board on topic @A", "Panel of the society for number @C things"],
+"reviewerActivities": ["Panel of the society for number @C things", "@Y Journal @A"], "memberships": ["Society @C"], "outreach": ["@Y School visit @C"], "otherActivities": ["Club @C, @Y"],
+"grants": [{"title": "Grant @A", "funder": " F ", "period": "@Y", "status": "current", "role": "", "coPIsShare": 12}, {"title": "Fund @C", "status": "over", "role": "PI", "coPIsShare": "all"}, {"period": "none"}],
+"studentInstructionalGroups": [{"heading": "Current Ph.D. Students:", "entries": ["1. Student @A, @Y", 3, "", " "]}, {"heading": "", "entries": ["x"]}, {"heading": "Empty", "entries": []}],
+"studentInstructionalActivities": ["Masters students: Student @B, 1999", "no group"], "awards": ["@Y Prize @C", " "],
+"presentations": ["@M @Y Talk number @A at the annual world meeting of makers and users of things"],
+"invitedPresentations": ["@Y Talk at College @B", "National workshop talk number @A, @Y", "@P. @M @Y Talk number @A at the annual world meeting of makers and users of things"],
+"peerReviewedJournals": [{"citation": "@P. Study of thing @A, Journal of Things, @Y", "type": "journal", "number": "4", "isNewSinceLastReview": true}, {"citation": "Study of part @B, submitted"}, 7, {"citation": {}}],
+"otherArticles": [{"citation": "Paper @A, Proc. of the Things, @Y", "type": "other", "contributionNote": "n @B"}, {"citation": "Study of thing @A, Journal of Things, @Y", "articleKind": "review"}],
+"abstracts": [{"citation": "Talk number @A at the annual world meeting of makers and users of things, @Y", "type": "abstract"}]},
+"gaps": [{"section": "Section I: Education", "field": "School Location", "instruction": "Review education rows marked @QNot listed@Q and add school locations when available.", "severity": "odd"}, {"severity": "required"}],
+"reviewNotes": [{"section": "S", "topic": "T", "instruction": "Check  @C"}, {"topic": "no"}]}"""
+_SOME = """{"metadata": {"name": "", "title": "T@D"}, "sections": {"specialization": "", "grants": "no list", "employment": {"rank": "Professor"}, "awards": ["1990 Medal @C"], "abstracts": [{"citation": "Piece @B, 2001"}]},
+"gaps": [{"section": "Other", "severity": "required"}]}"""
+
+
+def _filled(template: str) -> str:
+    """The template as SQL text, its marks replaced by values of the row."""
+    x = "'" + template.replace("\n", " ").replace("'", "''") + "'"
+    year, key = "cast(year(o_orderdate) as string)", "o_orderkey"
+    for mark, value in (("@D", "cast(o_custkey as string)"), ("@B", f"cast({key} % 7 as string)"), ("@C", f"cast({key} % 4 as string)"), ("@A", f"cast({key} % 13 as string)"), ("@P", f"cast({key} % 90 + 1 as string)"),
+                        ("@N", f"cast(60 + {key} % 40 as string)"), ("@S", f"case when {key} % 3 = 0 then concat('Field ', cast({key} as string)) else '' end"), ("@M", _MONTH), ("@Y", year), ("@Q", "concat(chr(92), chr(34))")):
+        x = f"replace({x}, '{mark}', {value})"
+    return x
+
+
+#: Results with every kind of record, good and bad: id, doc_id, part, body.
+FULL_BODIES = f"""select o_orderkey as id, o_custkey as doc_id, o_orderkey as part, case o_orderkey % 8 when 2 then '[1, 2]' when 3 then {_filled(_SOME)}
+ when 5 then concat('```json', chr(10), {_filled(_FULL)}, chr(10), '```') when 6 then 'no JSON' else {_filled(_FULL)} end as body from orders"""
+
+
+_WHOLE = """{"metadata": {"name": "N@D", "department": "", "title": "", "processedAt": "now"@E1}, "sections": {"employment": [{"from": "", "to": "", "institution": "", "location": "", "rank": @E2}],
+"education": [], "universityService": [{"description": "", "dates": "", "category": "@E3"}], "studentInstructionalGroups": [{"heading": "", "entries": ["a"@E4]}], "grants": [{"title": "", "funder": "", "period": "", "status": "past"@E5}],
+"publicService": [], "professionalActivities": [], "memberships": [@E6], "awards": ["a", "b"], "teaching": [], "studentInstructionalActivities": [], "externalProfessionalActivities": [], "consulting": [], "reviewerActivities": [],
+"presentations": [], "invitedPresentations": [], "diversityContributions": [], "outreach": [], "clinicalActivities": [], "otherActivities": [], @E7
+"peerReviewedJournals": [{"number": 1, "citation": "c", "type": "journal"@E8}], "reviewAndInvited": [], "books": [], "chapters": [], "refereedProceedings": [], "otherArticles": [], "otherProceedings": [], "abstracts": [],
+"popularWorks": [], "additionalProducts": [], "theses": [], "patents": [], "workInProgress": []}, "gaps": [@E9]}"""
+#: One fault in each of these results, in turn; the first two have none.
+_FAULTS = (
+    ("E1", "", ', "reviewPeriodStart": null'), ("E2", '""', "7"), ("E3", "other", "none"), ("E4", "", ", null"), ("E5", ', "amount": "1"', ', "role": false'), ("E6", '"m"', "{}"),
+    ("E7", '"externalReviews": [],', ""), ("E8", ', "isNewSinceLastReview": true', ', "articleKind": "odd"'), ("E9", "", '{"section": "", "field": "", "instruction": "", "severity": "odd"}'))
+
+
+def _faulty() -> str:
+    x = "'" + _WHOLE.replace("\n", " ") + "'"
+    for i, (mark, good, bad) in enumerate(_FAULTS):
+        x = f"replace({x}, '@{mark}', case when o_orderkey % 11 = {i + 2} then '{bad}' else '{good}' end)"
+    return f"replace({x}, '@D', cast(o_custkey as string))"
+
+
+#: Whole results, most of them with a fault, with the hash and year kept beside them: id, body, hash, since_year.
+WHOLE_BODIES = f"""select o_orderkey as id, {_faulty()} as body, case when o_orderkey % 5 = 0 then 'nohash' else repeat(concat(md5(cast(o_orderkey as string))), 2) end as hash,
+ case when o_orderkey % 3 = 0 then 1900 + o_orderkey % 400 end as since_year from orders"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

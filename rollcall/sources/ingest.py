@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,53 +58,129 @@ def quarantine(df: DataFrame, body: str) -> DataFrame:
 def elements(df: DataFrame, path: str) -> DataFrame:
     """One row for each element of the array at path of doc: pos and value."""
     view = df.filter("is_object").withColumn("_list", F.try_variant_get("_v", path, "variant"))
-    view = view.filter(F.schema_of_variant("_list").startswith("ARRAY"))
+    view = view.filter(_kind("_list").startswith("ARRAY"))
     return view.lateralJoin(_exploded()).drop("_list", "_v", "is_object")
 
 
-def _exploded() -> DataFrame:
+def _exploded(name: str = "_list") -> DataFrame:
     from pyspark.sql import SparkSession
 
-    return SparkSession.active().tvf.variant_explode(F.col("_list").outer()).select("pos", "value")
+    return SparkSession.active().tvf.variant_explode(F.col(name).outer()).select("pos", "value")
 
 
-def publications(df: DataFrame, body: str, bucket: str) -> DataFrame:
-    """Publication rows of one bucket: an element that is no object or has no citation is left out, and only it."""
-    e = elements(parsed(df, body), f"$.sections.{bucket}")
-    e = e.filter(_kind("value").startswith("OBJECT")).withColumn("citation", _text("value", "$.citation")).filter("citation <> ''")
+def section_elements(df: DataFrame, body: str) -> DataFrame:
+    """One row for each element of each section that is an array: bucket, pos and value; the body is parsed once for all of them."""
+    from pyspark.sql import SparkSession
+
+    view = parsed(df, body).filter("is_object").withColumn("_sections", F.try_variant_get("_v", "$.sections", "variant")).drop("_v", "is_object", body)
+    fields = SparkSession.active().tvf.variant_explode(F.col("_sections").outer()).select(F.col("key").alias("bucket"), F.col("value").alias("_list"))
+    lists = view.filter(_kind("_sections").startswith("OBJECT")).lateralJoin(fields).drop("_sections").filter(_kind("_list").startswith("ARRAY"))
+    return lists.lateralJoin(_exploded()).drop("_list")
+
+
+def _objects(e: DataFrame) -> DataFrame:
+    return e.filter(_kind("value").startswith("OBJECT"))
+
+
+def _with_texts(e: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return _objects(e).withColumns({c: _text("value", f"$.{c}") for c in names})
+
+
+def _of(df: DataFrame, body: str, bucket: str) -> DataFrame:
+    return elements(parsed(df, body), f"$.sections.{bucket}").drop(body).withColumn("bucket", F.lit(bucket))
+
+
+def publication_rows(e: DataFrame) -> DataFrame:
+    """Elements as publications: one that is no object or has no citation is left out, and only it."""
+    rows = _with_texts(e, ("citation",)).filter("citation <> ''")
     # A whole number, or text that is one; else the position.
     number = F.coalesce(_text("value", "$.number").try_cast("double"), (F.col("pos") + 1).cast("double"))
     kind = _optional("value", "$.articleKind")
-    return e.select(
-        *df.columns, F.lit(bucket).alias("bucket"), "pos", number.alias("number"), "citation", _one_of(_text("value", "$.type"), p.PUBLICATION_TYPES, "other").alias("pub_type"),
+    return rows.select(
+        "*", number.alias("number"), _one_of(_text("value", "$.type"), p.PUBLICATION_TYPES, "other").alias("pub_type"),
         F.when(kind.isin("research", "review", "creative", "other"), kind).alias("article_kind"),
-        *[_optional("value", f"$.{c}").alias(c) for c in ("originalNumber", "previouslyListedAs", "contributionNote", "reviewMaterialUrl")],
-        _flag("value", "$.isNewSinceLastReview").alias("is_new"), _flag("value", "$.isFacultyThesis").alias("is_own_thesis")).drop(body)
+        *[_optional("value", f"$.{c}").alias(c) for c in ("bioBibSection", "originalNumber", "previouslyListedAs", "contributionNote", "reviewMaterialUrl")],
+        _flag("value", "$.isNewSinceLastReview").alias("is_new"), _flag("value", "$.isFacultyThesis").alias("is_own_thesis")).drop("value")
+
+
+def string_rows(e: DataFrame) -> DataFrame:
+    """Elements as texts; blanks and values that are no text or number are left out."""
+    return e.withColumn("text", _text("value", "$")).filter("text <> ''").drop("value")
+
+
+def service_rows(e: DataFrame) -> DataFrame:
+    rows = _with_texts(e, ("description", "dates", "category")).filter("description <> ''")
+    return rows.withColumn("category", _one_of(F.col("category"), p.SERVICE_CATEGORIES, "other")).drop("value")
+
+
+def grant_rows(e: DataFrame) -> DataFrame:
+    rows = _with_texts(e, ("title", "funder", "period")).filter("title <> '' or funder <> ''")
+    return rows.withColumns({"status": _one_of(_text("value", "$.status"), ("current",), "past")} | {
+        c: _optional("value", f"$.{c}") for c in ("amount", "totalAward", "role", "coPIsShare")}).drop("value")
+
+
+def employment_rows(e: DataFrame) -> DataFrame:
+    rows = _with_texts(e, ("from", "to", "institution", "location", "rank")).filter("institution <> '' or rank <> ''")
+    return rows.withColumnsRenamed({"from": "start", "to": "finish"}).drop("value")
+
+
+def education_rows(e: DataFrame) -> DataFrame:
+    names = ("school", "datesFrom", "datesTo", "location", "major", "degree", "dateReceived")
+    return _with_texts(e, names).filter("school <> '' or degree <> ''").drop("value")
+
+
+def group_rows(e: DataFrame) -> DataFrame:
+    """Student groups, a row for each entry (entry_pos, entry); a group without a heading or an entry is left out."""
+    rows = _with_texts(e, ("heading",)).filter("heading <> ''").withColumn("_list", F.try_variant_get("value", "$.entries", "variant")).drop("value")
+    inner = rows.filter(_kind("_list").startswith("ARRAY")).lateralJoin(_exploded().select(F.col("pos").alias("entry_pos"), "value")).drop("_list")
+    return inner.withColumn("entry", _text("value", "$")).filter("entry <> ''").drop("value")
+
+
+def gap_rows(e: DataFrame) -> DataFrame:
+    rows = _with_texts(e, ("section", "field", "instruction", "severity")).filter("section <> '' or field <> '' or instruction <> ''")
+    return rows.withColumn("severity", _one_of(F.col("severity"), p.SEVERITIES, "optional")).drop("value")
+
+
+def note_rows(e: DataFrame) -> DataFrame:
+    return _with_texts(e, ("section", "topic", "instruction")).filter("instruction <> ''").drop("value")
+
+
+def publications(df: DataFrame, body: str, bucket: str) -> DataFrame:
+    """Publication rows of one bucket."""
+    return publication_rows(_of(df, body, bucket))
 
 
 def string_list(df: DataFrame, body: str, bucket: str) -> DataFrame:
-    """Texts of one string bucket; blanks and values that are no text or number are left out."""
-    e = elements(parsed(df, body), f"$.sections.{bucket}").withColumn("text", _text("value", "$")).filter("text <> ''")
-    return e.select(*[c for c in df.columns if c != body], F.lit(bucket).alias("bucket"), "pos", "text")
+    """Texts of one string bucket."""
+    return string_rows(_of(df, body, bucket))
 
 
 def services(df: DataFrame, body: str) -> DataFrame:
-    e = elements(parsed(df, body), "$.sections.universityService").withColumn("description", _text("value", "$.description")).filter("description <> ''")
-    return e.select(*[c for c in df.columns if c != body], "pos", "description", _text("value", "$.dates").alias("dates"),
-                    _one_of(_text("value", "$.category"), p.SERVICE_CATEGORIES, "other").alias("category"))
+    return service_rows(_of(df, body, "universityService"))
 
 
 def grants(df: DataFrame, body: str) -> DataFrame:
-    e = elements(parsed(df, body), "$.sections.grants").withColumns({c: _text("value", f"$.{c}") for c in ("title", "funder", "period")})
-    return e.filter("title <> '' or funder <> ''").select(
-        *[c for c in df.columns if c != body], "pos", "title", "funder", "period", _one_of(_text("value", "$.status"), ("current",), "past").alias("status"),
-        *[_optional("value", f"$.{c}").alias(c) for c in ("amount", "totalAward", "role", "coPIsShare")])
+    return grant_rows(_of(df, body, "grants"))
+
+
+def employment(df: DataFrame, body: str) -> DataFrame:
+    return employment_rows(_of(df, body, "employment"))
+
+
+def education(df: DataFrame, body: str) -> DataFrame:
+    return education_rows(_of(df, body, "education"))
+
+
+def groups(df: DataFrame, body: str) -> DataFrame:
+    return group_rows(_of(df, body, "studentInstructionalGroups"))
 
 
 def gaps(df: DataFrame, body: str) -> DataFrame:
-    e = elements(parsed(df, body), "$.gaps").withColumns({c: _text("value", f"$.{c}") for c in ("section", "field", "instruction")})
-    return e.filter("section <> '' or field <> '' or instruction <> ''").select(
-        *[c for c in df.columns if c != body], "pos", "section", "field", "instruction", _one_of(_text("value", "$.severity"), p.SEVERITIES, "optional").alias("severity"))
+    return gap_rows(elements(parsed(df, body), "$.gaps").drop(body))
+
+
+def review_notes(df: DataFrame, body: str) -> DataFrame:
+    return note_rows(elements(parsed(df, body), "$.reviewNotes").drop(body))
 
 
 def metadata(df: DataFrame, doc: str, body: str, order: str) -> DataFrame:
@@ -125,6 +204,69 @@ def validate_strict(df: DataFrame, body: str, fields: dict[str, str], enums: dic
     return v.withColumn("valid", ok).drop("_v", "is_object")
 
 
+def _is(c: Column, *kinds: str) -> Column:
+    """Whether a variant is there and of one of the kinds; a JSON null is a value of its own kind."""
+    kind = F.schema_of_variant(c)
+    return F.coalesce(reduce(Column.__or__, [kind.startswith(k) for k in kinds]), F.lit(False))
+
+
+def _list_of(c: Column, check: Callable[[Column], Column]) -> Column:
+    return _is(c, "ARRAY") & F.coalesce(F.forall(F.try_variant_get(c, "$", "array<variant>"), check), F.lit(False))
+
+
+def _entry(texts: tuple[str, ...], optional: tuple[str, ...] = (), known: dict[str, tuple[str, ...]] | None = None, flags: tuple[str, ...] = (),
+           maybe_known: dict[str, tuple[str, ...]] | None = None, numbers: tuple[str, ...] = ()) -> Callable[[Column], Column]:
+    """A check of one object: its texts are there, optional ones are texts if they are there, known ones have a known value."""
+
+    def check(x: Column) -> Column:
+        get = lambda name: F.try_variant_get(x, f"$.{name}", "variant")
+        word = lambda name: F.try_variant_get(x, f"$.{name}", "string")
+        ok = [_is(x, "OBJECT"), *[_is(get(c), "STRING") for c in texts], *[get(c).isNull() | _is(get(c), "STRING") for c in optional],
+              *[get(c).isNull() | _is(get(c), "BOOLEAN") for c in flags], *[_is(get(c), "BIGINT", "DOUBLE", "DECIMAL") for c in numbers],
+              *[_is(get(c), "STRING") & word(c).isin(*values) for c, values in (known or {}).items()],
+              *[get(c).isNull() | (_is(get(c), "STRING") & word(c).isin(*values)) for c, values in (maybe_known or {}).items()]]
+        return F.coalesce(reduce(Column.__and__, ok), F.lit(False))
+
+    return check
+
+
+_CHECKS = {
+    "employment": _entry(("from", "to", "institution", "location", "rank")),
+    "education": _entry(("school", "datesFrom", "datesTo", "location", "major", "degree", "dateReceived")),
+    "universityService": _entry(("description", "dates"), known={"category": p.SERVICE_CATEGORIES}),
+    "grants": _entry(("title", "funder", "period"), ("amount", "totalAward", "role", "coPIsShare"), known={"status": ("current", "past")}),
+}
+_PUBLICATION = _entry(
+    ("citation",), ("bioBibSection", "originalNumber", "previouslyListedAs", "contributionNote", "reviewMaterialUrl"), known={"type": p.PUBLICATION_TYPES},
+    flags=("isNewSinceLastReview", "isFacultyThesis"), maybe_known={"articleKind": ("research", "review", "creative", "other")}, numbers=("number",))
+
+
+def _is_text(x: Column) -> Column:
+    return _is(x, "STRING")
+
+
+def validate_result(df: DataFrame, body: str) -> DataFrame:
+    """df with valid: the body is a whole result, every list there and every element of every list as it has to be.
+
+    Whole results are taken or refused as they are; nothing is repaired.  A field that may be absent mustn't be null.
+    """
+    v = parsed(df, body)
+    get = lambda path: F.try_variant_get("_v", path, "variant")
+    group = lambda x: _entry(("heading",))(x) & _list_of(F.try_variant_get(x, "$.entries", "variant"), _is_text)
+    ok = [F.col("is_object"), _is(get("$.sections"), "OBJECT"), _entry(("name", "department", "title", "processedAt"), ("reviewPeriodStart",))(get("$.metadata")),
+          get("$.sections.specialization").isNull() | _is(get("$.sections.specialization"), "STRING"),
+          *[_list_of(get(f"$.sections.{c}"), check) for c, check in _CHECKS.items()], _list_of(get("$.sections.studentInstructionalGroups"), group),
+          *[_list_of(get(f"$.sections.{c}"), _is_text) for c in p.STRING_BUCKETS], *[_list_of(get(f"$.sections.{c}"), _PUBLICATION) for c in p.PUBLICATION_BUCKETS],
+          _list_of(get("$.gaps"), _entry(("section", "field", "instruction"), known={"severity": p.SEVERITIES})),
+          get("$.reviewNotes").isNull() | _list_of(get("$.reviewNotes"), _entry(("section", "topic", "instruction")))]
+    return v.withColumn("valid", F.coalesce(reduce(Column.__and__, ok), F.lit(False))).drop("_v", "is_object")
+
+
+def validate_snapshot(df: DataFrame, hash_: str, since_year: str) -> Column:
+    """Whether a stored result's hash is one (64 small hexadecimal digits) and its first year, if any, lies in 1950 to 2200."""
+    return F.coalesce(df[hash_].rlike("^[a-f0-9]{64}$"), F.lit(False)) & (df[since_year].isNull() | df[since_year].between(1950, 2200))
+
+
 def later_wins(df: DataFrame, doc: str, order: list[str], columns: list[str]) -> DataFrame:
     """The last value of each column for each document."""
     return df.groupBy(doc).agg(*[F.max_by(c, F.struct(*order)).alias(c) for c in columns])
