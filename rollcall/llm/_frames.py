@@ -16,22 +16,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one key from which on they are dealt into cells, and how many cells.
+HOT, CELLS = 1000, 64
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none, as in tests."""
+    """The folder that driver and executors share; only a local session, as in tests, may do without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return folder.rstrip("/")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and a lost executor costs no more than a read."""
+def saved(df: DataFrame, what: str, passing: bool = True) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends here, and a lost executor costs no more than a read.
+
+    passing: drop_saved may delete it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if passing:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> None:
+    """Deletes the passing tables written so far: for callers that have written what they made of them."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[Column], salt: Column, cells: int, name: str) -> DataFrame:
     """Adds ``name``: 0, 1, ... within keys, in the order of (salt, order).
 
@@ -52,16 +69,34 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], salt: Column, ce
 
 
 def only_touched(df: DataFrame, key: Column, keys: DataFrame, keys_col: Column, bits: int = 23) -> DataFrame:
-    """df without most of the rows whose key is not in keys: a filter before a join, never a replacement for it.
+    """df without most of the rows whose key is not in keys: a filter before a join, never a replacement for it."""
+    return flagged(df, key, keys, keys_col, "_flag", bits).filter("_flag").drop("_flag")
+
 
-    The keys are hashed into a bitmap of 2**bits bits, at most 2**bits / 8 bytes
-    whatever the input, which is broadcast.  Rows of df with a key in keys all stay.
+def flagged(df: DataFrame, key: Column, keys: DataFrame, keys_col: Column, name: str, bits: int = 23) -> DataFrame:
+    """df with a flag that is true where key is in keys, and seldom elsewhere; rows of equal keys have equal flags.
+
+    The keys are hashed into a bitmap of 2**bits bits, at most 2**bits / 8 bytes whatever the input, which is broadcast.
     """
     cells = 2**bits
     h = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)) + 1
     maps = keys.select(h(keys_col).alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bn")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bm"))
-    out = df.withColumn("_h", h(key)).withColumn("_bn", F.bitmap_bucket_number("_h")).join(F.broadcast(maps), "_bn")
+    out = df.withColumn("_h", h(key)).withColumn("_bn", F.bitmap_bucket_number("_h")).join(F.broadcast(maps), "_bn", "left")
     byte = F.conv(F.hex(F.expr("substring(_bm, cast(bitmap_bit_position(_h) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     bit = F.pmod(F.bitmap_bit_position("_h"), F.lit(8)).cast("int")
-    return out.filter(F.getbit(byte, bit) == 1).select(*df.columns)
+    return out.select(*df.columns, F.coalesce(F.getbit(byte, bit) == 1, F.lit(False)).alias(name))
+
+
+def spread_join(many: DataFrame, one: DataFrame, on: str, by: Column, how: str = "inner", counted: DataFrame | None = None, hot: int = HOT, cells: int = CELLS) -> DataFrame:
+    """many.join(one, on), one having a row for each key, with the rows of hot keys dealt into cells by a hash of by.
+
+    counted: a table that has many's keys as often and is cheaper to read.
+
+    Which keys are hot is counted, summed before the shuffle, and told by a bitmap of bounded size; only those rows of one are
+    repeated for each cell.  A key that is taken for a hot one by chance is dealt too: the result is the same.
+    """
+    often = (many if counted is None else counted).groupBy(on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot).select(on)
+    left = flagged(many, F.col(on), often, F.col(on), "_hot").withColumn("_cell", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(cells)).cast("int")).otherwise(0)).drop("_hot")
+    right = flagged(one, F.col(on), often, F.col(on), "_hot").withColumn("_cell", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(cells - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right, [on, "_cell"], how).drop("_cell")

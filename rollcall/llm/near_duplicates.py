@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm._frames import only_touched, partitions, saved
+from rollcall.llm._frames import flagged, only_touched, partitions, saved, spread_join
 from rollcall.llm._text import Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer, trimmed
 from rollcall.llm.components import components
 
@@ -70,7 +70,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int, hashes: int, band: int) -> DataFrame:
-    """_key, n, set (64 bits of a digest of the full set; null if empty) and bands, the hashes of the signature's bands."""
+    """_key, n, set and check (a digest of the full set, 64 bits each; null if empty) and bands, the hashes of the signature's bands."""
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
 
     @trimmed
@@ -83,16 +83,27 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, hashes: int, ba
                 digests = _digests(sh, begin)
                 bands = _bands(superminhash(sh, begin, hashes), band)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digests, mask=n == 0),
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digests[:, 0], mask=n == 0), pa.array(digests[:, 1], mask=n == 0),
                      pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), bands.shape[1]).cast(pa.list_(pa.int64()))],
-                    names=["_key", "n", "set", "bands"])
+                    names=["_key", "n", "set", "check", "bands"])
 
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, n long, set long, bands array<long>")
+    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, n long, set long, check long, bands array<long>")
 
 
 def _digests(sh: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """128 bits for each set, as two numbers."""
     raw = memoryview(sh.tobytes())
-    return np.array([xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], U).view(np.int64)
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)), np.int64).reshape(-1, 2)
+
+
+def _told_apart(found: DataFrame) -> DataFrame:
+    """found with sets renamed where one number stands for unequal digests, and the digest's first half as digest.
+
+    Which numbers those are is told by a bitmap; all rows of a digest are renamed alike, so it may name too many.
+    """
+    clash = found.filter("n > 0").groupBy("set").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi").select("set")
+    out = flagged(found, F.col("set"), clash, F.col("set"), "_clash").withColumn("digest", F.col("set"))
+    return out.withColumn("set", F.when(F.col("_clash"), F.xxhash64("set", "check")).otherwise(F.col("set"))).drop("_clash")
 
 
 def _bands(signature: np.ndarray, band: int) -> np.ndarray:
@@ -120,7 +131,8 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     one = sets.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = saved(pairs, "pairs")
+    return spread_join(spread_join(pairs, one, "a", F.col("b")), other, "b", F.col("a"), counted=pairs).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _histogram(sh: np.ndarray) -> bytes:
@@ -145,7 +157,8 @@ def likely(pairs: DataFrame, sets: DataFrame, threshold: float, hashes: int) ->
     one = sets.select(F.col("set").alias("a"), F.col("signature").alias("x"), F.col("n").alias("na"))
     other = sets.select(F.col("set").alias("b"), F.col("signature").alias("y"), F.col("n").alias("nb"))
     fit = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    return pairs.join(one, "a").join(other, "b").filter(fit).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = saved(pairs, "pairs")
+    return spread_join(spread_join(pairs, one, "a", F.col("b")), other, "b", F.col("a"), counted=pairs).filter(fit).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _least(threshold: float, hashes: int) -> float:
@@ -238,17 +251,18 @@ def near_duplicates(
     repeated rows are copies of each other; a null key is never a component's number unless it is alone; an empty table
     gives no rows; other columns are not read.
     """
-    found = saved(signatures(docs, key, text, words, hashes, band), "signatures")
-    classes = found.filter("n > 0").groupBy("set").agg(F.min("_key").alias("rep"), F.min(_name(F.col("_key"))).alias("name"))
+    found = _told_apart(saved(signatures(docs, key, text, words, hashes, band), "signatures"))
+    classes = found.filter("n > 0").groupBy("set").agg(F.min("_key").alias("rep"), F.min(_name(F.col("_key"))).alias("name"), F.min("digest").alias("digest"), F.min("check").alias("check"))
+    classes = saved(classes, "classes")
     placed = found.filter("n > 0").select("set", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo <> hi").select("bucket")
     members = saved(placed.join(shared, "bucket").distinct(), "members")
 
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-    sized = members.join(sizes, "bucket")
+    sized = spread_join(members, sizes, "bucket", F.col("set"))
     weights = sized.groupBy("set").agg(F.sum("size").alias("weight"))
     hubs = members.join(weights, "set").groupBy("bucket").agg(F.max_by("set", F.struct("weight", "set")).alias("hub"))
-    pairs = members.join(hubs, "bucket").filter("hub <> set").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
+    pairs = spread_join(members, hubs, "bucket", F.col("set")).filter("hub <> set").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
 
     wanted = members.select("set").distinct().join(classes, "set")
     sets = saved(_full_sets(docs, wanted, key, text, words, hashes), "sets")
@@ -257,15 +271,15 @@ def near_duplicates(
 
     of = sized.join(joined, sized["set"] == joined["node"], "left").select(sized["bucket"], "size", sized["set"], F.coalesce("component", "set").alias("component"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = of.join(mixed, "bucket").join(sets.select("set", "n", "signature", "cells"), "set")
+    open_ = spread_join(of, mixed, "bucket", F.col("set"), counted=members).join(sets.select("set", "n", "signature", "cells"), "set")
     more = saved(verified(across(open_, threshold, hashes, band), sets, threshold), "links")
     if not more.isEmpty():
         joined = saved(components(links.unionAll(more)), "components")
 
     least = classes.join(joined, classes["set"] == joined["node"], "left").select("set", F.coalesce("component", "set").alias("component"), "rep")
     smallest = least.groupBy("component").agg(F.min("rep").alias("smallest"))
-    numbers = least.join(smallest, "component").select("set", "smallest")
-    out = found.join(numbers, "set", "left")
+    numbers = spread_join(least, smallest, "component", F.col("set")).select("set", "smallest")
+    out = spread_join(found.drop("bands"), numbers, "set", F.col("_key"), "left")
     number = F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("_key"))
     return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), number.alias("component_id"), F.col("_key").eqNullSafe(number).alias("kept"))
 
@@ -278,16 +292,16 @@ def _name(key: Column) -> Column:
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int, hashes: int) -> DataFrame:
     """set, n, shingles (sorted fingerprints), signature and cells of one document of each wanted class."""
     rows = docs.select(_name(docs[key]).alias("name"), docs[text].cast("string").alias("_text"))
-    joined = only_touched(rows, F.col("name"), wanted, F.col("name")).join(wanted, "name").select("set", "_text")
+    joined = only_touched(rows, F.col("name"), wanted, F.col("name")).join(wanted, "name").select("set", "digest", "check", "_text")
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, off = text_buffer(batch.column(1))
-            asked = batch.column(0).to_numpy(zero_copy_only=False)
+            buf, off = text_buffer(batch.column(3))
+            asked = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], 1)
             for lo, hi in pieces(off, 1 << 19):
                 sh, begin = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
-                right = np.flatnonzero(_digests(sh, begin) == asked[lo:hi])  # a key may stand for several texts
+                right = np.flatnonzero((_digests(sh, begin) == asked[lo:hi]).all(1))  # a key may stand for several texts
                 signature = superminhash(sh, begin, hashes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(right)), pa.array(np.diff(begin)[right]),
