@@ -29,24 +29,29 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
 
 
-def saved(df: DataFrame, what: str, passing: bool = True) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and a lost executor costs no more than a read.
-
-    passing: drop_saved may delete it.
-    """
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends here, and a lost executor costs no more than a read."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if passing:
-        _written.append(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(spark: SparkSession) -> None:
-    """Deletes the passing tables written so far: for callers that have written what they made of them."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def begun() -> int:
+    """A mark for finished()."""
+    return len(_written)
+
+
+def finished(df: DataFrame, what: str, since: int) -> DataFrame:
+    """df saved, an operator's whole result; the tables saved since the mark, on which it no longer depends, are deleted."""
+    spark = df.sparkSession
+    out = saved(df, what)
+    for path in _written[since:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[since:-1]
+    return out
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], salt: Column, cells: int, name: str) -> DataFrame:

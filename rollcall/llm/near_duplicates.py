@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm._frames import flagged, only_touched, partitions, saved, spread_join
+from rollcall.llm._frames import begun, finished, flagged, only_touched, partitions, saved, spread_join
 from rollcall.llm._text import Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer, trimmed
 from rollcall.llm.components import components
 
@@ -251,6 +251,7 @@ def near_duplicates(
     repeated rows are copies of each other; a null key is never a component's number unless it is alone; an empty table
     gives no rows; other columns are not read.
     """
+    mark = begun()
     found = _told_apart(saved(signatures(docs, key, text, words, hashes, band), "signatures"))
     classes = found.filter("n > 0").groupBy("set").agg(F.min("_key").alias("rep"), F.min(_name(F.col("_key"))).alias("name"), F.min("digest").alias("digest"), F.min("check").alias("check"))
     classes = saved(classes, "classes")
@@ -281,7 +282,8 @@ def near_duplicates(
     numbers = spread_join(least, smallest, "component", F.col("set")).select("set", "smallest")
     out = spread_join(found.drop("bands"), numbers, "set", F.col("_key"), "left")
     number = F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("_key"))
-    return out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), number.alias("component_id"), F.col("_key").eqNullSafe(number).alias("kept"))
+    out = out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), number.alias("component_id"), F.col("_key").eqNullSafe(number).alias("kept"))
+    return finished(out, "near-duplicates", mark)
 
 
 def _name(key: Column) -> Column:

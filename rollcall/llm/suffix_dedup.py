@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm._frames import only_touched, partitions, saved
+from rollcall.llm._frames import begun, finished, only_touched, partitions, saved
 from rollcall.llm._text import Prefix, U, find_words, mix, pieces, rows_of, spread, text_buffer, trimmed, union_length
 from rollcall.llm.suffix_order import cover_for, tied_in_segments
 
@@ -404,6 +404,7 @@ def repeated_passages(
     rows are copies of each other; texts shorter than length (and words) stay; an empty table gives no rows; a null key is
     a key like any other; other columns are not read.
     """
+    mark = begun()
     body = F.coalesce(docs[text].cast("string"), F.lit(""))
     name = F.coalesce(F.concat(F.lit("+"), docs[key].cast("string")), F.lit("-"))
     long, run = F.octet_length(body) >= length, F.lit(0)
@@ -454,12 +455,12 @@ def repeated_passages(
         cut.withColumnRenamed("sha256", "_cut"), "_cut", "left")
     whole = F.col("copies").isNotNull() & (F.col("long") | F.lit(bool(words and cut_words)))
     in_runs = F.when(F.col("copies").isNotNull() & (F.col("n_words") >= words), F.col("n_words")).otherwise(F.coalesce("n_run_words", F.lit(0))) if words else F.lit(None)
-    return out.select(
+    return finished(out.select(
         F.col("_key").alias(key), "sha256", "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha256")).alias("kept_sha256"),
-        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"), in_runs.cast("long").alias("n_run_words"))
+        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"), in_runs.cast("long").alias("n_run_words")), "passages", mark)
 
 
 def _buckets(suffixes: float) -> int:
