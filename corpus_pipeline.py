@@ -1,8 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs; so what the stages before it left in the shared folder is deleted when a stage begins.  All but the last
-return the columns of docs.
+stage's docs.  All but the last return the columns of docs.
 
 In every stage: a null text counts as empty; doc_id may be null or repeat, and rows are told apart by a number or by
 doc_id and text; other columns are carried along whatever their names; an empty table gives an empty one.
@@ -13,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm._frames import drop_saved, saved, table
+from rollcall.llm._frames import saved, table
 from rollcall.llm.decontamination import contained_items
 from rollcall.llm.near_duplicates import near_duplicates
 from rollcall.llm.packing import best_fit_packing
@@ -67,7 +66,6 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows are copies of each other: one stays.  A null doc_id comes before all others.
     """
-    drop_saved(spark)
     rows = _numbered(docs)
     return _without(rows, near_duplicates(rows, key=ROW).filter(~F.col("kept")))
 
@@ -78,7 +76,6 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which only white space remains goes, so all copies of a text of that size go; null, empty and shorter texts
     stay as they are.
     """
-    drop_saved(spark)
     rows = _named(docs)
     changed = _known(repeated_passages(rows, key=ROW, words=PASSAGE_WORDS).filter("n_removed > 0"), F.col("kept").alias("_kept"))
     joined = rows.join(changed, _same(rows, changed), "left").filter(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
@@ -89,14 +86,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; null and empty texts hold none, and repeated rows go or stay together."""
-    drop_saved(spark)
     rows = _named(docs)
     return _without(rows, contained_items(rows, table(spark, sf_dir, "benchmark"), key=ROW))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens; a null or empty text is one piece of one token."""
-    drop_saved(spark)
     return best_fit_packing(docs, tokenizer_path(), 2048)
 
 
@@ -106,5 +101,5 @@ STAGES = [("quality_rules", quality), ("near_duplicates", near_copies), ("suffix
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name, passing=False)
+        docs = saved(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
