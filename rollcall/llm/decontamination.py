@@ -109,26 +109,30 @@ def contained_items(
 
     sets = saved(
         items.select(items[item_key].alias("_key"), items[item_text].cast("string").alias("_text")).mapInArrow(cut, schema).filter("n > 0"), "items")
+    # Equal sets are searched once, so repeated items fill no block; their keys are joined to what is found.
+    print_of = F.md5(F.concat(F.col("width").cast("string").cast("binary"), F.col("prints")))
+    named = sets.select(print_of.alias("_set"), F.col("item_key").alias("_item"))
+    sets = sets.select(print_of.alias("_set"), "n", "width", "prints").dropDuplicates(["_set"])
     total = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_shingles))
     key_type = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
     found = []
     for b in range(blocks):
-        block = sets.filter(F.pmod(F.hash("item_key", "prints"), F.lit(blocks)) == b).toArrow()
+        block = sets.filter(F.pmod(F.xxhash64("_set"), F.lit(blocks)) == b).toArrow()
         if not block.num_rows and b:
             continue
-        found.append(_search(rows, key_type, block, item_type, threshold))
-    out = reduce(DataFrame.unionAll, found)
+        found.append(_search(rows, key_type, block, threshold))
+    out = reduce(DataFrame.unionAll, found).join(named, "_set")
     return out.select(
         F.col("_key").alias(key), F.col("_item").alias(item_key), "n_item", "n_shared",
         (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
-def _search(rows: DataFrame, key_type: str, block: pa.Table, item_type: str, threshold: float) -> DataFrame:
+def _search(rows: DataFrame, key_type: str, block: pa.Table, threshold: float) -> DataFrame:
     spark = rows.sparkSession
     prints = [np.frombuffer(x, U) for x in block["prints"].to_pylist()]
-    shared = spark.sparkContext.broadcast((prints, block["width"].to_pylist(), block["item_key"].combine_chunks()))
+    shared = spark.sparkContext.broadcast((prints, block["width"].to_pylist(), block["_set"].combine_chunks()))
 
     @trimmed
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +148,9 @@ def _search(rows: DataFrame, key_type: str, block: pa.Table, item_type: str, thr
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(r + lo)), keys.take(pa.array(i)),
                          pa.array([len(sets[k]) for k in i], pa.int64()), pa.array(n, pa.int64())],
-                        names=["_key", "_item", "n_item", "n_shared"])
+                        names=["_key", "_set", "n_item", "n_shared"])
 
-    return rows.mapInArrow(search, f"_key {key_type}, _item {item_type}, n_item long, n_shared long")
+    return rows.mapInArrow(search, f"_key {key_type}, _set string, n_item long, n_shared long")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", **options) -> DataFrame:

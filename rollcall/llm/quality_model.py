@@ -86,12 +86,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: Co
 
     order decides which rows of a larger table are taken (default: a hash of text and
     label).  Texts become hashed counts in parallel; one task follows the
-    leader over the bounded sample.  Rows with a null label are left out; a null
+    leader over the bounded sample.  Rows with a null label are left out; rows of equal
+    order, text and label count once, so that copies don't fill the sample; a null
     text has no n-grams; without rows, every score is one half.
     """
     rows = labelled.filter(F.col(label).isNotNull()).select(
         F.col(label).cast("double").alias("label"), F.col(text).cast("string").alias("text"),
-        (order if order is not None else F.xxhash64(text, label)).alias("at"))
+        (order if order is not None else F.xxhash64(text, label)).alias("at"), F.xxhash64(text, label).alias("same"))
 
     @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,8 +120,12 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: Co
         w, b = follow_leader([(np.frombuffer(i, np.int32).astype(np.int64), np.frombuffer(v, np.float32).astype(float), y) for _, i, v, y in seen], bits, passes)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["w", "b"])
 
-    last = rows.select("at").orderBy("at").limit(train_rows).agg(F.max("at")).first()[0]
-    counted = rows.filter(F.col("at") <= F.lit(last)).mapInArrow(count, "label double, at long, number binary, value binary")
+    place = F.struct("at", "same")
+    last = rows.select("at", "same").distinct().orderBy("at", "same").limit(train_rows).agg(F.max(place)).first()[0]
+    if last is None:
+        return np.zeros(2**bits, np.float32), 0.0
+    sample = rows.filter(place <= F.struct(F.lit(last["at"]).alias("at"), F.lit(last["same"]).alias("same"))).dropDuplicates(["at", "same"])
+    counted = sample.select("label", "text", "at").mapInArrow(count, "label double, at long, number binary, value binary")
     out = counted.repartition(1).mapInArrow(learn, "w binary, b double").first()
     if out is None:
         return np.zeros(2**bits, np.float32), 0.0

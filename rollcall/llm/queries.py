@@ -11,8 +11,9 @@ from rollcall.llm import decontamination, html_extraction, language_id, near_dup
 from rollcall.llm._frames import table
 
 
-def remainder(key: str, n: int) -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+def remainder_is(key: str, n: int, wanted: int) -> Column:
+    """Whether crc32 of the key as text leaves that remainder; a null key never does."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n == wanted, F.lit(False))
 
 
 def tokenizer_path() -> str:
@@ -52,10 +53,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    seen = labels.filter(remainder("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("label"))
+    seen = labels.filter(~remainder_is("doc_id", 4, 2)).select("doc_id", F.col("quality").alias("label"))
     model = quality_model.fit(docs.select("doc_id", "text").join(seen, "doc_id"), order=F.xxhash64("doc_id"))
     out = quality_model.score(docs, model, ["doc_id"])
-    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", remainder_is("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder("doc_id", 5) == 0)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder_is("doc_id", 5, 0))
     profiles = language_id.prototypes(docs.filter(~F.col("held_out")))
     return language_id.identify(docs, profiles, ["doc_id", "held_out"])
 

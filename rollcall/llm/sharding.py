@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm._frames import ranked
+from rollcall.llm._frames import ranked, saved
 
 #: Cells into which a source's shuffled rows, and all rows' fractions, are cut for ranking.
 SOURCE_CELLS, CELLS = 1024, 4096
@@ -41,6 +41,7 @@ def stratified_shards(
         F.when(F.col(stratum).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col(stratum).cast("string"))).alias("_stratum"),
         digest.alias("_shuffle"),
     )
+    rows = saved(rows, "sharding")  # narrow: the texts are read once, not by every step
     ties = [F.col("_shuffle"), F.col(key), F.col("text_crc32"), F.col("size")]
     cell = F.shiftrightunsigned("_shuffle", 64 - (SOURCE_CELLS - 1).bit_length()).cast("int")
     unsigned: list[Column] = [F.col("_shuffle") < 0, *ties]

@@ -10,6 +10,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from html import unescape
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ SPACE_NAMES = uuid.NAMESPACE_URL
 ROWS = 500
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\shref\s*=", re.I)
+_LINK = re.compile(r"<a\b[^>]*?\shref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _BREAK = re.compile(
     r"</?(?:p|div|article|section|main|header|footer|nav|aside|form|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|td|th|blockquote|pre|body|html|br|hr|figure|figcaption|option)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
@@ -127,6 +128,18 @@ def plain_text(html: str) -> str:
     return "\n".join(y for x in text.split("\n") if (y := " ".join(unescape(x).split())))
 
 
+def outlinks(html: str, base: str) -> list[str]:
+    """The addresses that a page's links lead to, in page order, made whole by the page's own address."""
+    out = []
+    for link in _LINK.findall(_HIDDEN.sub("", html)):
+        at = unescape(link.strip("\"'")).strip()
+        try:
+            out.append(urljoin(base, at))
+        except ValueError:  # no address at all
+            out.append(at)
+    return out
+
+
 def response_record(url: str | None, html: str | None, name: str, date: str) -> bytes:
     """A response as a crawler stores it."""
     body = (html or "").encode()
@@ -159,7 +172,7 @@ def derive(record: bytes) -> list[tuple]:
     stated_payload = value(headers, "warc-payload-digest")
     title = " ".join(unescape(_TITLE.search(html)[1]).split()) if is_html and _TITLE.search(html) else ""
     fields = [("http-status", " ".join(status.decode("utf-8", "replace").split()[1:])), *[(f"http-header-{k.lower()}", v) for k, v in http],
-              *[(f"source-{k.lower()}", v) for k, v in headers], ("title", title), ("links", str(len(_LINK.findall(html)))), ("conversion", names["conversion"])]
+              *[(f"source-{k.lower()}", v) for k, v in headers], ("title", title), *[("outlink", x) for x in (outlinks(html, uri) if is_html else [])], ("conversion", names["conversion"])]
     blocks = {"metadata": CRLF.join(f"{k}: {' '.join(v.split())}".encode() for k, v in fields) + CRLF, "conversion": (plain_text(html) if is_html else html).encode()}
     kinds = {"metadata": "application/warc-fields", "conversion": "text/plain; charset=utf-8"}
     out = []
@@ -176,16 +189,27 @@ COLUMNS = (
     "source_block_digest string, source_payload_digest string, record binary, problem string")
 
 
-def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """key and record, a WARC response for each page.  The identifier is made from key and address, so equal rows have equal records."""
-    rows = pages.select(pages[key].alias("_key"), F.concat_ws(" ", F.coalesce(pages[url].cast("string"), F.lit("")), pages[key].cast("string")).alias("name"), pages[url].cast("string"), pages[html].cast("string"))
+#: Stands for a date that nobody knows.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+
+def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> DataFrame:
+    """key and record, a WARC response for each page.  The identifier is made from key and address, so equal rows have equal records.
+
+    date: a column with the time of the crawl (a timestamp, or text as the format has it); without one, or where it is
+    null, NO_DATE stands.  A null url or html counts as empty; a null key is a key like any other; an empty table gives no rows.
+    """
+    when = F.lit(None) if date is None else F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'") if pages.schema[date].dataType.typeName().startswith("timestamp") else pages[date].cast("string")
+    rows = pages.select(
+        pages[key].alias("_key"), F.concat_ws(" ", F.coalesce(pages[url].cast("string"), F.lit("")), pages[key].cast("string")).alias("name"), pages[url].cast("string"), pages[html].cast("string"),
+        F.coalesce(when.cast("string"), F.lit(NO_DATE)).alias("when"))
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
-                made = [response_record(u, h, n, date) for n, u, h in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+                made = [response_record(u, h, n, d) for n, u, h, d in zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["_key", "record"])
 
     out = rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, record binary")
@@ -195,7 +219,7 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
 def derivatives(records: DataFrame, key: str = "page_id", record: str = "record") -> DataFrame:
     """key and COLUMNS: for each response record its metadata and its conversion record, which name it in WARC-Refers-To.
 
-    The metadata record holds the response's HTTP and WARC headers, title and number of links, and names the conversion; both carry
+    The metadata record holds the response's HTTP and WARC headers, title and links, and names the conversion; both carry
     the response's block and payload digests.  record is the whole derived record: the records of a table, written one after the
     other, are a WARC file.  Null, broken and other records give one row of type invalid with the problem; repeated rows are
     converted one by one; an empty table gives no rows; other columns are not read.

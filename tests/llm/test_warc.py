@@ -24,7 +24,7 @@ def test_round_trip(spark):
     assert by[1, "conversion"] == "One two\né <x>q" and by[2, "conversion"] == by[3, "conversion"] == ""
     fields = dict(x.split(": ", 1) for x in by[1, "metadata"].split("\r\n") if ": " in x)
     ids = {(r.page_id, r.record_type): r.record_id for r in got}
-    assert fields["title"] == "A & b" and fields["links"] == "1" and fields["http-header-content-type"] == "text/html; charset=utf-8" and fields["http-status"] == "200 OK"
+    assert fields["title"] == "A & b" and fields["outlink"] == "http://a/q" and fields["http-header-content-type"] == "text/html; charset=utf-8" and fields["http-status"] == "200 OK"
     assert fields["conversion"] == ids[1, "conversion"] and fields["source-warc-target-uri"] == "http://a/ X: y"
 
 
