@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +48,10 @@ class Merged:
     gaps: DataFrame
     metadata: DataFrame
 
+    def kept(self, saved: Callable[[DataFrame, str], DataFrame]) -> Merged:
+        """The same tables written and read again, for what reads them many times."""
+        return Merged(**{f.name: saved(getattr(self, f.name), f.name) for f in fields(self)})
+
     def long(self) -> DataFrame:
         """All records as doc_id, bucket, number, text and detail."""
         rows = lambda df, bucket, text, *detail: df.select(DOC, bucket.alias("bucket"), F.col("number").cast("long").alias("number"), F.col(text).alias("text"), F.concat_ws("|", *detail).alias("detail"))
@@ -63,6 +67,38 @@ class Merged:
         return out
 
 
+    def documents(self) -> DataFrame:
+        """doc_id and result: JSON of a document's metadata, sections (lists of typed records, empty ones too), gaps and notes."""
+        struct = lambda names: F.struct(*[F.col(c).alias(n) for c, n in names.items()])
+
+        def listed(df: DataFrame, name: str, names: dict[str, str], by: str | None = None) -> DataFrame:
+            """One row a document: its records as a list, or lists by bucket, in order."""
+            items = F.transform(F.array_sort(F.collect_list(F.struct("number", struct(names).alias("r")))), lambda x: x["r"])
+            if by is None:
+                return df.groupBy(DOC).agg(items.alias(name))
+            return df.groupBy(DOC, by).agg(items.alias("l")).groupBy(DOC).agg(F.map_from_entries(F.collect_list(F.struct(by, "l"))).alias(name))
+
+        same = lambda *names: {c: c for c in names}
+        nested = rec.nested_groups(self.groups, DOC)
+        whole = self.metadata
+        for df in (
+                listed(self.employment, "employment", {"start": "from", "finish": "to"} | same("institution", "location", "rank")),
+                listed(self.education, "education", same("school", "datesFrom", "datesTo", "location", "major", "degree", "dateReceived")),
+                listed(self.services, "services", same("description", "dates", "category")),
+                listed(self.grants, "grants", same("title", "funder", "period", "status", "amount", "totalAward", "role", "coPIsShare")),
+                nested, listed(self.texts.withColumn("r", F.col("text")), "texts", {"text": "text"}, "bucket"),
+                listed(self.publications, "cited", {"number": "number", "text": "citation", "pub_type": "type", "article_kind": "articleKind", "note": "contributionNote", "is_new": "isNewSinceLastReview"}, "bucket"),
+                listed(self.notes, "reviewNotes", same("section", "topic", "instruction")), listed(self.gaps, "gaps", same("section", "field", "instruction", "severity"))):
+            whole = whole.join(df, DOC, "left")
+        or_none = lambda c: F.coalesce(c, F.array())
+        texts = [or_none(F.transform(F.try_element_at("texts", F.lit(b)), lambda x: x["text"])).alias(b) for b in p.STRING_BUCKETS]
+        cited = [or_none(F.try_element_at("cited", F.lit(b))).alias(b) for b in p.PUBLICATION_BUCKETS]
+        sections = F.struct(or_none(F.col("employment")).alias("employment"), or_none(F.col("education")).alias("education"), "specialization", or_none(F.col("services")).alias("universityService"), *texts,
+                            or_none(F.col("groups")).alias("studentInstructionalGroups"), or_none(F.col("grants")).alias("grants"), *cited)
+        body = F.struct(F.struct("name", "department", "title").alias("metadata"), sections.alias("sections"), or_none(F.col("gaps")).alias("gaps"), or_none(F.col("reviewNotes")).alias("reviewNotes"))
+        return whole.select(DOC, F.to_json(body, {"ignoreNullFields": "false"}).alias("result"))
+
+
 def merge_results(parts: DataFrame, body: str = "body", saved: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Merged:
     """Parts of documents' results (doc_id, part, body: JSON text) as one result for each document.
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from rollcall.functions import patterns as p
-from rollcall.operators import audit
-from rollcall.plans import views as v
+from rollcall.operators import audit, layout
+from rollcall.plans import queries as q, views as v
 from rollcall.plans.oracles import (
-    NOTE, PROGRESS, bare, by_case, by_citation, by_record, by_service, core, dated, first, has, heading, lit, merged, moved, no_list_number, numbered, reclassified, rx, squeeze, tokens, trim,
+    CUT, NOTE, PROGRESS, bare, by_case, by_citation, by_record, by_service, by_words, core, dated, first, has, heading, lit, merged, moved, no_list_number, numbered, reclassified, rx, squeeze, tokens, trim,
     without_proceedings, word)
 
 
@@ -156,6 +156,99 @@ def whole() -> str:
     return f"with {ctes}\n select * from ({' union all '.join(rows)})"
 
 
+def _ctes(more: dict[str, str]) -> str:
+    return "with " + ",\n ".join(f"{k} as materialized ({x})" for k, x in (merge() | more).items())
+
+
+METADATA = f"""select doc_id, {', '.join(f"coalesce(arg_max(v_{c}, part) filter (where m), '') as {c}" for c in ('name', 'department', 'title'))}, coalesce(arg_min(s, part) filter (where s <> ''), '') as specialization from (
+ select doc_id, part, coalesce(json_type(b, '$.metadata') = 'OBJECT', false) as m, {', '.join(f"{text('b', '$.metadata.' + c)} as v_{c}" for c in ('name', 'department', 'title'))}, {text('b', '$.sections.specialization')} as s
+ from ({BODIES}) where b is not null) group by 1"""
+
+
+def rendered() -> str:
+    """The whole form, line by line."""
+    cell = lambda x: f"coalesce(nullif({trim(f'coalesce({x}, {chr(39)}{chr(39)})')}, ''), 'Not listed')"
+    row = lambda *xs: "concat_ws(' | ', " + ", ".join(map(cell, xs)) + ")"
+    part = lambda x: rx(rx(trim(f"coalesce({x}, '')"), r"^[-–—]\s*", "", False), r"\s*[-–—]$", "", False)
+    period = lambda a, b: f"case when {part(a)} <> '' and {part(b)} <> '' then concat({part(a)}, ' – ', {part(b)}) when {part(a)} <> '' then {part(a)} else {part(b)} end"
+    degree = "case when \"dateReceived\" = '' then degree else regexp_replace(degree, concat('\\s*\\(', regexp_escape(\"dateReceived\"), '\\)\\s*$'), '') end"
+    unwrap = trim(rx(trim("dates"), r"^\((.*)\)$", r"\1", False))
+    said = f"concat(description, case when {unwrap} = '' then '' else concat(' (', {unwrap}, ')') end)"
+    lists = (*layout.OTHER_ACTIVITIES, *layout.NUMBERED, "studentInstructionalActivities", "teaching")
+    ordered = f"list_position([{', '.join(map(lit, layout.OTHER_ACTIVITIES))}], bucket)"
+    talk = f"{rx(trim('text'), r'^\s*\d+\s*[.)]\s*', '', False)}"
+    view = "case when pub_type in ('book', 'chapter') then 'book' when pub_type in ('journal', 'review', 'proceedings') then pub_type else 'other' end"
+    kind = "case article_kind when 'research' then 'Research article' when 'review' then 'Review article' when 'creative' then 'Creative work' else '' end"
+    note = rx(squeeze("coalesce(note, '')"), r"[.;]\s*$", "", False)
+    note = f"case when {note} = '' or {has(note, r'(?i)\b(?:source\s+no\.?|review\s+material)')} or contains({by_words('text')}, {by_words(note)}) then '' else {note} end"
+    dated = lambda rows, x: f"select * exclude (lead, label, rest, cleaned, dt), sort_key as day from ({globals()['dated'](rows, x)})"
+    entry = trim(rx(f"regexp_replace({no_list_number('entry')}, concat('(?i)^\\s*', regexp_escape(h), '\\s*:?\\s*'), '')",
+                    r"(?i)^\s*(?:Current|Former)\s+(?:Ph\.?D\.?|Masters?|Postdoctoral|Staff|Undergraduate|Visiting)[^:]{0,80}:\s*", "", False))
+    form = "'(?s)^\\s*([^:]{4,90}):\\s*(.+)$'"
+    outline = "(values " + ", ".join(
+        f"({i}, {lit(h)}, {lit(b) if b else 'null'}, {lit(f) if f else 'null'}, {lit(layout.CELL.join(layout.TABLES.get(b, ())))})" for i, (_, h, b, f) in enumerate(layout.OUTLINE)) + ") o(seq, heading, bucket, fallback, head)"
+    student = next(i for i, x in enumerate(layout.OUTLINE) if x[2] == "studentInstructionalActivities")
+    new = lambda by: f"""select *, coalesce(bool_or(old) over w and f > 1 and number = f, false) as divider from (select *, min(case when is_new then number end) over (partition by {by}) as f from (
+ select *, said or coalesce(day >= {CUT}, false) as is_new, coalesce(day < {CUT}, false) as old from ({{}}))) window w as (partition by {by})"""
+    more = {
+        "meta": METADATA,
+        "shown": f"""select doc_id, 'employment' as bucket, number, null as w_, [{row(period('start', 'finish'), 'institution', 'location', 'rank')}] as lines, false as said from employment
+ union all select doc_id, 'education', number, null, [{row(period('"datesFrom"', '"datesTo"'), 'school', 'location', 'major', degree, '"dateReceived"')}], false from education
+ union all select doc_id, 'specialization', 1, null, [specialization], false from meta where specialization <> ''
+ union all select doc_id, v, row_number() over (partition by doc_id, v order by number), {said}, [{said}], false from (select *, case when category = 'departmental' then 'departmentalService' else 'otherService' end as v from served)
+ union all select doc_id, v, row_number() over (partition by doc_id, v order by number), concat(period, ' ', title), [{row('title', 'funder', 'amount', 'period', 'role', '"coPIsShare"')}], false from (select *, case when status = 'current' then 'currentGrants' else 'pastGrants' end as v from granted)
+ union all select doc_id, bucket, number, text, [text], false from texts where bucket not in {names(lists)}
+ union all select doc_id, 'otherActivities', row_number() over (partition by doc_id order by {ordered}, number), text, [text], false from texts where bucket in {names(layout.OTHER_ACTIVITIES)}
+ union all select doc_id, bucket, n, t, [concat(n, '. ', t)], false from (select *, row_number() over (partition by doc_id, bucket order by number) as n from (select doc_id, bucket, number, {talk} as t from texts where bucket in {names(layout.NUMBERED)})
+  where not regexp_matches(lower(t), '\\(poster\\)|poster presentation|contributed talk'))
+ union all select doc_id, b, n, text, list_concat([concat(n, '. ', text)], list_filter([{kind}, {note}], lambda x: x <> '')), coalesce(is_new, false) from (
+  select *, case when bucket = 'workInProgress' then concat('inProgress ', v) else bucket end as b, case when bucket = 'workInProgress' then row_number() over (partition by doc_id, bucket, v order by number) else number end as n from (select *, {view} as v from publications))""",
+        "marked": new("doc_id, bucket").format(dated("select * from shown", "w_")),
+        "items": f"""select doc_id, seq, 1 as a, number as b, unnest(range(len(l))) as c, unnest(l) as line from (select *, list_concat(case when divider then ['{layout.DIVIDER}'] else [] end,
+  case when is_new and (m.bucket in {names(p.PUBLICATION_BUCKETS)} or starts_with(m.bucket, 'inProgress')) then list_concat([concat('*', lines[1])], lines[2:]) else lines end) as l from marked m join {outline} on m.bucket = o.bucket)""",
+        "folded": numbered(first(f"select *, min(late * 1000000000 + ord) over (partition by doc_id, heading) as ho from (select doc_id, late, ord, h as heading, {entry} as text from (select *, {heading('heading')} as h from (select doc_id, 0 as late, dense_rank() over (partition by doc_id order by heading_order) * 1000000 + number as ord, heading, text as entry from grouped union all select doc_id, 1, number, regexp_extract(text, {form}, 1), regexp_extract(text, {form}, 2) from texts where bucket = 'studentInstructionalActivities' and regexp_matches(text, {form}))) where h <> '')",
+                                 "doc_id, heading", by_case("text"), "late, ord"), "doc_id, heading", "late, ord"),
+        "entries": new("doc_id, heading").format(dated("select doc_id, heading, ho, number, text, false as said from folded", "text")),
+        "places": "select doc_id, heading, dense_rank() over (partition by doc_id order by ho) as a from (select distinct doc_id, heading, ho from folded)",
+        "students": f"""select doc_id, {student} as seq, a, 0 as b, 0 as c, heading as line from places union all
+ select e.doc_id, {student}, a, number, unnest(range(len(l))), unnest(l) from (select *, list_concat(case when divider then ['{layout.DIVIDER}'] else [] end, [concat(number, '. ', text)]) as l from entries) e join places q on e.doc_id = q.doc_id and e.heading = q.heading""",
+        "body": "select * from items union all select * from students",
+        "slots": f"""select m.doc_id, o.*, exists (select 1 from body x where x.doc_id = m.doc_id and x.seq = o.seq) as held from meta m, {outline}""",
+        "todo": f"select *, row_number() over (partition by doc_id, severity order by number) as n, list_position(['required', 'recommended', 'optional'], severity) as r from gaps",
+    }
+    end = len(layout.OUTLINE)
+    blank = lambda c: f"coalesce(nullif({c}, ''), '{layout.BLANK}')"
+    labels = "case severity " + " ".join(f"when {lit(s)} then {lit(x)}" for s, x in layout.SEVERITY_LABELS) + " end"
+    some = "(select doc_id from gaps union select doc_id from notes)"
+    return f"""{_ctes(more)}
+ select doc_id, row_number() over (partition by doc_id order by seq, a, b, c) as line_no, line from (
+ select doc_id, seq, a, b, c, line from body union all select doc_id, seq, 0, 0, 0, heading from slots where held or bucket is null or fallback is not null union all
+ select doc_id, seq, 0, 0, 1, fallback from slots where not held and bucket is not null and fallback is not null union all select doc_id, seq, 0, 0, 2, head from slots where held and head <> '' union all
+ select doc_id, -1, 0, unnest(range(5)), 0, unnest(['Form', concat('Name: ', {blank('name')}, '     Department: ', {blank('department')}), concat('Title: ', {blank('title')}), 'Review period (Section II activities): {q.SINCE} – present', 'New since last review date: {q.CUTOFF}']) from meta union all
+ select doc_id, {end}, 0, unnest([0, 1]), 0, unnest(['Signature: ________', 'Date: ________']) from meta union all
+ select doc_id, {end + 1}, 0, unnest([0, 1]), 0, unnest([{lit(p.APPENDIX_HEADING)}, {lit(layout.SUMMARY_INTRO)}]) from {some} union all
+ select distinct doc_id, {end + 1}, 1, 0, 0, {lit(layout.GAPS_HEADING)} from gaps union all select distinct doc_id, {end + 1}, 1, r, 0, {labels} from todo union all
+ select doc_id, {end + 1}, 1, r, n, concat(n, '. ', section, ' — ', field, ': ', instruction) from todo union all select distinct doc_id, {end + 1}, 2, 0, 0, {lit(layout.NOTES_HEADING)} from notes union all
+ select doc_id, {end + 1}, 3, number, 0, concat(number, '. ', section, ' — ', topic, ': ', instruction) from notes)"""
+
+
+def documents() -> str:
+    """The nested result as JSON, and its checksum."""
+    obj = lambda fields: "{" + ", ".join(f"'{n}': {c}" for n, c in fields.items()) + "}"
+    of = lambda table, fields: f"coalesce((select list({obj(fields)} order by number) from {table} t where t.doc_id = m.doc_id), [])"
+    same = lambda *xs: {x: f't."{x}"' for x in xs}
+    texts = {b: f"coalesce((select list(t.text order by number) from texts t where t.doc_id = m.doc_id and t.bucket = {lit(b)}), [])" for b in p.STRING_BUCKETS}
+    cite = {"number": "t.number", "citation": "t.text", "type": "t.pub_type", "articleKind": "t.article_kind", "contributionNote": "t.note", "isNewSinceLastReview": "t.is_new"}
+    cited = {b: f"coalesce((select list({obj(cite)} order by number) from publications t where t.doc_id = m.doc_id and t.bucket = {lit(b)}), [])" for b in p.PUBLICATION_BUCKETS}
+    groups = "coalesce((select list({'heading': heading, 'entries': entries} order by heading_order) from (select doc_id, heading, heading_order, list(text order by number) as entries from grouped group by 1, 2, 3) t where t.doc_id = m.doc_id), [])"
+    sections = {
+        "employment": of("employment", {"from": "t.start", "to": "t.finish"} | same("institution", "location", "rank")), "education": of("education", same("school", "datesFrom", "datesTo", "location", "major", "degree", "dateReceived")),
+        "specialization": "m.specialization", "universityService": of("served", same("description", "dates", "category")), **texts, "studentInstructionalGroups": groups,
+        "grants": of("granted", same("title", "funder", "period", "status", "amount") | {"totalAward": "null::varchar"} | same("role", "coPIsShare")), **cited}
+    body = obj({"metadata": "{'name': m.name, 'department': m.department, 'title': m.title}", "sections": obj(sections), "gaps": of("gaps", same("section", "field", "instruction", "severity")), "reviewNotes": of("notes", same("section", "topic", "instruction"))})
+    return f"{_ctes({'meta': METADATA})}\n select m.doc_id, md5(cast(to_json({body}) as varchar)) as result_md5 from meta m"
+
+
 def oracle_sql() -> dict[str, str]:
     flat = f"select doc_id, part * 1000000 + pos * 1000 as ord, trim(regexp_extract(text, '(?s)^\\s*([^:]{{4,90}}):\\s*(.+)$', 1)) as heading, regexp_extract(text, '(?s)^\\s*([^:]{{4,90}}):\\s*(.+)$', 2) as entry from ({STRINGS}) where bucket = 'studentInstructionalActivities' and regexp_matches(text, '(?s)^\\s*([^:]{{4,90}}):\\s*(.+)$')"
     entry = trim(rx(f"regexp_replace({no_list_number('entry')}, concat('(?i)^\\s*', regexp_escape(h), '\\s*:?\\s*'), '')",
@@ -174,9 +267,7 @@ def oracle_sql() -> dict[str, str]:
         "ingest_gaps": f"select id, pos, section, field, instruction, severity from ({GAPS})",
         "ingest_notes": f"select id, pos, section, topic, instruction from ({NOTES})",
         "ingest_sections": f"select id, bucket, pos, text, null::varchar as pub_type, null::boolean as is_new from ({STRINGS}) union all select id, bucket, pos, text, pub_type, is_new from ({CITED})",
-        "merged_metadata": f"""select doc_id, {', '.join(f"coalesce(arg_max(v_{c}, part) filter (where m), '') as {c}" for c in ('name', 'department', 'title'))}, coalesce(arg_min(s, part) filter (where s <> ''), '') as specialization from (
- select doc_id, part, coalesce(json_type(b, '$.metadata') = 'OBJECT', false) as m, {', '.join(f"{text('b', '$.metadata.' + c)} as v_{c}" for c in ('name', 'department', 'title'))}, {text('b', '$.sections.specialization')} as s
- from ({BODIES}) where b is not null) group by 1""",
+        "merged_metadata": METADATA,
         "validate_result": f"""select id, id % 11 not between 2 and 10 as valid, id % 5 <> 0 and coalesce(since_year between 1950 and 2200, true) as header_ok from ({v.WHOLE_BODIES})""",
         "placement_inventory": f"""select distinct a.doc_id, concat('service/external:', a.k) as entry from (select doc_id, {by_service('text')} as k from ({activities})) a join (select doc_id, {by_service('description', 'dates')} as k from ({SERVICES})) s
  on a.doc_id = s.doc_id and a.k = s.k where a.k <> '' union all select doc_id, concat(bucket, ':', key) from {repeats(CITED, 'doc_id, bucket', cited_key)} union all
@@ -187,5 +278,7 @@ def oracle_sql() -> dict[str, str]:
  select doc_id, case when status = 'current' then 'currentGrants' else 'pastGrants' end, count(*) from ({GRANTS}) group by 1, 2""",
         "structural_gaps": f"select doc_id, section, field, instruction, severity from ({opened_gaps(EMPLOYMENT, EDUCATION, GRANTS, GAPS)})",
         "consolidated": whole(),
+        "rendered_documents": rendered(),
+        "result_documents": documents(),
     }
 

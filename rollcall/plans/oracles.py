@@ -400,7 +400,7 @@ def _status() -> str:
 
 
 def _rendered() -> str:
-    dim = "(values " + ", ".join(f"({i}, {lit(h)}, {lit(b)}, {lit(f) if f else 'null'})" for i, (h, b, f) in enumerate(q.SHORT_LAYOUT)) + ") d(seq, heading, bucket, fallback)"
+    dim = "(values " + ", ".join(f"({i}, {lit(h)}, {lit(b)}, {lit(f) if f else 'null'})" for i, (h, b, f) in enumerate(q.ORDER_LAYOUT)) + ") d(seq, heading, bucket, fallback)"
     return f"""with r as (select c.*, d.seq from ({CHRONO}) c join {dim} on c.bucket = d.bucket),
  h as (select c_custkey as doc_id, d.*, exists (select 1 from r where r.doc_id = c_custkey and r.seq = d.seq) as held from customer, {dim})
  select doc_id, row_number() over (partition by doc_id order by seq, kind, number, sub) as line_no, line from (

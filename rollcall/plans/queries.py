@@ -540,13 +540,13 @@ def purged_sources(spark: SparkSession, d: str) -> DataFrame:
     return files.purge_sources(x, done).select("doc_id", "job_id")
 
 
-SHORT_LAYOUT = (("Urgent", "1-URGENT", "None."), ("High", "2-HIGH", None), ("Low", "5-LOW", "None submitted with file."))
+ORDER_LAYOUT = (("Urgent", "1-URGENT", "None."), ("High", "2-HIGH", None), ("Low", "5-LOW", "None submitted with file."), ("Medium", "3-MEDIUM", None), ("Unspecified", "4-NOT SPECIFIED", "None."))
 
 
 @query
 def rendered_lines(spark: SparkSession, d: str) -> DataFrame:
     docs = v.table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"))
-    return big(layout.render_lines(docs, chrono_numbered_records(spark, d), "doc_id", SHORT_LAYOUT))
+    return big(layout.render_lines(docs, chrono_numbered_records(spark, d), "doc_id", ORDER_LAYOUT))
 
 
 @query
@@ -739,3 +739,19 @@ def consolidated(spark: SparkSession, d: str) -> DataFrame:
     from rollcall.plans.consolidate import merge_results
 
     return merge_results(bodies(spark, d), saved=saved).long()
+
+
+@query
+def rendered_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's whole form as lines, with the summary of what is left to do."""
+    from rollcall.plans.consolidate import merge_results
+
+    return big(layout.render_documents(merge_results(bodies(spark, d), saved=saved).kept(saved), "doc_id", CUTOFF, SINCE, "Form", ("Signature: ________", "Date: ________")))
+
+
+@query
+def result_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's whole result as one nested JSON text: sections with typed records, gaps, notes and metadata."""
+    from rollcall.plans.consolidate import merge_results
+
+    return merge_results(bodies(spark, d), saved=saved).kept(saved).documents().select("doc_id", F.md5("result").alias("result_md5"))
