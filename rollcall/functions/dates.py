@@ -12,14 +12,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import patterns as p
 from rollcall.functions.text import bind, drop, squeeze, strip_source_number, trim, unwrap
 
-LEADING = (
-    rf"(?i)^(?:(?:{p.MONTH})\s+\d{{1,2}},\s*\d{{4}}{p.RIGHT}|(?:{p.MONTH})\s+\d{{4}}{p.RIGHT}|\d{{4}}-\d{{2}}-\d{{2}}{p.RIGHT}|\d{{4}}\s*,\s*\d{{4}}{p.RIGHT}"
-    rf"|\d{{4}}\s*{p.DASH}\s*(?:\d{{4}}|{p.OPEN_END}){p.RIGHT}|\d{{4}}{p.RIGHT})[\s,.:;-]*"
-)
-FULL = rf"({p.MONTH})\s+(\d{{1,2}}),\s*(\d{{4}})"
-MONTH_YEAR = rf"({p.MONTH})\s+(\d{{4}})"
-ISO = r"(\d{4})-(\d{2})-(\d{2})"
-RANGE = rf"((?:19|20)\d{{2}})\s*{p.DASH}\s*(?:(?:19|20)\d{{2}}|{p.OPEN_END})"
+LEADING, FULL, MONTH_YEAR, ISO, RANGE = p.LEADING_DATE, p.FULL_DATE, p.MONTH_YEAR, p.ISO_DATE, p.YEAR_RANGE
 
 
 def split_leading_date(c: Column | str) -> Column:

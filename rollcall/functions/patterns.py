@@ -22,11 +22,28 @@ MONTH = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)
 DASH = "[-–—]"
 OPEN_END = "current|present|tenure"
 
+#: Dates in front of a text, and within it.
+LEADING_DATE = (
+    rf"(?i)^(?:(?:{MONTH})\s+\d{{1,2}},\s*\d{{4}}{RIGHT}|(?:{MONTH})\s+\d{{4}}{RIGHT}|\d{{4}}-\d{{2}}-\d{{2}}{RIGHT}|\d{{4}}\s*,\s*\d{{4}}{RIGHT}"
+    rf"|\d{{4}}\s*{DASH}\s*(?:\d{{4}}|{OPEN_END}){RIGHT}|\d{{4}}{RIGHT})[\s,.:;-]*"
+)
+FULL_DATE = rf"({MONTH})\s+(\d{{1,2}}),\s*(\d{{4}})"
+MONTH_YEAR = rf"({MONTH})\s+(\d{{4}})"
+ISO_DATE = r"(\d{4})-(\d{2})-(\d{2})"
+YEAR_RANGE = rf"((?:19|20)\d{{2}})\s*{DASH}\s*(?:(?:19|20)\d{{2}}|{OPEN_END})"
+#: Numbers in front of a record; years and ranges inside one; a group's name in front of an entry.
+LIST_NUMBER = r"^\s*\d+\s*[.)]\s*"
+SOURCE_NUMBER = r"^\s*(?:\(\d+\)|\d+[.)])\s*"
+YEARS = rf"(?i){LEFT}(?:19|20)\d{{2}}{RIGHT}(?:\s*(?:-|–|—|to)\s*(?:present|current|(?:19|20)\d{{2}}))?"
+GROUP_PREFIX = r"(?i)^\s*(?:Current|Former)\s+(?:Ph\.?D\.?|Masters?|Postdoctoral|Staff|Undergraduate|Visiting)[^:]{0,80}:\s*"
+FLAT_GROUP = r"(?s)^\s*([^:]{4,90}):\s*(.+)$"
+
 SERVICE_PREFIXES = (
     "co[- ]?chair", "vice[- ]?chair", "chair", r"member(?:\s+of)?", "departmental", "campus", r"academic\s+senate", "senate", "university",
     "systemwide", "ucsd", r"uc\s+san\s+diego",
 )
 AUTHORSHIP_NOTES = ("co[- ]author", "co[- ]corresponding author", "corresponding author", "senior author")
+CONTRIBUTION = rf"(?is)^(.*?)\s+(\*{{1,2}}\s*(?:{'|'.join(AUTHORSHIP_NOTES)})[^.]*\.?)$"
 #: (all of these parts, heading), in order: the first row whose parts all occur decides.
 GROUP_HEADINGS = (
     (("postdoctoral fellow", "current"), "Current Postdoctoral Associates"),

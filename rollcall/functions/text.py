@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions import patterns as p
 
-LIST_NUMBER = r"^\s*\d+\s*[.)]\s*"
+LIST_NUMBER = p.LIST_NUMBER
 
 
 def _col(c: Column | str) -> Column:
@@ -68,20 +68,19 @@ def norm_service(c: Column | str, dates: Column | None = None) -> Column:
 
 def strip_source_number(c: Column | str) -> Column:
     """Without a number in front, as in ``(22)``, ``71.`` or ``71)``; so ``2010. Title`` loses its year."""
-    return trim(drop(trim(c), r"^\s*(?:\(\d+\)|\d+[.)])\s*"))
+    return trim(drop(trim(c), p.SOURCE_NUMBER))
 
 
 def activity_core(c: Column | str) -> Column:
     """The record's identity without its dates."""
-    years = rf"(?i){p.LEFT}(?:19|20)\d{{2}}{p.RIGHT}(?:\s*(?:-|–|—|to)\s*(?:present|current|(?:19|20)\d{{2}}))?"
-    return norm_service(drop(drop(strip_source_number(c), years, " "), p.words("present", "current"), " "))
+    return norm_service(drop(drop(strip_source_number(c), p.YEARS, " "), p.words("present", "current"), " "))
 
 
 def norm_citation(c: Column | str) -> Column:
     return F.trim(drop(drop(norm_dedupe(c), LIST_NUMBER), "[^a-z0-9]+", " "))
 
 
-NOTE = rf"(?is)^(.*?)\s+(\*{{1,2}}\s*(?:{'|'.join(p.AUTHORSHIP_NOTES)})[^.]*\.?)$"
+NOTE = p.CONTRIBUTION
 
 
 def split_contribution(c: Column | str) -> Column:
@@ -112,8 +111,7 @@ def canonical_heading(c: Column | str) -> Column:
 def strip_group_prefix(c: Column | str, heading: Column | str) -> Column:
     quoted = F.concat(F.lit(r"(?i)^\s*\Q"), F.replace(_col(heading), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\s*:?\s*"))
     bare = F.regexp_replace(drop(_col(c), LIST_NUMBER), quoted, F.lit(""))
-    generic = r"(?i)^\s*(?:Current|Former)\s+(?:Ph\.?D\.?|Masters?|Postdoctoral|Staff|Undergraduate|Visiting)[^:]{0,80}:\s*"
-    return trim(drop(bare, generic))
+    return trim(drop(bare, p.GROUP_PREFIX))
 
 
 def unwrap(c: Column | str) -> Column:

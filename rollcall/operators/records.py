@@ -215,5 +215,4 @@ def grant_view(status: Column | str) -> Column:
 
 def flat_groups(df: DataFrame, content: str) -> DataFrame:
     """``heading: entry`` texts with a heading of 4 to 90 characters, taken apart."""
-    form = r"(?s)^\s*([^:]{4,90}):\s*(.+)$"
-    return df.filter(F.col(content).rlike(form)).withColumns({"heading": F.regexp_extract(content, form, 1), "entry": F.regexp_extract(content, form, 2)})
+    return df.filter(F.col(content).rlike(p.FLAT_GROUP)).withColumns({"heading": F.regexp_extract(content, p.FLAT_GROUP, 1), "entry": F.regexp_extract(content, p.FLAT_GROUP, 2)})
