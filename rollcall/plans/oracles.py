@@ -328,6 +328,8 @@ def oracle_sql() -> dict[str, str]:
  select doc_id, bucket, list(text order by ord) as items from ({v.REC_ORDERS}) group by 1, 2) group by 1""",
         "explode_buckets": f"""select doc_id, bucket, row_number() over (partition by doc_id, bucket order by s, ord) as ord, status as text from (
  select doc_id, ord % 3 as s, ord, status, case when ord % 2 = 0 then 'evens' else 'odds' end as bucket from ({v.REC_ORDERS}))""",
+        "file_admission": f"""select path, length, case when not ends_with(lower(path), '.docx') then 'only .docx files are taken' when length > {50 << 20} then 'larger than 50 MB' end as reject from ({v.FILES})""",
+        "partials": f"select job_id, event_id, state, slice_key from ({v.OUTCOMES}) where slice_key >= 'm' or state = 'done'",
         "anchor_counts": _anchors(),
         "duplicate_inventory": f"select source, key, count(*) as copies from (select source, {by_record('line')} as key from ({LINES})) where key <> '' group by all having count(*) > 1",
         "run_diff": f"""select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.bucket, b.bucket) as bucket, coalesce(a.number, b.number) as number,

@@ -611,6 +611,22 @@ def date_precision(spark: SparkSession, d: str) -> DataFrame:
     return audit.date_precision(x.select("ord", dates.clean_record("text").alias("text")), checks, "text")
 
 
+@query
+def file_admission(spark: SparkSession, d: str) -> DataFrame:
+    """Which of the documents would be taken as files, by name and size, and why the others wouldn't."""
+    return files.admit_files(v.view(spark, d, v.FILES)).select("path", "length", "reject")
+
+
+@query
+def partials(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes kept by slice: all slices are written, then some again with what is done; the others stay."""
+    x = v.view(spark, d, v.OUTCOMES).select("job_id", "event_id", "state", "slice_key")
+    path = _shared(spark, "partials")
+    files.write_partials(x, path)
+    files.write_partials(x.filter("state = 'done' and slice_key < 'm'"), path)
+    return files.read_partials(spark, path, "job_id bigint, event_id bigint, state string, slice_key string")
+
+
 @query
 def admitted_files(spark: SparkSession, d: str) -> DataFrame:
     """The tables' own files, judged by ending and size."""

@@ -66,6 +66,9 @@ LINES_DUCK = r"""select doc_id, lang, source, row_number() over (partition by do
  select doc_id, lang, source, k, regexp_replace(line, '^\s+|\s+$', '', 'g') as line from (
   select doc_id, lang, source, unnest(string_split_regex(text, '\r?\n')) as line, unnest(range(len(string_split_regex(text, '\r?\n')))) as k from documents)) where line <> ''"""
 
+#: Documents as if they were files: path, length.
+FILES = """select concat(source, '/', cast(doc_id as string), case doc_id % 4 when 0 then '.DOCX' when 1 then '.pdf' else '.docx' end) as path, n_chars * 9000 as length from documents"""
+
 #: Turns of conversations as student-group entries: conv_id, turn, heading, entry.
 TURNS = """select conv_id, turn, case turn % 5 when 0 then 'Current Ph.D. Students:' when 1 then 'Undergraduate researchers' when 2 then 'Masters students' when 3 then concat('Group ', role)
  else '' end as heading, case turn % 4 when 0 then concat('1. ', text) when 1 then concat('Current Ph.D. Students: ', text) when 2 then text
@@ -115,9 +118,12 @@ def _filled(template: str) -> str:
     return x
 
 
+#: Parts of documents, ten each, with a date: o_orderkey, o_custkey, o_orderdate.
+_PARTS = """(select c_custkey as o_orderkey, cast((c_custkey - c_custkey % 10) / 10 as bigint) as o_custkey,
+ make_date(cast(1985 + c_custkey * 7 % 35 as int), cast(c_custkey % 12 + 1 as int), 1) as o_orderdate from customer) x"""
 #: Results with every kind of record, good and bad: id, doc_id, part, body.
 FULL_BODIES = f"""select o_orderkey as id, o_custkey as doc_id, o_orderkey as part, case o_orderkey % 8 when 2 then '[1, 2]' when 3 then {_filled(_SOME)}
- when 5 then concat('```json', chr(10), {_filled(_FULL)}, chr(10), '```') when 6 then 'no JSON' else {_filled(_FULL)} end as body from orders"""
+ when 5 then concat('```json', chr(10), {_filled(_FULL)}, chr(10), '```') when 6 then 'no JSON' else {_filled(_FULL)} end as body from {_PARTS}"""
 
 
 _WHOLE = """{"metadata": {"name": "N@D", "department": "", "title": "", "processedAt": "now"@E1}, "sections": {"employment": [{"from": "", "to": "", "institution": "", "location": "", "rank": @E2}],
@@ -141,7 +147,7 @@ def _faulty() -> str:
 
 #: Whole results, most of them with a fault, with the hash and year kept beside them: id, body, hash, since_year.
 WHOLE_BODIES = f"""select o_orderkey as id, {_faulty()} as body, case when o_orderkey % 5 = 0 then 'nohash' else repeat(concat(md5(cast(o_orderkey as string))), 2) end as hash,
- case when o_orderkey % 3 = 0 then 1900 + o_orderkey % 400 end as since_year from orders"""
+ case when o_orderkey % 3 = 0 then 1900 + o_orderkey % 400 end as since_year from {_PARTS}"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
