@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,14 +148,14 @@ def shown_records(merged, doc: str = "doc_id") -> DataFrame:
     return employment.unionAll(education).unionAll(special).unionAll(services).unionAll(grants).unionAll(texts).unionAll(talks).unionAll(starred)
 
 
-def _students(merged, doc: str, cutoff: str | None) -> DataFrame:
+def _students(merged, doc: str, cutoff: str | None, saved: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Lines of the student section: groups with their numbered entries; without a group, teaching that is mentoring."""
     texts = merged.texts
     flat = texts.filter("bucket = 'studentInstructionalActivities'").select(doc, "text", F.struct(F.lit(0).alias("a"), F.col("number").alias("b")).alias("ord"))
     own = merged.groups.select(doc, "heading", "entry", F.struct(F.col("heading_order").alias("a"), F.col("number").alias("b")).alias("ord"))
     place = F.dense_rank().over(Window.partitionBy(doc).orderBy("a"))
     own = own.withColumn("a", F.col("ord.a")).withColumn("ord", F.struct(place.cast("int").alias("a"), F.col("ord.b").alias("b"))).drop("a")
-    groups = rec.fold_groups(own, flat, doc, "text")
+    groups = saved(rec.fold_groups(own, flat, doc, "text"), "groups")
     entries = _divided(groups.withColumnRenamed("entry", "dated").withColumn("said", F.lit(False)), [doc, "heading", "heading_order"], cutoff)
     line = F.concat(F.col("number").cast("string"), F.lit(". "), F.col("dated"))
     entries = entries.withColumn("lines", F.when(F.col("divider"), F.array(F.lit(DIVIDER), line)).otherwise(F.array(line)))
@@ -174,12 +176,13 @@ def _divided(df: DataFrame, group: list[str], cutoff: str | None) -> DataFrame:
     return rec.review_divider(df, group, F.col("dated"), "number", cutoff, F.col("said"))
 
 
-def render_documents(merged, doc: str = "doc_id", cutoff: str | None = None, since_year: int | None = None, title: str | None = None, closing: tuple[str, ...] = ()) -> DataFrame:
+def render_documents(merged, doc: str = "doc_id", cutoff: str | None = None, since_year: int | None = None, title: str | None = None, closing: tuple[str, ...] = (),
+                     saved: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """doc, line_no and line: each document's whole form, from the name to the summary of what is left to do.
 
     merged: plans.consolidate.Merged.  Every section of OUTLINE stands in its order, with a fallback where it is empty; tables are lines
     of cells, lists are numbered as their section asks for, new records of bibliographies are starred, and a divider stands
-    before the first new one.  The outline is a broadcast table of fixed size; all else is joined or unioned by document.
+    before the first new one.  saved: writes a table that several steps read and reads it again.  The outline is a broadcast table of fixed size; all else is joined or unioned by document.
     """
     spark = merged.metadata.sparkSession
     rows = [(i, level, heading, bucket, fallback, CELL.join(TABLES.get(bucket, ()))) for i, (level, heading, bucket, fallback) in enumerate(OUTLINE)]
@@ -192,11 +195,12 @@ def render_documents(merged, doc: str = "doc_id", cutoff: str | None = None, sin
     lines = F.when(bibliography & F.col("is_new"), F.transform("lines", lambda x, i: F.when(i == 0, F.concat(F.lit("*"), x)).otherwise(x))).otherwise(F.col("lines"))
     parts = records.select(doc, "seq", "number", F.posexplode(F.when(F.col("divider"), F.concat(F.array(F.lit(DIVIDER)), lines)).otherwise(lines)).alias("sub", "text"))
     body = line(parts, F.col("seq"), F.lit(1), F.col("number"), F.col("sub"), F.col("text"))
-    students = _students(merged, doc, cutoff).crossJoin(F.broadcast(spark.createDataFrame([(x[0],) for x in rows if x[3] == "studentInstructionalActivities"], "seq int")))
+    students = _students(merged, doc, cutoff, saved).crossJoin(F.broadcast(spark.createDataFrame([(x[0],) for x in rows if x[3] == "studentInstructionalActivities"], "seq int")))
     body = body.unionAll(line(students, F.col("seq"), F.col("part"), F.col("number"), F.col("sub"), F.col("line")))
 
+    body = saved(body, "lines")
     held = body.select(doc, "seq").distinct().withColumn("held", F.lit(True))
-    places = merged.metadata.select(doc).crossJoin(outline).join(held, [doc, "seq"], "left")
+    places = saved(merged.metadata.select(doc).crossJoin(outline).join(held, [doc, "seq"], "left"), "places")
     places = places.filter("held or bucket is null or fallback is not null")
     out = body.unionAll(line(places, F.col("seq"), zero, zero, zero, F.col("heading")))
     out = out.unionAll(line(places.filter("held is null and bucket is not null"), F.col("seq"), zero, zero, F.lit(1), F.col("fallback")))

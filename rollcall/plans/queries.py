@@ -762,7 +762,7 @@ def rendered_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document's whole form as lines, with the summary of what is left to do."""
     from rollcall.plans.consolidate import merge_results
 
-    return big(layout.render_documents(merge_results(bodies(spark, d), saved=saved).kept(saved), "doc_id", CUTOFF, SINCE, "Form", ("Signature: ________", "Date: ________")))
+    return big(layout.render_documents(merge_results(bodies(spark, d), saved=saved).kept(saved), "doc_id", CUTOFF, SINCE, "Form", ("Signature: ________", "Date: ________"), saved))
 
 
 @query
