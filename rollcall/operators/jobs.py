@@ -81,10 +81,13 @@ def build_requests(docs: DataFrame, slices: DataFrame, excerpts: DataFrame, done
 
     excerpts: doc, slice_key, n, line.  The slices are a broadcast table of fixed size; slices with an outcome in done are left out.
     """
-    due = docs.select(doc, F.col(text).alias("_text")).crossJoin(F.broadcast(slices)).join(done.select(doc, "slice_key").distinct(), [doc, "slice_key"], "left_anti")
+    due = docs.select(doc).crossJoin(F.broadcast(slices)).join(done.select(doc, "slice_key").distinct(), [doc, "slice_key"], "left_anti")
     cut = excerpts.groupBy(doc, "slice_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("_excerpt"))
-    out = due.join(cut, [doc, "slice_key"], "left")
-    return out.select(doc, "slice_key", F.when(excerpt_only, F.coalesce("_excerpt", "_text")).otherwise(F.col("_text")).alias("body"))
+    short = due.filter(excerpt_only).join(cut, [doc, "slice_key"], "left")
+    # Texts are fetched last, and only for slices that need a whole one.
+    whole = due.filter(~excerpt_only).select(doc, "slice_key").unionAll(short.filter("_excerpt is null").select(doc, "slice_key"))
+    return short.filter("_excerpt is not null").select(doc, "slice_key", F.col("_excerpt").alias("body")).unionAll(
+        whole.join(docs.select(doc, F.col(text).alias("body")), doc).select(doc, "slice_key", "body"))
 
 
 def lines_as_records(body: str, bucket: str) -> list[str]:

@@ -70,7 +70,7 @@ TABLES = {
     "pastGrants": ("Title", "Granting agency", "Amount of total award", "Time period", "Role", "Co-PIs / share"),
 }
 BLANK = "________________"
-SUMMARY_INTRO = "This page lists items the automated conversion could not complete or was unsure how to place. Resolve each item, then delete this page before submitting the BioBib."
+SUMMARY_INTRO = "This page lists items the automated conversion could not complete or was unsure how to place. Resolve each item, then delete this page."
 GAPS_HEADING, NOTES_HEADING = "Manual Completion Items", "Placement and Duplication Review Notes"
 SEVERITY_LABELS = (("required", "Required before submission"), ("recommended", "Recommended"), ("optional", "Optional"))
 # --- end of fixed values ---

@@ -28,7 +28,7 @@ def consolidate(pubs: DataFrame) -> DataFrame:
     clean = kept.withColumn("text", squeeze(strip_source_number("text")))
     ordered = rec.number_by_date(clean, [DOC, "bucket"], F.col("text"), ["moved", "ord", "text"], "place").drop("ord").withColumnRenamed("place", "ord")
     flags = tuple(c for c in ("is_new", "is_own_thesis") if c in pubs.columns)
-    optional = tuple(c for c in ("note", "article_kind", "bioBibSection", "originalNumber", "previouslyListedAs", "reviewMaterialUrl") if c in pubs.columns)
+    optional = tuple(c for c in ("note", "article_kind", "originalNumber", "previouslyListedAs", "reviewMaterialUrl") if c in pubs.columns)
     merged = rec.merge_duplicates(ordered, [DOC], optional=optional, flags=flags)
     return rec.renumber(merged, [DOC, "bucket"], ["ord"])
 

@@ -99,7 +99,7 @@ def publication_rows(e: DataFrame) -> DataFrame:
     return rows.select(
         "*", number.alias("number"), _one_of(_text("value", "$.type"), p.PUBLICATION_TYPES, "other").alias("pub_type"),
         F.when(kind.isin("research", "review", "creative", "other"), kind).alias("article_kind"),
-        *[_optional("value", f"$.{c}").alias(c) for c in ("bioBibSection", "originalNumber", "previouslyListedAs", "contributionNote", "reviewMaterialUrl")],
+        *[_optional("value", f"$.{c}").alias(c) for c in ("originalNumber", "previouslyListedAs", "contributionNote", "reviewMaterialUrl")],
         _flag("value", "$.isNewSinceLastReview").alias("is_new"), _flag("value", "$.isFacultyThesis").alias("is_own_thesis")).drop("value")
 
 
@@ -237,7 +237,7 @@ _CHECKS = {
     "grants": _entry(("title", "funder", "period"), ("amount", "totalAward", "role", "coPIsShare"), known={"status": ("current", "past")}),
 }
 _PUBLICATION = _entry(
-    ("citation",), ("bioBibSection", "originalNumber", "previouslyListedAs", "contributionNote", "reviewMaterialUrl"), known={"type": p.PUBLICATION_TYPES},
+    ("citation",), ("originalNumber", "previouslyListedAs", "contributionNote", "reviewMaterialUrl"), known={"type": p.PUBLICATION_TYPES},
     flags=("isNewSinceLastReview", "isFacultyThesis"), maybe_known={"articleKind": ("research", "review", "creative", "other")}, numbers=("number",))
 
 
