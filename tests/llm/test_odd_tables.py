@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rollcall.llm import decontamination, html_extraction, language_id, near_duplicates, packing, quality_model, quality_rules, queries, sharding, suffix_dedup, warc
+from rollcall.llm._frames import begun, finished, flagged, only_touched, saved, spread_join
 from rollcall.llm.queries import tokenizer_path
 from tests.llm.util import CLASH, WORD, prose
 
@@ -162,3 +163,23 @@ def test_the_pipeline_takes_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_hot_keys_are_dealt_into_cells(spark):
+    many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(60)] + [(None, 90), (777, 91)], "k long, v long")
+    one = spark.createDataFrame([(i, f"x{i}") for i in range(0, 60, 2)] + [(1, "hot")], "k long, x string")
+    for how in ("inner", "left"):
+        got = spread_join(many, one, "k", F.col("v"), how, hot=5, cells=4)
+        assert Counter((r.k, r.v, r.x) for r in got.collect()) == Counter((r.k, r.v, r.x) for r in many.join(one, "k", how).collect())
+    hot = one.filter("k = 1")
+    flags = {(r.k, r.hot) for r in flagged(many, F.col("k"), hot, F.col("k"), "hot").collect()}
+    assert (1, True) in flags and sum(f for _, f in flags) <= 2 and Counter(r.k for r in only_touched(many, F.col("k"), hot, F.col("k")).collect())[1] == 40
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path):
+    import os
+
+    mark = begun()
+    a = saved(spark.range(5), "way")
+    kept = finished(a.selectExpr("id * 2 as id"), "result", mark)
+    assert sorted(r.id for r in kept.collect()) == [0, 2, 4, 6, 8] and not any(os.path.exists(f.removeprefix("file:")) for f in a.inputFiles())
