@@ -85,11 +85,11 @@ def flagged(df: DataFrame, key: Column, keys: DataFrame, keys_col: Column, name:
     """
     cells = 2**bits
     h = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)) + 1
-    maps = keys.select(h(keys_col).alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bn")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bm"))
-    out = df.withColumn("_h", h(key)).withColumn("_bn", F.bitmap_bucket_number("_h")).join(F.broadcast(maps), "_bn", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bm, cast(bitmap_bit_position(_h) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    bit = F.pmod(F.bitmap_bit_position("_h"), F.lit(8)).cast("int")
+    maps = keys.select(h(keys_col).alias("_hash_of_key")).groupBy(F.bitmap_bucket_number("_hash_of_key").alias("_bitmap_number")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_hash_of_key")).alias("_bitmap"))
+    out = df.withColumn("_hash_of_key", h(key)).withColumn("_bitmap_number", F.bitmap_bucket_number("_hash_of_key")).join(F.broadcast(maps), "_bitmap_number", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(bitmap_bit_position(_hash_of_key) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.pmod(F.bitmap_bit_position("_hash_of_key"), F.lit(8)).cast("int")
     return out.select(*df.columns, F.coalesce(F.getbit(byte, bit) == 1, F.lit(False)).alias(name))
 
 
