@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.llm._frames import saved, table
+from rollcall.llm._frames import flagged, saved, table
 from rollcall.llm.decontamination import contained_items
 from rollcall.llm.near_duplicates import near_duplicates
 from rollcall.llm.packing import best_fit_packing
@@ -47,10 +47,17 @@ def _same(docs: DataFrame, known: DataFrame) -> Column:
     return (docs[ROW]["at"] == known["_at"]) & docs[ROW]["doc_id"].eqNullSafe(known["_id"])
 
 
+def _split(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs without the rows in known, as far as a bitmap tells, and the others: only these need a shuffle."""
+    marked = flagged(docs, F.col(ROW), known, F.struct("_id", "_at"), "_row_may_be_known")
+    return marked.filter("not _row_may_be_known").drop("_row_may_be_known"), marked.filter("_row_may_be_known").drop("_row_may_be_known")
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs, numbered or named, without the rows in gone."""
-    known = _known(gone)
-    return docs.join(known, _same(docs, known), "left_anti").drop(ROW)
+    known = saved(_known(gone), "gone")
+    stay, rest = _split(docs, known)
+    return stay.unionAll(rest.join(known, _same(rest, known), "left_anti")).drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +85,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = _named(docs)
     changed = _known(repeated_passages(rows, key=ROW, words=PASSAGE_WORDS).filter("n_removed > 0"), F.col("kept").alias("_kept"))
-    joined = rows.join(changed, _same(rows, changed), "left").filter(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
+    stay, rest = _split(rows, changed)
+    joined = stay.withColumn("_kept", F.lit(None).cast("string")).unionAll(rest.join(changed, _same(rest, changed), "left").select(*rest.columns, "_kept"))
+    joined = joined.filter(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
     text = F.coalesce("_kept", "text")
     fresh = {"text": text} | ({"n_chars": F.when(F.col("_kept").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return joined.select(*[fresh[c].alias(c) if c in fresh else F.col(c) for c in docs.columns])
