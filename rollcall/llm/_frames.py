@@ -87,6 +87,9 @@ def flagged(df: DataFrame, key: Column, keys: DataFrame, keys_col: Column, name:
     h = lambda c: F.pmod(F.xxhash64(c), F.lit(cells)) + 1
     maps = keys.select(h(keys_col).alias("_hash_of_key")).groupBy(F.bitmap_bucket_number("_hash_of_key").alias("_bitmap_number")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("_hash_of_key")).alias("_bitmap"))
+    # A row for each part of the bitmap, keys or not, so that the plan is the same whatever the keys.
+    every = df.sparkSession.range(1, cells // 32768 + 1, 1, 1).select(F.col("id").alias("_bitmap_number"), F.lit(None).cast("binary").alias("_bitmap"))
+    maps = maps.unionByName(every).groupBy("_bitmap_number").agg(F.max("_bitmap").alias("_bitmap"))
     out = df.withColumn("_hash_of_key", h(key)).withColumn("_bitmap_number", F.bitmap_bucket_number("_hash_of_key")).join(F.broadcast(maps), "_bitmap_number", "left")
     byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(bitmap_bit_position(_hash_of_key) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     bit = F.pmod(F.bitmap_bit_position("_hash_of_key"), F.lit(8)).cast("int")
