@@ -46,7 +46,7 @@ sys.path.insert(0, {ROOT!r})
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith('rollcall.llm') or name == 'corpus_pipeline':
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert 'pipeline' not in e.queries() and set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 50
