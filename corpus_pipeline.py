@@ -24,10 +24,16 @@ from rollcall.llm.suffix_dedup import repeated_passages
 ORACLE_SQL = None
 #: Passages of over 50 words that start elsewhere too are removed.
 PASSAGE_WORDS = 51
+#: Rows of whole texts that go to a Python worker at once; a batch is held by both sides, so it bounds an executor's memory.
+BATCH_ROWS = 2000
 #: The name of the column that tells rows apart within a stage.
 ROW = "_row_of_stage"
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a number for each row, written: numbers of one scan needn't be those of the next."""
     return saved(docs.withColumn(ROW, F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("at"))), "numbered")
@@ -62,6 +68,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules on length and repetition; a null or empty text fails."""
+    _small_batches(spark)
     named = {f"_column{i}": c for i, c in enumerate(docs.columns)}  # none is named like a measure
     rows = docs.select(*[F.col(c).alias(n) for n, c in named.items()])
     kept = repetition_rules(rows, f"_column{docs.columns.index('text')}", keep=list(named)).filter("kept")
@@ -73,6 +80,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows are copies of each other: one stays.  A null doc_id comes before all others.
     """
+    _small_batches(spark)
     rows = _numbered(docs)
     return _without(rows, near_duplicates(rows, key=ROW).filter(~F.col("kept")))
 
@@ -83,6 +91,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which only white space remains goes, so all copies of a text of that size go; null, empty and shorter texts
     stay as they are.
     """
+    _small_batches(spark)
     rows = _named(docs)
     changed = _known(repeated_passages(rows, key=ROW, words=PASSAGE_WORDS).filter("n_removed > 0"), F.col("kept").alias("_kept"))
     stay, rest = _split(rows, changed)
@@ -95,12 +104,14 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; null and empty texts hold none, and repeated rows go or stay together."""
+    _small_batches(spark)
     rows = _named(docs)
     return _without(rows, contained_items(rows, table(spark, sf_dir, "benchmark"), key=ROW))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens; a null or empty text is one piece of one token."""
+    _small_batches(spark)
     return best_fit_packing(docs, tokenizer_path(), 2048)
 
 
