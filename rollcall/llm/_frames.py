@@ -73,6 +73,23 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], salt: Column, ce
     return numbered.select(*df.columns, (F.col("_k") + F.col("_before")).cast("long").alias(name))
 
 
+def range_ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: 0, 1, ... over all rows of df, a saved table, in the order given; equal rows are numbered one by one.
+
+    The rows are dealt by ranges of (order, row), so no key is held by one task however often it comes, and saved with
+    the number of their range; a row's rank is its place in its range after the counts of the ranges before, of
+    which there are as many as shuffle partitions.
+    """
+    ranges = partitions(df.sparkSession)
+    dealt = df.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges, *order, "_row")
+    dealt = saved(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order, "_row")) - 1
+    numbered = dealt.withColumn("_place", place).join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
+    return numbered.select(*df.columns, (F.col("_place") + F.col("_before")).cast("long").alias(name))
+
+
 def only_touched(df: DataFrame, key: Column, keys: DataFrame, keys_col: Column, bits: int = 23) -> DataFrame:
     """df without most of the rows whose key is not in keys: a filter before a join, never a replacement for it."""
     return flagged(df, key, keys, keys_col, "_flag", bits).filter("_flag").drop("_flag")
