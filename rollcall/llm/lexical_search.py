@@ -17,6 +17,8 @@ from rollcall.llm._text import LOWER, PLAIN, U, find_words, names, pieces, sprea
 
 #: Bytes of text in a segment (one longer text is a segment of its own), and terms of all items of one block.
 SEGMENT_BYTES, BLOCK_TERMS = 4 << 20, 200_000
+#: A block's terms go to every task up to so many bytes; beyond, they are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 #: One segment in so many is searched first, for the scores that all others have to reach.
 SEED_EVERY = 16
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -195,8 +197,10 @@ def search(
 def _searched(index: DataFrame, block: DataFrame, n_docs: int, n_terms: int, k: int, k1_tenths: int, b_percent: int, seed_every: int) -> DataFrame:
     spark = index.sparkSession
     lists = index.filter("term is not null")
-    terms = block.select(F.explode("_terms").alias("term")).distinct()
-    df = lists.join(terms, "term").groupBy("term").agg(F.sum("df").alias("_df"))
+    terms = saved(block.select(F.explode("_terms").alias("term")).distinct(), "terms")
+    size = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    small = F.broadcast if size <= BROADCAST_BYTES else lambda x: x
+    df = lists.join(small(terms), "term").groupBy("term").agg(F.sum("df").alias("_df"))
     weight = F.floor(1000 * F.log((F.lit(2.0 * n_docs + 2)) / (2 * F.col("_df") + 1)))
     # At most as many terms as a block has.
     known = sorted((r.weight, r.term) for r in df.select("term", weight.cast("long").alias("weight")).filter("weight > 0").collect())
@@ -224,7 +228,7 @@ def _searched(index: DataFrame, block: DataFrame, n_docs: int, n_terms: int, k:
             "pairs": [np.array([(a, b, most, len(at)) for a, b, most, at in joined], np.int64).tobytes()],
             "pair_places": [ints([at for *_, at in joined], np.int32)]})
 
-    rows = lists.join(numbered, "term").select("segment", "_number", "postings", F.lit(None).cast(kind).alias("keys")).unionAll(
+    rows = lists.join(small(numbered), "term").select("segment", "_number", "postings", F.lit(None).cast(kind).alias("keys")).unionAll(
         index.filter("term is null").select("segment", F.lit(None).cast("int"), "postings", "keys"))
     segments = saved(rows.groupBy("segment").applyInArrow(segment, f"segment long, keys {kind}, terms binary, places binary, impacts binary, pairs binary, pair_places binary"), "segments")
     seeds = segments.filter(F.pmod(F.xxhash64("segment"), F.lit(seed_every)) == 0)
