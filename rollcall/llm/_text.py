@@ -2,8 +2,9 @@
 
 A text column arrives as one byte buffer with offsets, so words, lines and
 windows of a whole batch are found with array operations, without one Python
-object per word.  Equality of words, lines and windows is decided on 64-bit
-polynomial fingerprints with fixed random coefficients.
+object per word.  Words and lines are told apart by 64-bit names (``names``), runs of
+words by names mixed one after the other (``shingles``).  ``Prefix`` is linear, so that it can name all windows of a
+buffer: it serves to thin candidates and to hash features, never to decide equality.
 """
 
 from __future__ import annotations
@@ -175,17 +176,14 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     step = U(0x9E3779B97F4A7C15)
     short = np.flatnonzero((n > 0) & (n < k))
     padded = np.concatenate([h, np.zeros(k, U)])
-    out = padded[at]
+    out = mix(padded[at] + U(k))
     for d in range(1, k):
-        out = out * step + padded[at + d]
-    out = mix(out + U(k))
+        out = mix(out * step + padded[at + d])
     for r in short:
-        x = U(0)
-        with np.errstate(over="ignore"):
-            for v in h[first[r] : first[r + 1]]:
-                x = x * step + v
-            x = x + U(n[r])
-        out[begin[r]] = mix(np.array([x], U))[0]
+        x = mix(h[first[r] : first[r] + 1] + U(n[r]))
+        for v in h[first[r] + 1 : first[r + 1]]:
+            x = mix(x * step + v)
+        out[begin[r]] = x[0]
     return out, begin
 
 

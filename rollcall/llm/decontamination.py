@@ -11,15 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import saved
-from rollcall.llm._text import PLAIN, Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer, trimmed
+from rollcall.llm._text import LOWER, PLAIN, U, find_words, mix, names, pieces, rows_of, shingles, text_buffer, trimmed
 
 #: Shingles of all items of one block, whose sketches and sets are broadcast: 8 bytes each.
 BLOCK_SHINGLES = 1_000_000
 
 
 def word_prints(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = find_words(buf, off, PLAIN)
-    return mix(Prefix(buf, fold=True).of(starts, ends) ^ (ends - starts).astype(U)), first
+    low = LOWER[buf]
+    starts, ends, first = find_words(low, off, PLAIN)
+    return names(low, starts, ends), first
 
 
 class Sketches:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import begun, finished, flagged, only_touched, partitions, saved, spread_join
-from rollcall.llm._text import Prefix, U, find_words, mix, pieces, rows_of, shingles, text_buffer, trimmed
+from rollcall.llm._text import LOWER, U, find_words, mix, names, pieces, rows_of, shingles, text_buffer, trimmed
 from rollcall.llm.components import components
 
 #: Signature length and rows of a band: a pair at similarity 0.8 shares no band once in 2e7 pairs.
@@ -58,9 +58,9 @@ def superminhash(el: np.ndarray, begin: np.ndarray, m: int) -> np.ndarray:
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each row, sorted, and each row's first (len + 1)."""
-    starts, ends, first = find_words(buf, off)
-    words = mix(Prefix(buf, fold=True).of(starts, ends) ^ (ends - starts).astype(U))
-    sh, begin = shingles(words, first, k)
+    low = LOWER[buf]
+    starts, ends, first = find_words(low, off)
+    sh, begin = shingles(names(low, starts, ends), first, k)
     row = rows_of(begin)
     order = np.lexsort((sh, row))
     sh = sh[order]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rollcall.llm._frames import ranked, saved
-from rollcall.llm._text import SPACE, Prefix, U, find_words, mix, pieces, spread, text_buffer, trimmed
+from rollcall.llm._text import SPACE, U, find_words, names, pieces, spread, text_buffer, trimmed
 
 #: Units whose ids a worker remembers at most in each of two generations; units encoded as one text; cells into which the pieces of one length are cut for ranking.
 REMEMBERED, TOGETHER, CELLS = 600_000, 128, 256
@@ -167,7 +167,7 @@ class WordIds:
     def documents(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, each closed by id 0, and each row's first (len + 1)."""
         starts, ends, plain, first = self.units(buf, off)
-        prints = mix(Prefix(buf).of(starts, ends) ^ (ends - starts).astype(U))
+        prints = names(buf, starts, ends)
         keys, one, unit = np.unique(prints, return_index=True, return_inverse=True)
         begin, length = self.look(keys, buf.tobytes(), starts[one], ends[one], plain[one])
         unit = np.insert(unit, first[1:], len(keys))

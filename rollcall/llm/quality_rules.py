@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from rollcall.llm._text import (
-    SYMBOLS, Prefix, U, find_words, mix, pieces, rows_of, text_buffer, trimmed, union_length,
+    SYMBOLS, U, find_words, mix, names, pieces, rows_of, text_buffer, trimmed, union_length,
 )
 
 #: A repeat counts from this many words; the share of word characters that repeats may cover;
@@ -100,7 +100,7 @@ def most_per_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_lines(prefix: Prefix, buf: np.ndarray, off: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def repeated_lines(buf: np.ndarray, off: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """For each row, its lines with a word that equal an earlier line."""
     breaks = np.flatnonzero(buf == 10)
     row = np.searchsorted(off, breaks, "right") - 1
@@ -115,7 +115,7 @@ def repeated_lines(prefix: Prefix, buf: np.ndarray, off: np.ndarray, starts: np.
     begin[head] = off[:-1][line_row[head]]
     filled = np.searchsorted(starts, end) > np.searchsorted(starts, begin)
     begin, end, line_row = begin[filled], end[filled], line_row[filled]
-    mark = mix(prefix.of(begin, end) ^ mix((end - begin + 1).astype(U)) ^ mix((line_row + 7).astype(U)))
+    mark = mix(names(buf, begin, end) ^ mix((line_row + 7).astype(U)))
     _, one = np.unique(mark, return_index=True)
     k = len(off) - 1
     return np.bincount(line_row, minlength=k) - np.bincount(line_row[one], minlength=k)
@@ -124,8 +124,7 @@ def repeated_lines(prefix: Prefix, buf: np.ndarray, off: np.ndarray, starts: np.
 def measure(buf: np.ndarray, off: np.ndarray, limits: tuple) -> dict[str, np.ndarray]:
     least, max_covered, max_repeat, max_share = limits
     starts, ends, first = find_words(buf, off)
-    prefix = Prefix(buf)
-    words = mix(prefix.of(starts, ends) ^ (ends - starts).astype(U))
+    words = names(buf, starts, ends)
     chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     size = chars[ends] - chars[starts]
     n_words = np.diff(first)
@@ -143,7 +142,7 @@ def measure(buf: np.ndarray, off: np.ndarray, limits: tuple) -> dict[str, np.nda
         "n_words": n_words,
         "word_chars": per_row(size, first),
         "n_symbols": symbol[off[1:]] - symbol[off[:-1]],
-        "n_dup_lines": repeated_lines(prefix, buf, off, starts),
+        "n_dup_lines": repeated_lines(buf, off, starts),
         "n_repeat_words": per_row(in_three, first),
         "n_repeats": np.bincount(row[begins], minlength=len(off) - 1),
         "covered_chars": per_row(np.where(covered, size, 0), first),

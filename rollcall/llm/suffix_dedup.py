@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import begun, finished, only_touched, partitions, saved
-from rollcall.llm._text import Prefix, U, find_words, mix, pieces, rows_of, spread, text_buffer, trimmed, union_length
+from rollcall.llm._text import Prefix, U, find_words, mix, names, pieces, rows_of, spread, text_buffer, trimmed, union_length
 from rollcall.llm.suffix_order import cover_for, tied_in_segments
 
 #: Names, or bytes, that one bucket holds on average: what a task sorts at once.
@@ -397,7 +397,8 @@ def repeated_passages(
        computed first, and by the last bytes.  All of this compares bytes, so a tie is equality of length bytes, whatever the
        fingerprints of step 2; those only thin.
     4. The union of the spans of tied suffixes is removed.
-    5. Runs of words go through 1 and 2 with places counted in words, and tie by 64-bit names.
+    5. Runs of words go through 1 and 2 with places counted in words; those with a tied sample tie by 64 bits of a
+       cryptographic digest of their words' bytes.
 
     Returns key, sha256 (of the text), n_bytes, n_removed, n_spans, kept_sha256, kept, the remaining text: null where it is
     the text itself, and n_run_words, the words of runs of words (null without words).  A null text counts as empty; repeated
@@ -493,7 +494,19 @@ def _sampler(length: int, v: int, cover: np.ndarray, window: int, buckets: int)
 def _word_names(data: np.ndarray, at: np.ndarray) -> tuple[Prefix, np.ndarray]:
     """Fingerprints of ranges of words, and each text's first word's number (len + 1)."""
     start, end, first = find_words(data, at)
-    return Prefix(Prefix(data).of(start, end)), first
+    return Prefix(names(data, start, end)), first
+
+
+def _run_names(data: np.ndarray, at: np.ndarray, begin: np.ndarray, words: int) -> np.ndarray:
+    """64 bits of a cryptographic digest of each run of so many words, joined by one space; begin: the number of its first word."""
+    start, end, _ = find_words(data, at)
+    length = end - start
+    to = np.cumsum(length + 1)
+    joined = np.full(int(to[-1]) if len(to) else 0, 32, np.uint8)
+    joined[np.repeat(to - length - 1, length) + spread(length)] = data[np.repeat(start, length) + spread(length)]
+    raw = memoryview(joined.tobytes())
+    ends = zip((to[begin] - length[begin] - 1).tolist(), (to[begin + words - 1] - 1).tolist(), strict=True)
+    return np.frombuffer(b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in ends), U)
 
 
 def _word_cover(words: int) -> tuple[int, np.ndarray, int]:
@@ -514,13 +527,13 @@ def _word_sampler(words: int, buckets: int) -> Callable:
                 data, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 raw = memoryview(data.tobytes())
                 ids = np.array([int(hashlib.sha256(raw[a:b]).hexdigest()[:15], 16) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.int64)
-                names, first = _word_names(data, at)
+                prints, first = _word_names(data, at)
                 n = np.diff(first)
                 row, place = rows_of(first), spread(n)
                 ok = inside[place % v] & (place + window <= n[row]) & (n >= words)[row]
                 place, row = place[ok], row[ok]
                 begin = first[row] + place
-                yield from dealt(names.of(begin, begin + window), ids[row], place, buckets, 4)
+                yield from dealt(prints.of(begin, begin + window), ids[row], place, buckets, 4)
 
     return run
 
@@ -539,12 +552,12 @@ def _word_starts(words: int, buckets: int) -> Callable:
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, lo, hi, data, at in _texts(batches):
-            names, first = _word_names(data, at)
+            first = find_words(data, at)[2]
             near = [_starts(_merged(packed), v, int(n), words) for n, packed in zip(np.diff(first), batch.column(2).slice(lo, hi - lo).to_pylist(), strict=True)]
             row, place = np.repeat(np.arange(hi - lo), [len(x) for x in near]), np.concatenate(near)
             ids = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False)
             begin = first[row] + place
-            yield from dealt(names.of(begin, begin + words), ids[row], place, buckets, 8)
+            yield from dealt(_run_names(data, at, begin, words), ids[row], place, buckets, 8)
 
     return run
 

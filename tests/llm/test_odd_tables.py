@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +184,56 @@ def test_tables_on_the_way_are_deleted(spark, tmp_path):
     a = saved(spark.range(5), "way")
     kept = finished(a.selectExpr("id * 2 as id"), "result", mark)
     assert sorted(r.id for r in kept.collect()) == [0, 2, 4, 6, 8] and not any(os.path.exists(f.removeprefix("file:")) for f in a.inputFiles())
+
+
+def thue_morse():
+    """Two words of 1024 letters on which polynomials modulo 2**64 agree, whatever the base."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_on_which_polynomials_agree_are_told_apart(spark):
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}\n{a}"), (4, " ".join(a[:9])), (5, " ".join(b[:9]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs, words=4).collect()} == {i: i for i in range(1, 6)}
+    assert {r.doc_id: r.n_dup_lines for r in quality_rules.repetition_rules(docs).collect()} == {1: 0, 2: 0, 3: 1, 4: 0, 5: 0}
+    got = {(r.doc_id, r.item_id) for r in decontamination.contained_items(docs, docs.select(F.col("doc_id").alias("item_id"), "text")).collect()}
+    assert got >= {(i, i) for i in range(1, 6)} and not got & {(1, 2), (2, 1), (4, 5), (5, 4)}
+    tokenizer = packing.WordIds(tokenizer_path())
+    for texts in ([a, b], [b, a, a]):
+        raw = "".join(texts).encode()
+        ids, first = tokenizer.documents(np.frombuffer(raw, np.uint8), np.array([0, *np.cumsum([len(t) for t in texts])]))
+        assert [ids[first[i] : first[i + 1] - 1].tolist() for i in range(len(texts))] == [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_runs_of_words_tie_by_their_bytes(spark, monkeypatch):
+    class Same(suffix_dedup.Prefix):
+        def of(self, start, end):
+            return np.zeros(len(start), np.uint64) + np.uint64(7)
+
+    monkeypatch.setattr(suffix_dedup, "_word_names", lambda data, at: (Same(np.zeros(1, np.uint64)), suffix_dedup.find_words(data, at)[2]))
+    passage = [f"x{i}" for i in range(51)]
+    data = " ".join(passage * 2 + ["y"] + passage).encode()
+    begin = np.array([0, 51, 103, 1])
+    names = suffix_dedup._run_names(np.frombuffer(data, np.uint8), np.array([0, len(data)]), begin, 51)
+    assert names[0] == names[1] == names[2] != names[3]
+    spaced = "  ".join(passage).encode()
+    assert suffix_dedup._run_names(np.frombuffer(spaced, np.uint8), np.array([0, len(spaced)]), np.array([0]), 51)[0] == names[0]
+    run = suffix_dedup._word_sampler(51, 4)  # every sample ties, so all runs are named by their bytes
+    assert sum(b.num_rows for b in run(iter([pa.RecordBatch.from_arrays([pa.array([data.decode()])], names=["text"])])))
+
+
+def test_the_pipeline_puts_settings_back_and_takes_very_long_texts(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    r = random.Random(3)
+    texts = [prose(r, 150_000, 90_000), prose(r, 300_000, 90_000), prose(r, 80), prose(r, 80), None, ""]
+    texts.append(texts[2])
+    rows = [(i if i != 3 else None, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {0, 1, 2, None} and spark.conf.get(name) == before
