@@ -9,6 +9,9 @@ doc_id and text; other columns are carried along whatever their names; an empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,14 +27,22 @@ from rollcall.llm.suffix_dedup import repeated_passages
 ORACLE_SQL = None
 #: Passages of over 50 words that start elsewhere too are removed.
 PASSAGE_WORDS = 51
-#: Rows of whole texts that go to a Python worker at once; a batch is held by both sides, so it bounds an executor's memory.
-BATCH_ROWS = 2000
+#: Bytes of rows that go to a Python worker at once; a batch is held by both sides, so it bounds an executor's memory.
+BATCH_BYTES = 8 << 20
 #: The name of the column that tells rows apart within a stage.
 ROW = "_row_of_stage"
 
 
-def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_BYTES while a stage's jobs run; the session's own setting is put back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -41,7 +52,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _named(docs: DataFrame) -> DataFrame:
     """docs with what a row is known by whenever it is read; rows of equal doc_id and text share it."""
-    return docs.withColumn(ROW, F.struct(F.col("doc_id"), F.xxhash64("text").alias("at")))
+    return docs.withColumn(ROW, F.struct(F.col("doc_id"), F.sha2("text", 256).alias("at")))
 
 
 def _known(df: DataFrame, *more: Column) -> DataFrame:
@@ -50,7 +61,7 @@ def _known(df: DataFrame, *more: Column) -> DataFrame:
 
 
 def _same(docs: DataFrame, known: DataFrame) -> Column:
-    return (docs[ROW]["at"] == known["_at"]) & docs[ROW]["doc_id"].eqNullSafe(known["_id"])
+    return docs[ROW]["at"].eqNullSafe(known["_at"]) & docs[ROW]["doc_id"].eqNullSafe(known["_id"])
 
 
 def _split(docs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +79,6 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules on length and repetition; a null or empty text fails."""
-    _small_batches(spark)
     named = {f"_column{i}": c for i, c in enumerate(docs.columns)}  # none is named like a measure
     rows = docs.select(*[F.col(c).alias(n) for n, c in named.items()])
     kept = repetition_rules(rows, f"_column{docs.columns.index('text')}", keep=list(named)).filter("kept")
@@ -80,9 +90,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows are copies of each other: one stays.  A null doc_id comes before all others.
     """
-    _small_batches(spark)
-    rows = _numbered(docs)
-    return _without(rows, near_duplicates(rows, key=ROW).filter(~F.col("kept")))
+    with _small_batches(spark):
+        rows = _numbered(docs)
+        return _without(rows, near_duplicates(rows, key=ROW).filter(~F.col("kept")))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,9 +101,10 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which only white space remains goes, so all copies of a text of that size go; null, empty and shorter texts
     stay as they are.
     """
-    _small_batches(spark)
     rows = _named(docs)
-    changed = _known(repeated_passages(rows, key=ROW, words=PASSAGE_WORDS).filter("n_removed > 0"), F.col("kept").alias("_kept"))
+    with _small_batches(spark):
+        passages = repeated_passages(rows, key=ROW, words=PASSAGE_WORDS)
+    changed = _known(passages.filter("n_removed > 0"), F.col("kept").alias("_kept"))
     stay, rest = _split(rows, changed)
     joined = stay.withColumn("_kept", F.lit(None).cast("string")).unionAll(rest.join(changed, _same(rest, changed), "left").select(*rest.columns, "_kept"))
     joined = joined.filter(F.col("_kept").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
@@ -104,15 +115,15 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; null and empty texts hold none, and repeated rows go or stay together."""
-    _small_batches(spark)
     rows = _named(docs)
-    return _without(rows, contained_items(rows, table(spark, sf_dir, "benchmark"), key=ROW))
+    with _small_batches(spark):
+        return _without(rows, contained_items(rows, table(spark, sf_dir, "benchmark"), key=ROW))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens; a null or empty text is one piece of one token."""
-    _small_batches(spark)
-    return best_fit_packing(docs, tokenizer_path(), 2048)
+    with _small_batches(spark):
+        return best_fit_packing(docs, tokenizer_path(), 2048)
 
 
 STAGES = [("quality_rules", quality), ("near_duplicates", near_copies), ("suffix_dedup", repeats), ("decontamination", leaks), ("packing", packing)]
@@ -121,5 +132,6 @@ STAGES = [("quality_rules", quality), ("near_duplicates", near_copies), ("suffix
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        with _small_batches(spark):
+            docs = saved(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
