@@ -81,12 +81,14 @@ def guarded_append(held: Column, candidates: Column) -> Column:
 
     The outcome depends on the order, so it is a fold inside the document's row; its cost is the product of both lengths.
     """
-    first = F.filter(
-        F.transform(F.coalesce(held, F.array()), lambda x, i: F.when(
-            (norm_dedupe(x) != "") & ~F.exists(F.slice(held, 1, i), lambda y: norm_dedupe(y) == norm_dedupe(x)), x)), lambda x: x.isNotNull())
-    return F.aggregate(
-        F.coalesce(candidates, F.array()), first,
-        lambda acc, c: F.when(F.exists(acc, lambda x: same(tokens(x), tokens(c))), acc).otherwise(F.concat(acc, F.array(c))))
+    # A one-element array binds what each step reads many times, so that a text's forms are made once.
+    known = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(x.alias("text"), norm_dedupe(x).alias("norm"), tokens(x).alias("words")))
+    bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
+    unlike = lambda own: bound(F.transform(own, lambda x: x["norm"]), lambda norms: F.filter(own, lambda x, i: (x["norm"] != "") & (F.array_position(norms, x["norm"]) == i + 1)))
+    folded = F.aggregate(
+        known(candidates), bound(known(held), unlike),
+        lambda acc, c: F.when(F.exists(acc, lambda x: same(x["words"], c["words"])), acc).otherwise(F.concat(acc, F.array(c))))
+    return F.transform(folded, lambda x: x["text"])
 
 
 def best_match(records: DataFrame, paragraphs: DataFrame, doc: str, record: str, paragraph: str, content: str, least: float = 0.72) -> DataFrame:

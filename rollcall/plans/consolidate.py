@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from rollcall.functions import dates, patterns as p, text as t
 from rollcall.functions.text import squeeze, strip_source_number
 from rollcall.operators import audit, fuzzy, records as rec
-from rollcall.sources import ingest
+from rollcall.sources import ingest, parts as stored_parts
 
 DOC = "doc_id"
+SERVICE, ACTIVITIES, TALKS = "universityService", ("professionalActivities", "externalProfessionalActivities"), ("presentations", "invitedPresentations")
 
 
 def consolidate(pubs: DataFrame) -> DataFrame:
@@ -99,33 +100,30 @@ class Merged:
         return whole.select(DOC, F.to_json(body, {"ignoreNullFields": "false"}).alias("result"))
 
 
-def merge_results(parts: DataFrame, body: str = "body", saved: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Merged:
+def merge_results(parts: DataFrame, body: str = "body", saved: Callable[[DataFrame, str], DataFrame] = stored_parts.kept_by_document) -> Merged:
     """Parts of documents' results (doc_id, part, body: JSON text) as one result for each document.
 
     Later parts come after earlier ones.  Bad elements are left out one by one, parts that are no objects as a whole.
-    saved: writes a table that several steps read and reads it again; without it, they compute it each.
+    Bodies are parsed once and stored in buckets of documents (sources.parts), from which each kind of record reads its own columns;
+    windows and aggregates by document need no exchange from there on.  saved: writes a table that several steps read, by document, and reads it again.
     """
-    given = parts.select(DOC, "part", body)
-    e = saved(ingest.section_elements(given, body), "elements").withColumn("ord", F.struct("part", "pos"))
-    named = lambda *buckets: e.filter(F.col("bucket").isin(*buckets))
+    given = stored_parts.stored(parts, body)
+    named = lambda *buckets: stored_parts.elements(given, buckets).withColumn("ord", F.struct("part", "pos"))
 
     pubs = ingest.publication_rows(named(*p.PUBLICATION_BUCKETS)).withColumnsRenamed({"citation": "text", "contributionNote": "note"}).drop("number")
     publications = saved(consolidate(pubs), "publications")
     employed = ingest.employment_rows(named("employment"))
-    services = _services(ingest.service_rows(named("universityService")))
     texts = ingest.string_rows(named(*p.STRING_BUCKETS)).select(DOC, "bucket", "ord", "text")
     texts = _with_awards(texts, employed).withColumn("text", dates.clean_record("text"))
-    activities = _activities(texts)
-    conflicts = _conflicts(activities, services)
-    kept_activities = rec.without_keys_of(
-        activities.withColumn("dates", F.lit("")).unionByName(services.select(DOC, F.lit("universityService").alias("bucket"), "ord", F.col("description").alias("text"), "dates", F.lit(0).alias("external"))),
-        [DOC], "professionalActivities", "universityService", t.norm_service("text", F.col("dates"))).filter("bucket <> 'universityService'").select(DOC, "bucket", "ord", "text", "external")
-    others = texts.filter(~F.col("bucket").isin("professionalActivities", "externalProfessionalActivities", "presentations", "invitedPresentations"))
-    others = rec.dedupe_first(others, [DOC, "bucket"], t.norm_dedupe("text"), ["ord"]).withColumn("external", F.lit(0))
-    talks = _talks(texts.filter(F.col("bucket").isin("presentations", "invitedPresentations")), publications.filter("bucket = 'abstracts'"))
-    listed = kept_activities.unionByName(others).unionByName(talks.withColumn("external", F.col("moved")).drop("moved"))
-    listed = saved(rec.number_by_date(listed, [DOC, "bucket"], F.col("text"), ["external", "ord"]).drop("external", "ord"), "texts")
-
+    settled = saved(_settled(texts, _services(ingest.service_rows(named("universityService")))), "records")
+    service, talk = F.col("bucket") == SERVICE, F.col("bucket").isin(*TALKS)
+    conflicts = rec.core_conflicts(
+        settled.filter(service | (F.col("bucket") == ACTIVITIES[0])).select(DOC, "bucket", F.struct("external", "ord").alias("ord"), F.col("text").alias("description"), "dates"), [DOC])
+    talks = _talks(settled.filter(talk), publications.filter("bucket = 'abstracts'"), saved).withColumn("external", F.col("moved"))
+    numbered = lambda df: rec.number_by_date(df.select(DOC, "bucket", "ord", "text", "external"), [DOC, "bucket"], F.col("text"), ["external", "ord"]).drop("external", "ord")
+    listed = saved(numbered(settled.filter(~service & ~talk)).unionByName(numbered(talks)), "texts")
+
+    services = settled.filter(service).withColumnRenamed("text", "description")
     service_key = F.concat_ws("|", "category", t.norm_dedupe("description"), t.norm_dedupe("dates"))
     unique_services = rec.dedupe_first(services, [DOC], service_key, ["ord"])
     unique_services = rec.number_by_date(unique_services, [DOC], F.concat_ws(" ", "dates", "description"), ["ord"])
@@ -136,9 +134,9 @@ def merge_results(parts: DataFrame, body: str = "body", saved: Callable[[DataFra
     employment = rec.renumber(rec.applicable_employment(employed), [DOC], ["ord"])
     education = rec.renumber(ingest.education_rows(named("education")), [DOC], ["ord"])
 
-    notes = _notes(ingest.review_notes(given, body), conflicts, listed, groups, publications)
-    gaps = _gaps(ingest.gaps(given, body), employment, education, grants)
-    return Merged(publications, listed, unique_services, grants, groups, employment, education, notes, gaps, ingest.metadata(given, DOC, body, "part"))
+    notes = _notes(ingest.note_rows(stored_parts.listed(given, "reviewNotes")), conflicts, listed, groups, publications)
+    gaps = _gaps(ingest.gap_rows(stored_parts.listed(given, "gaps")), employment, education, grants)
+    return Merged(publications, listed, unique_services, grants, groups, employment, education, notes, gaps, stored_parts.metadata(given))
 
 
 def _services(rows: DataFrame) -> DataFrame:
@@ -157,25 +155,24 @@ def _with_awards(texts: DataFrame, employed: DataFrame) -> DataFrame:
     return texts.filter("bucket <> 'awards'").unionByName(awards)
 
 
-def _activities(texts: DataFrame) -> DataFrame:
-    """Both buckets of activities as one, without repeats."""
-    two = ("professionalActivities", "externalProfessionalActivities")
-    both = texts.filter(F.col("bucket").isin(*two)).withColumn("external", (F.col("bucket") == two[1]).cast("int")).withColumn("bucket", F.lit(two[0]))
-    return rec.dedupe_first(both, [DOC], t.norm_record("text"), ["external", "ord"])
-
-
-def _conflicts(activities: DataFrame, services: DataFrame) -> DataFrame:
-    """Activities that a service equals but for dates or words; those that a service equals as a whole have gone."""
-    own = services.select(DOC, F.lit("universityService").alias("bucket"), F.struct(F.lit(0).alias("external"), "ord").alias("ord"), "description", "dates")
-    rows = activities.select(DOC, "bucket", F.struct("external", "ord").alias("ord"), F.col("text").alias("description"), F.lit("").alias("dates")).unionByName(own)
-    rows = rec.without_keys_of(rows, [DOC], "professionalActivities", "universityService", t.norm_service("description", F.col("dates")))
-    return rec.core_conflicts(rows, [DOC])
+def _settled(texts: DataFrame, services: DataFrame) -> DataFrame:
+    """All texts and services in one table: doc_id, bucket, ord, text, dates, category, external.
 
-
-def _talks(texts: DataFrame, abstracts: DataFrame) -> DataFrame:
-    """Talks in the bucket where they belong, without repeats and without dated ones that an abstract nearly equals."""
-    once = rec.dedupe_first(texts, [DOC, "bucket"], t.norm_dedupe("text"), ["ord"])
-    routed = rec.dedupe_first(rec.route_presentations(once), [DOC, "bucket"], t.norm_dedupe("text"), ["moved", "ord"])
+    Both buckets of activities are one; no list holds a text twice, and no activity is there that a service equals as a whole.
+    """
+    rows = texts.select(DOC, "bucket", "ord", "text", F.lit("").alias("dates"), F.lit(None).cast("string").alias("category")).unionByName(
+        services.select(DOC, F.lit(SERVICE).alias("bucket"), "ord", F.col("description").alias("text"), "dates", "category"))
+    rows = rows.withColumn("external", (F.col("bucket") == ACTIVITIES[1]).cast("int")).withColumn("bucket", F.when(F.col("external") == 1, ACTIVITIES[0]).otherwise(F.col("bucket")))
+    activity, service = F.col("bucket") == ACTIVITIES[0], F.col("bucket") == SERVICE
+    key = F.when(activity, t.norm_record("text")).when(~service, t.norm_dedupe("text"))
+    first = F.row_number().over(rec.Window.partitionBy(DOC, "bucket", "_key").orderBy("external", "ord"))
+    once = rows.withColumn("_key", key).withColumn("_n", first).filter(service | (F.col("_key") != "") & (F.col("_n") == 1)).drop("_key", "_n")
+    return rec.without_keys_of(once, [DOC], ACTIVITIES[0], SERVICE, F.when(activity | service, t.norm_service("text", F.col("dates"))))
+
+
+def _talks(once: DataFrame, abstracts: DataFrame, saved: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Talks, none twice in a list, in the bucket where they belong, without repeats and without dated ones that an abstract nearly equals."""
+    routed = saved(rec.dedupe_first(rec.route_presentations(once), [DOC, "bucket"], t.norm_dedupe("text"), ["moved", "ord"]), "talks")
     keyed = routed.withColumn("_talk", F.md5(F.concat_ws("\n", F.col(DOC).cast("string"), "bucket", t.norm_dedupe("text"))))
     of = abstracts.select(DOC, F.concat_ws("/", DOC, "number").alias("_talk"), "text")
     dated = F.col("text").rlike(rf"{p.LEFT}(?:19|20)\d{{2}}{p.RIGHT}")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import dates, text as t
 from rollcall.operators import audit, fuzzy, jobs, layout, lines as ln, records as rec
 from rollcall.plans import views as v
-from rollcall.sources import files, ingest
+from rollcall.sources import files, ingest, parts as stored_parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,6 +225,12 @@ def bodies(spark: SparkSession, d: str) -> DataFrame:
     return v.view(spark, d, v.FULL_BODIES)
 
 
+def dealt_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The same, made by as many tasks as there are shuffle partitions: the table that they are made from is one file."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return v.view(spark, d, v.FULL_BODIES.replace("select c_custkey as o_orderkey", f"select /*+ REPARTITION({n}) */ c_custkey as o_orderkey"))
+
+
 @query
 def ingest_services(spark: SparkSession, d: str) -> DataFrame:
     return big(ingest.services(bodies(spark, d), "body").select("id", "pos", "description", "dates", "category"))
@@ -634,12 +639,7 @@ def admitted_files(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _shared(spark: SparkSession, what: str) -> str:
-    """A new folder below the one that driver and executors share; only a local session may do without that setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+_shared = stored_parts.shared_path
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
@@ -754,7 +754,7 @@ def consolidated(spark: SparkSession, d: str) -> DataFrame:
     """The whole merge of all kinds of records: moved, cleaned, reconciled, without repeats, in order, with notes and gaps."""
     from rollcall.plans.consolidate import merge_results
 
-    return merge_results(bodies(spark, d), saved=saved).long()
+    return merge_results(dealt_bodies(spark, d)).long()
 
 
 @query
@@ -762,7 +762,7 @@ def rendered_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document's whole form as lines, with the summary of what is left to do."""
     from rollcall.plans.consolidate import merge_results
 
-    return big(layout.render_documents(merge_results(bodies(spark, d), saved=saved).kept(saved), "doc_id", CUTOFF, SINCE, "Form", ("Signature: ________", "Date: ________"), saved))
+    return big(layout.render_documents(merge_results(dealt_bodies(spark, d)).kept(stored_parts.kept_by_document), "doc_id", CUTOFF, SINCE, "Form", ("Signature: ________", "Date: ________"), stored_parts.kept_by_document))
 
 
 @query
@@ -770,4 +770,4 @@ def result_documents(spark: SparkSession, d: str) -> DataFrame:
     """Every document's whole result as one nested JSON text: sections with typed records, gaps, notes and metadata."""
     from rollcall.plans.consolidate import merge_results
 
-    return merge_results(bodies(spark, d), saved=saved).kept(saved).documents().select("doc_id", F.md5("result").alias("result_md5"))
+    return merge_results(dealt_bodies(spark, d)).kept(stored_parts.kept_by_document).documents().select("doc_id", F.md5("result").alias("result_md5"))

@@ -22,7 +22,7 @@ def _kind(v: str) -> Column:
     return F.schema_of_variant(F.col(v))
 
 
-def _text(v: str, path: str) -> Column:
+def text_of(v: str, path: str) -> Column:
     """A field's text: strings trimmed, finite numbers as text, anything else ''."""
     field = F.try_variant_get(F.col(v), path, "variant")
     kind = F.schema_of_variant(field)
@@ -36,7 +36,7 @@ def _flag(v: str, path: str) -> Column:
 
 
 def _optional(v: str, path: str) -> Column:
-    return F.nullif(_text(v, path), F.lit(""))
+    return F.nullif(text_of(v, path), F.lit(""))
 
 
 def _one_of(c: Column, known: tuple[str, ...], other: str) -> Column:
@@ -59,10 +59,10 @@ def elements(df: DataFrame, path: str) -> DataFrame:
     """One row for each element of the array at path of doc: pos and value."""
     view = df.filter("is_object").withColumn("_list", F.try_variant_get("_v", path, "variant"))
     view = view.filter(_kind("_list").startswith("ARRAY"))
-    return view.lateralJoin(_exploded()).drop("_list", "_v", "is_object")
+    return view.lateralJoin(exploded()).drop("_list", "_v", "is_object")
 
 
-def _exploded(name: str = "_list") -> DataFrame:
+def exploded(name: str = "_list") -> DataFrame:
     from pyspark.sql import SparkSession
 
     return SparkSession.active().tvf.variant_explode(F.col(name).outer()).select("pos", "value")
@@ -75,7 +75,7 @@ def section_elements(df: DataFrame, body: str) -> DataFrame:
     view = parsed(df, body).filter("is_object").withColumn("_sections", F.try_variant_get("_v", "$.sections", "variant")).drop("_v", "is_object", body)
     fields = SparkSession.active().tvf.variant_explode(F.col("_sections").outer()).select(F.col("key").alias("bucket"), F.col("value").alias("_list"))
     lists = view.filter(_kind("_sections").startswith("OBJECT")).lateralJoin(fields).drop("_sections").filter(_kind("_list").startswith("ARRAY"))
-    return lists.lateralJoin(_exploded()).drop("_list")
+    return lists.lateralJoin(exploded()).drop("_list")
 
 
 def _objects(e: DataFrame) -> DataFrame:
@@ -83,7 +83,7 @@ def _objects(e: DataFrame) -> DataFrame:
 
 
 def _with_texts(e: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    return _objects(e).withColumns({c: _text("value", f"$.{c}") for c in names})
+    return _objects(e).withColumns({c: text_of("value", f"$.{c}") for c in names})
 
 
 def _of(df: DataFrame, body: str, bucket: str) -> DataFrame:
@@ -94,10 +94,10 @@ def publication_rows(e: DataFrame) -> DataFrame:
     """Elements as publications: one that is no object or has no citation is left out, and only it."""
     rows = _with_texts(e, ("citation",)).filter("citation <> ''")
     # A whole number, or text that is one; else the position.
-    number = F.coalesce(_text("value", "$.number").try_cast("double"), (F.col("pos") + 1).cast("double"))
+    number = F.coalesce(text_of("value", "$.number").try_cast("double"), (F.col("pos") + 1).cast("double"))
     kind = _optional("value", "$.articleKind")
     return rows.select(
-        "*", number.alias("number"), _one_of(_text("value", "$.type"), p.PUBLICATION_TYPES, "other").alias("pub_type"),
+        "*", number.alias("number"), _one_of(text_of("value", "$.type"), p.PUBLICATION_TYPES, "other").alias("pub_type"),
         F.when(kind.isin("research", "review", "creative", "other"), kind).alias("article_kind"),
         *[_optional("value", f"$.{c}").alias(c) for c in ("originalNumber", "previouslyListedAs", "contributionNote", "reviewMaterialUrl")],
         _flag("value", "$.isNewSinceLastReview").alias("is_new"), _flag("value", "$.isFacultyThesis").alias("is_own_thesis")).drop("value")
@@ -105,7 +105,7 @@ def publication_rows(e: DataFrame) -> DataFrame:
 
 def string_rows(e: DataFrame) -> DataFrame:
     """Elements as texts; blanks and values that are no text or number are left out."""
-    return e.withColumn("text", _text("value", "$")).filter("text <> ''").drop("value")
+    return e.withColumn("text", text_of("value", "$")).filter("text <> ''").drop("value")
 
 
 def service_rows(e: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def service_rows(e: DataFrame) -> DataFrame:
 
 def grant_rows(e: DataFrame) -> DataFrame:
     rows = _with_texts(e, ("title", "funder", "period")).filter("title <> '' or funder <> ''")
-    return rows.withColumns({"status": _one_of(_text("value", "$.status"), ("current",), "past")} | {
+    return rows.withColumns({"status": _one_of(text_of("value", "$.status"), ("current",), "past")} | {
         c: _optional("value", f"$.{c}") for c in ("amount", "totalAward", "role", "coPIsShare")}).drop("value")
 
 
@@ -132,8 +132,8 @@ def education_rows(e: DataFrame) -> DataFrame:
 def group_rows(e: DataFrame) -> DataFrame:
     """Student groups, a row for each entry (entry_pos, entry); a group without a heading or an entry is left out."""
     rows = _with_texts(e, ("heading",)).filter("heading <> ''").withColumn("_list", F.try_variant_get("value", "$.entries", "variant")).drop("value")
-    inner = rows.filter(_kind("_list").startswith("ARRAY")).lateralJoin(_exploded().select(F.col("pos").alias("entry_pos"), "value")).drop("_list")
-    return inner.withColumn("entry", _text("value", "$")).filter("entry <> ''").drop("value")
+    inner = rows.filter(_kind("_list").startswith("ARRAY")).lateralJoin(exploded().select(F.col("pos").alias("entry_pos"), "value")).drop("_list")
+    return inner.withColumn("entry", text_of("value", "$")).filter("entry <> ''").drop("value")
 
 
 def gap_rows(e: DataFrame) -> DataFrame:
@@ -186,8 +186,8 @@ def review_notes(df: DataFrame, body: str) -> DataFrame:
 def metadata(df: DataFrame, doc: str, body: str, order: str) -> DataFrame:
     """One row a document: a later part's values win, blank ones too; the specialization is the first that isn't blank."""
     v = parsed(df, body).filter("is_object").withColumn("_meta", F.schema_of_variant(F.try_variant_get("_v", "$.metadata", "variant")).startswith("OBJECT"))
-    last = lambda c: F.coalesce(F.max_by(_text("_v", f"$.metadata.{c}"), F.when(F.col("_meta"), F.col(order))), F.lit("")).alias(c)
-    special = _text("_v", "$.sections.specialization")
+    last = lambda c: F.coalesce(F.max_by(text_of("_v", f"$.metadata.{c}"), F.when(F.col("_meta"), F.col(order))), F.lit("")).alias(c)
+    special = text_of("_v", "$.sections.specialization")
     return v.groupBy(doc).agg(last("name"), last("department"), last("title"), F.coalesce(F.min_by(special, F.when(special != "", F.col(order))), F.lit("")).alias("specialization"))
 
 
