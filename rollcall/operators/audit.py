@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import text as t
 from rollcall.functions.patterns import NOT_LISTED
+from rollcall.operators import matching
 
 
 def review_key(c: Column | str) -> Column:
@@ -83,37 +81,18 @@ def summary_order(gaps: DataFrame, doc: str, order: list[str]) -> DataFrame:
     return gaps.withColumn("severity_rank", rank).withColumn("number", F.row_number().over(w))
 
 
-#: Checks that are broadcast at once; more are taken block by block.
-CHECKS = 20_000
-
-
-def in_blocks(checks: DataFrame, run: Callable[[DataFrame], DataFrame], size: int = CHECKS) -> DataFrame:
-    """run(block) for blocks of checks, the reader's own list, each small enough to be broadcast; results together."""
-    n = max(1, -(-checks.count() // size))
-    parts = [run(F.broadcast(checks if n == 1 else checks.filter(F.pmod(F.xxhash64(*checks.columns), F.lit(n)) == i))) for i in range(n)]
-    return reduce(DataFrame.unionByName, parts)
 
 
-def anchor_counts(records: DataFrame, anchors: DataFrame, content: str, anchor: str = "anchor", key: str = "doc_id") -> DataFrame:
+def anchor_counts(records: DataFrame, anchors: DataFrame, content: str, anchor: str = "anchor") -> DataFrame:
     """How many records hold all parts (parted by |) of each anchor; anchors that none holds count 0.
 
-    anchors is the reader's own list of checks.  Parts are compared as normal forms, and a record's words decide which
-    anchors it meets at all: words travel with the record's key alone, and only records that meet an anchor bring their text.
+    anchors is the reader's own list of checks, of any length.  Parts are compared as normal forms, and an automaton
+    over all of them finds those that a record holds in one pass over its text.
     """
-    parts = F.transform(F.split(anchor, r"\|"), t.norm_compare)
-    checks = anchors.select(anchor).distinct().select(anchor, parts.alias("parts")).withColumn("first", F.element_at("parts", 1))
-    words = F.split("first", " ")
-    # A part that holds two spaces has a middle word that a match must hold whole; other parts are compared with all records.
-    inner = F.when(F.size(words) >= 3, F.element_at(F.array_sort(F.slice(words, 2, F.size(words) - 2), lambda a, b: F.length(b) - F.length(a)), 1))
-    checks = checks.withColumn("word", inner).drop("first")
-    rows = records.select(F.col(key).alias("_key"), t.norm_compare(content).alias("_text"))
-    by_word = rows.select("_key", F.explode(F.array_distinct(F.split("_text", " "))).alias("word"))
-    meets = in_blocks(checks.filter("word is not null"), lambda c: by_word.join(c, "word").select("_key", anchor, "parts")).distinct()
-    holds = F.forall("parts", lambda x: F.contains(F.col("_text"), x))
-    hits = rows.join(meets, "_key").filter(holds).select(anchor)
-    hits = hits.unionAll(in_blocks(checks.filter("word is null"), lambda c: rows.join(c, holds).select(anchor)))
-    counts = hits.groupBy(anchor).agg(F.count(F.lit(1)).alias("matches"))
-    return anchors.select(anchor).distinct().join(counts, anchor, "left").na.fill(0, ["matches"])
+    checks = anchors.select(anchor).distinct()
+    parts = checks.select(anchor, F.transform(F.split(anchor, r"\|"), t.norm_compare).alias("parts")).filter(F.col(anchor).isNotNull())
+    counts = matching.count_holding(records, t.norm_compare(content), parts, anchor, "parts")
+    return checks.join(counts, anchor, "left").na.fill(0, ["matches"])
 
 
 def leak_scan(df: DataFrame, content: str, patterns: dict[str, str]) -> DataFrame:
@@ -159,8 +138,16 @@ def count_tolerance(a: DataFrame, b: DataFrame, key: str, count: str, share: Col
 
 def date_precision(records: DataFrame, checks: DataFrame, content: str) -> DataFrame:
     """checks (anchor, date) with ok: some record holds the anchor, and the first such record, trimmed, ends with the date."""
-    text = F.col(content)
-    rows = in_blocks(checks, lambda c: records.join(c, text.contains(F.col("anchor"))))
-    first = rows.groupBy("anchor", "date").agg(F.min_by(content, "ord").alias("_first"))
-    found = first.select("anchor", "date", t.trim("_first").endswith(F.col("date")).alias("ok"))
-    return checks.join(found, ["anchor", "date"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    first = matching.first_holding(records, content, "ord", checks, "anchor").withColumnRenamed(content if content == "text" else "text", "_first")
+    found = checks.join(first, "anchor", "left")
+    return found.withColumn("ok", F.coalesce(t.trim("_first").endswith(F.col("date")), F.lit(False))).drop("_first")
+
+
+def gap_totals(gaps: DataFrame, doc: str) -> DataFrame:
+    """Counts of gaps by section and severity, by severity, by document and over all, in one aggregate; level says which."""
+    sets = [["section", "severity"], ["severity"], [doc], []]
+    level = {0b001: "section and severity", 0b101: "severity", 0b110: "document", 0b111: "all"}
+    of = F.create_map(*[F.lit(x) for kv in level.items() for x in kv])
+    out = gaps.groupingSets([[F.col(c) for c in own] for own in sets], "section", "severity", doc).agg(
+        of[F.grouping_id("section", "severity", doc).cast("int")].alias("level"), F.count(F.lit(1)).alias("gaps"))
+    return out.select("level", "section", "severity", doc, "gaps")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,7 +50,7 @@ def final_state(states: DataFrame, job: str, key: str, message: Column | None =
     return out.select(job, state.alias("state"), "done", "failed", F.when(F.col("failed") > 0, F.concat(F.lit("Slices failed: "), "_names")).alias("error"))
 
 
-def job_status(jobs: DataFrame, states: DataFrame, job: str, now: Column) -> DataFrame:
+def job_status(jobs: DataFrame, states: DataFrame, job: str, now: Column, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """How far each job has come at a moment.
 
     jobs: job, started, final_state, finished, has_result, locked.  In order: a final state, but merging while its result is on the way
@@ -60,10 +61,10 @@ def job_status(jobs: DataFrame, states: DataFrame, job: str, now: Column) -> Dat
     age = lambda c: (F.unix_micros(now) - F.unix_micros(c.cast("timestamp"))) / 1e6
     ended = F.col("pending") == 0
     lacks = F.col("final_state").isin("complete", "failed_partial") & ~F.col("has_result")
-    old = age(F.col("started")) > SLICE_SECONDS
+    old = age(F.col("started")) > slice_seconds
     status = (
         F.when(lacks & (age(F.col("finished")) < RESULT_SECONDS), "merging").when(lacks, "failed").when(F.col("final_state").isNotNull(), F.col("final_state"))
-        .when(ended & F.col("locked") & (age(F.col("started")) > FINISH_SECONDS + SLICE_SECONDS), "failed").when(ended, "merging")
+        .when(ended & F.col("locked") & (age(F.col("started")) > FINISH_SECONDS + slice_seconds), "failed").when(ended, "merging")
         .when(old & (F.col("done") > 0), "merging").when(old, "failed").otherwise("pending"))
     shown = F.when(F.col("final_state").isNull() & old, F.col("failed") + F.col("pending")).otherwise(F.col("failed"))
     return jobs.join(counts, job, "left").na.fill(0, ["done", "failed", "pending"]).select(job, status.alias("status"), "done", shown.alias("failed"))
@@ -114,3 +115,39 @@ def extract_slices(requests: DataFrame, doc: str, fn: Callable[[str, str], list[
     kind = requests.schema[doc].dataType.simpleString()
     out = requests.select(doc, "slice_key", "bucket", "body").mapInPandas(run, f"doc {kind}, slice_key string, pos int, text string, error string")
     return out.withColumnRenamed("doc", doc)
+
+
+ATTEMPT = "slice_key string, rank int, provider string, attempt int, ok boolean, texts array<string>, error string"
+
+
+def extract_attempts(requests: DataFrame, doc: str, candidates: DataFrame, extractors: dict[str, Callable[[str, str, int, int], list[str]]], concurrency: int = 4) -> DataFrame:
+    """Runs each request through its slice's candidates in order until one succeeds; a row for each attempt that was made.
+
+    requests: doc, slice_key, bucket, body; candidates: as route_candidates gives them.  An extractor gets body, bucket, its
+    token limit and the number of the attempt, and returns texts; what it raises is the attempt's error, and the candidate's next attempt follows, then
+    the next candidate.  A slice without candidates has one row of rank 0.  A task has so many requests under way at once as concurrency says,
+    as extractors mostly wait for others; nothing outlives a batch.  resolve_attempts tells what counts.
+    """
+    tiers = candidates.groupBy("slice_key").agg(F.array_sort(F.collect_list(F.struct("rank", "provider", "max_tokens", "attempts"))).alias("_tiers"))
+    kind = requests.schema[doc].dataType.simpleString()
+
+    def one(request: tuple) -> list[tuple]:
+        key, slice_key, bucket, body, tiers = request
+        out: list[tuple] = []
+        for tier in tiers if tiers is not None else ():
+            for attempt in range(1, tier["attempts"] + 1):
+                try:
+                    texts = list(extractors[tier["provider"]](body, bucket, tier["max_tokens"], attempt))
+                    return [*out, (key, slice_key, tier["rank"], tier["provider"], attempt, True, texts, None)]
+                except Exception as e:
+                    out.append((key, slice_key, tier["rank"], tier["provider"], attempt, False, None, f"{type(e).__name__}: {e}"))
+        return out or [(key, slice_key, 0, None, 0, False, None, "no extractor")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with ThreadPoolExecutor(concurrency) as pool:
+            for f in frames:
+                rows = [r for found in pool.map(one, f.itertuples(index=False, name=None)) for r in found]
+                yield pd.DataFrame(rows, columns=["doc", "slice_key", "rank", "provider", "attempt", "ok", "texts", "error"]).astype({"rank": "int32", "attempt": "int32"})
+
+    rows = requests.join(tiers, "slice_key", "left").select(doc, "slice_key", "bucket", "body", "_tiers")
+    return rows.mapInPandas(run, f"doc {kind}, {ATTEMPT}").withColumnRenamed("doc", doc)

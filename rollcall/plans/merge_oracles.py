@@ -265,8 +265,10 @@ def oracle_sql() -> dict[str, str]:
         "ingest_education": f'select id, pos, school, degree, "datesFrom", "datesTo", location, major, "dateReceived" from ({EDUCATION})',
         "ingest_groups": f"select id, pos, heading, entry_pos, entry from ({GROUPS})",
         "ingest_gaps": f"select id, pos, section, field, instruction, severity from ({GAPS})",
+        "stored_gaps": f"select id, pos, section, field, instruction, severity from ({GAPS})",
         "ingest_notes": f"select id, pos, section, topic, instruction from ({NOTES})",
         "ingest_sections": f"select id, bucket, pos, text, null::varchar as pub_type, null::boolean as is_new from ({STRINGS}) union all select id, bucket, pos, text, pub_type, is_new from ({CITED})",
+        "stored_sections": f"select id, bucket, pos, text, null::varchar as pub_type, null::boolean as is_new from ({STRINGS}) union all select id, bucket, pos, text, pub_type, is_new from ({CITED})",
         "merged_metadata": METADATA,
         "validate_result": f"""select id, id % 11 not between 2 and 10 as valid, id % 5 <> 0 and coalesce(since_year between 1950 and 2200, true) as header_ok from ({v.WHOLE_BODIES})""",
         "placement_inventory": f"""select distinct a.doc_id, concat('service/external:', a.k) as entry from (select doc_id, {by_service('text')} as k from ({activities})) a join (select doc_id, {by_service('description', 'dates')} as k from ({SERVICES})) s

@@ -204,6 +204,17 @@ GROUPED = f"""select conv_id, heading, heading_order, number, text as entry from
 STATES = f"""select d.job_id, d.slice_key, case when s.done then 'done' when s.done is not null then 'failed' else 'pending' end as state from
  (select * from (select distinct user_id as job_id from events), (select distinct event_type as slice_key from events)) d left join
  (select job_id, slice_key, bool_or(state = 'done') as done from ({v.OUTCOMES}) group by all) s on d.job_id = s.job_id and d.slice_key = s.slice_key"""
+def _live() -> str:
+    """Orders as jobs at a moment: a line is done or failed if it was shipped within a year of the order, and open else."""
+    now, year = "timestamp '2001-01-01 00:00:00'", "interval 365 days"
+    return f"""with due as (select distinct l_orderkey as job_id, l_linenumber as slice_key, o_orderdate::timestamp as started from lineitem join orders on l_orderkey = o_orderkey where o_orderdate <= {now}),
+ seen as (select job_id, slice_key, started, bool_or(l_returnflag <> 'R') as done from due left join lineitem on l_orderkey = job_id and l_linenumber = slice_key and l_shipdate between started and least(started + {year}, {now}) group by all),
+ jobs as (select job_id, min(started) + {year} < {now} as old, count(*) filter (done) as done, count(*) filter (not done) as failed, count(*) filter (done is null) as pending,
+   min(started) + {year} + interval 90 seconds < {now} and job_id % 3 = 0 as late from seen group by 1)
+ select job_id, case when pending = 0 then case when late then 'failed' else 'merging' end when old then case when done > 0 then 'merging' else 'failed' end else 'pending' end as status, done,
+  case when old then failed + pending else failed end as failed, true as stale_counted from jobs"""
+
+
 FINAL = f"""select job_id, case when failed = 0 then 'complete' when done > 0 then 'failed_partial' else 'failed' end as state, done, failed, case when failed > 0 then concat('Slices failed: ', names) end as error
  from (select job_id, count(*) filter (where state = 'done') as done, count(*) filter (where state <> 'done') as failed,
   string_agg(concat(slice_key, ': ', state), '; ' order by concat(slice_key, ': ', state)) filter (where state <> 'done') as names from ({STATES}) group by job_id)"""
@@ -329,6 +340,15 @@ def oracle_sql() -> dict[str, str]:
         "explode_buckets": f"""select doc_id, bucket, row_number() over (partition by doc_id, bucket order by s, ord) as ord, status as text from (
  select doc_id, ord % 3 as s, ord, status, case when ord % 2 = 0 then 'evens' else 'odds' end as bucket from ({v.REC_ORDERS}))""",
         "file_admission": f"""select path, length, case when not ends_with(lower(path), '.docx') then 'only .docx files are taken' when length > {50 << 20} then 'larger than 50 MB' end as reject from ({v.FILES})""",
+        "gap_totals": f"""select case when grouping(section) = 0 then 'section and severity' when grouping(severity) = 0 then 'severity' when grouping(doc_id) = 0 then 'document' else 'all' end as level,
+ section, severity, doc_id, count(*) as gaps from ({v.GAPS_SRC}) group by grouping sets ((section, severity), (severity), (doc_id), ())""",
+        "extract_attempts": """select doc_id, lang as slice_key, case when succeeded then n end as n_texts, succeeded, case when not succeeded then case when lang = 'en' then 'ValueError: cloud 1 | ValueError: onPrem 1 | ValueError: onPrem 2'
+ else 'ValueError: onPrem 1 | ValueError: onPrem 2 | ValueError: cloud 1' end end as error, case when lang = 'en' then case when not c then 1 when not o1 then 2 else 3 end else case when not o1 then 1 when not o2 then 2 else 3 end end as attempts
+ from (select *, not (c and o1 and o2) as succeeded from (select doc_id, coalesce(lang, '-') as lang, length(t) - length(replace(t, chr(10), '')) + 1 as n, length(t) % 3 = 0 as c, length(t) % 2 = 0 as o1, length(t) % 5 = 0 as o2
+  from (select doc_id, lang, coalesce(text, '') as t from documents)))""",
+        "live_status": _live(),
+        "purged_store": f"select doc_id, doc_id % 200 as job_id, md5(text) as text_md5 from documents where doc_id % 200 not in (select job_id from ({FINAL}))",
+        "refused_parts": f"select id, case when id % 6 = 2 then 'not an object' else 'not JSON' end as problem, md5(body) as refused_md5 from ({v.BODIES}) where id % 6 in (2, 3)",
         "partials": f"select job_id, event_id, state, slice_key from ({v.OUTCOMES}) where slice_key >= 'm' or state = 'done'",
         "anchor_counts": _anchors(),
         "duplicate_inventory": f"select source, key, count(*) as copies from (select source, {by_record('line')} as key from ({LINES})) where key <> '' group by all having count(*) > 1",

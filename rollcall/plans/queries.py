@@ -275,6 +275,27 @@ def ingest_sections(spark: SparkSession, d: str) -> DataFrame:
     return big(texts.unionAll(cited))
 
 
+@query
+def stored_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and citations of all buckets from stored parts, whose bodies are parsed once and of which each reader takes its sections."""
+    stored = stored_parts.by_document(stored_parts.shredded(bodies(spark, d), keep=("id", "doc_id")), "parts")
+    of = lambda names: stored_parts.elements(stored, names, ("id",))
+    texts = ingest.string_rows(of(STRINGS)).select("id", "bucket", "pos", "text", F.lit(None).cast("string").alias("pub_type"), F.lit(None).cast("boolean").alias("is_new"))
+    return big(texts.unionAll(ingest.publication_rows(of(CITED)).select("id", "bucket", "pos", "citation", "pub_type", "is_new")))
+
+
+@query
+def stored_gaps(spark: SparkSession, d: str) -> DataFrame:
+    stored = stored_parts.by_document(stored_parts.shredded(bodies(spark, d), keep=("id", "doc_id")), "parts")
+    return big(ingest.gap_rows(stored_parts.listed(stored, "gaps", ("id",))).select("id", "pos", "section", "field", "instruction", "severity"))
+
+
+@query
+def refused_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies that are no results, kept beside the others with the reason."""
+    return stored_parts.shredded(v.view(spark, d, v.BODIES), keep=("id",)).filter("problem is not null").select("id", "problem", F.md5("refused").alias("refused_md5"))
+
+
 @query
 def merged_metadata(spark: SparkSession, d: str) -> DataFrame:
     return ingest.metadata(bodies(spark, d), "doc_id", "body", "part")
@@ -493,6 +514,12 @@ def gap_report(spark: SparkSession, d: str) -> DataFrame:
     return big(audit.summary_order(x, "group_id", ["doc_id"]).drop("doc_id"))
 
 
+@query
+def gap_totals(spark: SparkSession, d: str) -> DataFrame:
+    """How many gaps the whole corpus has, by section and severity, by severity, by document and in all."""
+    return audit.gap_totals(v.view(spark, d, v.GAPS_SRC).select("doc_id", "section", "severity"), "doc_id")
+
+
 def due(spark: SparkSession, d: str) -> DataFrame:
     x = v.view(spark, d, v.OUTCOMES)
     kinds = x.select("slice_key").distinct()
@@ -519,6 +546,73 @@ def job_status(spark: SparkSession, d: str) -> DataFrame:
     return big(jobs.job_status(j, states(spark, d), "job_id", F.to_timestamp(F.lit(NOW))))
 
 
+def _fails(*when: tuple[int, int]) -> Callable[[str, str, int, int], list[str]]:
+    """An extractor for the query below: attempt n fails on bodies whose length the n-th number divides, others give their lines."""
+
+    def run(body: str, bucket: str, max_tokens: int, attempt: int) -> list[str]:
+        name, divisor = when[attempt - 1]
+        if len(body) % divisor == 0:
+            raise ValueError(f"{name} {attempt}")
+        return body.split("\n")
+
+    return run
+
+
+@query
+def extract_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Each document through its language's extractors, with second attempts and fallbacks, and what came of it."""
+    docs = v.table(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("-")).alias("slice_key"), F.col("source").alias("bucket"), F.coalesce("text", F.lit("")).alias("body"))
+    tiers = jobs.route_candidates(docs.select("slice_key", (F.col("slice_key") == "en").alias("high_fidelity")).distinct())
+    made = jobs.extract_attempts(docs, "doc_id", tiers, {"cloud": _fails(("cloud", 3)), "onPrem": _fails(("onPrem", 2), ("onPrem", 5))})
+    made = saved(made.withColumn("n_texts", F.size("texts")).drop("texts"), "attempts")  # an attempt is made once, whatever reads it
+    found = jobs.resolve_attempts(made, ["doc_id", "slice_key"], F.col("ok"), "n_texts", ["rank", "attempt"], "error")
+    return big(found.join(made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("attempts")), "doc_id"))
+
+
+#: Slices in these tables lie years apart, so they turn stale after a year; the moment at which jobs are looked at.
+LIVE_SECONDS, LIVE_NOW = 365 * 86400, "2001-01-01 00:00:00"
+
+
+@query
+def live_status(spark: SparkSession, d: str) -> DataFrame:
+    """How far orders have come, a line a slice, whose shipping is its outcome: pending, merging, failed, with slices that turned stale."""
+    from rollcall.streaming import outcomes as so
+
+    now = F.to_timestamp(F.lit(LIVE_NOW))
+    lines = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").cast("string").alias("slice_key"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+                                                 F.when(F.col("l_returnflag") == "R", "failed").otherwise("done").alias("state"))
+    started = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").cast("timestamp").alias("started"))
+    wanted = saved(lines.join(started, "job_id").select("job_id", "slice_key", "started").distinct().filter(F.col("started") <= now), "due")
+    outcomes = lines.filter(F.col("ts") <= now)
+    paths = {x: _shared(spark, x) for x in ("due-stream", "outcome-stream", "live", "live-checkpoint")}
+    cuts = [None, "1997-01-01", "1999-01-01", None]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):  # what has come by then, before the next
+        for df, at, path in ((wanted, "started", "due-stream"), (outcomes, "ts", "outcome-stream")):
+            between = (F.lit(True) if lo is None else F.col(at) > lo) & (F.lit(True) if hi is None else F.col(at) <= hi)
+            df.filter(between).write.mode("append").parquet(paths[path])
+        streams = [so.read_outcomes(spark, paths[p], df.schema) for p, df in (("due-stream", wanted), ("outcome-stream", outcomes))]
+        so.live_slices(*streams, LIVE_SECONDS).writeStream.format("parquet").option("path", paths["live"]).option("checkpointLocation", paths["live-checkpoint"]).outputMode(
+            "append").trigger(availableNow=True).start().awaitTermination()
+    live = spark.read.parquet(paths["live"])
+    stale = live.filter("state = 'stale'").groupBy("job_id").agg(F.count_distinct("slice_key").alias("stale"))
+    known = jobs.slice_states(wanted.select("job_id", "slice_key"), live.filter("state <> 'stale'"), "job_id", "slice_key", "state")
+    every = wanted.groupBy("job_id").agg(F.min("started").alias("started")).select(
+        "job_id", "started", F.lit(None).cast("string").alias("final_state"), F.lit(None).cast("timestamp").alias("finished"), F.lit(False).alias("has_result"), (F.col("job_id") % 3 == 0).alias("locked"))
+    out = jobs.job_status(every, known, "job_id", now, LIVE_SECONDS).join(stale, "job_id", "left")
+    # The watermark stands at the last event, so slices of the last moments may be over age and not yet told.
+    return big(out.select("job_id", "status", "done", "failed", (F.coalesce("stale", F.lit(0)) <= F.col("failed")).alias("stale_counted")))
+
+
+@query
+def purged_store(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of jobs kept in files, of which those of every ended job are removed; what is left."""
+    path, schema = _shared(spark, "job-sources"), "doc_id bigint, text string, job_id bigint"
+    files.write_sources(v.table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 200).alias("job_id")), path)
+    ended = jobs.final_state(states(spark, d), "job_id", "slice_key")
+    files.purge(spark, path, schema, ended)
+    return files.read_sources(spark, path, schema).select("doc_id", "job_id", F.md5("text").alias("text_md5"))
+
+
 @query
 def resolved_attempts(spark: SparkSession, d: str) -> DataFrame:
     x = v.view(spark, d, v.OUTCOMES)
@@ -632,13 +726,6 @@ def partials(spark: SparkSession, d: str) -> DataFrame:
     return files.read_partials(spark, path, "job_id bigint, event_id bigint, state string, slice_key string")
 
 
-@query
-def admitted_files(spark: SparkSession, d: str) -> DataFrame:
-    """The tables' own files, judged by ending and size."""
-    f = files.admit_files(files.list_files(spark, d), ".parquet", 1 << 20)
-    return f.groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
-
-
 _shared = stored_parts.shared_path
 
 

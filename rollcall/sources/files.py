@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,66 @@ def purge_sources(sources: DataFrame, finished: DataFrame, key: str = "job_id")
     return sources.join(finished.select(key).distinct(), key, "left_anti")
 
 
+def write_sources(sources: DataFrame, path: str, key: str = "job_id", buckets: int = 64) -> None:
+    """Sources of jobs in partitions by a hash of the job, so that their number doesn't grow with the jobs; adds to what is there."""
+    sources.withColumn("job_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("job_bucket").parquet(f"{path}/sources")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_sources(spark: SparkSession, path: str, schema: str, key: str = "job_id") -> DataFrame:
+    """The sources of jobs that are not purged, nor about to be: a purge that broke off hides its jobs all the same."""
+    rows = spark.read.schema(f"{schema}, job_bucket int").parquet(f"{path}/sources").drop("job_bucket")
+    return purge_sources(rows, spark.read.parquet(f"{path}/purging"), key) if _exists(spark, f"{path}/purging/_SUCCESS") else rows
+
+
+def purge(spark: SparkSession, path: str, schema: str, ended: DataFrame | None, key: str = "job_id", step: Callable[[str], None] = lambda name: None) -> int:
+    """Removes the sources of ended jobs from the files, rows of other jobs in the same partitions stay; the number of partitions touched.
+
+    1. The jobs are written down (purging); from here on readers don't see them.  2. What stays of the partitions that hold
+    such jobs is written aside (kept).  3. These partitions are replaced or, where nothing stays, deleted.
+    4. The notes go.  If a run breaks off anywhere, purge(..., None) or the next purge finishes it: each step reads only
+    what the steps before it left whole, and step 3 can be repeated.  Partitions without an ended job are neither read nor written.
+    step: called with each step's name before it, for tests.
+    """
+    notes, kept = f"{path}/purging", f"{path}/kept"
+    if not _exists(spark, f"{notes}/_SUCCESS"):
+        _delete(spark, kept)
+        if ended is None:
+            return 0
+        step("note")
+        own = spark.read.schema(f"{schema}, job_bucket int").parquet(f"{path}/sources")
+        own.join(ended.select(key).distinct(), key, "left_semi").select(key, "job_bucket").distinct().write.mode("overwrite").parquet(notes)
+    elif ended is not None:
+        purge(spark, path, schema, None, key, step)
+        return purge(spark, path, schema, ended, key, step)
+    gone = spark.read.parquet(notes)
+    touched = sorted(r.job_bucket for r in gone.select("job_bucket").distinct().collect())  # at most the number of buckets
+    rows = spark.read.schema(f"{schema}, job_bucket int").parquet(f"{path}/sources").filter(F.col("job_bucket").isin(touched))
+    if not _exists(spark, f"{kept}/_SUCCESS"):
+        step("keep")
+        rows.join(gone.select(key), key, "left_anti").write.mode("overwrite").parquet(kept)
+    step("swap")
+    rest = spark.read.parquet(kept)
+    rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_bucket").parquet(f"{path}/sources")
+    held = {r.job_bucket for r in rest.select("job_bucket").distinct().collect()}
+    for b in touched:
+        if b not in held:
+            _delete(spark, f"{path}/sources/job_bucket={b}")
+    step("forget")
+    _delete(spark, notes)
+    _delete(spark, kept)
+    return len(touched)
+
+
 def decode_entities(c: Column, ampersand_first: bool) -> Column:
     """The five entities of XML; &amp; first (so that &amp;lt; becomes <) or last."""
     pairs = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")]

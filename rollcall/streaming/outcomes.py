@@ -32,6 +32,20 @@ def progress(stream: DataFrame, width: str = "30 days", late: str = "30 days", a
         F.col("w.start").alias("start"), "state", "n")
 
 
+def live_slices(due: DataFrame, outcomes: DataFrame, seconds: int = SECONDS, late: str = "0 seconds") -> DataFrame:
+    """What is known of each slice that is due, as soon as it is: job_id, slice_key, started, ts and state (done, failed or stale).
+
+    due: a stream of job_id, slice_key, started; outcomes: one of job_id, slice_key, state, ts.  A stream-stream outer join over the range in which an
+    outcome counts, from the start to so many seconds later: a slice without one turns stale once the watermark has passed its
+    range, and both sides' state goes then.  Slices that the sink doesn't hold yet are pending.
+    """
+    a = due.select("job_id", "slice_key", "started").withWatermark("started", late)
+    b = outcomes.select(F.col("job_id").alias("_job"), F.col("slice_key").alias("_slice"), "state", "ts").withWatermark("ts", late)
+    within = (F.col("ts") >= F.col("started")) & (F.col("ts") <= F.col("started") + F.expr(f"interval {seconds} seconds"))
+    both = a.join(b, (F.col("job_id") == F.col("_job")) & (F.col("slice_key") == F.col("_slice")) & within, "leftOuter")
+    return both.select("job_id", "slice_key", "started", "ts", F.coalesce("state", F.lit("stale")).alias("state"))
+
+
 class Barrier(StatefulProcessor):
     """Holds a job until each of its slices has an outcome, or its time is up; then releases it once.
 
