@@ -792,7 +792,7 @@ def stream_progress(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Outcomes of a job in these tables lie days apart, so its time is counted in days here.
-BARRIER_SLICES, BARRIER_SECONDS = 5, 3 * 86400
+BARRIER_SLICES, BARRIER_SECONDS, BARRIER_KEPT = 5, 3 * 86400, 60 * 86400
 
 
 @query
@@ -805,7 +805,7 @@ def stream_barrier(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         x, parts = outcome_parts(spark, d)
-        released = run_stream(spark, parts, lambda y: so.completion_barrier(y, BARRIER_SLICES, seconds=BARRIER_SECONDS), "append")
+        released = run_stream(spark, parts, lambda y: so.completion_barrier(y, BARRIER_SLICES, seconds=BARRIER_SECONDS, keep_seconds=BARRIER_KEPT), "append")
     finally:
         spark.conf.set(name, held) if held else spark.conf.unset(name)
     return released.unionByName(so.close_open_jobs(x, released, BARRIER_SLICES, BARRIER_SECONDS)).select("job_id", "done", "failed", "complete")

@@ -50,11 +50,13 @@ class Barrier(StatefulProcessor):
     """Holds a job until each of its slices has an outcome, or its time is up; then releases it once.
 
     The first outcome of a slice counts.  A job's time starts with its first outcome, and outcomes later than its end don't
-    count, in whatever batch they come.
+    count, in whatever batch they come.  That a job is released is kept for ``keep`` milliseconds of event time after its end, so that what comes
+    until then changes nothing; then all of its state goes, and with it the job.
     """
 
     expected: int = 5
     millis: int = SECONDS * 1000
+    keep: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -67,6 +69,8 @@ class Barrier(StatefulProcessor):
         done = sum(s == "done" for s in states)
         self.released.update((True,))
         self.slices.clear()
+        if self.keep is not None:
+            self.handle.registerTimer(self.started.get()[0] + self.millis + self.keep)
         yield pd.DataFrame({"job_id": [key[0]], "done": [done], "failed": [self.expected - done], "complete": [len(states) >= self.expected]})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -87,23 +91,40 @@ class Barrier(StatefulProcessor):
         if len(list(self.slices.keys())) >= self.expected:
             yield from self._release(key)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        start = int(initialState["at"].min())
+        self.started.update((start,))
+        self.released.update((True,))
+        if self.keep is not None:
+            self.handle.registerTimer(start + self.millis + self.keep)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if not self.released.exists():
             yield from self._release(key)
+        elif self.keep is not None and expiredTimerInfo.getExpiryTimeInMs() >= self.started.get()[0] + self.millis + self.keep:
+            self.released.clear()
+            self.started.clear()
 
     def close(self) -> None:
         pass
 
 
-def completion_barrier(stream: DataFrame, expected: int, late: str = "0 seconds", seconds: int = SECONDS) -> DataFrame:
+def completion_barrier(
+    stream: DataFrame, expected: int, late: str = "0 seconds", seconds: int = SECONDS, keep_seconds: int | None = None, known: DataFrame | None = None,
+) -> DataFrame:
     """One row for each job that is ready: job_id, done, failed, complete.  Needs the RocksDB state store.
 
+    keep_seconds: for how long after a job's end its release is remembered (None: for ever); it has to cover how late outcomes of a job
+    come, as one that comes later begins a new job.  State is then bounded by the jobs of that time.  known: a batch snapshot of jobs released before, job_id
+    and started; a stream without a checkpoint, as after a restart from scratch, begins with them as released.
+
     stream: job_id, slice_key, state, ts, event_id.  Slices without an outcome in time count as failed.  A timer is set by the first
     outcome's own time and fires as the watermark passes it, so the last jobs of a finite stream are released by close_open_jobs.
     """
-    kind = type("BarrierOf", (Barrier,), {"expected": expected, "millis": seconds * 1000})
+    kind = type("BarrierOf", (Barrier,), {"expected": expected, "millis": seconds * 1000, "keep": None if keep_seconds is None else keep_seconds * 1000})
+    before = None if known is None else known.select("job_id", F.unix_millis("started").alias("at")).groupBy("job_id")
     return stream.withWatermark("ts", late).withColumn("at", F.unix_millis("ts")).groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=kind(), outputStructType=RELEASED, outputMode="Append", timeMode="EventTime")
+        statefulProcessor=kind(), outputStructType=RELEASED, outputMode="Append", timeMode="EventTime", initialState=before)
 
 
 def close_open_jobs(outcomes: DataFrame, released: DataFrame, expected: int, seconds: int = SECONDS) -> DataFrame:
