@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm._frames import saved
-from rollcall.llm._text import LOWER, PLAIN, U, find_words, names, pieces, spread, text_buffer, trimmed
+from rollcall.llm._text import LOWER, PLAIN, find_words, names, pieces, spread, text_buffer, trimmed
 
 #: Bytes of text in a segment (one longer text is a segment of its own), and terms of all items of one block.
 SEGMENT_BYTES, BLOCK_TERMS = 4 << 20, 200_000

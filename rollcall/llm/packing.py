@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from rollcall.llm._frames import ranked, saved
-from rollcall.llm._text import SPACE, U, find_words, names, pieces, spread, text_buffer, trimmed
+from rollcall.llm._text import SPACE, find_words, names, pieces, spread, text_buffer, trimmed
 
 #: Units whose ids a worker remembers at most in each of two generations; units encoded as one text; cells into which the pieces of one length are cut for ranking.
 REMEMBERED, TOGETHER, CELLS = 600_000, 128, 256
