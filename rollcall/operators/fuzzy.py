@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import norm_dedupe, norm_layout, tokens
+from rollcall.sources.parts import kept_by_document
 
 #: Share of the smaller set that must be common, and the smallest set that counts at all.
 SHARE, LEAST = 0.9, 8
@@ -95,32 +96,79 @@ def best_match(records: DataFrame, paragraphs: DataFrame, doc: str, record: str,
     """For each record the paragraph of its document that matches best, the first of equals.
 
     Scores: 1 for equal normal forms, 0.9 if one holds the other, else the common share of the larger set of words of
-    three letters or more; under least there is no match.
-
-    Equal normal forms of a document are one.  Candidates share one of the record's rarest words (enough of them that a
-    pair at least has one), or the contained side's longest inner word, which the other must hold whole; only texts
-    of one or two words have no inner word and meet all of their document.
+    three letters or more; under least there is no match.  Texts without a normal form, null texts and null documents match nothing.
+
+    Normal forms are made once and stored by document with a number in place of the text.  A record whose form is a paragraph's too is settled there,
+    unless an earlier paragraph has the same words in another order, which scores 1 as well.
+    The others look for candidates, in one order of words, rare ones first: the shares need a common word among the first
+    few of *both* sides, at places and set sizes that leave room for enough common ones; for containment, the held side's
+    rarest inner word must be a word of the other.  Texts of one or two words, which have no inner word, are looked up by
+    their rarest three letters among all runs of three letters.  Nothing is lost, and texts are compared for candidates only.
     """
-    long = lambda c: F.filter(F.array_distinct(F.split(c, " ")), lambda w: F.length(w) > 2)
-    r = records.select(doc, record, norm_layout(content).alias("_r")).filter("_r <> ''")
-    s = paragraphs.select(doc, F.col(paragraph), norm_layout(content).alias("_s")).filter("_s <> ''").groupBy(doc, "_s").agg(F.min(paragraph).alias(paragraph))
-    one, two = r.select(doc, "_r").distinct(), s.select(doc, "_s")
-    words = two.select(doc, "_s", F.explode(long(F.col("_s"))).alias("_w"))
-    often = words.groupBy(doc, "_w").agg(F.count(F.lit(1)).alias("_df"))
-    own = one.select(doc, "_r", F.explode(long(F.col("_r"))).alias("_w"), F.size(long(F.col("_r"))).alias("_m")).join(often, [doc, "_w"], "left")
-    rank = F.row_number().over(Window.partitionBy(doc, "_r").orderBy(F.coalesce("_df", F.lit(0)), "_w"))
-    rare = own.withColumn("_k", rank).filter(F.col("_k") <= F.col("_m") - F.ceil(F.lit(least) * F.col("_m")) + 1).select(doc, "_r", "_w")
-    inner = lambda c: F.slice(F.split(c, " "), 2, F.greatest(F.size(F.split(c, " ")) - 2, F.lit(0)))
-    key = lambda c: F.element_at(F.array_sort(inner(c), lambda a, b: F.length(b) - F.length(a)), 1)
-    split = lambda df, c: (df.filter(F.size(inner(F.col(c))) > 0).select(doc, c, key(F.col(c)).alias("_w")), df.filter(F.size(inner(F.col(c))) == 0))
-    all_r, all_s = (df.select(doc, c, F.explode(F.array_distinct(F.split(c, " "))).alias("_w")) for df, c in ((one, "_r"), (two, "_s")))
-    (in_r, short_r), (in_s, short_s) = split(one, "_r"), split(two, "_s")
-    pairs = one.join(two, (one[doc] == two[doc]) & (F.col("_r") == F.col("_s"))).select(one[doc], "_r", "_s")
-    for a, b, on in ((rare, words, [doc, "_w"]), (in_r, all_s, [doc, "_w"]), (all_r, in_s, [doc, "_w"]), (short_r, two, [doc]), (one, short_s, [doc])):
-        pairs = pairs.unionByName(a.join(b, on).select(doc, "_r", "_s"))
-    a, b = long(F.col("_r")), long(F.col("_s"))
+    slack = 1e-9  # shares such as 18 of 25 must not fall short of 0.72 by rounding
+    kinds = {c.name: c.dataType.simpleString() for c in (records.schema[record], paragraphs.schema[paragraph])}
+    form = norm_layout(content).alias("_form")
+    none = lambda c: F.lit(None).cast(kinds[c])
+    both = records.select(doc, F.col(record).alias("_record"), none(paragraph).alias("_held"), form).unionAll(
+        paragraphs.select(doc, none(record), F.col(paragraph), form)).filter(F.col(doc).isNotNull())
+    both = both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), doc)
+    rows = both.withColumn("_id", F.dense_rank().over(Window.partitionBy(doc).orderBy("_form"))).withColumn("_held", F.min("_held").over(Window.partitionBy(doc, "_form")))
+    rows = kept_by_document(rows, "forms", doc).filter("_form <> ''")
+    asked = rows.filter("_record is not null")
+    # A form is either a paragraph's (_held) or only a record's, which asks.
+    forms = rows.groupBy(doc, "_id", "_form").agg(F.first("_held").alias("_held"))
+    exact = asked.filter("_held is not null").join(_earlier_equals(forms.filter("_held is not null"), doc), [doc, "_id"], "left").select(
+        doc, F.col("_record").alias(record), F.coalesce("_before", "_held").alias(paragraph), F.lit(1.0).alias("score"))
+    pairs = _match_candidates(forms, doc, least, slack)
+    a, b = _long_words(F.col("_r")), _long_words(F.col("_s"))
     share = F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.greatest(F.size(a), F.size(b))), F.lit(0.0))
-    score = F.when(F.col("_r") == F.col("_s"), 1.0).when(F.col("_s").contains(F.col("_r")) | F.col("_r").contains(F.col("_s")), 0.9).otherwise(share)
-    scored = pairs.distinct().select(doc, "_r", "_s", score.alias("score")).filter(F.col("score") >= least).join(s, [doc, "_s"])
-    best = scored.groupBy(doc, "_r").agg(F.max_by(F.struct(paragraph, "score"), F.struct("score", -F.col(paragraph))).alias("_best"))
-    return r.join(best, [doc, "_r"]).select(doc, record, F.col(f"_best.{paragraph}").alias(paragraph), F.round("_best.score", 6).alias("score"))
+    score = F.when(F.col("_s").contains(F.col("_r")) | F.col("_r").contains(F.col("_s")), 0.9).otherwise(share)
+    asks, holds = forms.filter("_held is null").select(doc, "_id", F.col("_form").alias("_r")), forms.filter("_held is not null").select(doc, F.col("_id").alias("_other"), F.col("_form").alias("_s"), "_held")
+    scored = pairs.join(asks, [doc, "_id"]).join(holds, [doc, "_other"]).withColumn("score", score).filter(F.col("score") >= least)
+    best = scored.groupBy(doc, "_id").agg(F.max_by(F.struct("_held", "score"), F.struct("score", -F.col("_held"))).alias("_best"))
+    near = asked.filter("_held is null").select(doc, "_record", "_id").join(best, [doc, "_id"])
+    return exact.unionAll(near.select(doc, "_record", "_best._held", F.round("_best.score", 6)))
+
+
+def _long_words(form: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(form, " ")), lambda w: F.length(w) > 2)
+
+
+def _earlier_equals(held: DataFrame, doc: str) -> DataFrame:
+    """doc, _id and _before: the first of the earlier forms with the same long words, of which neither holds the other."""
+    each = held.withColumn("_set", F.array_sort(_long_words(F.col("_form")))).filter("size(_set) > 0")
+    alike = each.groupBy(doc, "_set").agg(F.collect_list(F.struct("_held", "_id", "_form")).alias("_all")).filter("size(_all) > 1")
+    rivals = alike.select(doc, F.explode("_all").alias("_x"), "_all").select(doc, "_x.*", F.filter(
+        "_all", lambda y: (y["_held"] < F.col("_x._held")) & ~y["_form"].contains(F.col("_x._form")) & ~F.col("_x._form").contains(y["_form"])).alias("_rivals"))
+    return rivals.filter("size(_rivals) > 0").select(doc, "_id", F.array_min(F.transform("_rivals", lambda y: y["_held"])).alias("_before"))
+
+
+def _match_candidates(forms: DataFrame, doc: str, least: float, slack: float) -> DataFrame:
+    """doc, _id of a form that asks and _other, one that is held, for all pairs that best_match may score; forms lie by document."""
+    size, inside = F.length("_form"), Window.partitionBy(doc)
+    words = F.split("_form", " ")
+    short = F.size(words) <= 2
+    gram = F.when(short, F.least(F.lit(3), size))
+    here = forms.withColumn("_ask", F.col("_held").isNull())
+    here = here.withColumn("_grams", F.collect_set(gram).over(inside)).withColumn("_any", F.bool_or("_ask").over(inside)).filter("_any")
+    key = lambda kind, x, counts, may: F.struct(kind.cast("int").alias("kind"), x.alias("key"), counts.alias("counts"), may.alias("may"))
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    own = F.transform(F.array_distinct(words), lambda w: key(F.lit(0), w, F.length(w) > 2, F.array_contains(inner, w)))
+    runs = lambda q: F.array_distinct(F.transform(F.sequence(F.lit(1), size - q + 1), lambda i: F.substr(F.col("_form"), i, q)))
+    grams = F.flatten(F.transform(F.filter("_grams", lambda q: q <= size), lambda q: F.transform(runs(q), lambda g: key(q, g, F.lit(False), F.coalesce(gram == q, F.lit(False))))))
+    spread = here.select(doc, "_id", "_ask", F.size(_long_words(F.col("_form"))).alias("m"), F.explode(F.concat(own, grams)).alias("_x")).select(doc, "_id", "_ask", "m", "_x.*")
+    spread = spread.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy(doc, "kind", "key")))
+    of = Window.partitionBy(doc, "_id")
+    chosen = F.struct("_df", "kind", "key")
+    spread = spread.withColumn("k", F.row_number().over(of.orderBy(F.desc("counts"), "_df", "key"))).withColumn("_least", F.min(F.when(F.col("may"), chosen)).over(of))
+    first = F.col("counts") & (F.col("k") <= F.col("m") - F.ceil(F.lit(least) * F.col("m") - slack) + 1)
+    entry = F.struct(F.col("_id").alias("id"), "m", F.when(first, F.col("k")).alias("k"), (F.col("may") & (chosen == F.col("_least"))).alias("must"))
+    met = spread.groupBy(doc, "kind", "key").agg(F.collect_list(F.when(F.col("_ask"), entry)).alias("_a"), F.collect_list(F.when(~F.col("_ask"), entry)).alias("_b"))
+
+    def may_match(a: Column, b: Column) -> Column:
+        wanted = F.lit(least) * F.greatest(a["m"], b["m"]) - slack
+        room = (F.least(a["m"], b["m"]) >= wanted) & (1 + F.least(a["m"] - a["k"], b["m"] - b["k"]) >= wanted)
+        return a["must"] | b["must"] | (a["k"].isNotNull() & b["k"].isNotNull() & room)
+
+    one = met.filter("size(_a) > 0 and size(_b) > 0").select(doc, F.explode("_a").alias("_x"), "_b")
+    return one.select(doc, F.col("_x.id").alias("_id"), F.explode(F.filter("_b", lambda b: may_match(F.col("_x"), b))).alias("_y")).select(doc, "_id", F.col("_y.id").alias("_other")).distinct()

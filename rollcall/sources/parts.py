@@ -36,9 +36,9 @@ def by_document(df: DataFrame, what: str, doc: str = "doc_id", dealt: bool = Fal
     return out
 
 
-def kept_by_document(df: DataFrame, what: str) -> DataFrame:
+def kept_by_document(df: DataFrame, what: str, doc: str = "doc_id") -> DataFrame:
     """by_document for what was made from a table by document."""
-    return by_document(df, what, dealt=True)
+    return by_document(df, what, doc, dealt=True)
 
 
 def shredded(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ("doc_id", "part")) -> DataFrame:
