@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rollcall.functions import dates, text as t
 from rollcall.operators import audit, fuzzy, jobs, layout, lines as ln, records as rec
 from rollcall.plans import views as v
-from rollcall.sources import files, ingest, parts as stored_parts
+from rollcall.sources import files, ingest, parts as stored_parts, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -629,7 +629,7 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
 def reprocess_plan(spark: SparkSession, d: str) -> DataFrame:
     x = v.table(spark, d, "documents").select("doc_id", F.md5("text").alias("hash"), F.when(F.col("doc_id") % 4 == 0, 2001).alias("since_year"))
     store = x.filter("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("edited")).otherwise(F.col("hash")).alias("hash"), F.lit(1990).alias("since_year"))
-    return big(jobs.plan_reprocess(x, store, "doc_id").select("doc_id", "action", "since_year"))
+    return big(jobs.plan_reprocess(x, kept_run(store, ["doc_id", "hash"]), "doc_id").select("doc_id", "action", "since_year"))
 
 
 @query
@@ -677,9 +677,18 @@ def duplicate_inventory(spark: SparkSession, d: str) -> DataFrame:
 RENAMED = "Talk at the World Congress|Prize for teaching|Visiting Scholar"
 
 
+def kept_run(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df as a stored run, opened again."""
+    path = _shared(df.sparkSession, "run")
+    runs.write_run(df, path, keys)
+    return runs.open_run(df.sparkSession, path)
+
+
 @query
 def run_diff(spark: SparkSession, d: str) -> DataFrame:
-    return audit.diff_runs(chrono_numbered_records(spark, d), second_run(spark, d), ["doc_id", "bucket", "number"], ["text"])
+    """What differs between two stored runs."""
+    keys = ["doc_id", "bucket", "number"]
+    return audit.diff_runs(kept_run(chrono_numbered_records(spark, d), keys), kept_run(second_run(spark, d), keys), keys, ["text"])
 
 
 def second_run(spark: SparkSession, d: str) -> DataFrame:
@@ -691,7 +700,7 @@ def second_run(spark: SparkSession, d: str) -> DataFrame:
 @query
 def new_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Repeats, dates left aside, that the second run has and the first one had not."""
-    of = lambda x: audit.duplicate_inventory(x, ["doc_id"], t.activity_core("text"))
+    of = lambda x: kept_run(audit.duplicate_inventory(x, ["doc_id"], t.activity_core("text")), ["doc_id", "key"])
     return audit.new_duplicates(of(chrono_numbered_records(spark, d)), of(second_run(spark, d)), ["doc_id", "key"])
 
 
