@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from html import unescape
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -34,12 +37,80 @@ NAMES = re.compile(
     r"(?:^|[-_ ])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|sidebar\w*|side|aside|widget\w*|"
     r"comments?|commentlist|disqus\w*|replies|respond|reader-?comments?|cookies?\w*|consent|notice\w*|gdpr|newsletter|subscribe|signup|login|popup|modal|overlay|"
     r"share|sharing|social|related|recommended|more-stories|pagination|pager|toolbar|search|skip\w*|legal|copyright|disclaimer|alert)(?:[-_ ]|$)", re.I)
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+SIMPLE = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+QUOTES, LONG_NUMBER = re.compile("[>\"']"), re.compile("&#([0-9]{9,})")
+#: Bytes that a task's forms and slots may take before they are handed on.
+HELD_BYTES = 64 << 20
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 SPACES = re.compile(r"\s+")
 
 
+class Tags:
+    """The tags of a page, one after the other, in time linear in its length whatever quotes and brackets are left open.
+
+    A tag ends at the first > outside quotes; where there is none, at the first >; where there is none either, it is text.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.marks: list[int] | None = None
+        self.known: dict[int, int] = {}
+        self.missing: set[str] = set()
+
+    def end(self, at: int) -> int:
+        """The first > from at on that is outside quotes, or -1; each mark is followed once."""
+        if self.marks is None:
+            self.marks = [m.start() for m in QUOTES.finditer(self.html)]
+        way, found = [], -1
+        while (k := bisect_left(self.marks, at)) < len(self.marks):
+            q = self.marks[k]
+            if q in self.known:
+                found = self.known[q]
+                break
+            way.append(q)
+            if self.html[q] == ">":
+                found = q
+                break
+            close = self.html.find(self.html[q], q + 1)
+            if close < 0:
+                break
+            at = close + 1
+        for q in way:
+            self.known[q] = found
+        return found
+
+    def at(self, i: int) -> tuple[int, str, bool, str] | None:
+        """What follows the tag at the < at i, its name ('' for a comment and the like), whether it closes, and the rest; None: no tag."""
+        html = self.html
+        m = SIMPLE.match(html, i)
+        if m is None:
+            for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if html.startswith(start, i):
+                    e = html.find(stop, i + len(start))
+                    return (e + len(stop) if e >= 0 else len(html)), "", False, ""
+            if i > self.last:
+                return None
+            if html.startswith(("<!", "<?"), i):
+                return html.find(">", i) + 1, "", False, ""
+            m = NAME.match(html, i)
+            if m is None:
+                return None
+            e = self.end(m.end())
+            e = e if e >= 0 else html.find(">", m.end())
+            return e + 1, m[2].lower(), bool(m[1]), html[m.end() : e]
+        return m.end(), m[2].lower(), bool(m[1]), m[3]
+
+    def after(self, name: str, at: int) -> int:
+        """What follows the closing tag of that name, or -1."""
+        if name not in self.missing:
+            m = re.compile(rf"</{name}\b", re.I).search(self.html, at, self.last + 1)
+            if m:
+                return self.html.find(">", m.end()) + 1
+            self.missing.add(name)
+        return -1
+
+
 class Page:
     """A page's blocks and its tree, in which neighbouring siblings with the same label are one node.
 
@@ -59,33 +130,33 @@ class Page:
             if parts:
                 text = "".join(parts)
                 parts.clear()
-                if "&" in text:
-                    text = unescape(text)
+                if "&" in text:  # numbers of any length: what is too large stays so
+                    text = unescape(LONG_NUMBER.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), text))
                 text = SPACES.sub(" ", text).strip()
                 if text:
                     self.blocks.append((stack[-1][1], text, min(len(text), state["link"])))
             state["link"] = 0
 
-        at, n = 0, len(html)
+        at, n, tags = 0, len(html), Tags(html)
+        opened: Counter[str] = Counter()
         while at < n:
-            m = TAG.search(html, at)
-            if m is None:
-                parts.append(html[at:])
-                break
-            if m.start() > at:
-                piece = html[at : m.start()]
-                parts.append(piece)
+            i = html.find("<", at)
+            found = tags.at(i) if i >= 0 else None
+            stop = n if i < 0 else i if found else i + 1
+            if stop > at:
+                parts.append(html[at:stop])
                 if state["in"]:
-                    state["link"] += len(piece)
-            at = m.end()
-            name = m[2] or m[5]
+                    state["link"] += stop - at
+            if found is None:
+                at = stop
+                continue
+            at, name, closing, rest = found
             if not name:
                 continue
-            name, closing, rest = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
             if name in RAW:
                 if not closing and name != "head" and not rest.endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-                    at = end.end() if end else (n if name in ("script", "style") else at)
+                    end = tags.after(name, at)
+                    at = end if end >= 0 else (n if name in ("script", "style") else at)
                 continue
             if name in VOID:
                 parts.append(" ")
@@ -96,14 +167,15 @@ class Page:
                 continue
             flush()
             if closing:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
-                if depth:
-                    del stack[depth:]
+                gone = None if opened[name] else name
+                while gone != name:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
                 continue
             closes = CLOSES.get(name, ())
             while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in closes):
-                stack.pop()
-            label = name
+                opened[stack.pop()[0]] -= 1
+            label = name.replace(";", " ")
             if rest:
                 found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
                 if "hidden" in found and "aria-hidden" not in found or found.get("aria-hidden") == "true":
@@ -118,6 +190,7 @@ class Page:
                 last[parent] = node
             if not rest.endswith("/"):
                 stack.append((name, node))
+                opened[name] += 1
         flush()
 
     def skeleton(self) -> str:
@@ -137,40 +210,120 @@ def read_skeleton(skeleton: str) -> tuple[list[str], list[list[int]], list[int]]
     return labels, children, parents
 
 
+class Subtrees:
+    """The different subtrees of some trees, numbered so that parts come before wholes; equal ones have one number."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.kids: list[tuple[int, ...]] = []
+        self.label: list[str] = []
+        self.size: list[int] = []
+
+    def add(self, labels: list[str], children: list[list[int]]) -> list[int]:
+        """The number of each node's subtree."""
+        of = [0] * len(labels)
+        for i in range(len(labels) - 1, -1, -1):
+            kids = tuple(of[c] for c in children[i])
+            number = self.numbers.setdefault((labels[i], kids), len(self.kids))
+            if number == len(self.kids):
+                self.kids.append(kids)
+                self.label.append(labels[i])
+                self.size.append(1 + sum(self.size[k] for k in kids))
+            of[i] = number
+        return of
+
+
+def _ends(xs: Sequence[int], ys: Sequence[int]) -> tuple[int, int]:
+    """How many items the sequences share at the start, and then at the end."""
+    n = min(len(xs), len(ys))
+    head = next((k for k in range(n) if xs[k] != ys[k]), n)
+    tail = next((k for k in range(n - head) if xs[-1 - k] != ys[-1 - k]), n - head)
+    return head, tail
+
+
+def _rows(xs: Sequence[int], ys: Sequence[int], weight: Callable[[int, int], int], row: np.ndarray) -> Iterator[np.ndarray]:
+    """The next rows of the table of best weights of order-keeping mappings, from the row before xs on."""
+    kinds, where = np.unique(np.asarray(ys, np.int64), return_inverse=True)
+    known: dict[int, np.ndarray] = {}
+    for x in xs:
+        if x not in known:
+            known[x] = np.array([weight(x, int(y)) for y in kinds], np.int32)
+        after = row.copy()
+        np.maximum(row[1:], row[:-1] + known[x][where], out=after[1:])
+        row = np.maximum.accumulate(after)
+        yield row
+
+
+def align(xs: Sequence[int], ys: Sequence[int], weight: Callable[[int, int], int]) -> list[tuple[int, int]]:
+    """The heaviest order-keeping mapping of places of xs to places of ys; what doesn't map weighs 0.
+
+    Equal subtrees at either end map to each other, which no mapping beats.  Of the table between only every k-th row is kept, k the
+    root of their number, and the rows between are made again on the way back.
+    """
+    head, tail = _ends(xs, ys)
+    ends = [(len(xs) - 1 - k, len(ys) - 1 - k) for k in range(tail)]
+    xs, ys, out = xs[head : len(xs) - tail], ys[head : len(ys) - tail], [(k, k) for k in range(head)] + ends
+    if not len(xs) or not len(ys):
+        return out
+    step = isqrt(len(xs)) + 1
+    kept = [np.zeros(len(ys) + 1, np.int32)]
+    for i, row in enumerate(_rows(xs, ys, weight, kept[0]), 1):
+        if i % step == 0:
+            kept.append(row)
+    i, j = len(xs), len(ys)
+    for block in range((len(xs) - 1) // step, -1, -1):
+        lo = block * step
+        table = [kept[block], *_rows(xs[lo:i], ys, weight, kept[block])]
+        while i > lo and j:
+            here, w = table[i - lo][j], weight(xs[i - 1], ys[j - 1])
+            if w and here == table[i - lo - 1][j - 1] + w:
+                out.append((head + i - 1, head + j - 1))
+                i, j = i - 1, j - 1
+            elif here == table[i - lo - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        i = lo
+    return out
+
+
 def match(a: str, b: str) -> dict[int, int]:
-    """Simple tree matching: the largest order-keeping mapping of equal labels whose parents are mapped too."""
+    """Simple tree matching: the largest order-keeping mapping of equal labels whose parents are mapped too.
+
+    Pairs of *different subtrees* are weighed, parts before wholes, each once however often it occurs; tables are not kept.
+    """
     if a == b:
         return {i: i for i in range(a.count(";") + 1)}
-    la, ca, _ = read_skeleton(a)
-    lb, cb, _ = read_skeleton(b)
-    tables: dict[tuple[int, int], tuple[int, list[list[int]]]] = {}
-    todo = [(0, 0)]
-    order = []
-    while todo:  # pairs whose labels and ancestors agree, parents first
-        x, y = todo.pop()
-        order.append((x, y))
-        todo += [(i, j) for i in ca[x] for j in cb[y] if la[i] == lb[j]]
-    for x, y in reversed(order):
-        m = [[0] * (len(cb[y]) + 1) for _ in range(len(ca[x]) + 1)]
-        for i, p in enumerate(ca[x], 1):
-            for j, q in enumerate(cb[y], 1):
-                w = tables[p, q][0] if la[p] == lb[q] else 0
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + w)
-        tables[x, y] = 1 + m[-1][-1], m
-    out, todo = {}, [(0, 0)]
+    (la, ca, _), (lb, cb, _) = read_skeleton(a), read_skeleton(b)
+    trees = Subtrees()
+    na, nb = trees.add(la, ca), trees.add(lb, cb)
+    seen, todo = {(na[0], nb[0])}, [(na[0], nb[0])]
     while todo:
         x, y = todo.pop()
+        by: dict[str, set[int]] = {}
+        for k in trees.kids[y]:
+            by.setdefault(trees.label[k], set()).add(k)
+        new = {(p, q) for p in set(trees.kids[x]) for q in by.get(trees.label[p], ()) if p != q} - seen
+        seen |= new
+        todo += new
+    weights: dict[tuple[int, int], int] = {}
+    weight = lambda x, y: trees.size[x] if x == y else weights.get((x, y), 0)
+    for x, y in sorted(seen):
+        xs, ys = trees.kids[x], trees.kids[y]
+        head, tail = _ends(xs, ys)
+        total = 1 + sum(trees.size[k] for k in xs[:head] + xs[len(xs) - tail :])
+        xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+        if xs and ys:
+            for row in _rows(xs, ys, weight, np.zeros(len(ys) + 1, np.int32)):
+                pass
+            total += int(row[-1])
+        weights[x, y] = total
+    out, nodes = {}, [(0, 0)]
+    while nodes:
+        x, y = nodes.pop()
         out[x] = y
-        m, i, j = tables[x, y][1], len(ca[x]), len(cb[y])
-        while i and j:
-            p, q = ca[x][i - 1], cb[y][j - 1]
-            if la[p] == lb[q] and m[i][j] == m[i - 1][j - 1] + tables[p, q][0]:
-                todo.append((p, q))
-                i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        pairs = align([na[c] for c in ca[x]], [nb[c] for c in cb[y]], weight)
+        nodes += [(ca[x][i], cb[y][j]) for i, j in pairs]
     return out
 
 
@@ -255,11 +408,13 @@ def wrappers(pages: DataFrame) -> DataFrame:
     @trimmed
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], list] = {}
+        held = 0
         for batch in batches:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(html or "")
                 skeleton = page.skeleton()
                 entry = seen.setdefault((host, _hash(skeleton)), [skeleton, 0, {}])
+                held -= 300 * len(entry[2]) - len(skeleton) * (entry[1] == 0)
                 entry[1] += 1
                 texts: dict[int, list] = {}
                 longest = max((text for _, text, _ in page.blocks), key=len, default="")
@@ -273,9 +428,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
                     h = _hash("\n\n".join(text))
                     s = entry[2].setdefault(node, [h, h, 0, 0, 0, 0])
                     s[:] = min(s[0], h), max(s[1], h), s[2] + 1, s[3] + chars, s[4] + link, s[5] | article
-            if len(seen) > 20_000:
-                yield _counted(seen)
-                seen = {}
+                held += 300 * len(entry[2])
+                if held > HELD_BYTES:
+                    yield _counted(seen)
+                    seen, held = {}, 0
         if seen:
             yield _counted(seen)
 
@@ -286,13 +442,13 @@ def wrappers(pages: DataFrame) -> DataFrame:
     forms = slots.filter("node = -1").select("host", "form", "skeleton", "pages")
     reference = forms.groupBy("host").agg(F.max_by("skeleton", F.struct("pages", "form")).alias("reference"))
 
-    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def align_forms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
                 m = match(r.skeleton, r.reference)
                 yield pd.DataFrame({"host": r.host, "form": r.form, "node": np.array(list(m), np.int32), "slot": np.array(list(m.values()), np.int32)})
 
-    aligned = forms.join(reference, "host").select("host", "form", "skeleton", "reference").mapInPandas(align, "host string, form long, node int, slot int")
+    aligned = forms.join(reference, "host").select("host", "form", "skeleton", "reference").mapInPandas(align_forms, "host string, form long, node int, slot int")
     placed = slots.filter("node >= 0").drop("skeleton").join(aligned, ["host", "form", "node"], "left")
     # A slot that the reference lacks is a slot of its form alone.
     own = F.when(F.col("slot").isNull(), F.concat_ws("/", "form", "node")).otherwise(F.col("slot").cast("string"))
@@ -330,7 +486,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     Character references are decoded and white space inside a block becomes one space.  A null or empty page, or one
     without a block, has the text ''; a page of a host with fewer than LEAST_PAGES pages has no template slots and is
     judged by its elements alone; a null url is a host of its own; repeated rows are extracted one by one; an
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; other columns are not read.  Pages of any length, with quotes, comments and elements left open, are
+    read in linear time; two forms are aligned in the product of their numbers of siblings that differ.
     """
     rows = pages.select(pages[key].alias("key"), pages[url].cast("string").alias("url"), pages[html].cast("string").alias("html"))
     found = saved(wrappers(rows), "wrappers")
