@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from rollcall.llm._text import pieces, rows_of, text_buffer, trimmed
 
-#: Dimensions of the vectors; letters in an n-gram; cells of a count matrix at once.
-DIMENSIONS, LETTERS, CELLS = 1024, 3, 1 << 21
+#: Dimensions of the vectors; letters in an n-gram; cells of a count matrix, and vectors of n-grams, at once.
+DIMENSIONS, LETTERS, CELLS, VECTORS = 1024, 3, 1 << 21, 1 << 13
 
 
 @lru_cache(1)
@@ -28,10 +28,35 @@ def _folding() -> np.ndarray:
     return out
 
 
-@lru_cache(65_536)
+@lru_cache(16_384)
+def _signs(letter: int, dimensions: int) -> np.ndarray:
+    return (np.random.default_rng([7919, letter]).integers(0, 2, dimensions) * 2 - 1).astype(np.int8)
+
+
 def letter_vector(letter: int, dimensions: int) -> np.ndarray:
     """The letter's random vector of +1 and -1; 0 stands for what lies between words."""
-    return (np.random.default_rng([7919, letter]).integers(0, 2, dimensions) * 2 - 1).astype(np.float32)
+    return _signs(letter, dimensions).astype(np.float32)
+
+
+class GramVectors:
+    """The vectors of the n-grams of a piece of text, made in blocks: their memory doesn't grow with the number of n-grams."""
+
+    def __init__(self, alphabet: np.ndarray, parts: list[np.ndarray], dimensions: int):
+        letters = np.stack([_signs(int(c), dimensions) for c in alphabet]) if len(alphabet) else np.zeros((0, dimensions), np.int8)
+        self.parts, self.dimensions = parts, dimensions
+        self.letters = [np.roll(letters, len(parts) - 1 - d, axis=1) for d in range(len(parts))]
+
+    def __len__(self) -> int:
+        return len(self.parts[0])
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """From, to and the vectors between."""
+        for lo in range(0, len(self), VECTORS):
+            hi = min(len(self), lo + VECTORS)
+            out = np.ones((hi - lo, self.dimensions), np.int8)
+            for letters, part in zip(self.letters, self.parts, strict=True):
+                out *= letters[part[lo:hi]]
+            yield lo, hi, out.astype(np.float32)
 
 
 def letters_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +79,7 @@ def framed(x: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return y, first + 2 * pad * rows
 
 
-def grams(x: np.ndarray, first: np.ndarray, n: int, dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grams(x: np.ndarray, first: np.ndarray, n: int, dimensions: int) -> tuple[np.ndarray, np.ndarray, GramVectors]:
     """The row and the number of each n-gram, and the vectors by number: the bound, permuted vectors of its letters."""
     row = rows_of(first)
     at = np.flatnonzero(np.arange(len(x)) + n <= first[1:][row]) if len(x) else np.zeros(0, np.int64)
@@ -72,24 +97,22 @@ def grams(x: np.ndarray, first: np.ndarray, n: int, dimensions: int) -> tuple[np
         kinds, number = np.unique(np.stack([small[at + d] for d in range(n)], 1), axis=0, return_inverse=True)
         number = number.reshape(-1)
         parts = [kinds[:, d] for d in range(n)]
-    letters = np.stack([letter_vector(int(c), dimensions) for c in alphabet]) if size else np.zeros((0, dimensions), np.float32)
-    vectors = np.ones((len(parts[0]), dimensions), np.float32)
-    for d, part in enumerate(parts):
-        vectors *= np.roll(letters, n - 1 - d, axis=1)[part]
-    return row[at], number, vectors
+    return row[at], number, GramVectors(alphabet, parts, dimensions)
 
 
-def bundles(row: np.ndarray, number: np.ndarray, vectors: np.ndarray, rows: int) -> np.ndarray:
+def bundles(row: np.ndarray, number: np.ndarray, vectors: GramVectors, rows: int) -> np.ndarray:
     """The sum of each row's n-gram vectors."""
-    kinds = max(1, len(vectors))
-    out = np.zeros((rows, vectors.shape[1]), np.float32)
-    step = max(1, CELLS // kinds)
-    edges = np.searchsorted(row, np.arange(0, rows + step, step))
-    for k, lo in enumerate(range(0, rows, step)):
-        hi, part = min(rows, lo + step), slice(edges[k], edges[k + 1])
-        if part.start < part.stop:
-            cells = np.bincount((row[part] - lo) * kinds + number[part], minlength=(hi - lo) * kinds)
-            out[lo:hi] = cells.reshape(hi - lo, kinds).astype(np.float32) @ vectors
+    out = np.zeros((rows, vectors.dimensions), np.float32)
+    for first, last, block in vectors.blocks():
+        here = slice(None) if last - first == len(vectors) else (number >= first) & (number < last)
+        of, kind, kinds = row[here], number[here] - first, last - first
+        step = max(1, CELLS // kinds)
+        edges = np.searchsorted(of, np.arange(0, rows + step, step))
+        for k, lo in enumerate(range(0, rows, step)):
+            hi, part = min(rows, lo + step), slice(edges[k], edges[k + 1])
+            if part.start < part.stop:
+                cells = np.bincount((of[part] - lo) * kinds + kind[part], minlength=(hi - lo) * kinds)
+                out[lo:hi] += cells.reshape(hi - lo, kinds).astype(np.float32) @ block
     return out
 
 
@@ -114,9 +137,10 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", dimensio
                 x, first = framed(*letters_of(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]), letters)
                 row, number, vectors = grams(x, first, letters, dimensions)
                 of = code[lo:hi][row]
-                for k in np.unique(of):
-                    n = np.bincount(number[of == k], minlength=len(vectors)).astype(np.float64)
-                    sums[names[k]] = sums.get(names[k], np.zeros(dimensions)) + n @ vectors
+                counts = {k: np.bincount(number[of == k], minlength=len(vectors)).astype(np.float64) for k in np.unique(of)}
+                for first_gram, last_gram, block in vectors.blocks():
+                    for k, n in counts.items():
+                        sums[names[k]] = sums.get(names[k], np.zeros(dimensions)) + n[first_gram:last_gram] @ block
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["lang", "v"])
 
