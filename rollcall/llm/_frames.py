@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +19,14 @@ def partitions(spark: SparkSession) -> int:
 
 #: Rows of one key from which on they are dealt into cells, and how many cells.
 HOT, CELLS = 1000, 64
-_written: list[str] = []
+_thread = threading.local()
+
+
+def _written() -> list[str]:
+    """The tables saved by this thread: operators that run at once don't see each other's."""
+    if not hasattr(_thread, "written"):
+        _thread.written = []
+    return _thread.written
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,23 +42,24 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _written().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def begun() -> int:
     """A mark for finished()."""
-    return len(_written)
+    return len(_written())
 
 
 def finished(df: DataFrame, what: str, since: int) -> DataFrame:
     """df saved, an operator's whole result; the tables saved since the mark, on which it no longer depends, are deleted."""
     spark = df.sparkSession
     out = saved(df, what)
-    for path in _written[since:-1]:
+    written = _written()
+    for path in written[since:-1]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del _written[since:-1]
+    del written[since:-1]
     return out
 
 

@@ -186,6 +186,27 @@ def test_tables_on_the_way_are_deleted(spark, tmp_path):
     assert sorted(r.id for r in kept.collect()) == [0, 2, 4, 6, 8] and not any(os.path.exists(f.removeprefix("file:")) for f in a.inputFiles())
 
 
+def test_two_threads_keep_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    meet = Barrier(2)
+
+    def work(n):
+        mark = begun()
+        meet.wait(60)
+        a = saved(spark.range(n), "way")
+        meet.wait(60)
+        b = saved(a.selectExpr("id + 1 as id"), "way")
+        if n == 3:
+            finished(spark.range(1), "result", mark)
+        meet.wait(60)
+        return n, None if n == 3 else finished(b, "result", mark).count()
+
+    with ThreadPoolExecutor(2) as pool:
+        assert dict(pool.map(work, [3, 5])) == {3: None, 5: 5}
+
+
 def thue_morse():
     """Two words of 1024 letters on which polynomials modulo 2**64 agree, whatever the base."""
     a = "a"
