@@ -23,9 +23,28 @@ BLOCK = 512
 #: Cells of a set's histogram of fingerprints, which bounds how much two sets can share.
 CELLS = 1024
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: Elements that draw their permutations at once, each of which takes a byte for each place.
+PART = 1 << 16
 
 
 def superminhash(el: np.ndarray, begin: np.ndarray, m: int) -> np.ndarray:
+    """Signatures of sets of fingerprints, PART elements at a time.
+
+    Elements draw independently of each other, so a set's signature is the place by place minimum of its parts'
+    signatures: a very long text takes no more memory than PART shingles.
+    """
+    if len(el) <= PART:
+        return _superminhash(el, begin, m)
+    out = np.full((len(begin) - 1, m), _EMPTY, np.uint32)
+    for lo in range(0, len(el), PART):
+        hi = min(lo + PART, len(el))
+        first, last = np.searchsorted(begin, lo, "right") - 1, np.searchsorted(begin, hi, "left")
+        part = _superminhash(el[lo:hi], np.clip(begin[first : last + 1], lo, hi) - lo, m)
+        out[first:last] = np.minimum(out[first:last], part)
+    return out
+
+
+def _superminhash(el: np.ndarray, begin: np.ndarray, m: int) -> np.ndarray:
     """Signatures of sets of fingerprints, m numbers a row: step in the upper bits, random fraction in the lower.
 
     Each element draws one permutation of the m places, place by place (a Fisher-Yates shuffle by its own random
@@ -70,8 +89,9 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, key: str, text: str, words: int, hashes: int, band: int) -> DataFrame:
-    """_key, n, set and check (a digest of the full set, 64 bits each; null if empty) and bands, the hashes of the signature's bands."""
-    rows = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
+    """_key, n, set and check (a digest of the full set, 64 bits each; null if empty), bands (the hashes of the signature's bands) and print, the text's sha256."""
+    string = docs[text].cast("string")
+    rows = docs.select(docs[key].alias("_key"), string.alias("_text"), _print(string).alias("print"))
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +104,10 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, hashes: int, ba
                 bands = _bands(superminhash(sh, begin, hashes), band)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(digests[:, 0], mask=n == 0), pa.array(digests[:, 1], mask=n == 0),
-                     pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), bands.shape[1]).cast(pa.list_(pa.int64()))],
-                    names=["_key", "n", "set", "check", "bands"])
+                     pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1)), bands.shape[1]).cast(pa.list_(pa.int64())), batch.column(2).slice(lo, hi - lo)],
+                    names=["_key", "n", "set", "check", "bands", "print"])
 
-    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, n long, set long, check long, bands array<long>")
+    return rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, n long, set long, check long, bands array<long>, print binary")
 
 
 def _digests(sh: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -116,7 +136,10 @@ def _bands(signature: np.ndarray, band: int) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity on the full sets is the threshold or more."""
+    """The pairs (a, b) of sets whose similarity on the full sets is the threshold or more.
+
+    pairs: a saved table.  A set in very many pairs, such as a hub, is compared in cells of them.
+    """
     percent = round(threshold * 100)
 
     @trimmed
@@ -131,7 +154,12 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     one = sets.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
     other = sets.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _beside(pairs, one, other).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _beside(pairs: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
+    """pairs (a, b), a saved table, with the row of one for a and of other for b."""
+    return spread_join(spread_join(pairs, one, "a", F.col("b")), other, "b", F.col("a"), counted=pairs)
 
 
 def _histogram(sh: np.ndarray) -> bytes:
@@ -144,7 +172,7 @@ def _alike(s: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def likely(pairs: DataFrame, sets: DataFrame, threshold: float, hashes: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures allow the threshold."""
+    """The pairs (a, b), a saved table, whose sizes and signatures allow the threshold."""
     least = _least(threshold, hashes)
 
     @trimmed
@@ -156,7 +184,7 @@ def likely(pairs: DataFrame, sets: DataFrame, threshold: float, hashes: int) ->
     one = sets.select(F.col("set").alias("a"), F.col("signature").alias("x"), F.col("n").alias("na"))
     other = sets.select(F.col("set").alias("b"), F.col("signature").alias("y"), F.col("n").alias("nb"))
     fit = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
-    return pairs.join(one, "a").join(other, "b").filter(fit).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _beside(pairs, one, other).filter(fit).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _least(threshold: float, hashes: int) -> float:
@@ -251,7 +279,7 @@ def near_duplicates(
     """
     mark = begun()
     found = _told_apart(saved(signatures(docs, key, text, words, hashes, band), "signatures"))
-    classes = found.filter("n > 0").groupBy("set").agg(F.min("_key").alias("rep"), F.min(_name(F.col("_key"))).alias("name"), F.min("digest").alias("digest"), F.min("check").alias("check"))
+    classes = found.filter("n > 0").groupBy("set").agg(F.min("_key").alias("rep"), F.min(_name(F.col("_key"), F.col("print"))).alias("name"), F.min("digest").alias("digest"), F.min("check").alias("check"))
     classes = saved(classes, "classes")
     placed = found.filter("n > 0").select("set", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo <> hi").select("bucket")
@@ -262,37 +290,47 @@ def near_duplicates(
     weights = sized.groupBy("set").agg(F.sum("size").alias("weight"))
     hubs = members.join(weights, "set").groupBy("bucket").agg(F.max_by("set", F.struct("weight", "set")).alias("hub"))
     pairs = members.join(hubs, "bucket").filter("hub <> set").select(F.least("hub", "set").alias("a"), F.greatest("hub", "set").alias("b")).distinct()
+    pairs = saved(pairs, "pairs")
 
     wanted = members.select("set").distinct().join(classes, "set")
     sets = saved(_full_sets(docs, wanted, key, text, words, hashes), "sets")
-    links = saved(verified(likely(pairs, sets, threshold, hashes), sets, threshold), "links")
+    links = saved(verified(saved(likely(pairs, sets, threshold, hashes), "pairs"), sets, threshold), "links")
     joined = saved(components(links), "components")
 
     of = sized.join(joined, sized["set"] == joined["node"], "left").select(sized["bucket"], "size", sized["set"], F.coalesce("component", "set").alias("component"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     open_ = of.join(mixed, "bucket").join(sets.select("set", "n", "signature", "cells"), "set")
-    more = saved(verified(across(open_, threshold, hashes, band), sets, threshold), "links")
+    more = saved(verified(saved(across(open_, threshold, hashes, band), "pairs"), sets, threshold), "links")
     if not more.isEmpty():
         joined = saved(components(links.unionAll(more)), "components")
 
     least = classes.join(joined, classes["set"] == joined["node"], "left").select("set", F.coalesce("component", "set").alias("component"), "rep")
     smallest = least.groupBy("component").agg(F.min("rep").alias("smallest"))
     numbers = spread_join(least, smallest, "component", F.col("set")).select("set", "smallest")
-    out = spread_join(found.drop("bands"), numbers, "set", F.col("_key"), "left")
+    out = spread_join(found.drop("bands", "print"), numbers, "set", F.col("_key"), "left")
     number = F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("_key"))
     out = out.select(F.col("_key").alias(key), F.col("n").alias("n_shingles"), number.alias("component_id"), F.col("_key").eqNullSafe(number).alias("kept"))
     return finished(out, "near-duplicates", mark)
 
 
-def _name(key: Column) -> Column:
-    """The key as a text that is never null, to join on."""
-    return F.coalesce(F.concat(F.lit("+"), key.cast("string")), F.lit("-"))
+def _print(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _name(key: Column, text_print: Column) -> Column:
+    """Key and text as one name that is never null, to join on: a key, null or not, may stand for several texts."""
+    return F.concat(F.coalesce(F.concat(F.lit("+"), key.cast("string")), F.lit("-")), F.lit("/"), F.hex(text_print))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int, hashes: int) -> DataFrame:
-    """set, n, shingles (sorted fingerprints), signature and cells of one document of each wanted class."""
-    rows = docs.select(_name(docs[key]).alias("name"), docs[text].cast("string").alias("_text"))
-    joined = only_touched(rows, F.col("name"), wanted, F.col("name")).join(wanted, "name").select("set", "digest", "check", "_text")
+    """set, n, shingles (sorted fingerprints), signature and cells of one document of each wanted class, one row a set.
+
+    Rows of the same key and text, however many, are one row of each task before they are shuffled.
+    """
+    string = docs[text].cast("string")
+    rows = docs.select(_name(docs[key], _print(string)).alias("name"), string.alias("_text"))
+    once = only_touched(rows, F.col("name"), wanted, F.col("name")).groupBy("name").agg(F.first("_text").alias("_text"))
+    joined = once.join(wanted, "name").select("set", "digest", "check", "_text")
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +339,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: i
             asked = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)], 1)
             for lo, hi in pieces(off, 1 << 19):
                 sh, begin = shingle_sets(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], words)
-                right = np.flatnonzero((_digests(sh, begin) == asked[lo:hi]).all(1))  # a key may stand for several texts
+                right = np.flatnonzero((_digests(sh, begin) == asked[lo:hi]).all(1))
                 signature = superminhash(sh, begin, hashes)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(right)), pa.array(np.diff(begin)[right]),

@@ -10,6 +10,7 @@ import pytest
 
 from rollcall.llm import suffix_dedup
 from rollcall.llm.decontamination import contained_items, decontaminated
+from rollcall.llm import near_duplicates as near
 from rollcall.llm.near_duplicates import near_duplicates, superminhash
 from rollcall.llm.components import components
 from rollcall.llm.quality_rules import repeat_lengths, repetition_rules
@@ -79,6 +80,45 @@ def test_superminhash_estimates_similarity():
     assert abs((s[0] == s[1]).mean() - 0.6) < 0.1 and (s[2] < 0xFFFFFFFF).all() and (s[3] == 0xFFFFFFFF).all()
 
 
+@pytest.mark.parametrize("part", [1, 7, 100, 1000])
+def test_signatures_do_not_depend_on_parts(part, monkeypatch):
+    r = np.random.default_rng(part)
+    begin = np.concatenate([[0], np.cumsum([0, 3, 250, 1, 0, 90, 700, 0])])
+    el = r.integers(0, 2**63, begin[-1]).astype(np.uint64)
+    whole = superminhash(el, begin, 128)
+    monkeypatch.setattr(near, "PART", part)
+    assert (superminhash(el, begin, 128) == whole).all()
+
+
+@pytest.mark.parametrize("low, high", [(0.80, 0.82), (0.82, 0.88), (0.88, 0.95), (0.95, 1.0)])
+def test_recall_by_similarity(low, high):
+    """Candidates that bands and signatures let through, of pairs in a band of similarity, for small and large sets."""
+    r = np.random.default_rng(round(100 * low))
+    for size in (30, 150, 600):
+        found = 0
+        for _ in range(200):
+            shared = int(size * r.uniform(low, high) + 1e-9)
+            own = int(r.integers(0, size - shared + 1))
+            el = r.integers(0, 2**63, size).astype(np.uint64)
+            x, y = el[: shared + own], np.concatenate([el[:shared], el[shared + own :]])
+            s = superminhash(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), near.HASHES)
+            bands = near._bands(s, near.BAND)
+            found += bool((bands[0] == bands[1]).any() and near._alike(s[0], s[1]) >= near._least(0.8, near.HASHES))
+        assert found == 200, size
+
+
+def test_repeated_rows_and_many_texts_of_no_key(spark):
+    """One key and text in most rows, and a null key that stands for many texts."""
+    r = random.Random(11)
+    base = prose(r, 120)
+    near_one = base.rsplit(" ", 1)[0]
+    texts = [prose(r, 100) for _ in range(40)]
+    rows = [(7, base)] * 300 + [(8, near_one), (None, base)] + [(None, t) for t in texts] + [(None, t + " more") for t in texts]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows) and {x.component_id for x in got if x.doc_id is not None} == {7}
+    assert sum(x.component_id == 7 for x in got if x.doc_id is None) == 1 and sum(x.component_id is None for x in got) == 80
+
+
 def near_texts(r):
     base = prose(r, 150)
     out = awkward(r) + [base, base.upper()]
