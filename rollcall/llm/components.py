@@ -12,8 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """node and component, the smallest node reachable, for each node of links (a, b).
 
     Large-star and small-star steps in turn: every node's neighbours are hung on its smallest neighbour, until nothing
-    changes, however many rounds that takes.  A step is one aggregation with sums before the shuffle and one join, so a node with very many links is
-    no group in one task; only two numbers of each round reach the driver.
+    changes, however many rounds that takes.  A step is one aggregation, with minima taken before the shuffle, and one join on the node, whose
+    partition Spark's adaptive skew handling splits where a node has very many links; only two numbers of each round reach the driver.
     """
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     before = None

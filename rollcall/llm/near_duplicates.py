@@ -275,7 +275,7 @@ def near_duplicates(
     Returns key, n_shingles, component_id (the smallest key reachable, its own included) and kept (key = component_id), one
     row for each row of docs.  A null or empty text, or one without words, has an empty set and is linked with nothing;
     repeated rows are copies of each other; a null key is never a component's number unless it is alone; an empty table
-    gives no rows; other columns are not read.
+    gives no rows; other columns are not read.  A very long text takes memory in proportion to its own words.
     """
     mark = begun()
     found = _told_apart(saved(signatures(docs, key, text, words, hashes, band), "signatures"))

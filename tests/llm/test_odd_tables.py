@@ -160,6 +160,44 @@ def test_scores_equal_sparse_sums_computed_plainly(spark):
         assert got[i] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6)
 
 
+@pytest.mark.parametrize("batch", [1, 4])
+def test_updates_follow_the_leader_coordinate_by_coordinate(batch, monkeypatch):
+    """Each weight is the minimum of its linearised losses, step-size terms and penalties, kept here in plain dictionaries."""
+    monkeypatch.setattr(quality_model, "BATCH", batch)
+    monkeypatch.setattr(quality_model, "L1", 0.5)  # high enough that some weights stay at nought
+    bits, passes, r = 5, 3, np.random.default_rng(batch)
+    rows = []
+    for i in range(30):
+        number = np.sort(r.choice(2**bits, r.integers(0, 9), replace=False)).astype(np.int64)
+        rows.append((number, r.uniform(0.1, 2, len(number)), float(i % 3 == 0)))
+    z, n, bias = Counter(), Counter(), 2**bits
+
+    def weight(k):
+        limit = 0.0 if k == bias else quality_model.L1
+        if abs(z[k]) <= limit:
+            return 0.0
+        return -(z[k] - math.copysign(limit, z[k])) / ((quality_model.BETA + math.sqrt(n[k])) / quality_model.ALPHA + quality_model.L2)
+
+    share, order = sum(y for *_, y in rows) / len(rows), np.random.default_rng(11)
+    for _ in range(passes):
+        for part in np.array_split(order.permutation(len(rows)), len(rows) // batch):
+            slopes = Counter()
+            for i in part:
+                number, value, y = rows[i]
+                x = [*zip(number.tolist(), value.tolist(), strict=True), (bias, 1.0)]
+                p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x)))
+                for k, v in x:
+                    slopes[k] += (p - y) * v * 0.5 / (share if y else 1 - share)
+            for k, g in slopes.items():
+                old = weight(k)
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / quality_model.ALPHA * old
+                n[k] += g * g
+    w, b = quality_model.follow_leader(rows, bits, passes)
+    assert b == pytest.approx(weight(bias), abs=1e-9)
+    assert w.tolist() == pytest.approx([weight(k) for k in range(2**bits)], abs=1e-6)
+    assert any(w) and not all(w)
+
+
 def test_the_pipeline_takes_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
