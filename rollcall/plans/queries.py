@@ -221,55 +221,51 @@ def quarantine(spark: SparkSession, d: str) -> DataFrame:
     return ingest.quarantine(v.view(spark, d, v.BODIES), "body").select("id", "reason")
 
 
-def bodies(spark: SparkSession, d: str) -> DataFrame:
-    return v.view(spark, d, v.FULL_BODIES)
-
-
-def dealt_bodies(spark: SparkSession, d: str) -> DataFrame:
-    """The same, made by as many tasks as there are shuffle partitions: the table that they are made from is one file."""
+def dealt_bodies(spark: SparkSession, d: str, sql: str = v.FULL_BODIES) -> DataFrame:
+    """Results made by as many tasks as there are shuffle partitions: the table that they are made from is one small file, the results are thousands of times its size."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return v.view(spark, d, v.FULL_BODIES.replace("select c_custkey as o_orderkey", f"select /*+ REPARTITION({n}) */ c_custkey as o_orderkey"))
+    return v.view(spark, d, sql.replace("select c_custkey as o_orderkey", f"select /*+ REPARTITION({n}) */ c_custkey as o_orderkey"))
 
 
 @query
 def ingest_services(spark: SparkSession, d: str) -> DataFrame:
-    return big(ingest.services(bodies(spark, d), "body").select("id", "pos", "description", "dates", "category"))
+    return big(ingest.services(dealt_bodies(spark, d), "body").select("id", "pos", "description", "dates", "category"))
 
 
 @query
 def ingest_grants(spark: SparkSession, d: str) -> DataFrame:
-    return big(ingest.grants(bodies(spark, d), "body").select("id", "pos", "title", "funder", "period", "status", "amount", "role", "coPIsShare"))
+    return big(ingest.grants(dealt_bodies(spark, d), "body").select("id", "pos", "title", "funder", "period", "status", "amount", "role", "coPIsShare"))
 
 
 @query
 def ingest_employment(spark: SparkSession, d: str) -> DataFrame:
-    return big(ingest.employment(bodies(spark, d), "body").select("id", "pos", "rank", "institution", "location", "start", "finish"))
+    return big(ingest.employment(dealt_bodies(spark, d), "body").select("id", "pos", "rank", "institution", "location", "start", "finish"))
 
 
 @query
 def ingest_education(spark: SparkSession, d: str) -> DataFrame:
-    return big(ingest.education(bodies(spark, d), "body").select("id", "pos", "school", "degree", "datesFrom", "datesTo", "location", "major", "dateReceived"))
+    return big(ingest.education(dealt_bodies(spark, d), "body").select("id", "pos", "school", "degree", "datesFrom", "datesTo", "location", "major", "dateReceived"))
 
 
 @query
 def ingest_groups(spark: SparkSession, d: str) -> DataFrame:
-    return big(ingest.groups(bodies(spark, d), "body").select("id", "pos", "heading", "entry_pos", "entry"))
+    return big(ingest.groups(dealt_bodies(spark, d), "body").select("id", "pos", "heading", "entry_pos", "entry"))
 
 
 @query
 def ingest_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return big(ingest.gaps(bodies(spark, d), "body").select("id", "pos", "section", "field", "instruction", "severity"))
+    return big(ingest.gaps(dealt_bodies(spark, d), "body").select("id", "pos", "section", "field", "instruction", "severity"))
 
 
 @query
 def ingest_notes(spark: SparkSession, d: str) -> DataFrame:
-    return big(ingest.review_notes(bodies(spark, d), "body").select("id", "pos", "section", "topic", "instruction"))
+    return big(ingest.review_notes(dealt_bodies(spark, d), "body").select("id", "pos", "section", "topic", "instruction"))
 
 
 @query
 def ingest_sections(spark: SparkSession, d: str) -> DataFrame:
     """Texts and citations of all buckets from one reading of each body."""
-    e = ingest.section_elements(bodies(spark, d), "body")
+    e = ingest.section_elements(dealt_bodies(spark, d), "body")
     texts = ingest.string_rows(e.filter(F.col("bucket").isin(*STRINGS))).select("id", "bucket", "pos", "text", F.lit(None).cast("string").alias("pub_type"), F.lit(None).cast("boolean").alias("is_new"))
     cited = ingest.publication_rows(e.filter(F.col("bucket").isin(*CITED))).select("id", "bucket", "pos", "citation", "pub_type", "is_new")
     return big(texts.unionAll(cited))
@@ -278,7 +274,7 @@ def ingest_sections(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stored_sections(spark: SparkSession, d: str) -> DataFrame:
     """Texts and citations of all buckets from stored parts, whose bodies are parsed once and of which each reader takes its sections."""
-    stored = stored_parts.by_document(stored_parts.shredded(bodies(spark, d), keep=("id", "doc_id")), "parts")
+    stored = stored_parts.by_document(stored_parts.shredded(dealt_bodies(spark, d), keep=("id", "doc_id")), "parts")
     of = lambda names: stored_parts.elements(stored, names, ("id",))
     texts = ingest.string_rows(of(STRINGS)).select("id", "bucket", "pos", "text", F.lit(None).cast("string").alias("pub_type"), F.lit(None).cast("boolean").alias("is_new"))
     return big(texts.unionAll(ingest.publication_rows(of(CITED)).select("id", "bucket", "pos", "citation", "pub_type", "is_new")))
@@ -286,7 +282,7 @@ def stored_sections(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stored_gaps(spark: SparkSession, d: str) -> DataFrame:
-    stored = stored_parts.by_document(stored_parts.shredded(bodies(spark, d), keep=("id", "doc_id")), "parts")
+    stored = stored_parts.by_document(stored_parts.shredded(dealt_bodies(spark, d), keep=("id", "doc_id")), "parts")
     return big(ingest.gap_rows(stored_parts.listed(stored, "gaps", ("id",))).select("id", "pos", "section", "field", "instruction", "severity"))
 
 
@@ -298,20 +294,20 @@ def refused_parts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def merged_metadata(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.metadata(bodies(spark, d), "doc_id", "body", "part")
+    return ingest.metadata(dealt_bodies(spark, d), "doc_id", "body", "part")
 
 
 @query
 def validate_result(spark: SparkSession, d: str) -> DataFrame:
     """Whole results taken or refused as they are, with the checks of their hash and first year."""
-    out = ingest.validate_result(v.view(spark, d, v.WHOLE_BODIES), "body")
+    out = ingest.validate_result(dealt_bodies(spark, d, v.WHOLE_BODIES), "body")
     return out.select("id", "valid", ingest.validate_snapshot(out, "hash", "since_year").alias("header_ok"))
 
 
 @query
 def placement_inventory(spark: SparkSession, d: str) -> DataFrame:
     """What the results list twice, or as a service and as an activity."""
-    x = bodies(spark, d)
+    x = dealt_bodies(spark, d)
     e = ingest.section_elements(x, "body")
     activities = ingest.string_rows(e.filter(F.col("bucket").isin("professionalActivities", "externalProfessionalActivities")))
     cited = ingest.publication_rows(e.filter(F.col("bucket").isin(*CITED))).withColumnRenamed("citation", "text")
@@ -321,7 +317,7 @@ def placement_inventory(spark: SparkSession, d: str) -> DataFrame:
 @query
 def folded_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups with the flat texts that name one folded in, as one list a document."""
-    x = bodies(spark, d)
+    x = dealt_bodies(spark, d)
     groups = ingest.groups(x, "body").withColumn("ord", F.struct("part", "pos", "entry_pos"))
     flat = ingest.string_list(x, "body", "studentInstructionalActivities").withColumn("ord", F.struct("part", "pos", F.lit(0).alias("entry_pos")))
     return rec.nested_groups(rec.fold_groups(groups, flat, "doc_id", "text"), "doc_id").select("doc_id", F.to_json("groups").alias("groups"))
@@ -330,7 +326,7 @@ def folded_groups(spark: SparkSession, d: str) -> DataFrame:
 @query
 def record_views(spark: SparkSession, d: str) -> DataFrame:
     """How many services and grants each document shows in which list."""
-    x = bodies(spark, d)
+    x = dealt_bodies(spark, d)
     of = ingest.services(x, "body").select("doc_id", rec.service_view("category").alias("view")).unionAll(ingest.grants(x, "body").select("doc_id", rec.grant_view("status")))
     return of.groupBy("doc_id", "view").agg(F.count(F.lit(1)).alias("n"))
 
@@ -488,7 +484,7 @@ def notes_deduped(spark: SparkSession, d: str) -> DataFrame:
 @query
 def structural_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Gaps that the records of the results open, as far as the results don't list them."""
-    x = bodies(spark, d)
+    x = dealt_bodies(spark, d)
     opened = audit.record_gaps(ingest.employment(x, "body"), ingest.education(x, "body"), ingest.grants(x, "body"), "doc_id")
     return audit.structural_gaps(opened, ingest.gaps(x, "body"), "doc_id")
 

@@ -13,9 +13,10 @@ from rollcall.functions.text import trim
 
 
 def without_fences(c: Column | str) -> Column:
-    """JSON text without a Markdown code fence around it."""
+    """JSON text without a Markdown code fence around it; only texts with a fence in them are searched for one."""
     c = F.col(c) if isinstance(c, str) else c
-    return trim(F.regexp_replace(F.regexp_replace(trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    bare = trim(F.regexp_replace(F.regexp_replace(trim(c), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    return F.when(c.contains("```"), bare).otherwise(trim(c))
 
 
 def _kind(v: str) -> Column:
@@ -56,26 +57,30 @@ def quarantine(df: DataFrame, body: str) -> DataFrame:
 
 
 def elements(df: DataFrame, path: str) -> DataFrame:
-    """One row for each element of the array at path of doc: pos and value."""
-    view = df.filter("is_object").withColumn("_list", F.try_variant_get("_v", path, "variant"))
-    view = view.filter(_kind("_list").startswith("ARRAY"))
-    return view.lateralJoin(exploded()).drop("_list", "_v", "is_object")
+    """One row for each element of the array at path of doc: pos and value.
+
+    What is no array, or lies in a body that is no object, has no elements, so nothing is filtered before: a filter
+    would be moved below the parsing and parse each body again.
+    """
+    view = df.withColumn("_list", F.try_variant_get("_v", path, "variant")).drop("_v", "is_object")
+    return listed(view)
 
 
-def exploded(name: str = "_list") -> DataFrame:
+def listed(view: DataFrame, pos: str = "pos") -> DataFrame:
+    """A row for each element of _list, an array: its position and value; none for anything else, an object's fields neither."""
     from pyspark.sql import SparkSession
 
-    return SparkSession.active().tvf.variant_explode(F.col(name).outer()).select("pos", "value")
+    inner = SparkSession.active().tvf.variant_explode(F.col("_list").outer()).select(F.col("pos").alias(pos), F.col("key").alias("_key"), "value")
+    return view.lateralJoin(inner).filter("_key is null").drop("_key", "_list")
 
 
 def section_elements(df: DataFrame, body: str) -> DataFrame:
     """One row for each element of each section that is an array: bucket, pos and value; the body is parsed once for all of them."""
     from pyspark.sql import SparkSession
 
-    view = parsed(df, body).filter("is_object").withColumn("_sections", F.try_variant_get("_v", "$.sections", "variant")).drop("_v", "is_object", body)
+    view = parsed(df, body).withColumn("_sections", F.try_variant_get("_v", "$.sections", "variant")).drop("_v", "is_object", body)
     fields = SparkSession.active().tvf.variant_explode(F.col("_sections").outer()).select(F.col("key").alias("bucket"), F.col("value").alias("_list"))
-    lists = view.filter(_kind("_sections").startswith("OBJECT")).lateralJoin(fields).drop("_sections").filter(_kind("_list").startswith("ARRAY"))
-    return lists.lateralJoin(exploded()).drop("_list")
+    return listed(view.lateralJoin(fields).drop("_sections").filter("bucket is not null"))
 
 
 def _objects(e: DataFrame) -> DataFrame:
@@ -132,8 +137,7 @@ def education_rows(e: DataFrame) -> DataFrame:
 def group_rows(e: DataFrame) -> DataFrame:
     """Student groups, a row for each entry (entry_pos, entry); a group without a heading or an entry is left out."""
     rows = _with_texts(e, ("heading",)).filter("heading <> ''").withColumn("_list", F.try_variant_get("value", "$.entries", "variant")).drop("value")
-    inner = rows.filter(_kind("_list").startswith("ARRAY")).lateralJoin(exploded().select(F.col("pos").alias("entry_pos"), "value")).drop("_list")
-    return inner.withColumn("entry", text_of("value", "$")).filter("entry <> ''").drop("value")
+    return listed(rows, "entry_pos").withColumn("entry", text_of("value", "$")).filter("entry <> ''").drop("value")
 
 
 def gap_rows(e: DataFrame) -> DataFrame:
@@ -185,10 +189,12 @@ def review_notes(df: DataFrame, body: str) -> DataFrame:
 
 def metadata(df: DataFrame, doc: str, body: str, order: str) -> DataFrame:
     """One row a document: a later part's values win, blank ones too; the specialization is the first that isn't blank."""
-    v = parsed(df, body).filter("is_object").withColumn("_meta", F.schema_of_variant(F.try_variant_get("_v", "$.metadata", "variant")).startswith("OBJECT"))
+    v = parsed(df, body).withColumn("_meta", F.schema_of_variant(F.try_variant_get("_v", "$.metadata", "variant")).startswith("OBJECT"))
     last = lambda c: F.coalesce(F.max_by(text_of("_v", f"$.metadata.{c}"), F.when(F.col("_meta"), F.col(order))), F.lit("")).alias(c)
     special = text_of("_v", "$.sections.specialization")
-    return v.groupBy(doc).agg(last("name"), last("department"), last("title"), F.coalesce(F.min_by(special, F.when(special != "", F.col(order))), F.lit("")).alias("specialization"))
+    # Documents without a part that is an object go after the aggregate, as a filter before it would parse each body again.
+    out = v.groupBy(doc).agg(last("name"), last("department"), last("title"), F.coalesce(F.min_by(special, F.when(special != "", F.col(order))), F.lit("")).alias("specialization"), F.bool_or("is_object").alias("_any"))
+    return out.filter("_any").drop("_any")
 
 
 def validate_strict(df: DataFrame, body: str, fields: dict[str, str], enums: dict[str, tuple[str, ...]] | None = None) -> DataFrame:

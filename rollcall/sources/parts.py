@@ -62,19 +62,15 @@ def stored(df: DataFrame, body: str = "body", doc: str = "doc_id", part: str = "
     return by_document(shredded(df, body, (doc, part)), "parts", doc)
 
 
-def _exploded(view: DataFrame) -> DataFrame:
-    return view.filter(F.schema_of_variant("_list").startswith("ARRAY")).lateralJoin(ingest.exploded()).drop("_list")
-
-
 def elements(parts: DataFrame, buckets: tuple[str, ...], keep: tuple[str, ...] = ("doc_id", "part")) -> DataFrame:
     """keep, bucket, pos and value for each element of the sections named, of stored parts."""
     lists = F.explode(F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(f"sections.{b}").alias("_list")) for b in buckets])).alias("_x")
-    return _exploded(parts.select(*keep, lists).select(*keep, "_x.bucket", "_x._list"))
+    return ingest.listed(parts.select(*keep, lists).select(*keep, "_x.bucket", "_x._list"))
 
 
 def listed(parts: DataFrame, column: str, keep: tuple[str, ...] = ("doc_id", "part")) -> DataFrame:
     """keep, pos and value for each element of gaps or reviewNotes."""
-    return _exploded(parts.select(*keep, F.col(column).alias("_list")))
+    return ingest.listed(parts.select(*keep, F.col(column).alias("_list")))
 
 
 def metadata(parts: DataFrame, doc: str = "doc_id", order: str = "part") -> DataFrame:
