@@ -164,6 +164,7 @@ def _settled(texts: DataFrame, services: DataFrame) -> DataFrame:
         services.select(DOC, F.lit(SERVICE).alias("bucket"), "ord", F.col("description").alias("text"), "dates", "category"))
     rows = rows.withColumn("external", (F.col("bucket") == ACTIVITIES[1]).cast("int")).withColumn("bucket", F.when(F.col("external") == 1, ACTIVITIES[0]).otherwise(F.col("bucket")))
     activity, service = F.col("bucket") == ACTIVITIES[0], F.col("bucket") == SERVICE
+    rows = rows.repartition(DOC)  # the union lies no longer by document; windows and the table written take this one exchange
     key = F.when(activity, t.norm_record("text")).when(~service, t.norm_dedupe("text"))
     first = F.row_number().over(rec.Window.partitionBy(DOC, "bucket", "_key").orderBy("external", "ord"))
     once = rows.withColumn("_key", key).withColumn("_n", first).filter(service | (F.col("_key") != "") & (F.col("_n") == 1)).drop("_key", "_n")

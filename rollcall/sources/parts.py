@@ -22,15 +22,16 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def by_document(df: DataFrame, what: str, doc: str = "doc_id", dealt: bool = False) -> DataFrame:
+def by_document(df: DataFrame, what: str, doc: str = "doc_id") -> DataFrame:
     """df written into buckets of doc, as many as shuffle partitions, and read again: what groups, orders or joins by doc needs no exchange.
 
-    dealt: df lies by doc already, or nearly so, and is written as it lies.  The table's files stay in the shared folder; its name
-    leaves the catalog at once.
+    A bucket is one file: a df that lies otherwise is dealt by doc first, or each task would write a file a bucket, and the driver would
+    hold as many files as the square of the partitions; one that lies by doc already gets no exchange from this.  The table's files
+    stay in the shared folder; its name leaves the catalog at once.
     """
     spark = df.sparkSession
     name, n = f"{what}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df if dealt else df.repartition(n, doc)).write.format("parquet").bucketBy(n, doc).sortBy(doc).option("path", shared_path(spark, what)).saveAsTable(name)
+    df.repartition(n, doc).write.format("parquet").bucketBy(n, doc).sortBy(doc).option("path", shared_path(spark, what)).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"drop table {name}")
     return out
@@ -38,7 +39,7 @@ def by_document(df: DataFrame, what: str, doc: str = "doc_id", dealt: bool = Fal
 
 def kept_by_document(df: DataFrame, what: str, doc: str = "doc_id") -> DataFrame:
     """by_document for what was made from a table by document."""
-    return by_document(df, what, doc, dealt=True)
+    return by_document(df, what, doc)
 
 
 def shredded(df: DataFrame, body: str = "body", keep: tuple[str, ...] = ("doc_id", "part")) -> DataFrame:

@@ -167,3 +167,14 @@ def test_saved_tables_and_gap_totals(spark):
     assert got == Counter([("section and severity", "a", "x", None, 1), ("section and severity", "a", "y", None, 1), ("section and severity", None, "x", None, 1),
                            ("severity", None, "x", None, 2), ("severity", None, "y", None, 1), ("document", None, None, 1, 2), ("document", None, None, 2, 1), ("all", None, None, None, 3)])
     assert fuzzy.LEAST == 8
+
+
+def test_a_bucket_is_one_file(spark):
+    """However the rows lie, a table holds at most as many files as buckets; rows that lie by document get no exchange more."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = spark.range(0, 4000, 1, 16).selectExpr("id % 400 as doc_id", "id as number")
+    kept = parts.kept_by_document(spread.unionByName(spread), "spread")
+    assert len(kept.inputFiles()) <= n
+    assert kept.count() == 8000
+    again = kept.selectExpr("doc_id", "number + 1 as number").repartition(n, "doc_id")
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
