@@ -132,6 +132,19 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", order: Co
     return np.frombuffer(out["w"], np.float32), out["b"]
 
 
+def labelled(docs: DataFrame, labels: DataFrame, key: str, order: Column, text: str = "text", label: str = "label", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """key, text and label of the documents that fit(..., order=order) may learn from; order is made of key alone.
+
+    Which keys come first is settled on keys without their texts, of documents that are there; at most train_rows
+    keys with their labels are broadcast, so no text is shuffled to meet its label.  fit takes its rows by order, and each key
+    has at least one, so it takes none beyond these.
+    """
+    there = labels.filter(F.col(label).isNotNull()).select(key, label).distinct().join(docs.select(key).distinct(), key, "left_semi").withColumn("_at", order)
+    last = there.select("_at").distinct().orderBy("_at").limit(train_rows).agg(F.max("_at")).first()[0]
+    first = there.filter(F.lit(False) if last is None else F.col("_at") <= last).select(key, label)
+    return docs.select(key, text).join(F.broadcast(first), key)
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keys: list[str | Column], text: str = "text", bits: int = BITS, ngram: int = NGRAM) -> DataFrame:
     """keys and score, the probability of label 1 for each whole text.
 

@@ -54,7 +54,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     seen = labels.filter(~remainder_is("doc_id", 4, 2)).select("doc_id", F.col("quality").alias("label"))
-    model = quality_model.fit(docs.select("doc_id", "text").join(seen, "doc_id"), order=F.xxhash64("doc_id"))
+    order = F.xxhash64("doc_id")
+    model = quality_model.fit(quality_model.labelled(docs, seen, "doc_id", order), order=order)
     out = quality_model.score(docs, model, ["doc_id"])
     return out.select("doc_id", remainder_is("doc_id", 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
