@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import norm_dedupe, norm_layout, tokens
-from rollcall.sources.parts import kept_by_document
+from rollcall.sources.parts import by_document, kept_by_document, shared_path
 
 #: Share of the smaller set that must be common, and the smallest set that counts at all.
 SHARE, LEAST = 0.9, 8
@@ -23,58 +28,170 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, content: str, share
 
     within: a column that both rows must share, as their document.
 
-    If the smaller set has m words, at most m - ceil(share * m) of them are missing from the other; so among any
-    m - ceil(share * m) + 1 of them one is common.  Each side in turn gives its rarest words as blocking keys, which meet
-    the other side's full sets; candidates are then compared exactly.  No pair is lost and no block is capped.
+    If the smaller set has m words, at most d = m - ceil(share * m) of them are missing from the other; so among any d + 1 of
+    them one is common, and of bits that words set, at most d are missing from the other's.  Each side in turn gives its
+    rarest words as blocking keys, which meet the other side's words; the bits of both sets lie beside the word, so pairs that
+    can't be are dropped where they meet, before any shuffle.  The others are compared in full.  No pair is lost and no block is capped.
 
-    Equal sets of a side are one candidate, and pairs are spread over their members at the end.
+    Sets are stored once, equal ones as one; pairs are spread over their members at the end.
     """
-    a, b = (_sets(df, content, least, within) for df in (left, right))
-    frequency = a.unionAll(b).select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    hits = _candidates(a, b, frequency, share).unionAll(_candidates(b, a, frequency, share).select(F.col("other").alias("one"), F.col("one").alias("other"))).distinct()
-    x = a.select(F.col("id").alias("one"), F.col("words").alias("wa"))
-    y = b.select(F.col("id").alias("other"), F.col("words").alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    smaller = F.least(F.size("wa"), F.size("wb"))
-    found = hits.join(x, "one").join(y, "other").withColumn("common", common).withColumn("smaller", smaller).filter(F.col("common") >= share * F.col("smaller"))
-    members = lambda df, name: df.select(F.col(key).alias(name), _name(_words(content, within)).alias("_set"))
-    return (
-        found.select("one", "other", (F.col("common") / F.col("smaller")).alias("share"))
-        .join(members(left, "key_a").withColumnRenamed("_set", "one"), "one").join(members(right, "key_b").withColumnRenamed("_set", "other"), "other")
-        .select("key_a", "key_b", "share"))
+    a, b = (_Sets(df, key, content, least, within) for df in (left, right))
+    found = _confirmed(_meeting(*_blocked(a, b, share)).unionAll(_turned(_meeting(*_blocked(b, a, share)))).distinct(), a, b, share)
+    return found.join(a.members("key_a", "one"), "one").join(b.members("key_b", "other"), "other").select("key_a", "key_b", "share")
+
+
+#: Bits of a hash that say whether a word is known (a bitmap of 2 MB), and how many frequent words are told by their counts at most.
+KNOWN, FREQUENT = 24, 1 << 19
+_SIGNS = ("s0", "s1", "s2", "s3")
+
+
+class _Sets:
+    """The sets of words of a table: rows (key, id) and, once for each id, its words as sorted 64-bit hashes, both stored."""
+
+    def __init__(self, df: DataFrame, key: str, content: str, least: int, within: str | None):
+        df = df if within is None else df.filter(F.col(within).isNotNull())
+        words = F.sort_array(tokens(content))
+        hashes = F.transform(words, lambda w: F.xxhash64(F.col(within), w) if within else F.xxhash64(w))
+        # The document is part of the name: sets of different documents are never one.
+        name = F.array_join(words, " ") if within is None else F.concat_ws(" ", F.col(within).cast("string"), F.lit(":"), F.array_join(words, " "))
+        rows = df.select(F.col(key).alias("key"), F.unhex(F.md5(name)).alias("id"), F.sort_array(hashes).alias("hashes"))
+        self.rows = _stored(rows.filter(F.size("hashes") >= max(least, 1)), "fuzzy-rows")
+        self.sets = by_document(self.rows.groupBy("id").agg(F.first("hashes").alias("hashes")), "fuzzy_sets", "id")
+
+    def members(self, key: str, name: str) -> DataFrame:
+        return self.rows.select(F.col("key").alias(key), F.col("id").alias(name))
+
+
+def _stored(df: DataFrame, what: str) -> DataFrame:
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _known(words: DataFrame) -> np.ndarray:
+    """The hashes in words as a bitmap, whose size does not depend on how many there are."""
+    place = F.shiftrightunsigned("word", 64 - KNOWN) + 1
+    parts = words.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros((1 << KNOWN) // 8, np.uint8)
+    for r in parts:
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
 
 
-def _name(words: Column) -> Column:
-    """128 bits that stand for a sorted set of words."""
-    return F.md5(F.array_join(words, " "))
+def _is_known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes.view(np.uint64) >> np.uint64(64 - KNOWN)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def _words(content: str, within: str | None) -> Column:
-    """The sorted words of a text; with within, words of different groups differ."""
-    words = F.array_sort(tokens(content))
-    return F.transform(words, lambda w: F.concat(F.col(within).cast("string"), F.lit(":"), w)) if within else words
+def _frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent hashes, in order, and their counts; at most FREQUENT, as each makes up that share of all words."""
+    total = words.count()
+    rows = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2, -(-total // FREQUENT))).orderBy("word").toArrow()
+    return rows["word"].to_numpy(), rows["n"].to_numpy()
 
 
-def _sets(df: DataFrame, content: str, least: int, within: str | None) -> DataFrame:
-    rows = df.select(_words(content, within).alias("words")).filter(F.size("words") >= least)
-    return rows.select(_name(F.col("words")).alias("id"), "words").dropDuplicates(["id"])
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All elements, and where each row's start (len + 1)."""
+    off = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[off[0] : off[-1]], off - off[0]
 
 
-def _candidates(a: DataFrame, b: DataFrame, frequency: DataFrame, share: float) -> DataFrame:
-    """Ids of sets of a (one), as the smaller side, and of b (other) that hold one of their blocking words."""
-    size = F.size("words")
-    spread = a.select("id", size.alias("m"), F.explode("words").alias("word")).join(frequency, "word")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
-    keys = spread.withColumn("k", rank).filter(F.col("k") <= F.col("m") - F.ceil(share * F.col("m")) + 1).select("word", F.col("id").alias("one"), "m")
-    full = b.select(F.col("id").alias("other"), size.alias("n"), F.explode("words").alias("word"))
-    return keys.join(full, "word").filter("m <= n").select("one", "other").distinct()
+def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Batches (id, hashes) in pieces of about so many words, or one larger set."""
+    for batch in batches:
+        first = batch.column(1).offsets.to_numpy()
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _signs(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """256 bits for each set, as four numbers; each word sets one."""
+    bits = np.uint64(1) << ((hashes.view(np.uint64) >> np.uint64(2)) & np.uint64(63))
+    return [np.bitwise_or.reduceat(np.where(hashes & 3 == k, bits, np.uint64(0)), first[:-1]).view(np.int64) for k in range(4)]
+
+
+def _spread(ids: pa.Array, row: np.ndarray, words: np.ndarray, numbers: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(words), ids.take(pa.array(row)), *[pa.array(x[row]) for x in numbers]], names=["word", *names])
+
+
+def _blocked(small: _Sets, large: _Sets, share: float) -> tuple[DataFrame, DataFrame]:
+    """Blocking words of the sets of small, as the smaller ones (word, one, m, d and bits), and the words of large that they may meet (word, other, n and bits).
+
+    A set that lacks more than d of its words in all of large goes at once; one that lacks g of them needs d - g + 1 blocking words.
+    """
+    spark = small.sets.sparkSession
+    words = large.sets.select(F.explode("hashes").alias("word"))
+    shared = spark.sparkContext.broadcast((_known(words), *_frequent(words)))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, frequent, counts = shared.value
+        for batch in _pieces(batches):
+            hashes, first = _flat(batch.column(1))
+            m = np.diff(first)
+            d = m - np.ceil(share * m).astype(np.int64)
+            row = np.repeat(np.arange(len(m)), m)
+            there = _is_known(known, hashes)
+            need = d - np.add.reduceat(~there, first[:-1], dtype=np.int64) + 1
+            often = np.zeros(len(hashes), np.int64)
+            if len(frequent):
+                at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+                often = np.where(frequent[at] == hashes, counts[at], 0)
+            order = np.lexsort((hashes, often, ~there, row))
+            place = np.arange(len(hashes)) - first[row]  # row is in order already
+            chosen = order[(place < need[row]) & there[order]]
+            yield _spread(batch.column(0), row[chosen], hashes[chosen], [m, d, *_signs(hashes, first)], ["one", "m", "d", *_SIGNS])
+
+    signs = ", ".join(f"{x} long" for x in _SIGNS)
+    keys = _stored(small.sets.select("id", "hashes").mapInArrow(choose, f"word long, one binary, m long, d long, {signs}"), "fuzzy-keys")
+    wanted = spark.sparkContext.broadcast(_known(keys))
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            hashes, first = _flat(batch.column(1))
+            n = np.diff(first)
+            chosen = np.flatnonzero(_is_known(wanted.value, hashes))
+            yield _spread(batch.column(0), np.repeat(np.arange(len(n)), n)[chosen], hashes[chosen], [n, *_signs(hashes, first)], ["other", "n", *[f"t{x}" for x in _SIGNS]])
+
+    held = ", ".join(f"t{x} long" for x in _SIGNS)
+    return keys, large.sets.select("id", "hashes").mapInArrow(give, f"word long, other binary, n long, {held}")
+
+
+def _meeting(keys: DataFrame, words: DataFrame) -> DataFrame:
+    """one and other, perhaps more than once, of sets that share a blocking word and whose sizes and bits allow it."""
+    missing = reduce(Column.__add__, [F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(f"t{x}"))) for x in _SIGNS])
+    return keys.join(words, "word").filter((F.col("m") <= F.col("n")) & (missing <= F.col("d"))).select("one", "other")
+
+
+def _turned(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("other").alias("one"), F.col("one").alias("other"))
+
+
+def _confirmed(pairs: DataFrame, a: _Sets, b: _Sets, share: float) -> DataFrame:
+    """The pairs (one, other) of a set of a and one of b whose words are nearly the same, with the common share."""
+    x, y = a.sets.select(F.col("id").alias("one"), F.col("hashes").alias("wa")), b.sets.select(F.col("id").alias("other"), F.col("hashes").alias("wb"))
+    common, smaller = F.size(F.array_intersect("wa", "wb")), F.least(F.size("wa"), F.size("wb"))
+    found = pairs.join(x, "one").join(y, "other").withColumn("common", common).withColumn("smaller", smaller).filter(F.col("common") >= share * F.col("smaller"))
+    return found.select("one", "other", (F.col("common") / F.col("smaller")).alias("share"))
 
 
 def without_fuzzy_copies(df: DataFrame, of: DataFrame, key: str, content: str, when: Column | None = None, within: str | None = None) -> DataFrame:
-    """df without rows (for which when holds) that nearly equal a row of the other table."""
-    rows = df if when is None else df.filter(when)
-    pairs = fuzzy_pairs(rows, of, key, content, within=within).select(F.col("key_a").alias("_gone")).distinct()
-    return df.join(pairs, df[key] == pairs["_gone"], "left_anti")
+    """df without rows (for which when holds) that nearly equal a row of the other table.
+
+    One partner is enough: each set is compared with one candidate first, and only sets that this leaves are compared with
+    all of theirs.  So a group of near copies costs one comparison a set and not one a pair.
+    """
+    a, b = _Sets(df if when is None else df.filter(when), key, content, LEAST, within), _Sets(of, key, content, LEAST, within)
+    (keys, words), (others, own) = _blocked(a, b, SHARE), _blocked(b, a, SHARE)
+    one = _meeting(keys, words).unionAll(_turned(_meeting(others, own))).groupBy("one").agg(F.max("other").alias("other"))
+    gone = _stored(_confirmed(one, a, b, SHARE).select("one"), "fuzzy-gone")
+    rest = lambda rows, c: rows.join(gone.select(F.col("one").alias(c)), c, "left_anti")
+    more = _meeting(rest(keys, "one"), words).unionAll(_turned(_meeting(others, rest(own, "other")))).distinct()
+    gone = gone.unionAll(_confirmed(more, a, b, SHARE).select("one"))
+    keys_gone = a.members("_gone", "one").join(gone, "one", "left_semi").select("_gone").distinct()
+    return df.join(keys_gone, df[key] == keys_gone["_gone"], "left_anti")
 
 
 def guarded_append(held: Column, candidates: Column) -> Column:
