@@ -6,8 +6,12 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from rollcall.operators.lines import slice_marks
 
 #: Seconds after which a pending slice counts as failed, a finishing step as stale, and a missing result as lost.
 SLICE_SECONDS, FINISH_SECONDS, RESULT_SECONDS = 620, 90, 90
@@ -96,6 +100,13 @@ def lines_as_records(body: str, bucket: str) -> list[str]:
     return [x for x in (line.strip() for line in body.split("\n")) if x]
 
 
+def _extracted(fn: Callable[[str, str], list[str]], doc: object, key: str, bucket: str, body: str) -> list[tuple]:
+    try:
+        return [(doc, key, i, x, None) for i, x in enumerate(fn(body, bucket))]
+    except Exception as e:
+        return [(doc, key, -1, None, f"{type(e).__name__}: {e}")]
+
+
 def extract_slices(requests: DataFrame, doc: str, fn: Callable[[str, str], list[str]] = lines_as_records) -> DataFrame:
     """Runs a caller's extractor on requests (doc, slice_key, bucket, body): rows (doc, slice_key, pos, text, error).
 
@@ -104,12 +115,7 @@ def extract_slices(requests: DataFrame, doc: str, fn: Callable[[str, str], list[
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                try:
-                    rows += [(r[0], r[1], i, x, None) for i, x in enumerate(fn(r[3], r[2]))]
-                except Exception as e:
-                    rows.append((r[0], r[1], -1, None, f"{type(e).__name__}: {e}"))
+            rows = [x for r in f.itertuples(index=False) for x in _extracted(fn, *r)]
             yield pd.DataFrame(rows, columns=["doc", "slice_key", "pos", "text", "error"]).astype({"pos": "int32"})
 
     kind = requests.schema[doc].dataType.simpleString()
@@ -117,6 +123,47 @@ def extract_slices(requests: DataFrame, doc: str, fn: Callable[[str, str], list[
     return out.withColumnRenamed("doc", doc)
 
 
+def extract_excerpts(lines: DataFrame, slices: DataFrame, doc: str, fn: Callable[[str, str], list[str]] = lines_as_records) -> DataFrame:
+    """extract_slices on each slice's excerpt of each document's lines (doc, n, line).
+
+    A line goes through with the numbers of the slices that keep it, and the excerpts are joined where the document's lines lie, in
+    order; so no excerpt is grouped, sorted or shuffled, though a line is in most of them.  A task holds one document's lines at a time.
+    """
+    names = {r.slice_seq: (r.slice_key, r.bucket) for r in slices.select("slice_seq", "slice_key", "bucket").collect()}
+    kind = lines.schema[doc].dataType.simpleString()
+    out = f"doc {kind}, slice_key string, pos int, text string, error string"
+    marked = slice_marks(lines, slices, lambda r: r.slice_seq, doc).sortWithinPartitions(doc, "n")  # as the last window left it
+    types = to_arrow_schema(marked.select(F.col(doc).alias("doc"), F.lit("").alias("slice_key"), F.lit(0).alias("pos"), F.lit("").alias("text"), F.lit("").alias("error")).schema)
+
+    def of_document(at: object, own: list[tuple]) -> Iterator[tuple]:
+        cut: dict[int, list[str]] = {}
+        for _, line, wanted in sorted(own, key=lambda r: (r[0], r[1] or "")):
+            for k in wanted:
+                cut.setdefault(k, []).append(line)
+        for k, kept in cut.items():
+            yield from _extracted(fn, at, *names[k], "\n".join(x for x in kept if x is not None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, own, at = [], [], None
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types.types, strict=True)], names=types.names)
+        for batch in batches:
+            for x, *line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own and x != at:
+                    rows += of_document(at, own)
+                    own = []
+                    if len(rows) > 20_000:
+                        yield packed()
+                        rows = []
+                at = x
+                own.append(tuple(line))
+        if own:
+            rows += of_document(at, own)
+        if rows:
+            yield packed()
+
+    return marked.mapInArrow(run, out).withColumnRenamed("doc", doc)
+
+
 ATTEMPT = "slice_key string, rank int, provider string, attempt int, ok boolean, texts array<string>, error string"
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollcall.functions import patterns as p
@@ -135,12 +136,17 @@ def _between(first: int, last: int, y: Column) -> Column:
 
 
 def slice_excerpts(lines: DataFrame, slices: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """The lines of each document that each slice needs: doc, slice_key, n, line.
+    """The lines of each document that each slice needs: doc, slice_key, n, line; only lines that a slice keeps are copied."""
+    return slice_marks(lines, slices, lambda r: r.slice_key, doc).select(doc, F.explode("slices").alias("slice_key"), "n", "line")
+
+
+def slice_marks(lines: DataFrame, slices: DataFrame, named: Callable[[Row], object], doc: str = "doc_id") -> DataFrame:
+    """doc, n, line and slices, the names of the slices that need the line; rows lie by document, in the order of n.
 
     A slice without a year window keeps its bounded lines; one with it keeps the context of lines with such a year, or, if
     there is none, the whole text.  slices is the dimension of slice_dim, whose few rows become columns: each pattern is
-    searched once a line, all bounds and contexts are windows over the document, so its lines are shuffled and
-    sorted once, and only lines that a slice keeps are copied.
+    searched once a line, all bounds and contexts are windows over the document in one order, so its lines are shuffled and
+    sorted once.
     """
     dim = slices.collect()
     edges = {p: F.regexp_like("line", F.lit(p)) for r in dim for p in (r.start_pattern, r.end_pattern, r.heading_pattern) if p}
@@ -151,7 +157,8 @@ def slice_excerpts(lines: DataFrame, slices: DataFrame, doc: str = "doc_id") ->
     rows = lines.select(doc, "n", "line").withColumns({
         **{name[p]: c for p, c in edges.items()}, "_years": F.transform(years, lambda y: y.cast("int")),
         "_unfinished": F.col("line").rlike(p.words(*p.SOURCE_IN_PROGRESS)), "_short": short, "_section": short & F.col("line").rlike(r"(?i)^section\s")})
-    whole, ordered = Window.partitionBy(doc), Window.partitionBy(doc).orderBy("n")
+    ordered = Window.partitionBy(doc).orderBy("n")
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bounds = {(r.start_pattern, r.end_pattern): i for i, r in enumerate(dim) if r.start_pattern}
     rows = rows.withColumns({f"_a{i}": F.min(F.when(like(a), F.col("n"))).over(whole) for (a, _), i in bounds.items()})
     rows = rows.withColumns({f"_z{i}": F.min(F.when((F.col("n") > F.col(f"_a{i}")) & like(z), F.col("n"))).over(whole) for (_, z), i in bounds.items()})
@@ -167,5 +174,5 @@ def slice_excerpts(lines: DataFrame, slices: DataFrame, doc: str = "doc_id") ->
     rows = rows.withColumns(near)
     rows = rows.withColumns({f"_some{i}": F.max(f"_keep{i}").over(whole) for i, _ in dated})
     kept = {i: F.col(f"_keep{i}") | ~F.col(f"_some{i}") for i, _ in dated}
-    keys = F.array_compact(F.array(*[F.when(kept.get(i, of(r)), F.lit(r.slice_key)) for i, r in enumerate(dim)]))
-    return rows.select(doc, F.explode(keys).alias("slice_key"), "n", "line")
+    keys = F.array_compact(F.array(*[F.when(kept.get(i, of(r)), F.lit(named(r))) for i, r in enumerate(dim)]))
+    return rows.select(doc, "n", "line", keys.alias("slices"))

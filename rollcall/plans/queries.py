@@ -175,9 +175,7 @@ def request_bodies(spark: SparkSession, d: str) -> DataFrame:
 @query
 def extracted_slices(spark: SparkSession, d: str) -> DataFrame:
     """The rule-based extractor on every slice's excerpt."""
-    s = ln.slice_dim(spark)
-    cut = ln.slice_excerpts(order_lines(spark, d), s).groupBy("doc_id", "slice_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return big(jobs.extract_slices(cut.join(F.broadcast(s.select("slice_key", "bucket")), "slice_key"), "doc_id"))
+    return big(jobs.extract_excerpts(order_lines(spark, d), ln.slice_dim(spark), "doc_id"))
 
 
 @query
