@@ -19,6 +19,8 @@ def partitions(spark: SparkSession) -> int:
 
 #: Rows of one key from which on they are dealt into cells, and how many cells.
 HOT, CELLS = 1000, 64
+#: Hot keys that a plan may name.
+FEW = 500
 _thread = threading.local()
 
 
@@ -127,10 +129,19 @@ def spread_join(many: DataFrame, one: DataFrame, on: str, by: Column, how: str =
 
     counted: a table that has many's keys as often and is cheaper to read.
 
-    Which keys are hot is counted, summed before the shuffle, and told by a bitmap of bounded size; only those rows of one are
-    repeated for each cell.  A key that is taken for a hot one by chance is dealt too: the result is the same.
+    Which keys are hot is counted, summed before the shuffle; only those rows of one are repeated for each cell.  Up to FEW hot keys, and
+    none at all, are named in the plan; more are told by a bitmap of bounded size, for which a key that is taken for a hot one by chance
+    is dealt too: the result is the same.
     """
     often = (many if counted is None else counted).groupBy(on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot).select(on)
-    left = flagged(many, F.col(on), often, F.col(on), "_hot").withColumn("_cell", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(cells)).cast("int")).otherwise(0)).drop("_hot")
-    right = flagged(one, F.col(on), often, F.col(on), "_hot").withColumn("_cell", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(cells - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    named = often.filter(F.col(on).isNotNull()).limit(FEW + 1).agg(F.collect_list(on)).first()[0]
+    if not named and how == "inner":
+        return many.join(one, on)
+    if len(named) <= FEW:
+        # Rows of many without a key are dealt as well: they stay in a left join, and would lie in one task.
+        tell = lambda df: df.withColumn("_hot", F.col(on).isNull() | (F.col(on).isin(named) if named else F.lit(False)))
+    else:
+        tell = lambda df: flagged(df, F.col(on), often, F.col(on), "_hot")
+    left = tell(many).withColumn("_cell", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(cells)).cast("int")).otherwise(0)).drop("_hot")
+    right = tell(one).withColumn("_cell", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(cells - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return left.join(right, [on, "_cell"], how).drop("_cell")

@@ -215,6 +215,17 @@ def test_hot_keys_are_dealt_into_cells(spark):
     assert (1, True) in flags and sum(f for _, f in flags) <= 2 and Counter(r.k for r in only_touched(many, F.col("k"), hot, F.col("k")).collect())[1] == 40
 
 
+def test_few_hot_keys_need_no_bitmap(spark):
+    """Each of a join's two bitmaps was a broadcast of 1 MB and three more exchanges, which filled the driver's memory where many joins follow each other."""
+    many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(60)] + [(None, i) for i in range(40)], "k long, v long")
+    one = spark.createDataFrame([(i, f"x{i}") for i in range(60)], "k long, x string")
+    for hot in (5, 1000):
+        for how in ("inner", "left"):
+            got = spread_join(many, one, "k", F.col("v"), how, hot=hot, cells=4)
+            assert "bitmap" not in got._jdf.queryExecution().optimizedPlan().toString()
+            assert Counter((r.k, r.v, r.x) for r in got.collect()) == Counter((r.k, r.v, r.x) for r in many.join(one, "k", how).collect())
+
+
 def test_tables_on_the_way_are_deleted(spark, tmp_path):
     import os
 
