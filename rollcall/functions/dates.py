@@ -53,8 +53,12 @@ def initial_date(c: Column | str) -> Column:
 
     A four-digit number in front that is no year of 19xx or 20xx hides any later date.
     """
+    # A kind is looked for only where its cheapest part is: a letter before a number, or a dash.
+    month, dash = lambda text: text.rlike(r"[A-Za-z]\s+\d"), lambda text: text.contains("-")
+    dashes = lambda text: text.rlike(p.DASH)
     inside = lambda text: F.coalesce(*[
-        F.nullif(F.regexp_extract(text, f"(?i){p.LEFT}{kind}{p.RIGHT}", 0), F.lit("")) for kind in (FULL, ISO, MONTH_YEAR, RANGE, r"(?:19|20)\d{2}")])
+        F.when(may(text), F.nullif(F.regexp_extract(text, f"(?i){p.LEFT}{kind}{p.RIGHT}", 0), F.lit("")))
+        for kind, may in ((FULL, month), (ISO, dash), (MONTH_YEAR, month), (RANGE, dashes), (r"(?:19|20)\d{2}", lambda text: F.lit(True)))])
     label = lambda text: F.coalesce(_split(text)["label"], inside(text))
     text = strip_source_number(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
     return bind(bind(text, label), _parts)

@@ -165,8 +165,9 @@ def merge_duplicates(df: DataFrame, group: list[str], content: str = "text", opt
     split = df.withColumn("_split", t.split_contribution(content))
     note = {"note": F.coalesce("note", "_split.note")} if "note" in optional else {}
     plain = F.col("note").isNull() & F.col("_split.note").isNotNull() if "note" in optional else F.lit(False)
-    rows = split.withColumn("_key", t.norm_citation(F.col("_split.citation"))).filter("_key <> ''").withColumns(
+    rows = split.withColumn("_key", t.norm_citation(F.col("_split.citation"))).withColumns(
         note | {"_citation": F.when(plain, F.col("_split.citation")).otherwise(F.col(content))})
+    # Empty keys go by an aggregate: a filter on the key would be moved below it, and the key, the dearest part, made twice.
     rank = F.array_position(F.array(*[F.lit(x) for x in p.PUBLICATION_TYPES]), F.col("pub_type"))
     best = F.min_by("pub_type", F.when(F.col("bucket") == specific, F.struct(rank, order)).otherwise(F.struct(F.lit(0).cast("bigint"), order)))
     return rows.groupBy(*group, "bucket", "_key").agg(
@@ -174,7 +175,7 @@ def merge_duplicates(df: DataFrame, group: list[str], content: str = "text", opt
         best.alias("pub_type"),
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in optional],
         *[F.bool_or(c).alias(c) for c in flags],
-        F.min(order).alias(order), F.count(F.lit(1)).alias("copies")).drop("_key")
+        F.min(order).alias(order), F.count(F.lit(1)).alias("copies"), F.max(F.length("_key")).alias("_length")).filter("_length > 0").drop("_key", "_length")
 
 
 def merge_groups(df: DataFrame, doc: str, heading: str, content: str, order: str = "ord") -> DataFrame:
