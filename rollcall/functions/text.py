@@ -167,5 +167,5 @@ def contribution_note(note: Column | str, citation: Column | str) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    """The distinct words of norm_compare."""
-    return F.array_remove(F.array_distinct(F.split(norm_compare(c), " ")), "")
+    """The distinct words of norm_compare, split where it puts its spaces."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(_col(c)), "[^a-z0-9]+")), "")

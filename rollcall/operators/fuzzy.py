@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from rollcall.functions.text import norm_dedupe, norm_layout, tokens
 from rollcall.sources.parts import by_document, kept_by_document, shared_path
@@ -33,9 +36,11 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, content: str, share
     rarest words as blocking keys, which meet the other side's words; the bits of both sets lie beside the word, so pairs that
     can't be are dropped where they meet, before any shuffle.  The others are compared in full.  No pair is lost and no block is capped.
 
-    Sets are stored once, equal ones as one; pairs are spread over their members at the end.
+    Sets are stored once, equal ones as one; pairs are spread over their members at the end.  The right ones are stored without
+    the words that no left one has, so give the side with fewer words as left.
     """
-    a, b = (_Sets(df, key, content, least, within) for df in (left, right))
+    a = _Sets(left, key, content, least, within)
+    b = _Sets(right, key, content, least, within, a, share)
     found = _confirmed(_meeting(*_blocked(a, b, share)).unionAll(_turned(_meeting(*_blocked(b, a, share)))).distinct(), a, b, share)
     return found.join(a.members("key_a", "one"), "one").join(b.members("key_b", "other"), "other").select("key_a", "key_b", "share")
 
@@ -46,17 +51,46 @@ _SIGNS = ("s0", "s1", "s2", "s3")
 
 
 class _Sets:
-    """The sets of words of a table: rows (key, id) and, once for each id, its words as sorted 64-bit hashes, both stored."""
+    """The sets of words of a table: rows (key, id) and, once for each id, its size and its words as sorted 64-bit hashes, both stored.
 
-    def __init__(self, df: DataFrame, key: str, content: str, least: int, within: str | None):
+    met: the other side's sets.  Words that none of them has are counted in the size and left out of the hashes, and sets with too few of
+    the others to nearly equal any go at once.  A text is read for its words once: nothing of them is filtered before they are here.
+    """
+
+    def __init__(self, df: DataFrame, key: str, content: str, least: int, within: str | None, met: _Sets | None = None, share: float = SHARE):
         df = df if within is None else df.filter(F.col(within).isNotNull())
-        words = F.sort_array(tokens(content))
-        hashes = F.transform(words, lambda w: F.xxhash64(F.col(within), w) if within else F.xxhash64(w))
-        # The document is part of the name: sets of different documents are never one.
-        name = F.array_join(words, " ") if within is None else F.concat_ws(" ", F.col(within).cast("string"), F.lit(":"), F.array_join(words, " "))
-        rows = df.select(F.col(key).alias("key"), F.unhex(F.md5(name)).alias("id"), F.sort_array(hashes).alias("hashes"))
-        self.rows = _stored(rows.filter(F.size("hashes") >= max(least, 1)), "fuzzy-rows")
-        self.sets = by_document(self.rows.groupBy("id").agg(F.first("hashes").alias("hashes")), "fuzzy_sets", "id")
+        # The document is part of a word: sets of different documents are never one.
+        words = F.transform(tokens(content), lambda w: F.xxhash64(F.col(within), w) if within else F.xxhash64(w))
+        least = max(least, 1)
+        fewest = 1 if met is None else max(int(np.ceil(share * least)), 1)
+        known = None if met is None else met.known
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hashes, first = _flat(batch.column(1))
+                there = np.ones(len(hashes), bool) if known is None else _is_known(known.value, hashes)
+                size, held = np.diff(first), _counts(there, first)
+                keep = np.flatnonzero((size >= least) & (held >= fewest))
+                ids = [hashlib.blake2b(hashes[first[i] : first[i + 1]], digest_size=16).digest() for i in keep]
+                alive = np.zeros(len(size), bool)
+                alive[keep] = True
+                lists = pa.ListArray.from_arrays(pa.array(_offsets(held[keep]), pa.int32()), pa.array(hashes[there & np.repeat(alive, size)]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(ids, pa.binary()), pa.array(size[keep]), lists], names=["key", "id", "size", "hashes"])
+
+        kind = df.select(F.col(key).alias("key")).schema["key"]
+        schema = StructType([kind, StructField("id", BinaryType()), StructField("size", LongType()), StructField("hashes", ArrayType(LongType(), False))])
+        hashes = F.coalesce(F.sort_array(F.array_distinct(words)), F.array().cast("array<bigint>"))
+        self.rows = _stored(df.select(F.col(key).alias("key"), hashes.alias("hashes")).mapInArrow(named, schema), "fuzzy-rows")
+        self.sets = by_document(self.rows.groupBy("id").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes")), "fuzzy_sets", "id")
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """Each word of the sets (word, n) with how many hold it."""
+        return _stored(self.sets.select(F.explode("hashes").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "fuzzy-words")
+
+    @cached_property
+    def known(self) -> Broadcast[np.ndarray]:
+        return self.sets.sparkSession.sparkContext.broadcast(_known(self.words))
 
     def members(self, key: str, name: str) -> DataFrame:
         return self.rows.select(F.col("key").alias(key), F.col("id").alias(name))
@@ -70,8 +104,8 @@ def _stored(df: DataFrame, what: str) -> DataFrame:
 
 def _known(words: DataFrame) -> np.ndarray:
     """The hashes in words as a bitmap, whose size does not depend on how many there are."""
-    place = F.shiftrightunsigned("word", 64 - KNOWN) + 1
-    parts = words.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    place = words.select((F.shiftrightunsigned("word", 64 - KNOWN) + 1).alias("place")).distinct()
+    parts = place.groupBy(F.bitmap_bucket_number("place").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
     out = np.zeros((1 << KNOWN) // 8, np.uint8)
     for r in parts:
         out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
@@ -84,9 +118,9 @@ def _is_known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent hashes, in order, and their counts; at most FREQUENT, as each makes up that share of all words."""
-    total = words.count()
-    rows = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2, -(-total // FREQUENT))).orderBy("word").toArrow()
+    """The most frequent of words (word, n), in order, and their counts; at most FREQUENT, as each makes up that share of all words."""
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = words.filter(F.col("n") >= max(2, -(-total // FREQUENT))).orderBy("word").toArrow()
     return rows["word"].to_numpy(), rows["n"].to_numpy()
 
 
@@ -96,8 +130,17 @@ def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.values.to_numpy()[off[0] : off[-1]], off - off[0]
 
 
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _counts(marks: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many of each row's elements are marked."""
+    return np.diff(_offsets(marks)[first])
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Batches (id, hashes) in pieces of about so many words, or one larger set."""
+    """Batches (id, hashes, size) in pieces of about so many words, or one larger set."""
     for batch in batches:
         first = batch.column(1).offsets.to_numpy()
         lo = 0
@@ -120,43 +163,46 @@ def _spread(ids: pa.Array, row: np.ndarray, words: np.ndarray, numbers: list[np.
 def _blocked(small: _Sets, large: _Sets, share: float) -> tuple[DataFrame, DataFrame]:
     """Blocking words of the sets of small, as the smaller ones (word, one, m, d and bits), and the words of large that they may meet (word, other, n and bits).
 
-    A set that lacks more than d of its words in all of large goes at once; one that lacks g of them needs d - g + 1 blocking words.
+    A set that lacks more than d of its words in all of large goes at once; one that lacks g of them needs d - g + 1 blocking words.  The
+    bits are those of words that large has, of which at most d - g are missing from the other; d stands for that.
     """
     spark = small.sets.sparkSession
-    words = large.sets.select(F.explode("hashes").alias("word"))
-    shared = spark.sparkContext.broadcast((_known(words), *_frequent(words)))
+    known, often = large.known, spark.sparkContext.broadcast(_frequent(large.words))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, frequent, counts = shared.value
+        frequent, counts = often.value
         for batch in _pieces(batches):
             hashes, first = _flat(batch.column(1))
-            m = np.diff(first)
-            d = m - np.ceil(share * m).astype(np.int64)
-            row = np.repeat(np.arange(len(m)), m)
-            there = _is_known(known, hashes)
-            need = d - np.add.reduceat(~there, first[:-1], dtype=np.int64) + 1
-            often = np.zeros(len(hashes), np.int64)
+            m = batch.column(2).to_numpy()
+            there = _is_known(known.value, hashes)
+            held = _counts(there, first)
+            spare = held - np.ceil(share * m).astype(np.int64)  # d less the words that large lacks
+            keep = np.flatnonzero((spare >= 0) & (held > 0))
+            hashes, first = hashes[there & np.repeat((spare >= 0) & (held > 0), np.diff(first))], _offsets(held[keep])
+            if not len(keep):
+                continue
+            row = np.repeat(np.arange(len(keep)), held[keep])
+            n = np.zeros(len(hashes), np.int64)
             if len(frequent):
                 at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                often = np.where(frequent[at] == hashes, counts[at], 0)
-            order = np.lexsort((hashes, often, ~there, row))
-            place = np.arange(len(hashes)) - first[row]  # row is in order already
-            chosen = order[(place < need[row]) & there[order]]
-            yield _spread(batch.column(0), row[chosen], hashes[chosen], [m, d, *_signs(hashes, first)], ["one", "m", "d", *_SIGNS])
+                n = np.where(frequent[at] == hashes, counts[at], 0)
+            order = np.lexsort((hashes, n, row))
+            chosen = order[np.arange(len(hashes)) - first[row] <= spare[keep][row]]  # row is in order already
+            yield _spread(batch.column(0).take(pa.array(keep)), row[chosen], hashes[chosen], [m[keep], spare[keep], *_signs(hashes, first)], ["one", "m", "d", *_SIGNS])
 
     signs = ", ".join(f"{x} long" for x in _SIGNS)
-    keys = _stored(small.sets.select("id", "hashes").mapInArrow(choose, f"word long, one binary, m long, d long, {signs}"), "fuzzy-keys")
+    keys = _stored(small.sets.select("id", "hashes", "size").mapInArrow(choose, f"word long, one binary, m long, d long, {signs}"), "fuzzy-keys")
     wanted = spark.sparkContext.broadcast(_known(keys))
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches):
             hashes, first = _flat(batch.column(1))
-            n = np.diff(first)
             chosen = np.flatnonzero(_is_known(wanted.value, hashes))
-            yield _spread(batch.column(0), np.repeat(np.arange(len(n)), n)[chosen], hashes[chosen], [n, *_signs(hashes, first)], ["other", "n", *[f"t{x}" for x in _SIGNS]])
+            row = np.repeat(np.arange(len(first) - 1), np.diff(first))[chosen]
+            yield _spread(batch.column(0), row, hashes[chosen], [batch.column(2).to_numpy(), *_signs(hashes, first)], ["other", "n", *[f"t{x}" for x in _SIGNS]])
 
     held = ", ".join(f"t{x} long" for x in _SIGNS)
-    return keys, large.sets.select("id", "hashes").mapInArrow(give, f"word long, other binary, n long, {held}")
+    return keys, large.sets.select("id", "hashes", "size").mapInArrow(give, f"word long, other binary, n long, {held}")
 
 
 def _meeting(keys: DataFrame, words: DataFrame) -> DataFrame:
@@ -171,8 +217,8 @@ def _turned(pairs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, a: _Sets, b: _Sets, share: float) -> DataFrame:
     """The pairs (one, other) of a set of a and one of b whose words are nearly the same, with the common share."""
-    x, y = a.sets.select(F.col("id").alias("one"), F.col("hashes").alias("wa")), b.sets.select(F.col("id").alias("other"), F.col("hashes").alias("wb"))
-    common, smaller = F.size(F.array_intersect("wa", "wb")), F.least(F.size("wa"), F.size("wb"))
+    x, y = (t.sets.select(F.col("id").alias(c), F.col("size").alias(f"n_{c}"), F.col("hashes").alias(f"w_{c}")) for t, c in ((a, "one"), (b, "other")))
+    common, smaller = F.size(F.array_intersect("w_one", "w_other")), F.least("n_one", "n_other")
     found = pairs.join(x, "one").join(y, "other").withColumn("common", common).withColumn("smaller", smaller).filter(F.col("common") >= share * F.col("smaller"))
     return found.select("one", "other", (F.col("common") / F.col("smaller")).alias("share"))
 
@@ -183,7 +229,8 @@ def without_fuzzy_copies(df: DataFrame, of: DataFrame, key: str, content: str, w
     One partner is enough: each set is compared with one candidate first, and only sets that this leaves are compared with
     all of theirs.  So a group of near copies costs one comparison a set and not one a pair.
     """
-    a, b = _Sets(df if when is None else df.filter(when), key, content, LEAST, within), _Sets(of, key, content, LEAST, within)
+    b = _Sets(of, key, content, LEAST, within)
+    a = _Sets(df if when is None else df.filter(when), key, content, LEAST, within, b)
     (keys, words), (others, own) = _blocked(a, b, SHARE), _blocked(b, a, SHARE)
     one = _meeting(keys, words).unionAll(_turned(_meeting(others, own))).groupBy("one").agg(F.max("other").alias("other"))
     gone = _stored(_confirmed(one, a, b, SHARE).select("one"), "fuzzy-gone")
