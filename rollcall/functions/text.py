@@ -167,5 +167,9 @@ def contribution_note(note: Column | str, citation: Column | str) -> Column:
 
 
 def tokens(c: Column | str) -> Column:
-    """The distinct words of norm_compare, split where it puts its spaces."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(_col(c)), "[^a-z0-9]+")), "")
+    """The words of norm_compare, split where it puts its spaces: repeats too, and an empty one at an end without a word."""
+    return F.split(F.lower(_col(c)), "[^a-z0-9]+")
+
+
+def distinct_tokens(c: Column | str) -> Column:
+    return F.array_remove(F.array_distinct(tokens(c)), "")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import cached_property, reduce
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from rollcall.functions.text import norm_dedupe, norm_layout, tokens
+from rollcall.functions.text import distinct_tokens, norm_dedupe, norm_layout, tokens
 from rollcall.sources.parts import by_document, kept_by_document, shared_path
 
 #: Share of the smaller set that must be common, and the smallest set that counts at all.
@@ -39,10 +41,25 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, key: str, content: str, share
     Sets are stored once, equal ones as one; pairs are spread over their members at the end.  The right ones are stored without
     the words that no left one has, so give the side with fewer words as left.
     """
+    a, b, found = _alike(left, right, key, content, share, least, within)
+    return found.join(a.members("key_a", "one"), "one").join(b.members("key_b", "other"), "other").select("key_a", "key_b", "share")
+
+
+def fuzzy_counts(left: DataFrame, right: DataFrame, key: str, content: str, share: float = SHARE, least: int = LEAST, within: str | None = None) -> DataFrame:
+    """How many pairs of fuzzy_pairs (documents) each key_a of them has.
+
+    A set knows how many rows have it, so copies are counted and not made into pairs.
+    """
+    a, _, found = _alike(left, right, key, content, share, least, within)
+    counts = found.groupBy("one").agg(F.sum("copies").alias("documents"))
+    return a.members("key_a", "one").join(counts, "one").groupBy("key_a").agg(F.sum("documents").alias("documents"))
+
+
+def _alike(left: DataFrame, right: DataFrame, key: str, content: str, share: float, least: int, within: str | None) -> tuple[_Sets, _Sets, DataFrame]:
+    """The sets of left and right, and which of them (one, other) are nearly the same."""
     a = _Sets(left, key, content, least, within)
     b = _Sets(right, key, content, least, within, a, share)
-    found = _confirmed(_meeting(*_blocked(a, b, share)).unionAll(_turned(_meeting(*_blocked(b, a, share)))).distinct(), a, b, share)
-    return found.join(a.members("key_a", "one"), "one").join(b.members("key_b", "other"), "other").select("key_a", "key_b", "share")
+    return a, b, _confirmed(_meeting(*_blocked(a, b, share)).unionAll(_turned(_meeting(*_blocked(b, a, share)))).distinct(), a, b, share)
 
 
 #: Bits of a hash that say whether a word is known (a bitmap of 2 MB), and how many frequent words are told by their counts at most.
@@ -51,7 +68,7 @@ _SIGNS = ("s0", "s1", "s2", "s3")
 
 
 class _Sets:
-    """The sets of words of a table: rows (key, id) and, once for each id, its size and its words as sorted 64-bit hashes, both stored.
+    """The sets of words of a table: rows (key, id) and, once for each id, its size, its words as sorted 64-bit hashes and how many rows have it, both stored.
 
     met: the other side's sets.  Words that none of them has are counted in the size and left out of the hashes, and sets with too few of
     the others to nearly equal any go at once.  A text is read for its words once: nothing of them is filtered before they are here.
@@ -60,7 +77,9 @@ class _Sets:
     def __init__(self, df: DataFrame, key: str, content: str, least: int, within: str | None, met: _Sets | None = None, share: float = SHARE):
         df = df if within is None else df.filter(F.col(within).isNotNull())
         # The document is part of a word: sets of different documents are never one.
-        words = F.transform(tokens(content), lambda w: F.xxhash64(F.col(within), w) if within else F.xxhash64(w))
+        hashed = lambda w: F.xxhash64(F.col(within), w) if within else F.xxhash64(w)
+        # Repeats are dropped as numbers, which is cheaper than as words.
+        words = F.array_distinct(F.array_remove(F.transform(tokens(content), hashed), hashed(F.lit(""))))
         least = max(least, 1)
         fewest = 1 if met is None else max(int(np.ceil(share * least)), 1)
         known = None if met is None else met.known
@@ -79,9 +98,15 @@ class _Sets:
 
         kind = df.select(F.col(key).alias("key")).schema["key"]
         schema = StructType([kind, StructField("id", BinaryType()), StructField("size", LongType()), StructField("hashes", ArrayType(LongType(), False))])
-        hashes = F.coalesce(F.sort_array(F.array_distinct(words)), F.array().cast("array<bigint>"))
+        hashes = F.coalesce(F.sort_array(words), F.array().cast("array<bigint>"))
         self.rows = _stored(df.select(F.col(key).alias("key"), hashes.alias("hashes")).mapInArrow(named, schema), "fuzzy-rows")
-        self.sets = by_document(self.rows.groupBy("id").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes")), "fuzzy_sets", "id")
+        self.sets = by_document(self.rows.groupBy("id").agg(F.first("size").alias("size"), F.first("hashes").alias("hashes"), F.count(F.lit(1)).alias("copies")), "fuzzy_sets", "id")
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        """The sets in tasks of like size: a task a bucket, which Python in a plan keeps, is dear for a small table."""
+        files = self.sets.inputFiles()
+        return self.sets.sparkSession.read.schema(self.sets.schema).parquet(os.path.dirname(unquote(files[0]))) if files else self.sets
 
     @cached_property
     def words(self) -> DataFrame:
@@ -191,7 +216,7 @@ def _blocked(small: _Sets, large: _Sets, share: float) -> tuple[DataFrame, DataF
             yield _spread(batch.column(0).take(pa.array(keep)), row[chosen], hashes[chosen], [m[keep], spare[keep], *_signs(hashes, first)], ["one", "m", "d", *_SIGNS])
 
     signs = ", ".join(f"{x} long" for x in _SIGNS)
-    keys = _stored(small.sets.select("id", "hashes", "size").mapInArrow(choose, f"word long, one binary, m long, d long, {signs}"), "fuzzy-keys")
+    keys = _stored(small.listed.select("id", "hashes", "size").mapInArrow(choose, f"word long, one binary, m long, d long, {signs}"), "fuzzy-keys")
     wanted = spark.sparkContext.broadcast(_known(keys))
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +227,7 @@ def _blocked(small: _Sets, large: _Sets, share: float) -> tuple[DataFrame, DataF
             yield _spread(batch.column(0), row, hashes[chosen], [batch.column(2).to_numpy(), *_signs(hashes, first)], ["other", "n", *[f"t{x}" for x in _SIGNS]])
 
     held = ", ".join(f"t{x} long" for x in _SIGNS)
-    return keys, large.sets.select("id", "hashes", "size").mapInArrow(give, f"word long, other binary, n long, {held}")
+    return keys, large.listed.select("id", "hashes", "size").mapInArrow(give, f"word long, other binary, n long, {held}")
 
 
 def _meeting(keys: DataFrame, words: DataFrame) -> DataFrame:
@@ -216,11 +241,11 @@ def _turned(pairs: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, a: _Sets, b: _Sets, share: float) -> DataFrame:
-    """The pairs (one, other) of a set of a and one of b whose words are nearly the same, with the common share."""
-    x, y = (t.sets.select(F.col("id").alias(c), F.col("size").alias(f"n_{c}"), F.col("hashes").alias(f"w_{c}")) for t, c in ((a, "one"), (b, "other")))
+    """The pairs (one, other) of a set of a and one of b whose words are nearly the same, with the common share and the copies of other."""
+    x, y = (t.sets.select(F.col("id").alias(c), F.col("size").alias(f"n_{c}"), F.col("hashes").alias(f"w_{c}"), *more) for t, c, more in ((a, "one", []), (b, "other", ["copies"])))
     common, smaller = F.size(F.array_intersect("w_one", "w_other")), F.least("n_one", "n_other")
     found = pairs.join(x, "one").join(y, "other").withColumn("common", common).withColumn("smaller", smaller).filter(F.col("common") >= share * F.col("smaller"))
-    return found.select("one", "other", (F.col("common") / F.col("smaller")).alias("share"))
+    return found.select("one", "other", (F.col("common") / F.col("smaller")).alias("share"), "copies")
 
 
 def without_fuzzy_copies(df: DataFrame, of: DataFrame, key: str, content: str, when: Column | None = None, within: str | None = None) -> DataFrame:
@@ -247,7 +272,7 @@ def guarded_append(held: Column, candidates: Column) -> Column:
     The outcome depends on the order, so it is a fold inside the document's row; its cost is the product of both lengths.
     """
     # A one-element array binds what each step reads many times, so that a text's forms are made once.
-    known = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(x.alias("text"), norm_dedupe(x).alias("norm"), tokens(x).alias("words")))
+    known = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.struct(x.alias("text"), norm_dedupe(x).alias("norm"), distinct_tokens(x).alias("words")))
     bound = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)
     unlike = lambda own: bound(F.transform(own, lambda x: x["norm"]), lambda norms: F.filter(own, lambda x, i: (x["norm"] != "") & (F.array_position(norms, x["norm"]) == i + 1)))
     folded = F.aggregate(

@@ -431,17 +431,21 @@ def merged_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return rec.merge_duplicates(pubs(spark, d), ["doc_id"]).select("doc_id", "bucket", "text", "pub_type", "note", "is_new", "ord", "copies")
 
 
+def passages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The items of benchmark and the documents, both as (key, body)."""
+    left = v.table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("body"))
+    return left, v.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
+
+
 @query
 def fuzzy_same(spark: SparkSession, d: str) -> DataFrame:
-    left = v.table(spark, d, "benchmark").select(F.col("item_id").alias("key"), F.col("text").alias("body"))
-    right = v.table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("body"))
-    return fuzzy.fuzzy_pairs(left, right, "key", "body").select("key_a", "key_b", F.round("share", 6).alias("share"))
+    return fuzzy.fuzzy_pairs(*passages(spark, d), "key", "body").select("key_a", "key_b", F.round("share", 6).alias("share"))
 
 
 @query
 def fuzzy_check(spark: SparkSession, d: str) -> DataFrame:
     """How many documents nearly equal or hold a passage."""
-    return fuzzy_same(spark, d).groupBy("key_a").agg(F.count(F.lit(1)).alias("documents"))
+    return fuzzy.fuzzy_counts(*passages(spark, d), "key", "body")
 
 
 @query
