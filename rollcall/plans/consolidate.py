@@ -69,7 +69,11 @@ class Merged:
 
 
     def documents(self) -> DataFrame:
-        """doc_id and result: JSON of a document's metadata, sections (lists of typed records, empty ones too), gaps and notes."""
+        """doc_id and result: JSON of a document's metadata, sections (lists of typed records, empty ones too), gaps and notes.
+
+        Lists are merged where their documents lie.  Left to the planner they would be broadcast: it takes their size from the stored
+        files, in which like records take next to nothing, and all documents' lists would pass through the driver.
+        """
         struct = lambda names: F.struct(*[F.col(c).alias(n) for c, n in names.items()])
 
         def listed(df: DataFrame, name: str, names: dict[str, str], by: str | None = None) -> DataFrame:
@@ -90,7 +94,7 @@ class Merged:
                 nested, listed(self.texts.withColumn("r", F.col("text")), "texts", {"text": "text"}, "bucket"),
                 listed(self.publications, "cited", {"number": "number", "text": "citation", "pub_type": "type", "article_kind": "articleKind", "note": "contributionNote", "is_new": "isNewSinceLastReview"}, "bucket"),
                 listed(self.notes, "reviewNotes", same("section", "topic", "instruction")), listed(self.gaps, "gaps", same("section", "field", "instruction", "severity"))):
-            whole = whole.join(df, DOC, "left")
+            whole = whole.join(df.hint("merge"), DOC, "left")
         or_none = lambda c: F.coalesce(c, F.array())
         texts = [or_none(F.transform(F.try_element_at("texts", F.lit(b)), lambda x: x["text"])).alias(b) for b in p.STRING_BUCKETS]
         cited = [or_none(F.try_element_at("cited", F.lit(b))).alias(b) for b in p.PUBLICATION_BUCKETS]
