@@ -44,13 +44,14 @@ GAP_RULES = (
 def structural_gaps(records: DataFrame, gaps: DataFrame, doc: str) -> DataFrame:
     """Recommended gaps that records open and gaps doesn't list: doc, section, field, instruction, severity.
 
-    records: doc, kind and missing, an array of what a record lacks (location, dates, role).
+    records: doc, kind and missing, an array of what a record lacks (location, dates, role).  Gaps grow with the documents, and are merged
+    and never broadcast, however small the files that they are read from.
     """
     opened = records.select(doc, "kind", F.explode("missing").alias("lack")).distinct()
     rules = records.sparkSession.createDataFrame(GAP_RULES, "kind string, lack string, section string, field string, instruction string")
     found = opened.join(F.broadcast(rules), ["kind", "lack"]).select(doc, "section", "field", "instruction", F.lit("recommended").alias("severity"))
     low = lambda df: F.lower(F.concat_ws("|", df["section"], df["field"], df["instruction"]))
-    return found.join(gaps, (found[doc] == gaps[doc]) & (low(found) == low(gaps)), "left_anti")
+    return found.join(gaps.hint("merge"), (found[doc] == gaps[doc]) & (low(found) == low(gaps)), "left_anti")
 
 
 def record_gaps(employment: DataFrame, education: DataFrame, grants: DataFrame, doc: str) -> DataFrame:

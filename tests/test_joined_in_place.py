@@ -2,6 +2,7 @@
 
 import json
 
+from rollcall.operators import audit
 from rollcall.plans.consolidate import merge_results
 from rollcall.sources import parts
 
@@ -23,3 +24,16 @@ def test_whole_results_are_joined_where_their_documents_lie(spark):
     for i, x in got.items():
         held = {c: bool(x["sections"][c]) for c in LISTS} | {c: bool(x[c]) for c in ("gaps", "reviewNotes")}
         assert held == dict.fromkeys(held, i < 19) and x["metadata"]["name"] == ("N" if i < 19 else "")
+
+
+def test_gaps_are_merged_and_only_the_rules_broadcast(spark, tmp_path):
+    def stored(rows, schema, name):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    *_, section, field, instruction = audit.GAP_RULES[0]
+    records = stored([(i, "employment", ["location"]) for i in range(6)], "doc_id long, kind string, missing array<string>", "records")
+    gaps = stored([(i, section.upper(), field, instruction) for i in (1, 4)] + [(2, section, "other", instruction)], "doc_id long, section string, field string, instruction string", "gaps")
+    out = audit.structural_gaps(records, gaps, "doc_id")
+    assert out._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
+    assert sorted((r.doc_id, r.field) for r in out.collect()) == [(i, field) for i in (0, 2, 3, 5)]
